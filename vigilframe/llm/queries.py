@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, store, tokens
+from . import chat, decontaminate, langid, mix, quality, store, tokens, urls
+
+
+QUALITY = 0.3  # documents with a lower score are rejected
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +35,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(store.table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_crc(5) == 0, F.lit(False))
+    model = quality.fit(docs, store.table(spark, sf_dir, "labels").filter(~held_out))
+    scored = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -40,6 +55,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations(turns), tokenizer_path())
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.plan(store.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.fresh_path(spark, "tokens")
     tokens.write(store.table(spark, sf_dir, "documents"), folder, tokenizer_path())
