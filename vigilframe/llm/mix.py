@@ -4,7 +4,8 @@ Every document of a source has the same expected number of copies, its source's
 taken; the fractional parts are rounded in pairs: mass (words) moves at random from one document of a pair to the other
 until one's part is 0 or 1, keeping the pair's expected words, and the other meets the next. Documents are dealt into
 buckets by a hash; each bucket leaves one undecided document at most, and these are paired up a tree of buckets until a
-source has one, which is drawn. So a source's taken words differ from its target by less than one document.
+source has one, which is drawn. Long documents meet first, so that the last one is short. So a source's taken words
+differ from its target by less than one document.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _round(rows: DataFrame, last: bool) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    return rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", order, "doc_id", "size", "whole", "part").mapInArrow(run, ROW)
+    return rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), order, "doc_id", "whole", "part").mapInArrow(run, ROW)
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:

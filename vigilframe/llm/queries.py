@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mix, quality, store, tokens, urls
+from . import chat, decontaminate, langid, mix, near_duplicates, quality, store, tokens, urls
 
 
 QUALITY = 0.3  # documents with a lower score are rejected
@@ -22,6 +22,11 @@ def _crc(mod: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.groups(store.table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, store.table(spark, sf_dir, "benchmark"), keep_text=False)
