@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mix, near_duplicates, quality, store, tokens, urls
+from . import chat, decontaminate, embeddings, langid, mix, near_duplicates, quality, store, tokens, urls
 
 
 QUALITY = 0.3  # documents with a lower score are rejected
@@ -60,6 +60,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations(turns), tokenizer_path())
 
 
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.links(store.table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan(store.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
