@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, mix, near_duplicates, quality, store, tokens, urls
+from . import chat, decontaminate, embeddings, langid, mix, near_duplicates, quality, store, substrings, tokens, urls
 
 
 QUALITY = 0.3  # documents with a lower score are rejected
@@ -40,6 +40,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.in_batches(store.table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(store.table(spark, sf_dir, "pages"))
 

@@ -128,7 +128,7 @@ def gram_hashes(hashes: np.ndarray, k: int, rolling: Rolling = GRAMS) -> np.ndar
     if n <= 0:
         return np.zeros(0, U64)
     at = np.arange(n)
-    out = mix(rolling.spans(hashes, at, at + k) + U64(k) * U64(0x2545F4914F6CDD1D))
+    out = mix(rolling.spans(hashes, at, at + k) + U64(k * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
     rolling.trim()
     return out
 
