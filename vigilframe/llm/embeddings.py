@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
+from .textkit import forest, runs
 
 COSINE = 0.95
 CODES, CAPS, BUCKET, BLOCK = 8, 6, 64, 512
@@ -90,24 +91,10 @@ def _compare(filter_id: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray,
     count = np.zeros(len(ids), np.int64)
     np.add.at(count, left, first @ copies[right])
     np.add.at(count, right, copies[left] @ first)
-    # A spanning forest of the block's links, by smallest label.
-    label = np.arange(len(ids))
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = label
     i, j = np.nonzero(first)
-    i, j, mark = left[i], right[j], rank.copy()
-    while len(i):
-        low = np.minimum(mark[i], mark[j])
-        new = mark.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = np.minimum(new, new[order[new]])
-        if (new == mark).all():
-            break
-        mark = new
-    some, joined = np.flatnonzero(count), np.flatnonzero(mark != rank)
-    return [*ids[some].tolist(), *ids[joined].tolist()], [*[None] * len(some), *ids[order[mark[joined]]].tolist()], [*count[some].tolist(), *[0] * len(joined)]
+    a, b = forest(ids, left[i], right[j])
+    some = np.flatnonzero(count)
+    return [*ids[some].tolist(), *a.tolist()], [*[None] * len(some), *b.tolist()], [*count[some].tolist(), *[0] * len(a)]
 
 
 def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -153,27 +140,17 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     paired = paired.select("length", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "filters", "raw")
 
-    def block(key, part):
-        ids, copies = np.array(part[0]), np.array(part[1], np.int64)
-        x = np.stack([np.frombuffer(r) for r in part[3]])
-        return _compare(key[1], ids, copies, x, [np.array(v) for v in part[2]], np.array(part[4]) == key[3], key[2] == key[3], cosine)
-
     def compare(it):
-        key, part, out = None, None, ([], [], [])
-        for b in it:
-            for *now, own, rep, copies, filters, raw in zip(*(c.to_pylist() if not pa.types.is_list(c.type) else _arrays(c) for c in b.columns), strict=True):
-                if now != key:
-                    if part and len(part[0]) > 1:
-                        for o, v in zip(out, block(key, part), strict=True):
-                            o.extend(v)
-                    key, part = now, ([], [], [], [], [])
-                for p, v in zip(part, (rep, copies, filters, raw, own), strict=True):
-                    p.append(v)
-            if out[0]:
+        out = ([], [], [])
+        for key, (own, rep, copies, filters, raw) in runs(it, 4):
+            if len(rep) > 1:
+                x = np.stack([np.frombuffer(r) for r in raw])
+                for o, v in zip(out, _compare(key[1], np.array(rep), np.array(copies, np.int64), x, filters, np.array(own) == key[3], key[2] == key[3], cosine), strict=True):
+                    o.extend(v)
+            if len(out[0]) >= 10_000:
                 yield pa.record_batch([pa.array(o, pa.int64()) for o in out], schema=_ends)
                 out = ([], [], [])
-        if part and len(part[0]) > 1:
-            yield pa.record_batch([pa.array(o, pa.int64()) for o in block(key, part)], schema=_ends)
+        yield pa.record_batch([pa.array(o, pa.int64()) for o in out], schema=_ends)
 
     group = ["length", "f", "i", "j"]
     found = store.save(paired.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long, n long"), "links")
@@ -183,11 +160,6 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return rows.select("vec_id", "h1", "h2").join(of_kind, ["h1", "h2"], "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id")).alias("component_id"))
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    values, offsets = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
 def deduplicate(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The rows of vectors that are the smallest of their component (those with a null vec_id stay)."""
     gone = links(vectors, cosine).filter("vec_id != component_id").select(F.col("vec_id").alias("__gone")).distinct()

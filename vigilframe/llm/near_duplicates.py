@@ -7,8 +7,8 @@ key are candidates, and links are confirmed on the full shingle sets.
 
 Documents with equal sets are brought together first and stand for one. Within a key, all are first compared with the
 smallest id only; once these links' components are known, what is left are the pairs of one key that lie in different
-components, and all of them are compared. So no link between components is lost, and a group of many near copies isn't
-expanded into all its pairs.
+components, and all of them are compared, in blocks. So no link between components is lost, and a group of many near
+copies isn't expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .textkit import U64, mix
 
 CHUNKS, WIDTH = 8, 5
 SHINGLE, PERCENT = 5, 80
+BLOCK = 256
 _seeds = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -105,6 +106,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(near[0] & near[1]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _between(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between documents that share a key and lie in different components of `found`; as many as join them.
+
+    Documents that keys connect are a family. A family's sets are compared in blocks, by products of their incidence
+    matrices, so that pairs don't become rows.
+    """
+    placed = buckets.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("hub")).filter("x != y").select("key", "hub")
+    placed = store.save(placed.join(mixed, "key").select("rep", "c", "hub").distinct(), "placed")
+    if placed.isEmpty():
+        return None
+    family = components(placed.select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a != b").distinct())
+    member = store.save(placed.select("rep", "c").distinct().join(family, F.col("rep") == F.col("id")).select("rep", "c", F.col("component").alias("family")), "families")
+    size = member.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    dealt = member.join(size, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = paired.join(sets, F.col("rep") == F.col("id")).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "hashes")
+
+    def compare(it):
+        a, b = [], []
+        for (_, i, j), (own, rep, c, hashes) in textkit.runs(it, 3):
+            side, c = np.array(own) == j, np.array(c)
+            left, right = (np.arange(len(rep)),) * 2 if i == j else (np.flatnonzero(~side), np.flatnonzero(side))
+            if len(left) and len(right) and c.min() != c.max():
+                size, common = _overlaps([np.frombuffer(h, U64) for h in hashes], left, right)
+                near = 100 * common >= percent * (size[left][:, None] + size[right][None] - common)
+                x, y = np.nonzero(near & (c[left][:, None] != c[right][None]))
+                for o, v in zip((a, b), textkit.forest(np.array(rep), left[x], right[y]), strict=True):
+                    o.extend(v.tolist())
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    group = ["family", "i", "j"]
+    more = store.save(paired.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long"), "links")
+    return None if more.isEmpty() else more
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all sets, and of the intersections of those at left with those at right."""
+    size = np.array([len(s) for s in sets])
+    names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)))
+    for at in range(0, int((times > 1).sum()), 8192):
+        a, b = np.searchsorted(column, (at, at + 8192))
+        table = np.zeros((len(sets), 8192), np.float32)
+        table[row[a:b], column[a:b] - at] = 1
+        common += table[left] @ table[right].T
+    return size, np.rint(common).astype(np.int64)
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every document.
 
@@ -124,18 +178,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     sets = store.save(_sets(docs, ids, shingle), "sets", codec="none")
     links = store.save(_confirmed(first, sets, percent).distinct(), "links")
     found = store.save(components(links), "components")
-    # Pairs of one key in different components.
-    placed = buckets.select("key", "rep").join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x != y").select("key")
-    placed = store.save(placed.join(split, "key"), "placed")
-    if not placed.isEmpty():
-        kinds = placed.select("key", "c").distinct()
-        across = kinds.alias("p").join(kinds.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c"))).select("p.key", F.col("p.c").alias("c"), F.col("q.c").alias("d"))
-        left = across.join(placed, ["key", "c"]).select("key", "d", F.col("rep").alias("a"))
-        pairs = left.join(placed.withColumnRenamed("c", "d"), ["key", "d"]).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = store.save(_confirmed(pairs, sets, percent).distinct(), "links")
-        if not more.isEmpty():
-            found = store.save(components(links.unionByName(more)), "components")
+    more = _between(buckets, found, sets, percent)
+    if more is not None:
+        found = store.save(components(links.unionByName(more)), "components")
     many = by_set.filter("n > 1").select("h1", "h2", "rep")
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(many, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     return own.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

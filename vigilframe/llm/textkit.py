@@ -156,3 +156,45 @@ def batches(it: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.Recor
     for b in it:
         for at in range(0, b.num_rows, most):
             yield b.slice(at, most)
+
+
+def _lists(column: pa.Array) -> list:
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(values, ends[:-1]) if len(column) else []
+
+
+def runs(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[list]]]:
+    """(key, columns) of each run of rows with equal first `keys` columns; columns are the others (lists as arrays)."""
+    key, part = None, []
+    for b in it:
+        for row in zip(*map(_lists, b.columns), strict=True):
+            if key is None or list(row[:keys]) != key:
+                if key is not None:
+                    yield key, part
+                key, part = list(row[:keys]), [[] for _ in row[keys:]]
+            for p, v in zip(part, row[keys:], strict=True):
+                p.append(v)
+    if key is not None:
+        yield key, part
+
+
+def forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smaller id) that join what the links between places left and right of ids join: each place's id with
+    the smallest of its component, where that is another."""
+    order = np.argsort(ids, kind="stable")
+    mark = np.empty_like(order)
+    mark[order] = np.arange(len(ids))
+    rank = mark.copy()
+    while len(left):
+        new = mark.copy()
+        low = np.minimum(mark[left], mark[right])
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = np.minimum(new, new[order[new]])
+        if (new == mark).all():
+            break
+        mark = new
+    joined = np.flatnonzero(mark != rank)
+    return ids[joined], ids[order[mark[joined]]]
