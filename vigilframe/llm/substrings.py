@@ -5,7 +5,7 @@ windows have equal fingerprints, while neighbouring windows mostly share theirs:
 twenty words. The index is a list of runs, immutable tables of the fingerprints of one batch each, sorted by fingerprint.
 
 A new batch is merge-joined with every run. Fingerprints that are in a run, or in two documents of the batch, go into a
-bit filter of bounded size; texts are read again, and windows whose fingerprint passes it are verified by 128-bit hashes
+bit filter of bounded size; texts are read again, and windows whose fingerprint passes it are verified by 96-bit hashes
 of all their words: a window is a repetition if an earlier batch, or a smaller doc_id of the batch, has the same one.
 False passes of the filter cost rows, not correctness. Then the batch becomes a run, and runs are compacted into one when
 there are more than MOST_RUNS.
@@ -113,9 +113,9 @@ def _verified(docs: DataFrame, passes, window: int, gram: int) -> DataFrame:
                 places = (take - first[text[take]]).astype("<i4")
                 lists = [x.tobytes() for x in np.split(places, head[1:])]
                 row = pa.array(at + text[take[head]])
-                yield pa.record_batch([pa.array(w1[head].view(np.int64)), pa.array(w2[head].view(np.int64)), *(b.column(k).take(row) for k in range(3)), pa.array(lists, pa.binary())], names=names)
+                yield pa.record_batch([pa.array(w1[head].view(np.int64)), pa.array(w2[head].view(np.int64) >> 32, pa.int32()), *(b.column(k).take(row) for k in range(3)), pa.array(lists, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "w1 long, w2 long, age int, doc_id long, t long, at binary")
+    return docs.mapInArrow(run, "w1 long, w2 int, age int, doc_id long, t int, at binary")
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
@@ -157,7 +157,7 @@ class FingerprintIndex:
         document with a null doc_id neither loses words nor lets others lose them. Other columns are ignored.
         """
         spark = docs.sparkSession
-        docs = docs.select(F.lit(len(self.texts)).alias("age"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), F.col("text").cast("string"))
+        docs = docs.select(F.lit(len(self.texts)).alias("age"), F.col("doc_id").cast("long"), F.hash("text").alias("t"), F.col("text").cast("string"))
         own = _fingerprinted(docs, self.window, self.gram).groupBy("f").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         own = store.save(own.repartition("f").sortWithinPartitions("f"), "run")
         repeated = [own.filter("low != high").select("f")] + [own.select("f").hint("merge").join(r.select("f").hint("merge"), "f") for r in self.runs]
