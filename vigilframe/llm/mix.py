@@ -14,7 +14,7 @@ import hashlib
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store, textkit
@@ -148,10 +148,12 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """The rows of docs, each as often as plan() takes it.
-
-    Rows that share a doc_id share their copies out in the order of their sizes and sources."""
-    planned = plan(docs, weights, most).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    """The rows of docs, each as often as plan() takes it. Rows that share a doc_id share their copies evenly, those that
+    come first by source and text taking what is left over."""
     own = docs.columns
+    planned = plan(docs, weights, most).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
     joined = docs.alias("d").join(planned.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", "__copies", "__rows")
-    return joined.select(*own, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__k")).select(*own)
+    shared = joined.filter("__rows > 1").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text")))
+    shared = shared.withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__k") <= F.col("__copies") % F.col("__rows")).cast("long")).drop("__k")
+    dealt = joined.filter("__rows = 1").unionByName(shared).filter("__copies > 0")
+    return dealt.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__k")).select(*own)

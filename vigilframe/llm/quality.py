@@ -141,3 +141,12 @@ def score(docs: DataFrame, model: Trees, keep_text: bool = True) -> DataFrame:
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + ["score double"])
     return docs.select(*kept, F.col("text").cast("string").alias("__text")).mapInArrow(run, ddl)
+
+
+def keep(docs: DataFrame, model: Trees, least: float) -> DataFrame:
+    """The rows of docs with a score of at least `least`, with their own columns."""
+    own = docs.columns
+    if "score" not in own:
+        return score(docs, model).filter(F.col("score") >= least).select(*own)
+    packed = docs.select("text", F.struct(*own).alias("__row"))
+    return score(packed, model, keep_text=False).filter(F.col("score") >= least).select("__row.*")
