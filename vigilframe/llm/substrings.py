@@ -17,6 +17,7 @@ import hashlib
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,10 +179,24 @@ class FingerprintIndex:
             found = _verified(every.join(by_doc, "doc_id").select("age", "doc_id", "t", "text", "wanted"), listed, self.window, self.gram)
         first = F.first(F.struct("age", "doc_id")).over(Window.partitionBy("w1", "w2").orderBy("age", "doc_id"))
         again = found.withColumn("first", first).filter((F.col("age") == len(self.texts) - 1) & ((F.col("first.age") < F.col("age")) | (F.col("first.doc_id") < F.col("doc_id"))))
-        hit = again.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at"))
+        hit = store.save(again.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at")), "repetitions")
         self.runs.append(own)
         self.compact()
-        return _kept(docs.join(hit, ["doc_id", "t"], "left"), self.window)
+        return self._without(docs, hit)
+
+    def _without(self, docs: DataFrame, hit: DataFrame) -> DataFrame:
+        """docs without the words of hit; only texts that may have some are brought to it."""
+        n, key = hit.count(), F.xxhash64("doc_id", "t")
+        if n > MOST_FILTERED:
+            return _kept(docs.join(hit, ["doc_id", "t"], "left"), self.window)
+        held = docs.sparkSession.sparkContext.broadcast(_bit_filter(hit.select(key.alias("f")), n))
+
+        @F.pandas_udf("boolean")
+        def may_be_hit(f: pd.Series) -> pd.Series:
+            return pd.Series(_passes(held.value, f.to_numpy(np.int64).view(U64)))
+
+        rest = docs.filter(~may_be_hit(key)).withColumn("at", F.lit(None).cast("array<binary>"))
+        return _kept(docs.filter(may_be_hit(key)).join(hit, ["doc_id", "t"], "left"), self.window).unionByName(_kept(rest, self.window))
 
     def compact(self, most: int = MOST_RUNS) -> None:
         """Merges all runs into one if there are more than `most`."""
