@@ -16,8 +16,8 @@ import regex
 from .textkit import U64, Rolling, mix
 
 LETTER, NUMBER, SPACE = 1, 2, 3
-SLICE_CHARS = 1 << 20
-SLOTS, MOST_ENTRIES = 1 << 22, 1_500_000
+SLICE_CHARS = 1 << 19
+SLOTS, MOST_ENTRIES = 1 << 21, 1_000_000
 #: Fixed value: the characters with the property White_Space.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")

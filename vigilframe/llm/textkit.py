@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -102,7 +102,7 @@ class Rolling:
         np.cumsum(values * self.up[:n], out=total[1:])
         return (total[ends] - total[starts]) * self.down[starts]
 
-    def trim(self, most: int = 1 << 22) -> None:
+    def trim(self, most: int = 1 << 20) -> None:
         """Forgets powers kept for an unusually long text."""
         if len(self.up) > most:
             self.up, self.down = self.up[:most].copy(), self.down[:most].copy()
