@@ -15,7 +15,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     diameters. Joins are equi-joins on one end, which the engine splits where one id has very many links.
     """
     both = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, state = store.save(both, "stars"), None
+    now, state = store.save(both, "stars", compact=True), None
     for _ in range(rounds):
         # Large star: neighbours above u are linked to u's smallest neighbour.
         sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +24,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         # Small star: u's neighbours below it and u are linked to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        last, now = now, store.save(small, "stars")
+        last, now = now, store.save(small, "stars", compact=True)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         store.drop(last)
         if got == state:

@@ -116,7 +116,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     rows = store.save(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(classes, "vec_id long, h1 long, h2 long, raw binary"), "vectors")
     kinds = rows.filter("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
-    kinds = store.save(kinds, "kinds")
+    kinds = store.save(kinds, "kinds", compact=True)
     directions = max(16, int(np.ceil((kinds.count() * CAPS / BUCKET) ** 0.5)))
     held: dict[int, Codes] = {}
 

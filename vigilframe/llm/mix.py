@@ -135,7 +135,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     rows = s.join(F.broadcast(f) if len(by_source) <= 10_000 else f, F.col("s.source").eqNullSafe(F.col("f.source"))).select("s.doc_id", "s.source", "s.size", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(buckets)).alias("bucket"), F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
     decided = None
     while True:
-        level = store.save(_round(rows, buckets == 1), "mix")
+        level = store.save(_round(rows, buckets == 1), "mix", compact=True)
         undecided = (F.col("part") > 0) & (F.col("part") < 1) & (F.col("size") > 0)
         done = level if buckets == 1 else level.filter(~undecided)
         decided = done if decided is None else decided.unionByName(done)

@@ -114,11 +114,11 @@ def _between(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int
     """
     placed = buckets.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("hub")).filter("x != y").select("key", "hub")
-    placed = store.save(placed.join(mixed, "key").select("rep", "c", "hub").distinct(), "placed")
+    placed = store.save(placed.join(mixed, "key").select("rep", "c", "hub").distinct(), "placed", compact=True)
     if placed.isEmpty():
         return None
     family = components(placed.select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a != b").distinct())
-    member = store.save(placed.select("rep", "c").distinct().join(family, F.col("rep") == F.col("id")).select("rep", "c", F.col("component").alias("family")), "families")
+    member = store.save(placed.select("rep", "c").distinct().join(family, F.col("rep") == F.col("id")).select("rep", "c", F.col("component").alias("family")), "families", compact=True)
     size = member.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     dealt = member.join(size, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -169,18 +169,18 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """
     signed = store.save(_signed(docs, shingle), "signatures")
     by_set = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    by_set = store.save(by_set, "sets")
+    by_set = store.save(by_set, "sets", compact=True)
     listed = by_set.select("rep", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).filter("hub != other").select("key", "hub")
-    buckets = store.save(listed.join(shared, "key"), "buckets")
-    first = store.save(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    buckets = store.save(listed.join(shared, "key"), "buckets", compact=True)
+    first = store.save(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs", compact=True)
     ids = buckets.select(F.col("rep").alias("id")).distinct()
     sets = store.save(_sets(docs, ids, shingle), "sets", codec="none")
-    links = store.save(_confirmed(first, sets, percent).distinct(), "links")
-    found = store.save(components(links), "components")
+    links = store.save(_confirmed(first, sets, percent).distinct(), "links", compact=True)
+    found = store.save(components(links), "components", compact=True)
     more = _between(buckets, found, sets, percent)
     if more is not None:
-        found = store.save(components(links.unionByName(more)), "components")
+        found = store.save(components(links.unionByName(more)), "components", compact=True)
     many = by_set.filter("n > 1").select("h1", "h2", "rep")
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(many, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     return own.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

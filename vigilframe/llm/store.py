@@ -21,11 +21,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns the reread table (its path is in .stored_at)."""
+def save(df: DataFrame, name: str, codec: str = "zstd", compact: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and returns the reread table (its path is in .stored_at).
+
+    compact is for what comes out of a shuffle and is small: it is written by four tasks a core at most, so that many
+    shuffle partitions don't become as many tiny files. Scans of texts keep a task, and a file, for each split.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    out = df.coalesce(4 * spark.sparkContext.defaultParallelism) if compact else df
+    out.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -160,9 +160,9 @@ class FingerprintIndex:
         spark = docs.sparkSession
         docs = docs.select(F.lit(len(self.texts)).alias("age"), F.col("doc_id").cast("long"), F.hash("text").alias("t"), F.col("text").cast("string"))
         own = _fingerprinted(docs, self.window, self.gram).groupBy("f").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        own = store.save(own.repartition("f").sortWithinPartitions("f"), "run")
+        own = self._run(own)
         repeated = [own.filter("low != high").select("f")] + [own.select("f").hint("merge").join(r.select("f").hint("merge"), "f") for r in self.runs]
-        wanted = store.save(reduce(DataFrame.unionByName, repeated).distinct(), "repeated")
+        wanted = reduce(DataFrame.unionByName, repeated).distinct()
         self.texts.append(docs)
         every = reduce(DataFrame.unionByName, self.texts).filter("doc_id is not null")
         n = wanted.count()
@@ -179,7 +179,7 @@ class FingerprintIndex:
             found = _verified(every.join(by_doc, "doc_id").select("age", "doc_id", "t", "text", "wanted"), listed, self.window, self.gram)
         first = F.first(F.struct("age", "doc_id")).over(Window.partitionBy("w1", "w2").orderBy("age", "doc_id"))
         again = found.withColumn("first", first).filter((F.col("age") == len(self.texts) - 1) & ((F.col("first.age") < F.col("age")) | (F.col("first.doc_id") < F.col("doc_id"))))
-        hit = store.save(again.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at")), "repetitions")
+        hit = store.save(again.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at")), "repetitions", compact=True)
         self.runs.append(own)
         self.compact()
         return self._without(docs, hit)
@@ -198,11 +198,15 @@ class FingerprintIndex:
         rest = docs.filter(~may_be_hit(key)).withColumn("at", F.lit(None).cast("array<binary>"))
         return _kept(docs.filter(may_be_hit(key)).join(hit, ["doc_id", "t"], "left"), self.window).unionByName(_kept(rest, self.window))
 
+    def _run(self, rows: DataFrame) -> DataFrame:
+        """Writes fingerprints, grouped by f, as a run: each of its files is sorted."""
+        return store.save(rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("f"), "run")
+
     def compact(self, most: int = MOST_RUNS) -> None:
         """Merges all runs into one if there are more than `most`."""
         if len(self.runs) > most:
             merged = reduce(DataFrame.unionByName, self.runs).groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-            old, self.runs = self.runs, [store.save(merged.repartition("f").sortWithinPartitions("f"), "run")]
+            old, self.runs = self.runs, [self._run(merged)]
             for r in old:
                 store.drop(r)
 

@@ -51,14 +51,14 @@ def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
 
     Mass of hosts without outgoing edges returns to the seeds. Without edges the seeds keep their scores.
     """
-    now = store.save(seeds, "rank")
+    now = store.save(seeds, "rank", compact=True)
     if edges.isEmpty():
         return now
     for _ in range(rounds):
         moved = now.join(edges, now.host == edges.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("weight")).alias("flow"))
         kept = damping * (moved.agg(F.sum("flow")).first()[0] or 0.0)
         new = moved.join(seeds, "host", "full").select("host", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - kept) * F.coalesce("score", F.lit(0.0))).alias("score"))
-        last, now = now, store.save(new, "rank")
+        last, now = now, store.save(new, "rank", compact=True)
         gone = now.withColumnRenamed("score", "b").join(last.withColumnRenamed("score", "a"), "host", "full")
         change = gone.agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).first()[0] or 0.0
         store.drop(last)
@@ -76,8 +76,8 @@ def judge(pages: DataFrame, rules=RULES, factor: float = FACTOR) -> DataFrame:
     """
     h, p = host(F.col("url")), path(F.col("url"))
     ruled = pages.select("page_id", h.alias("host"), p.alias("path")).withColumn("r", rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("said"))
-    by_host = store.save(ruled.filter("said is not null").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allow"), F.count_if(F.col("said") == "block").alias("block")), "seeds")
-    edges = store.save(links(pages), "links")
+    by_host = store.save(ruled.filter("said is not null").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allow"), F.count_if(F.col("said") == "block").alias("block")), "seeds", compact=True)
+    edges = store.save(links(pages), "links", compact=True)
     total = by_host.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
 
     def seeds(kind: str) -> DataFrame:
