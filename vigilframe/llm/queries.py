@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, mix, near_duplicates, quality, store, substrings, tokens, urls
+from . import chat, decontaminate, embeddings, langid, mix, near_duplicates, oracles, quality, store, substrings, tokens, urls
 
 
 QUALITY = 0.3  # documents with a lower score are rejected
@@ -84,4 +84,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """A trained model's scores (3, 6), random rounding (9) and a tokenizer (10) can't be expressed in SQL."""
+    return {
+        "op1_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op2_decontamination": oracles.DECONTAMINATION,
+        "op4_substrings": oracles.SUBSTRINGS,
+        "op5_url_filter": oracles.URLS,
+        "op7_chat_format": oracles.CHAT,
+        "op8_embedding_duplicates": oracles.EMBEDDINGS,
+    }
