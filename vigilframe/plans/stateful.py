@@ -1,9 +1,133 @@
-"""Queries over order-dependent state and pixels."""
+"""Queries over order-dependent state, streams and pixels; SQL where it can express them."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo, scoring
+from ..operators import detection, escalation, network, tracker, tracks
+from ..sources import fixtures, sinks, synthetic
+from ..streaming import tracking
+from . import macros as m
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes along cameras: lines of orders, an order's lines at one place that drifts."""
+    l = fixtures.observations(spark, d)
+    return l.select("camera_id", (F.floor(F.col("track_id") / 50) * 8 + F.col("frame_index")).alias("frame_index"), F.col("track_id").alias("region"), (F.col("track_id") * 131 % 900 + F.col("frame_index") * 3).cast("double").alias("x"), (F.col("track_id") * 17 % 500).cast("double").alias("y"), "w", "h")
+
+
+def region_tracks(spark, d):
+    return tracker.track(_regions(spark, d))
+
+
+def box_suppression(spark, d):
+    e = fixtures.table(spark, d, "events")
+    k = F.col("event_id")
+    boxes = e.select((k % 500).alias("image"), F.lit(0).alias("label"), k.alias("box"), F.col("value").alias("score"), (k * 7 % 60).cast("double").alias("x"), (k * 11 % 60).cast("double").alias("y"), (20 + k % 20).cast("double").alias("w"), (20 + k % 15).cast("double").alias("h"))
+    return tracker.suppress(boxes)
+
+
+def _sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of suspect readings with what their neighbours say."""
+    r = fixtures.readings(spark, d).filter("active")
+    k = F.col("event_id")
+    own = r.select("event_id", F.col("date").alias("incident"), F.floor(F.col("epoch_s") / 3600).alias("tick"), "camera_id", (F.col("sequence") % 3).alias("track_id"), "confidence", (k % 9).alias("frames"))
+    near = network.consultable(r.filter(F.col("confidence") >= scoring.SUSPECT_AT), fixtures.cameras(spark, d))
+    said = scoring.answer(F.lit(True), (k + F.col("camera_id")) % 11 == 0, F.col("crossing") - 60.0, (k * 3 % 100) / 100.0, k % 9, tolerance=20.0)
+    answers = near.select("event_id", F.struct("camera_id", said.alias("outcome"), ((k * 3 % 100) / 100.0).alias("confidence")).alias("a")).groupBy("event_id").agg(F.array_sort(F.collect_list("a")).alias("answers"))  # four at most
+    return own.join(answers, "event_id", "left")
+
+
+def escalation_log(spark, d):
+    return escalation.escalate(_sweeps(spark, d))
+
+
+def _run(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
+    """All a stream's input, through a table in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilframe-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/batch_no={n}")
+
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(put).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch_no")
+
+
+def late_growth_stream(spark, d):
+    """Tracks whose frames come out of order, some twice: the last state of each equals the batch aggregate."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilframe-")
+    at = f"{base.rstrip('/')}/input-{uuid.uuid4().hex}"
+    o = fixtures.observations(spark, d).select("track_id", "frame_index", "minute", "area")
+    late = F.pmod(F.xxhash64("track_id", "frame_index"), F.lit(3))
+    for n in range(3):
+        o.filter(late >= n).filter((late == n) | (late == 2)).write.mode("append").parquet(at)
+    stream = tracking.growth(spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 8).parquet(at))
+    got = _run(stream, "update", spark)
+    last = got.groupBy("track_id").agg(F.max_by(F.struct("frames", "area_slope", "area_ratio"), "batch").alias("s"))
+    return last.select("track_id", F.col("s.frames").alias("frames"), F.round("s.area_slope", 6).alias("area_slope"), F.round("s.area_ratio", 9).alias("area_ratio"))
+
+
+_LATE = f"WITH {m.OBSERVATION} SELECT track_id, count(*) AS frames, round(CASE WHEN count(*) * var_pop(minute) < 1e-9 THEN 0.0 ELSE coalesce(regr_slope(area, minute), 0) END, 6) AS area_slope, round(arg_max(area, minute * 1000 + frame_index) / greatest(arg_min(area, minute * 1000 + frame_index), 1.0), 9) AS area_ratio FROM observation GROUP BY track_id"
+
+
+def tiny_image_stats(spark, d):
+    """Eight by eight images of vectors: mean, variance, extremes and the mean absolute step between rows."""
+    v = fixtures.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    mean = total / F.size("e")
+    var = F.aggregate("e", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("e")
+    steps = F.transform(F.sequence(F.lit(1), F.lit(56)), lambda i: F.abs(F.element_at("e", i + 8) - F.element_at("e", i)))
+    out = v.withColumn("mean", mean).select("vec_id", "mean", var.alias("var"), F.array_min("e").alias("low"), F.array_max("e").alias("high"), (F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / 56.0).alias("step"))
+    return out.withColumns({c: F.round(c, 8) for c in ("mean", "var", "low", "high", "step")})
+
+
+_TINY = "WITH v AS (SELECT vec_id, [round(CAST(x AS DOUBLE), 6) FOR x IN embedding] AS e FROM embeddings), u AS (SELECT vec_id, e, unnest(e) AS x FROM v), s AS (SELECT vec_id, avg(x) AS mean, var_pop(x) AS var, min(x) AS low, max(x) AS high FROM u GROUP BY vec_id), t AS (SELECT vec_id, avg(abs(e[i + 8] - e[i])) AS step FROM v, range(1, 57) r(i) GROUP BY vec_id) SELECT vec_id, round(mean, 8) AS mean, round(var, 8) AS var, round(low, 8) AS low, round(high, 8) AS high, round(step, 8) AS step FROM s JOIN t USING (vec_id)"
+
+
+def run_records(spark, d):
+    e = fixtures.table(spark, d, "events").select((F.col("user_id") % 50).alias("run"), F.col("event_type").alias("name"), F.floor("value").cast("long").alias("ms"), F.lit(1).cast("long").alias("calls"), F.when(F.col("event_type") == "error", "NO_SECOND_VIEW").alias("refusal"))
+    r = sinks.run_record(e)
+    return r.select("run", F.get_json_object("record", "$.schema_version").alias("version"), F.get_json_object("record", "$.stages[0].name").alias("first"), F.get_json_object("record", "$.stages[0].ms").cast("long").alias("ms"), F.get_json_object("record", "$.stages[2].refusals[0]").alias("refusal"))
+
+
+_RECORDS = "WITH s AS (SELECT user_id % 50 AS run, event_type AS name, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_type) AS k FROM events GROUP BY 1, 2) SELECT run, '1.0' AS version, max(name) FILTER (WHERE k = 1) AS first, max(ms) FILTER (WHERE k = 1) AS ms, max(CASE WHEN name = 'error' THEN 'NO_SECOND_VIEW' END) FILTER (WHERE k = 3) AS refusal FROM s GROUP BY run"
+
+
+def synthetic_incident(spark, d):
+    """Frames in which three cameras see a plume, down to its position: rendered, measured, tracked and crossed."""
+    cams = synthetic.ring(spark, 3)
+    found = detection.regions(synthetic.frames(cams, synthetic.CENTRE, 14, 6), least=20)
+    number = F.regexp_extract("camera_id", r"\d+", 0).cast("long")
+    boxes = found.select(number.alias("camera_id"), F.col("frame_index").cast("long"), F.col("region").cast("long"), *(F.col(c).cast("double") for c in ("x", "y", "w", "h")))
+    tracked = tracker.track(boxes)
+    seen = found.withColumn("camera", number).join(tracked.withColumnRenamed("camera_id", "camera"), ["camera", "frame_index", "region"])
+    w = Window.partitionBy("camera_id").orderBy(F.desc("n"), F.desc("area"))
+    longest = seen.withColumn("n", F.count("*").over(Window.partitionBy("camera_id", "track_id"))).withColumn("k", F.row_number().over(w)).filter("k = 1")
+    rays = longest.join(cams, "camera_id").select(F.lit(0).alias("incident"), "camera_id", "lat", "lon", "range_m", geo.bearing_from_pixel(F.col("cx"), F.lit(160.0), F.col("azimuth"), F.col("hfov")).alias("bearing"), F.lit(1.5).alias("sigma"))
+    from ..operators import fixes
+
+    return fixes.cross(rays, "incident").withColumn("error_m", geo.haversine(F.col("lat"), F.col("lon"), F.lit(synthetic.CENTRE[0]), F.lit(synthetic.CENTRE[1])))
+
+
+def scene_usability(spark, d):
+    """Rendered frames through the usability ladder, with each camera's own contrast as its baseline."""
+    s = detection.scenes(synthetic.frames(synthetic.ring(spark, 4), None, 12, 99))
+    s = tracks.trailing_median(s, "camera_id", "frame_index", "contrast")
+    s = tracks.frozen_runs(s, "camera_id", "frame_index", "difference")
+    measures = {c: F.col(c) for c in ("mean_luma", "p98", "contrast", "dark", "saturated", "repeat_count")} | {"baseline_contrast": F.col("before"), "flat": F.lit(False), "horizon_confidence": F.lit(1.0)}
+    return s.select("camera_id", "frame_index", scoring.usability(measures).alias("usability"))
 
 
 def queries() -> dict:
-    return {}
+    own = (region_tracks, box_suppression, escalation_log, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"late_growth_stream": _LATE, "tiny_image_stats": _TINY, "run_records": _RECORDS}
