@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import textkit
 
 WINDOW = 10
-AUTOMATON_BYTES = 400_000
+AUTOMATON_BYTES = 200_000
 _table = np.where(textkit.ALNUM_OR_HIGH, textkit.LOWER, 0x20).astype(np.uint8).tobytes()
 
 

@@ -113,13 +113,13 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, most_langs: int = 256) -> Model:
     """A model from labelled documents (doc_id, text, lang): of each of the most_langs languages with most documents, the
-    docs_per_lang documents of at most `chars` characters that come first by a hash of doc_id; whole texts."""
+    docs_per_lang documents of at most `chars` characters that come first by a hash of doc_id; whole texts (of rows that share a doc_id, the text that sorts first)."""
     rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), "text").filter("lang is not null and text is not null")
     langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
     short = rows.filter((F.length("text") <= chars) & F.col("lang").isin(langs)).drop("text")
     first = short.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= docs_per_lang)
     ids = first.select("doc_id", "lang").distinct()
-    picked = rows.filter(F.length("text") <= chars).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", "text")
+    picked = rows.filter(F.length("text") <= chars).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     samples: dict[str, list[tuple[int, bytes]]] = {}
     for r in picked.collect():  # docs_per_lang * most_langs texts of `chars` characters at most
         samples.setdefault(r.lang, []).append((r.doc_id, r.text.encode()))

@@ -114,7 +114,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, b
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Trees:
     """From the `rows` labelled documents that come first by a hash of doc_id. Null labels don't count; of several labels
-    of a document the mean decides; labels without a document are ignored."""
+    of a document the mean decides; labels without a document are ignored; rows that share a doc_id count once."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", (F.col("y") >= 0.5).cast("double").alias("y"), "text")
@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             x = statistics(b.column(2))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = picked.mapInArrow(run, "doc_id long, y double, x array<double>").limit(4 * rows).toPandas()
-    got = got.sort_values(["doc_id", "y"], kind="stable")
+    one = picked.mapInArrow(run, "doc_id long, y double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.*")
+    got = one.toPandas().sort_values("doc_id", kind="stable")
     return grow(np.array(got["x"].tolist()).reshape(-1, len(FEATURES)), got["y"].to_numpy())
 
 
