@@ -511,12 +511,12 @@ def sequence_names(spark, d):
 
 
 def queries() -> dict:
-    from . import stateful
+    from . import extras, stateful
 
-    return {k: f for k, (f, _) in _entries.items()} | stateful.queries()
+    return {k: f for k, (f, _) in _entries.items()} | extras.queries() | stateful.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import stateful
+    from . import extras, stateful
 
-    return {k: sql for k, (_, sql) in _entries.items() if sql} | stateful.oracle_sql()
+    return {k: sql for k, (_, sql) in _entries.items() if sql} | extras.oracle_sql() | stateful.oracle_sql()
