@@ -176,3 +176,39 @@ def test_synthetic_incident(spark):
 
     r = stateful.synthetic_incident(spark, DATA).first()
     assert r.n_rays == 3 and r.refusal is None and r.error_m < 1000
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    from vigilframe.sources import archives
+
+    manifest = {"name": "i", "network": {"cameras": [{"camera_id": "a-1", "lat": 1.0, "lon": 2.0}]}, "sequences": {"a-1": [{"path": "frames/20260916_143100.jpg"}, {"path": "frames/gone.jpg", "timestamp": "2026-09-16 14:30:00"}]}}
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("top/manifest.json", json.dumps(manifest))
+        z.writestr("top/frames/20260916_143100.jpg", b"x")
+        z.writestr("__MACOSX/top/x.jpg", b"y")
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        for i in range(90):
+            z.writestr(f"{1600000000 + 60 * i}.png", b"x")
+    with zipfile.ZipFile(tmp_path / "few.zip", "w") as z:
+        z.writestr("a.png", b"x")
+    (tmp_path / "not.zip").write_bytes(b"nothing")
+    files = archives.members(spark, f"file://{tmp_path}/*.zip")
+    assert {r.archive[-5:]: r.kind for r in archives.kind(files).collect()} == {"b.zip": "bundle", "s.zip": "stills", "w.zip": "stills"}
+    cams, frames = archives.load(spark, f"file://{tmp_path}/b.zip")
+    assert cams.count() == 1 and sorted((r.path, r.problem) for r in frames.collect()) == [("frames/20260916_143100.jpg", None), ("frames/gone.jpg", "NO_FILE")]
+    stills = archives.clip(files)
+    assert {r.refusal for r in stills.filter("archive like '%few.zip'").collect()} == {"TOO_FEW_FRAMES"}
+    long = stills.filter("archive like '%/s.zip'")
+    assert long.filter("refusal is null").count() == 90 and long.agg(F.min(F.unix_seconds("ts"))).first()[0] == 1600000000
+    assert archives.sampled(long, 30.0).count() == 45
+    assert archives.camera(spark, 400.0).first().aim_known is False and archives.camera(spark, 20.0, 60.0).first().hfov == 60
+
+
+def test_scenarios_are_rendered_once(spark, tmp_path):
+    cams, frames = synthetic.scenario(spark, "quiet", f"file://{tmp_path}")
+    assert cams.count() == 3 and frames.count() == 42
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "quiet").iterdir()}
+    synthetic.scenario(spark, "quiet", f"file://{tmp_path}")
+    assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "quiet").iterdir()}

@@ -40,7 +40,12 @@ def network(spark: SparkSession, path: str) -> DataFrame:
 def bundle(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(cameras, frames) of an unpacked incident: frames in order of time, numbered anew by camera. A frame's time is the
     manifest's or its name's. Frames of unknown cameras or without a time carry a problem and no number."""
-    m = spark.read.text(f"{folder}/manifest.json", wholetext=True).select(F.from_json("value", MANIFEST).alias("m"))
+    return described(spark.read.text(f"{folder}/manifest.json", wholetext=True).select(F.col("value").alias("manifest")))
+
+
+def described(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bundle() of a manifest's text."""
+    m = manifest.select(F.from_json("manifest", MANIFEST).alias("m"))
     cameras = _defaults(m.select(F.explode("m.network.cameras").alias("c")).select("c.*"))
     f = m.select(F.explode("m.sequences").alias("camera_id", "frames")).select("camera_id", F.explode("frames").alias("f"))
     f = f.select("camera_id", "f.path", F.coalesce(F.expr("try_to_timestamp(f.timestamp)"), names.timestamp(F.col("f.path"))).alias("ts"))
@@ -75,6 +80,27 @@ def archive(spark: SparkSession, root: str, cameras: DataFrame, stride: int = 1,
     return f.withColumns({"site_id": F.coalesce("site_id", F.split_part("camera_id", F.lit("-"), F.lit(1))), "lat": F.coalesce("lat", F.lit(0.0)), "lon": F.coalesce("lon", F.lit(0.0)), "azimuth_deg": F.coalesce("azimuth_deg", F.lit(0.0)), "hfov_deg": F.coalesce("hfov_deg", F.lit(90.0))})
 
 
+def subset(cameras: DataFrame, ids: DataFrame, still_url: str) -> DataFrame:
+    """The named cameras, with the address of their latest still (%s stands for the id)."""
+    return cameras.join(ids.select("camera_id").distinct(), "camera_id", "left_semi").withColumn("still_url", F.format_string(still_url, "camera_id"))
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, height, width, data) of a folder's images, decoded by the engine and turned to grey bytes."""
+    import pandas as pd
+
+    from ..functions import pixels
+
+    def run(it):
+        import numpy as np
+
+        for pdf in it:
+            grey = [np.rint(pixels.luma(np.frombuffer(d, np.uint8).reshape(h, w, c)[..., : min(c, 3)].squeeze())).astype(np.uint8).tobytes() for h, w, c, d in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True)]
+            yield pd.DataFrame({"path": pdf["origin"], "height": pdf["height"], "width": pdf["width"], "data": grey})
+
+    return spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "path string, height int, width int, data binary")
+
+
 def missing(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """Names that were asked for and are not there."""
     return wanted.join(cached, "sequence", "left_anti").distinct()

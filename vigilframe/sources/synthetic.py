@@ -52,3 +52,17 @@ def frames(cameras: DataFrame, fire: tuple[float, float] | None, count: int, plu
                 yield pd.DataFrame({"camera_id": part["camera_id"], "frame_index": part["frame_index"], "minute": part["frame_index"].astype(float), "height": height, "width": width, "data": data})
 
     return todo.mapInPandas(run, FRAME)
+
+
+#: Named incidents: cameras, frames, the frame a plume shows from (None: no fire).
+SCENARIOS = {"crossing": (3, 18, 6), "quiet": (3, 14, None), "single": (1, 16, 6), "late": (4, 20, 12)}
+
+
+def scenario(spark: SparkSession, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(cameras, frames) of a named incident, rendered into the folder the first time and read from it after."""
+    count, length, plume_at = SCENARIOS[name]
+    cameras, path = ring(spark, count), f"{folder}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        frames(cameras, None if plume_at is None else CENTRE, length, length if plume_at is None else plume_at).write.mode("overwrite").parquet(path)
+    return cameras, spark.read.parquet(path)
