@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -18,14 +18,13 @@ def cross(rays: DataFrame, key: str, min_angle: float = geo.MIN_CROSSING_DEG) ->
     TOO_FEW_RAYS, RAYS_TOO_PARALLEL, SINGULAR, BEHIND_CAMERA, BEYOND_RANGE), n_rays and, where not refused, lat, lon,
     residual_m, semi_major_m, semi_minor_m, crossing_deg.
 
-    Normal equations are sums, so rays are grouped twice (references, then sums) on the same key and collected only for
-    the pairwise angles of one key.
+    Normal equations are sums, and of lines sorted around the half circle the closest two are neighbours, so no key's rays
+    are brought together in one row, nor paired.
     """
-    ref = rays.groupBy(key).agg(F.count("*").alias("n_rays"), F.avg("lat").alias("ref_lat"), F.avg("lon").alias("ref_lon"), F.array_sort(F.collect_list("bearing")).alias("bearings"))
-    # Of bearings around the half circle, the closest two lines are neighbours.
-    half = F.array_sort(F.transform("bearings", lambda b: F.pmod(b, F.lit(180.0))))
-    gaps = F.concat(F.zip_with(F.slice(half, 2, 1_000_000), half, lambda a, b: a - b), F.array(F.element_at(half, 1) + 180.0 - F.element_at(half, -1)))
-    ref = ref.withColumn("crossing_deg", F.when(F.col("n_rays") > 1, F.array_min(F.filter(gaps, lambda g: g.isNotNull())))).drop("bearings")
+    half = F.pmod("bearing", F.lit(180.0))
+    near = rays.withColumn("half", half).withColumn("gap", F.col("half") - F.lag("half").over(Window.partitionBy(key).orderBy("half")))
+    ref = near.groupBy(key).agg(F.count("*").alias("n_rays"), F.avg("lat").alias("ref_lat"), F.avg("lon").alias("ref_lon"), F.least(F.min("gap"), F.min("half") + 180.0 - F.max("half")).alias("crossing_deg"))
+    ref = ref.withColumn("crossing_deg", F.when(F.col("n_rays") > 1, F.col("crossing_deg")))
     r = rays.join(ref, key)
     ox, oy = geo.enu(*map(F.col, ("lat", "lon", "ref_lat", "ref_lon")))
     dx, dy = _direction(*map(F.col, ("lat", "lon", "bearing", "ref_lon")))
