@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from vigilframe.llm import bytelevel, chat, decontaminate, langid, mix, near_duplicates, quality, queries, store, substrings, textkit, tokens
@@ -305,3 +306,18 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, "short one"), (3, text)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_duplicates.groups(df).collect()} == {1: 1, 2: 2, 3: 1}
     assert {r.doc_id: r.n_removed for r in substrings.in_batches(df).collect()} == {1: 0, 2: 0, 3: 120_000}
+
+
+def test_stages_on_odd_rows(spark, docs, none):
+    """Nulls, empty and repeated rows, extra columns with the operators' own names; and an empty table."""
+    import corpus_pipeline
+
+    clash = {c: F.lit("mine") for c in ("score", "copies", "n_hit", "items", "component_id", "size", "taken", "rep", "t")}
+    for now in (docs.withColumns(clash), none):
+        columns = now.columns
+        for name, stage in corpus_pipeline.STAGES:
+            now = store.save(stage(spark, now, DATA), name.replace(" ", "-"))
+            if stage is not corpus_pipeline.write_tokens:
+                assert now.columns == columns
+        rows = now.orderBy("start").collect()
+        assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
