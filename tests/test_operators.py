@@ -212,3 +212,29 @@ def test_scenarios_are_rendered_once(spark, tmp_path):
     before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "quiet").iterdir()}
     synthetic.scenario(spark, "quiet", f"file://{tmp_path}")
     assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "quiet").iterdir()}
+
+
+def test_replay_source(spark):
+    from vigilframe.sources.replay import Replay
+
+    spark.dataSource.register(Replay)
+    options = {"cameras": 2, "frames": 5, "plume_at": 2}
+    batch = spark.read.format("replay").options(**options).load()
+    assert batch.count() == 10 and batch.filter("length(data) = height * width").count() == 10
+
+
+def test_no_confirmer_no_opinion(spark):
+    from vigilframe.functions import confirm
+
+    assert value(spark, confirm.probability(None, L(1), L(1), L(b"x"))) is None
+    assert value(spark, confirm.probability("/no/such/model.onnx", L(1), L(1), L(b"x"))) is None
+
+
+def test_plane_tilt(spark):
+    from vigilframe.functions import measures
+
+    k = np.array([[800.0, 0, 320], [0, 800, 240], [0, 0, 1]])
+    for tilt in (0.0, 20.0, 45.0):
+        c, s = np.cos(np.radians(tilt)), np.sin(np.radians(tilt))
+        h = k @ np.array([[1, 0, 0], [0, c, 0], [0, s, 500.0]]).astype(float)
+        assert value(spark, measures.plane_tilt([L(float(x)) for x in h.ravel()], L(800.0), L(320.0), L(240.0))) == pytest.approx(tilt, abs=1e-6)

@@ -54,6 +54,18 @@ def obliquity(xs: list[Column], ys: list[Column], aspect: float = 1.0) -> Column
     return F.when(longest <= 0, 90.0).otherwise(F.degrees(F.acos(F.least(F.lit(1.0), F.least(*scaled) / longest))))
 
 
+def plane_tilt(mm_to_px: list[Column], focal: Column, cx: Column, cy: Column) -> Column:
+    """Degrees between a plane's normal and the line of sight to it, from its homography and the camera's focal length and
+    centre in pixels; null where the homography is degenerate."""
+    h = mm_to_px
+    m = [[(h[i] - cx * h[6 + i]) / focal, (h[3 + i] - cy * h[6 + i]) / focal, h[6 + i]] for i in range(3)]  # columns
+    (a1, a2, a3), (b1, b2, b3), (t1, t2, t3) = m
+    n = a2 * b3 - a3 * b2, a3 * b1 - a1 * b3, a1 * b2 - a2 * b1
+    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) * F.sqrt(t1 * t1 + t2 * t2 + t3 * t3)
+    cosine = F.abs(n[0] * t1 + n[1] * t2 + n[2] * t3) / size
+    return F.when(size > 1e-12, F.degrees(F.acos(F.least(F.lit(1.0), cosine))))
+
+
 def degenerate(xs: list[Column], ys: list[Column], least_px: float) -> Column:
     """Folded, collinear or tiny: an area below half of the mean edge's square, or an edge below least_px."""
     from .geo import quad_area
