@@ -47,7 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's own tables, and the last one's documents, go once it is written; the files of token
+    ids stay."""
     docs = store.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        begin, last = len(store.made), docs
+        docs = store.save(stage(spark, last, sf_dir), name.replace(" ", "-"))
+        store.clear(spark, begin, keep=docs)
+        if hasattr(last, "stored_at"):
+            store.drop(last)
     return docs

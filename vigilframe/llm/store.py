@@ -39,14 +39,31 @@ def save(df: DataFrame, name: str, codec: str = "zstd", compact: bool = False) -
     out.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    made.append(path)
     return out
 
 
+#: Paths that save() wrote in this process, in order.
+made: list[str] = []
+
+
+def clear(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes what save() wrote since made had `since` paths, but for the table to keep: for use once that is written."""
+    for path in made[since:]:
+        if path != keep.stored_at:
+            _delete(spark, path)
+    del made[since:]
+
+
 def drop(df: DataFrame) -> None:
-    """Deletes a table written by save(), wherever the shared folder is."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes a table written by save()."""
+    _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Wherever the shared folder is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 BATCH_ROWS = 1000
