@@ -69,6 +69,16 @@ def _unit_rows(column: pa.Array) -> tuple[np.ndarray, list]:
     return np.array([x is not None for x in out], bool), out
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Single precision where that loses nothing."""
+    short = x.astype("<f4") if np.abs(x).max() < 1e38 else None
+    return short.tobytes() if short is not None and (short == x).all() else x.tobytes()
+
+
+def _vector(raw: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * length else "<f8").astype(float)
+
+
 _ends = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -110,30 +120,29 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     def classes(it):
         for b in it:
             ok, rows = _unit_rows(b.column(1))
-            raw = [None if x is None else x.tobytes() for x in rows]
-            digest = [(None, None) if r is None else tuple(np.frombuffer(xxhash.xxh3_128_digest(r), np.int64).tolist()) for r in raw]
-            yield pa.record_batch([b.column(0), *(pa.array([d[k] for d in digest], pa.int64()) for k in (0, 1)), pa.array(raw, pa.binary())], names=["vec_id", "h1", "h2", "raw"])
+            digest = [(None, None) if x is None else tuple(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist()) for x in rows]
+            yield pa.record_batch([b.column(0), *(pa.array([d[k] for d in digest], pa.int64()) for k in (0, 1)), pa.array([None if x is None else len(x) for x in rows], pa.int64()), pa.array([None if x is None else _packed(x) for x in rows], pa.binary())], names=["vec_id", "h1", "h2", "length", "raw"])
 
-    rows = store.save(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(classes, "vec_id long, h1 long, h2 long, raw binary"), "vectors")
-    kinds = rows.filter("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    rows = store.save(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(classes, "vec_id long, h1 long, h2 long, length long, raw binary"), "vectors")
+    kinds = rows.filter("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("length").alias("length"), F.first("raw").alias("raw"))
     kinds = store.save(kinds, "kinds", compact=True)
     directions = max(16, int(np.ceil((kinds.count() * CAPS / BUCKET) ** 0.5)))
     held: dict[int, Codes] = {}
 
     def decode(it):
         for b in it:
-            rep, copies, raw = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for length in {len(r) for r in raw}:
-                own = [i for i, r in enumerate(raw) if len(r) == length]
-                codes = held.setdefault(length, Codes(length // 8, directions))
+            rep, copies, lengths, raw = (b.column(k).to_pylist() for k in range(4))
+            for length in set(lengths):
+                own = [i for i, n in enumerate(lengths) if n == length]
+                codes = held.setdefault(length, Codes(length, directions))
                 for at in range(0, len(own), 256):
                     part = own[at : at + 256]
-                    x = np.stack([np.frombuffer(raw[i]) for i in part])
+                    x = np.stack([_vector(raw[i], length) for i in part])
                     top = np.abs(x).max(1, keepdims=True)
                     found = codes.decode(x / top / np.sqrt(((x / top) ** 2).sum(1, keepdims=True)))
                     yield pa.record_batch([pa.array([rep[i] for i in part], pa.int64()), pa.array([copies[i] for i in part], pa.int64()), pa.array([length] * len(part), pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array([raw[i] for i in part], pa.binary())], names=["rep", "copies", "length", "filters", "raw"])
 
-    listed = store.save(kinds.select("rep", "copies", "raw").mapInArrow(decode, "rep long, copies long, length long, filters array<long>, raw binary"), "filters")
+    listed = store.save(kinds.select("rep", "copies", "length", "raw").mapInArrow(decode, "rep long, copies long, length long, filters array<long>, raw binary"), "filters")
     one = listed.select("length", F.explode("filters").alias("f"), "rep", "copies", "filters", "raw")
     size = listed.select("length", F.explode("filters").alias("f")).groupBy("length", "f").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
     dealt = one.join(size, ["length", "f"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")))
@@ -144,7 +153,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         out = ([], [], [])
         for key, (own, rep, copies, filters, raw) in runs(it, 4):
             if len(rep) > 1:
-                x = np.stack([np.frombuffer(r) for r in raw])
+                x = np.stack([_vector(r, key[0]) for r in raw])
                 for o, v in zip(out, _compare(key[1], np.array(rep), np.array(copies, np.int64), x, filters, np.array(own) == key[3], key[2] == key[3], cosine), strict=True):
                     o.extend(v)
             if len(out[0]) >= 10_000:
