@@ -83,6 +83,8 @@ def _agreeing(readings: DataFrame, tolerance_s: int) -> DataFrame:
     strong = readings.filter(F.col("confidence") >= SWEEP[0]).select(*cols)
     a = strong.select(*(F.col(c).alias(f"a_{c}") for c in cols), F.floor(F.col("offset_s") / tolerance_s).alias("bin"))
     b = strong.select(*(F.col(c).alias(f"b_{c}") for c in cols), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("offset_s") / tolerance_s) + d)).alias("bin"))
+    n = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in full: a row becomes many
+    a, b = a.repartition(n, "a_date", "bin"), b.repartition(n, "b_date", "bin")
     near = a.join(b, (a.a_date == b.b_date) & (a.bin == b.bin) & (a.a_site_id != b.b_site_id) & (a.a_sequence != b.b_sequence) & (F.abs(a.a_offset_s - b.b_offset_s) <= tolerance_s))
     ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
     return near.filter(fixes.pair(ray("a"), ray("b"))["refusal"].isNull()).groupBy(F.col("a_event_id").alias("event_id")).agg(F.max("b_confidence").alias("level"))

@@ -31,6 +31,8 @@ def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIM
     tlat, tlon = geo.project(F.col("lat"), F.col("lon"), F.col("bearing"), F.lit(ASSUMED_RANGE_M))
     o = suspects.select("event_id", F.col("camera_id").alias("origin"), F.col("site_id").alias("o_site"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "bearing", tlat.alias("t_lat"), tlon.alias("t_lon"))
     o = o.withColumns({"ci": F.floor(F.col("t_lat") / CELL_DEG), "cj": F.pmod(F.floor(F.col("t_lon") / CELL_DEG), F.lit(int(360 / CELL_DEG)))})
+    # A row here becomes many: dealt out in full, by the key of the ranking below, so that pairs aren't shuffled for it.
+    o = o.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_id")
     c = in_cells(cameras.filter("active").select("camera_id", "site_id", "lat", "lon", "azimuth", "hfov", "range_m"))
     pairs = o.join(c, ["ci", "cj"]).filter("site_id != o_site and camera_id != origin")
     pairs = pairs.withColumn("baseline_m", geo.haversine(*map(F.col, ("o_lat", "o_lon", "lat", "lon")))).filter(F.col("baseline_m") >= MIN_BASELINE_M)
