@@ -88,6 +88,36 @@ def test_link_graph(spark):
     assert urls.judge(pages.filter("false")).count() == 0
 
 
+def test_distrust_of_many_hosts_that_link_to_one(spark):
+    """Backwards, a blocked host's weights sum to 1 however many hosts link to it; scores are those of a plain iteration."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    farms = [f"farm{i}.net" for i in range(10)]
+    rows = [(0, "http://bad.com/de/", link(farms[0])), (1, "http://good.org/", link("fine.net", "fine.net", farms[1]))]
+    rows += [(2 + i, f"http://{f}/", link("bad.com", *farms[:i:4], *["fine.net"] * (i % 3))) for i, f in enumerate(farms)] + [(20, "http://fine.net/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = urls.shares(urls.counts(pages), backwards=True)
+    hosts = sorted({*farms, "bad.com", "good.org", "fine.net"})
+    p = np.zeros((len(hosts), len(hosts)))
+    for _, url, html in rows:
+        for h in (html or "").split("https://")[1:]:
+            p[hosts.index(h.split("/")[0]), hosts.index(url.split("/")[2])] += url.split("/")[2] != h.split("/")[0]
+
+    def plain(p, seed):
+        p = np.where(p.sum(1, keepdims=True) > 0, p / np.maximum(p.sum(1, keepdims=True), 1), seed)
+        out = seed
+        for _ in range(300):
+            out = 0.85 * out @ p + 0.15 * seed
+        return out
+
+    bad, good = (np.array([float(h == x) for h in hosts]) for x in ("bad.com", "good.org"))
+    want, trust = plain(p, bad), plain(p.T, good)
+    got = {r.host: r.score for r in urls.rank(edges, spark.createDataFrame([("bad.com", 1.0)], "host string, score double")).collect()}
+    assert [got.get(h, 0.0) for h in hosts] == pytest.approx(want.tolist(), abs=1e-5)
+    said = {r.host: r.verdict for r in urls.judge(pages).collect()}
+    assert said == {h: "block" if h == "bad.com" or h != "good.org" and d > 2 * t else "allow" for h, d, t in zip(hosts, want, trust, strict=True)}
+    assert sum(said[f] == "block" for f in farms) >= 8
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, duck, name):
     assert matches(spark, duck, queries.queries()[name], queries.oracle_sql()[name])

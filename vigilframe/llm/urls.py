@@ -1,7 +1,8 @@
 """URL filters: rules, and link-graph propagation of trust for urls without one (operator 5).
 
 Trust is personalised PageRank over host links from hosts whose pages the rules allow; distrust is the same over reversed
-links from hosts whose pages the rules block. A host whose distrust exceeds its trust by a factor is blocked.
+links from hosts whose pages the rules block, each with its share of the links to the host it is left from. A host whose
+distrust exceeds its trust by a factor is blocked.
 """
 
 from __future__ import annotations
@@ -38,12 +39,23 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts, with their share of src's. Null html has none."""
+def counts(pages: DataFrame) -> DataFrame:
+    """(src, dst, n): how many links lead from host to host; none to the same host. Null html has none."""
     found = F.transform(F.regexp_extract_all("html", F.lit(_link), 1), lambda x: F.translate(x, _upper, _lower))
     one = pages.select(host(F.col("url")).alias("src"), F.explode(found).alias("dst")).filter("src != '' and dst != '' and src != dst")
-    counts = one.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return counts.join(counts.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
+    return one.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def shares(counts: DataFrame, backwards: bool = False) -> DataFrame:
+    """(src, dst, weight) of a walk along counts (or backwards): weights are shares of all links that leave src on the walk,
+    and so sum to 1 there in either direction."""
+    n = counts.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n") if backwards else counts
+    return n.join(n.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(src, dst, weight): links between different hosts, with their share of src's."""
+    return shares(counts(pages))
 
 
 def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -51,7 +63,7 @@ def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
 
     Mass of hosts without outgoing edges returns to the seeds. Without edges the seeds keep their scores.
     """
-    now = store.save(seeds, "rank", compact=True)
+    now, edges = store.save(seeds, "rank", compact=True), store.save(edges, "edges", compact=True)
     if edges.isEmpty():
         return now
     for _ in range(rounds):
@@ -64,6 +76,7 @@ def rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
         store.drop(last)
         if change < tolerance:
             break
+    store.drop(edges)
     return now
 
 
@@ -77,13 +90,13 @@ def judge(pages: DataFrame, rules=RULES, factor: float = FACTOR) -> DataFrame:
     h, p = host(F.col("url")), path(F.col("url"))
     ruled = pages.select("page_id", h.alias("host"), p.alias("path")).withColumn("r", rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("said"))
     by_host = store.save(ruled.filter("said is not null").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allow"), F.count_if(F.col("said") == "block").alias("block")), "seeds", compact=True)
-    edges = store.save(links(pages), "links", compact=True)
+    linked = store.save(counts(pages), "links", compact=True)
     total = by_host.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
 
     def seeds(kind: str) -> DataFrame:
         return by_host.filter(F.col(kind) > 0).select("host", (F.col(kind) / F.lit(float(total[kind] or 1))).alias("score"))
 
-    trust = rank(edges, seeds("allow"))
-    distrust = rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), seeds("block"))
+    trust = rank(shares(linked), seeds("allow"))
+    distrust = rank(shares(linked, backwards=True), seeds("block"))
     bad = distrust.withColumnRenamed("score", "bad").join(trust, "host", "left").filter(F.col("bad") > factor * F.coalesce("score", F.lit(0.0))).select("host", F.lit("block").alias("graph"))
     return ruled.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", "graph", F.lit("allow")).alias("verdict"))
