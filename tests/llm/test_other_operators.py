@@ -118,6 +118,17 @@ def test_distrust_of_many_hosts_that_link_to_one(spark):
     assert sum(said[f] == "block" for f in farms) >= 8
 
 
+def test_rounds_reach_every_host_or_fail(spark):
+    chain = spark.createDataFrame([(f"h{i:02}", f"h{i + 1:02}", 1.0) for i in range(33)], "src string, dst string, weight double")
+    seed = spark.createDataFrame([("h00", 1.0)], "host string, score double")
+    got = {r.host: r.score for r in urls.rank(chain, seed).collect()}
+    assert [got[f"h{i:02}"] / got["h00"] for i in range(34)] == pytest.approx([0.85**i for i in range(34)], rel=1e-5)
+    with pytest.raises(RuntimeError):
+        urls.rank(chain, seed, rounds=3)
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"), rounds=1)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, duck, name):
     assert matches(spark, duck, queries.queries()[name], queries.oracle_sql()[name])

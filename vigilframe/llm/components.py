@@ -12,7 +12,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component) for every id in links (a, b); component is the smallest id that links reach.
 
     Each round is two joins over tables in the shared folder; their number grows with the logarithm of the components'
-    diameters. Joins are equi-joins on one end, which the engine splits where one id has very many links.
+    diameters; RuntimeError where `rounds` don't suffice. Joins are equi-joins on one end, which the engine splits where one id has very many links.
     """
     both = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, state = store.save(both, "stars", compact=True), None
@@ -30,4 +30,6 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if got == state:
             break
         state = got
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
