@@ -182,6 +182,23 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    """Each language is learned, with the same tree whatever others there are, and from longer documents where it must be."""
+    said = {"en": "the cat sat on the mat and the dog ran ", "zz": "le chat et la souris dans la maison "}
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 400))), f"l{i:03}") for i in range(300)]
+    rows += [(1000 + i, said["en"] * 20, "en") for i in range(3)] + [(2000, said["zz"] * 400, "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({r[2] for r in rows})
+    alone = langid.train({"en": [(said["en"] * 20).encode()] * 3, "zz": [(said["zz"] * 400)[: langid.SAMPLE_CHARS].encode()]})
+    for tree, lang in zip(alone.trees, alone.langs, strict=True):
+        mine = model.trees[model.langs.index(lang)]
+        for a, b in zip([*tree.contexts, *tree.escapes, *tree.grams, *tree.seen], [*mine.contexts, *mine.escapes, *mine.grams, *mine.seen], strict=True):
+            assert a.tolist() == b.tolist()
+    new = spark.createDataFrame([(1, said["zz"]), (2, said["en"]), (3, rows[7][1])], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(new, model).orderBy("doc_id").collect()] == ["zz", "en", "l007"]
+
+
 def test_quality(spark, docs):
     rows = [(i, prose(i, 60) if i % 2 else "### $$$ %%% " * 20, "en", "s", 1) for i in range(200)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)] + [(3, None), (None, 1), (9999, 1)], "doc_id long, quality int")

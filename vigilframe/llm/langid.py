@@ -3,99 +3,128 @@
 For each language, a tree of byte contexts of up to ORDER bytes is counted on a bounded sample. A byte's probability is
 that of the longest context in the tree: c / (n + d) if it was seen there (n bytes, d different ones), else the escape
 probability d / (n + d) times the shorter context's, renormalised over the bytes not seen. These statistics are frozen,
-so every (context, byte) has a fixed code length per language; they are tabulated once in 1/2048 bits, and a text's code
-length is an exact integer sum of table lookups. The language with the shortest code wins.
+so every (context, byte) has a fixed code length per language, and a text's code length is an exact integer sum of them in
+1/2048 bits. A tree holds the code lengths of bytes seen in a context and what an escape from it adds; others follow from
+the shorter context. Each language has a tree of its own, as large whatever other languages there are, that one task
+learns. The language with the shortest code wins.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import store, textkit
 
 ORDER = 3
 UNIT = 2048  # of code length, a bit
 PAD = 0x20
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 12_000
-TABLE_BYTES = 48 << 20
+CONTEXTS = 60_000  # of two and three bytes, a language
+
+
+@dataclass
+class Tree:
+    """Of one language. Level k has contexts of k bytes (sorted, as integers) with what an escape adds, and grams of k + 1
+    bytes (sorted, the context and the byte seen there) with their code lengths."""
+
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+    grams: list[np.ndarray]
+    seen: list[np.ndarray]
+
+    def lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Of four-byte grams, the code length of the last byte after the other three."""
+        return np.clip(self._lengths(grams, ORDER).astype(np.int64), 0, 65535)
+
+    def _lengths(self, grams: np.ndarray, order: int) -> np.ndarray:
+        """The same after the last `order` bytes before it, without bounds."""
+        out = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for k in range(order, -1, -1):
+            gram = grams[left] & ((1 << 8 * (k + 1)) - 1)
+            at, ok = _find(self.grams[k], gram)
+            out[left[ok]] += self.seen[k][at[ok]]
+            left, gram = left[~ok], gram[~ok]
+            at, ok = _find(self.contexts[k], gram >> 8)
+            out[left[ok]] += self.escapes[k][at[ok]]
+        out[left] += 8 * UNIT
+        return out
 
 
 @dataclass
 class Model:
     langs: list[str]
-    node: np.ndarray  # of the longest context in the tree, by the last three bytes
-    bits: list[np.ndarray]  # by language: code length by node * 256 + byte
+    trees: list[Tree]
+
+    @property
+    def bits(self) -> Iterator[np.ndarray]:
+        """By language, code lengths of all bytes in each of its tree's contexts of three bytes."""
+        for t in self.trees:
+            yield t.lengths((t.contexts[ORDER].astype(np.int64)[:, None] << 8 | np.arange(256)).reshape(-1))
 
 
-def _before(buf: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """The bytes one, two and three places before each; PAD before a text."""
-    out, last = [], buf
-    for _ in range(ORDER):
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted.astype(keys.dtype)), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _grams(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each byte with the three before it, of which those before a text are PAD."""
+    out, last = buf.astype(np.uint32), buf
+    for k in range(ORDER):
         now = np.empty_like(buf)
         now[1:] = last[:-1]
         now[starts] = PAD
-        out.append(now)
+        out |= now.astype(np.uint32) << np.uint32(8 * (k + 1))
         last = now
     return out
 
 
-def _blend(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities by node and byte from counts and the shorter contexts' probabilities."""
-    n, seen = counts.sum(1, keepdims=True), counts > 0
-    d = seen.sum(1, keepdims=True)
-    rest = np.where(seen, 0, lower)
-    mass = rest.sum(1, keepdims=True)
-    escape = np.where(d < 256, d / np.maximum(n + d, 1), 0)
-    own = np.where(seen, counts / np.maximum(n, 1) * (1 - escape), escape * rest / np.maximum(mass, 1e-300))
-    return np.where(n > 0, own, lower)
-
-
-def train(samples: dict[str, list[bytes]], table_bytes: int = TABLE_BYTES) -> Model:
-    """From texts by language; the tree holds the most frequent contexts that fit table_bytes."""
+def grow(texts: list[bytes], most: int = CONTEXTS) -> Tree:
+    """The tree of one language; of contexts of two and three bytes, it holds the most frequent, `most` in all."""
+    texts = [t for t in texts if t]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.cumsum([0, *map(len, texts)])[:-1].astype(np.int64)
+    every = _grams(buf, starts).astype(np.int64) if len(buf) else np.zeros(0, np.int64)
+    tree, room = Tree([], [], [], []), most
+    for k in range(ORDER + 1):
+        of, n_of = np.unique(every >> 8 & ((1 << 8 * k) - 1), return_counts=True)
+        if k >= 2:
+            if k == 3:
+                of, n_of = of[n_of > 1], n_of[n_of > 1]
+            of = np.sort(of[np.argsort(-n_of, kind="stable")][: room // 2 if k == 2 else room])
+            room -= len(of)
+        grams, c = np.unique(every & ((1 << 8 * (k + 1)) - 1), return_counts=True)
+        at, ok = _find(of, grams >> 8)
+        grams, c, at = grams[ok], c[ok], at[ok]
+        n, d = np.bincount(at, c, len(of)), np.bincount(at, minlength=len(of))
+        escape = np.where(d < 256, d / np.maximum(n + d, 1), 0)
+        # The shorter context's mass of bytes not seen here; at the root, bytes are equally likely.
+        lower = np.exp2(tree._lengths(grams, k - 1) / -UNIT) if k else np.full(len(grams), 1 / 256)
+        mass = 1 - np.bincount(at, lower, len(of))
+        tree.contexts.append(of.astype(np.uint32))
+        tree.escapes.append(-np.log2(np.maximum(escape, 1e-300) / np.maximum(mass, 1e-12)) * UNIT)
+        tree.grams.append(grams.astype(np.uint32))
+        tree.seen.append(-np.log2(c / n[at] * (1 - escape[at])) * UNIT)
+    tree.escapes, tree.seen = ([np.rint(x).astype(np.int32) for x in level] for level in (tree.escapes, tree.seen))
+    return tree
+
+
+def train(samples: dict[str, list[bytes]]) -> Model:
+    """From texts by language."""
     langs = sorted(samples)
-    most = min(60_000, max(512, table_bytes // (512 * max(1, len(langs)))))
-    grams = {}
-    for lang in langs:
-        texts = [t for t in samples[lang] if t]
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1].astype(np.int64)
-        b1, b2, b3 = (x.astype(np.int64) for x in _before(buf, starts)) if len(buf) else (np.zeros(0, np.int64),) * 3
-        grams[lang] = (((b3 << 8 | b2) << 8) | b1) << 8 | buf.astype(np.int64)
-    every = np.concatenate([*grams.values(), np.zeros(0, np.int64)])
-    # Nodes: 0 is the root, 1..256 the last byte, then the contexts of two and three bytes by frequency.
-    size2, n2 = np.unique(every >> 8 & 0xFFFF, return_counts=True)
-    two = np.sort(size2[np.argsort(-n2, kind="stable")][: max(0, (most - 257) // 2)])
-    size3, n3 = np.unique(every >> 8, return_counts=True)
-    often = n3 > 1
-    size3, n3 = size3[often], n3[often]
-    three = np.sort(size3[np.argsort(-n3, kind="stable")][: max(0, most - 257 - len(two))])
-    by_two = np.arange(1 << 16, dtype=np.int64) % 256 + 1
-    by_two[two] = 257 + np.arange(len(two))
-    node = np.tile(by_two.astype(np.uint16), 256)
-    node[three] = 257 + len(two) + np.arange(len(three))
-    lower = np.concatenate([[0], np.zeros(256, np.int64), two % 256 + 1, by_two[three & 0xFFFF]]).astype(np.int64)
-    bits = []
-    for lang in langs:
-        g = grams[lang]
-        p = np.empty((257 + len(two) + len(three), 256))
-        byte = g & 0xFF
-        p[0] = _blend(np.bincount(byte, minlength=256)[None].astype(float), np.full((1, 256), 1 / 256))[0]
-        p[1:257] = _blend(np.bincount(g & 0xFFFF, minlength=1 << 16).reshape(256, 256).astype(float), p[[0] * 256])
-        for begin, contexts, width in ((257, two, 0xFFFF), (257 + len(two), three, 0xFFFFFF)):
-            if len(contexts):
-                of = g >> 8 & width
-                at = np.minimum(np.searchsorted(contexts, of), len(contexts) - 1)
-                ok = contexts[at] == of
-                counts = np.bincount(at[ok] * 256 + byte[ok], minlength=len(contexts) * 256).reshape(-1, 256).astype(float)
-                own = slice(begin, begin + len(contexts))
-                p[own] = _blend(counts, p[lower[own]])
-        bits.append(np.minimum(np.rint(-np.log2(np.maximum(p, 1e-300)) * UNIT), 65535).astype(np.uint16).reshape(-1))
-    return Model(langs, node, bits)
+    return Model(langs, [grow(samples[k]) for k in langs])
 
 
 def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -104,26 +133,30 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(np.diff(offs) > 0)
     if len(full):
         starts = offs[:-1][full]
-        b1, b2, b3 = (x.astype(np.int32) for x in _before(buf, starts))
-        at = model.node[(b3 << 16) | (b2 << 8) | b1].astype(np.int32) * 256 + buf
-        for k, bits in enumerate(model.bits):
-            out[full, k] = np.add.reduceat(bits[at], starts, dtype=np.int64)
+        at, grams = pd.factorize(_grams(buf, starts))
+        for k, tree in enumerate(model.trees):
+            out[full, k] = np.add.reduceat(tree.lengths(grams.astype(np.int64)).astype(np.uint16)[at], starts, dtype=np.int64)
     return out
 
 
-def fit(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, most_langs: int = 256) -> Model:
-    """A model from labelled documents (doc_id, text, lang): of each of the most_langs languages with most documents, the
-    docs_per_lang documents of at most `chars` characters that come first by a hash of doc_id; whole texts (of rows that share a doc_id, the text that sorts first)."""
+def fit(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from labelled documents (doc_id, text, lang): of every language, the docs_per_lang documents that come first
+    by a hash of doc_id, those of at most `chars` characters before longer ones, of which the first `chars` are taken (of
+    rows that share a doc_id, the text that sorts first)."""
     rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), "text").filter("lang is not null and text is not null")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    short = rows.filter((F.length("text") <= chars) & F.col("lang").isin(langs)).drop("text")
-    first = short.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= docs_per_lang)
-    ids = first.select("doc_id", "lang").distinct()
-    picked = rows.filter(F.length("text") <= chars).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-    samples: dict[str, list[tuple[int, bytes]]] = {}
-    for r in picked.collect():  # docs_per_lang * most_langs texts of `chars` characters at most
-        samples.setdefault(r.lang, []).append((r.doc_id, r.text.encode()))
-    return train({k: [t for _, t in sorted(v, key=lambda x: (x[0], x[1]))[:docs_per_lang]] for k, v in samples.items()})
+    rows = rows.withColumn("long", F.length("text") > chars)
+    first = rows.drop("text").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))).filter(F.col("k") <= docs_per_lang)
+    ids = first.select("doc_id", "lang", "long").distinct()
+    picked = rows.join(F.broadcast(ids), ["doc_id", "lang", "long"], "left_semi").groupBy("lang", "doc_id", "long").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken = pdf.sort_values(["long", "doc_id"]).head(docs_per_lang)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "tree": [pickle.dumps(grow([t.encode() for t in taken["text"]]))]})
+
+    trees = store.save(picked.groupBy("lang").applyInPandas(learn, "lang string, tree binary"), "trees", compact=True)
+    got = sorted(((r.lang, pickle.loads(r.tree)) for r in trees.toLocalIterator()), key=lambda x: x[0])  # one tree a language
+    store.drop(trees)
+    return Model([k for k, _ in got], [t for _, t in got])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
