@@ -139,6 +139,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == batch
 
 
+def test_growth_of_long_tracks(spark, tmp_path):
+    """All frames of a track count, late ones at their time and repeated ones once, however many there are."""
+    rows = [(1, f, f * 0.5, 5.0 + f + 3 * (f % 7)) for f in range(600)]
+    late = rows[300:] + rows[::3] + rows[:1]
+    schema = "track_id long, frame_index long, minute double, area double"
+    for part in (late, rows[:400][::-1]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = tracking.growth(stream).writeStream.format("memory").queryName("long_growth").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    r = spark.table("long_growth").orderBy(F.desc("frames")).first()
+    assert (r.frames, r.area_ratio) == (600, rows[-1][3] / rows[0][3])
+    assert r.area_slope == pytest.approx(np.polyfit([x[2] for x in rows], [x[3] for x in rows], 1)[0], rel=1e-9)
+
+
 def test_readers_and_sinks(spark, tmp_path):
     sites = {"hill": {"name": "Hill", "lat": "33.1", "long": "-116.5", "cams": {"hill-n": {"imager": "Color", "azimuth": "0", "active": "y"}, "hill-p": {"imager": "ptz", "active": "n"}}}}
     (tmp_path / "s.js").write_text(f"var sites = {json.dumps(sites)};\n")

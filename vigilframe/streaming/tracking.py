@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 
@@ -12,8 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import tracker
 
-KEPT = 240  # observations of a track that its state holds
-
 
 def track(regions: DataFrame) -> DataFrame:
     """tracker.track() of a stream: the same step, with a camera's open tracks as state. Frames that come after a newer
@@ -33,23 +32,41 @@ def track(regions: DataFrame) -> DataFrame:
     return regions.select(*cols).groupBy("camera_id").applyInPandasWithState(run, tracker.OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _new(runs: list[list[int]], frame: int) -> bool:
+    """Whether frame is in none of the runs [first, last] of frame numbers; it then is."""
+    k = bisect.bisect_right(runs, frame, key=lambda r: r[0])
+    if k and frame <= runs[k - 1][1]:
+        return False
+    after = k < len(runs) and runs[k][0] == frame + 1
+    if k and runs[k - 1][1] == frame - 1:
+        runs[k - 1][1] = runs.pop(k)[1] if after else frame
+    elif after:
+        runs[k][0] = frame
+    else:
+        runs.insert(k, [frame, frame])
+    return True
+
+
 def growth(observations: DataFrame) -> DataFrame:
-    """(track_id, frames, area_slope, area_ratio) of tracks after each trigger. A late observation takes its place by time;
-    a frame seen before is ignored. The latest KEPT observations of a track are kept."""
+    """(track_id, frames, area_slope, area_ratio) of tracks after each trigger, over all their observations. A late one
+    counts at its time; a frame seen before is ignored, however long ago. A track's state holds running means and sums of
+    products, its first and last area, and its frame numbers as runs: a few numbers where frames leave no gaps."""
     out = "track_id long, frames long, area_slope double, area_ratio double"
 
     def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        held = {f: (m, a) for f, m, a in (json.loads(group.get[0]) if group.exists else [])}
+        n, mx, my, var, cov, first, last, runs = json.loads(group.get[0]) if group.exists else (0, 0.0, 0.0, 0.0, 0.0, None, None, [])
         for pdf in batches:
-            for f, m, a in zip(pdf["frame_index"], pdf["minute"], pdf["area"], strict=True):
-                held.setdefault(int(f), (float(m), float(a)))
-        rows = sorted(((m, f, a) for f, (m, a) in held.items()))[-KEPT:]
-        group.update((json.dumps([(f, m, a) for m, f, a in rows]),))
-        x, y = [r[0] for r in rows], [r[2] for r in rows]
-        mx, my = sum(x) / len(x), sum(y) / len(y)
-        var = sum((v - mx) ** 2 for v in x)
-        slope = sum((v - mx) * (w - my) for v, w in zip(x, y, strict=True)) / var if var >= 1e-9 else 0.0
-        yield pd.DataFrame({"track_id": [int(key[0])], "frames": [len(rows)], "area_slope": [slope], "area_ratio": [y[-1] / max(y[0], 1.0)]})
+            for f, x, y in zip(pdf["frame_index"].tolist(), pdf["minute"].tolist(), pdf["area"].tolist(), strict=True):
+                if not _new(runs, int(f)):
+                    continue
+                n, x, y = n + 1, float(x), float(y)
+                dx = x - mx
+                mx, my = mx + dx / n, my + (y - my) / n
+                var, cov = var + dx * (x - mx), cov + dx * (y - my)
+                own = [x, int(f), y]
+                first, last = min(first or own, own), max(last or own, own)
+        group.update((json.dumps([n, mx, my, var, cov, first, last, runs]),))
+        yield pd.DataFrame({"track_id": [int(key[0])], "frames": [n], "area_slope": [cov / var if var >= 1e-9 else 0.0], "area_ratio": [last[2] / max(first[2], 1.0)]})
 
     return observations.select("track_id", "frame_index", "minute", "area").groupBy("track_id").applyInPandasWithState(run, out, "state string", "update", GroupStateTimeout.NoTimeout)
 
