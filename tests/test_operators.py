@@ -238,6 +238,38 @@ def test_replay_source(spark):
     assert batch.count() == 10 and batch.filter("length(data) = height * width").count() == 10
 
 
+def test_masks_are_cleaned():
+    """As the reference's elliptic elements do: gaps are closed, specks opened away, image edges neither grow nor eat."""
+    mask = np.zeros((30, 40), bool)
+    mask[5:12, 5:12] = mask[5:12, 15:22] = mask[25, 30] = True
+    mask[20:, :8] = True
+    clean = pixels.open_(pixels.close(mask, pixels.ELLIPSE5, 2), pixels.ELLIPSE5)
+    assert pixels.label(mask).max() == 4 and pixels.label(clean).max() == 2
+    assert clean[8, 13] and not clean[25, 30] and clean[29, 0] and clean[25, :8].all()
+
+
+def test_mixture_of_backgrounds():
+    """Two values that alternate are both background; a brighter one is foreground, a darker one a shadow."""
+    m = pixels.Mixture((4, 4))
+    for i in range(24):
+        seen = m.foreground(np.full((4, 4), 100.0 + 60 * (i % 2)))
+    assert not seen.any()
+    odd = np.full((4, 4), 100.0)
+    odd[0, 0], odd[1, 1], odd[2, 2] = 220, 80, 20
+    assert np.argwhere(m.foreground(odd)).tolist() == [[0, 0], [2, 2]]
+
+
+def test_regions_of_a_shaken_camera(spark):
+    """Frames moved by a few pixels have no regions but at the edges that the camera has left."""
+    from vigilframe.operators import detection
+
+    big = synthetic.render(3, 0, None, 99, 140, 220)
+    moves = [(0, 0)] * 6 + [(3, -4), (0, 0), (-2, 5), (0, 0)]
+    rows = [("c", i, float(i), 96, 160, big[20 + y : 116 + y, 30 + x : 190 + x].tobytes()) for i, (y, x) in enumerate(moves)]
+    got = detection.regions(spark.createDataFrame(rows, synthetic.FRAME), least=20).collect()
+    assert {r.frame_index for r in got} <= {6, 8} and all(r.x + r.w <= 12 or r.x >= 148 for r in got)
+
+
 def test_no_confirmer_no_opinion(spark):
     from vigilframe.functions import confirm
 

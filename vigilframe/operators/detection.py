@@ -52,25 +52,33 @@ def _ordered(frames: DataFrame) -> DataFrame:
 
 def regions(frames: DataFrame, least: int = 40) -> DataFrame:
     """Regions of frames (camera_id, frame_index, minute, height, width, data: grey bytes). A camera's frames stream in
-    order through one background; pixels that changed aren't learnt."""
+    order through one background; pixels that changed aren't learnt. Each is first moved onto the camera's last frame; the
+    mask joins what a mixture of Gaussians takes for foreground to what differs from the background, and is closed and
+    opened before it is labelled."""
 
     def run(it):
-        camera, model = None, None
+        camera, model, mixture, last = None, None, None, None
         for pdf in it:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.camera_id != camera:
-                    camera, model = r.camera_id, Background()
+                    camera, model, mixture, last = r.camera_id, Background(), pixels.Mixture((r.height, r.width)), None
                 grey = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width).astype(float)
+                if last is not None:
+                    dx, dy, _, moved = pixels.align(grey, last)
+                    grey = pixels.shift(grey, dx, dy) if moved else grey
+                last = grey
+                foreground = pixels.close(pixels.open_(mixture.foreground(grey), pixels.ELLIPSE3), pixels.ELLIPSE3, 2)
                 bucket = int(r.minute / 120) % 12
                 change = model.difference(grey, bucket)
                 mask = None
                 if change is not None:
-                    mask = pixels.hysteresis(np.abs(change))
+                    mask = foreground | pixels.hysteresis(np.abs(change))
                     sky = pixels.horizon(grey)["boundary"]
                     keep = np.arange(r.height)[:, None] <= sky + 0.3 * r.height
                     keep[: int(0.02 * r.height)] = False
                     mask &= keep
+                    mask = pixels.open_(pixels.close(mask, pixels.ELLIPSE5, 2), pixels.ELLIPSE5)
                     for k, m in enumerate(pixels.regions(mask, grey, sky, least)):
                         out.append({"camera_id": camera, "frame_index": r.frame_index, "minute": r.minute, "region": k} | m)
                 model.learn(grey, bucket, None if mask is None else ~mask)
