@@ -3,7 +3,8 @@
 The pattern (a contraction; an optional space and letters, numbers or other characters; white space) is applied to many
 texts at once by character classes: pieces begin where the class changes, a space before a run belongs to it, and a
 contraction ends two or three characters after its apostrophe. A piece's ids come from the tokenizers library; they don't
-depend on its neighbours, so each is asked for once and kept by a 64-bit hash.
+depend on its neighbours, so each is asked for once and kept by a 64-bit hash, with its characters: a piece that only
+shares another one's hash is encoded by itself.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import functools
 import numpy as np
 import regex
 
-from .textkit import U64, Rolling, mix
+from .textkit import U64, word_hashes
 
 LETTER, NUMBER, SPACE = 1, 2, 3
 SLICE_CHARS = 1 << 19
@@ -21,7 +22,6 @@ SLOTS, MOST_ENTRIES = 1 << 21, 1_000_000
 #: Fixed value: the characters with the property White_Space.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-_chars = Rolling(0x9E3779B97F4A7C15)
 
 
 @functools.cache
@@ -80,8 +80,9 @@ class Pieces:
 
     def clear(self) -> None:
         self.keys, self.entry = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.int32)
-        self.n, self.used = 0, 0
-        self.offset, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.n = 0
+        self.offset, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)  # of ids
+        self.begin, self.chars = np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32)  # of characters
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entries, -1 where a key isn't there."""
@@ -95,16 +96,13 @@ class Pieces:
             left, slot = left[go], (slot[go] + 1) & (SLOTS - 1)
         return out
 
-    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(i) for i in ids])
-        first, ends = self.n, self.used + sizes.cumsum()
-        while self.n + len(keys) + 1 > len(self.offset):
-            self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-        while ends[-1] > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : ends[-1]] = np.concatenate(ids)
-        self.offset[first + 1 : first + 1 + len(keys)] = ends
-        self.n, self.used = first + len(keys), int(ends[-1])
+    def add(self, keys: np.ndarray, ids: list[np.ndarray], chars: list[np.ndarray]) -> None:
+        first = self.n
+        while first + len(keys) + 1 > len(self.offset):
+            self.offset, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.begin))
+        self.pool = _append(self.pool, self.offset, first, ids)
+        self.chars = _append(self.chars, self.begin, first, chars)
+        self.n = first + len(keys)
         left, slot = np.arange(len(keys)), (keys & U64(SLOTS - 1)).astype(np.int64)
         while len(left):
             free = np.flatnonzero(self.keys[slot] == 0)
@@ -121,8 +119,7 @@ class Pieces:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(chars))
-        keys = mix(_chars.spans(chars.astype(U64) + U64(1), starts, ends) + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019)) | U64(1)
-        _chars.trim()
+        keys = word_hashes(chars.view(np.uint8), 4 * starts, 4 * ends) | U64(1)
         found = self.find(keys)
         gone = np.flatnonzero(found < 0)
         if len(gone):
@@ -132,9 +129,35 @@ class Pieces:
                 gone = np.arange(len(keys))
                 new, at = np.unique(keys, return_index=True)
             at = gone[at]
-            self.add(new, self.encode([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            pieces = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self.add(new, self.encode(pieces), [chars[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             found[gone] = self.find(keys[gone])
         sizes = self.offset[found + 1] - self.offset[found]
         total = np.concatenate([[0], sizes.cumsum()])
         ids = self.pool[np.repeat(self.offset[found] - total[:-1], sizes) + np.arange(total[-1])]
+        other = self._others(chars, starts, ends, found)
+        if len(other):
+            own = self.encode([text[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            parts = np.split(ids, total[1:-1])
+            for i, x in zip(other.tolist(), own, strict=True):
+                parts[i] = x
+            ids, total = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, total[np.searchsorted(starts, bounds)]
+
+    def _others(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Pieces whose characters aren't those of the entry found by their hash."""
+        size = ends - starts
+        same = self.begin[found + 1] - self.begin[found] == size
+        at = np.repeat(np.where(same, self.begin[found], 0) - starts, size) + np.arange(starts[0], ends[-1])
+        equal = self.chars[np.minimum(at, len(self.chars) - 1)] == chars[starts[0] : ends[-1]]
+        return np.flatnonzero(~same | ~np.logical_and.reduceat(equal, starts - starts[0]))
+
+
+def _append(pool: np.ndarray, bounds: np.ndarray, first: int, parts: list[np.ndarray]) -> np.ndarray:
+    """pool (twice as large where it must) with parts from bounds[first] on; their ends go into bounds."""
+    ends = bounds[first] + np.cumsum([len(x) for x in parts])
+    while ends[-1] > len(pool):
+        pool = np.concatenate([pool, np.zeros_like(pool)])
+    pool[bounds[first] : ends[-1]] = np.concatenate(parts)
+    bounds[first + 1 : first + 1 + len(parts)] = ends
+    return pool

@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder the cluster names in spark.checkpoint.dir. Only where all runs on this machine may that be unset; a
+    temporary folder then serves, and goes with the process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or _own_folder()).rstrip("/")
 
 
 @functools.cache
@@ -43,7 +47,20 @@ def save(df: DataFrame, name: str, codec: str = "zstd", compact: bool = False) -
     return out
 
 
-#: Paths that save() wrote in this process, in order.
+def save_sorted(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Writes df, which is partitioned by hash of `by` into as many partitions, in buckets of that column, each one sorted
+    file: such tables are joined on it without a shuffle."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, by).sortBy(by).option("compression", "zstd").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at, out.stored_as = path, table
+    made.append(path)
+    return out
+
+
+#: Paths that save() and save_sorted() wrote in this process, in order.
 made: list[str] = []
 
 
@@ -56,7 +73,9 @@ def clear(spark: SparkSession, since: int, keep: DataFrame) -> None:
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes a table written by save()."""
+    """Deletes a table written by save() or save_sorted()."""
+    if hasattr(df, "stored_as"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
     _delete(df.sparkSession, df.stored_at)
 
 

@@ -2,13 +2,19 @@
 
 A window is WINDOW consecutive words. Its fingerprint is the smallest hash of the GRAM-word runs in it, so that equal
 windows have equal fingerprints, while neighbouring windows mostly share theirs: a text has about one fingerprint in
-twenty words. The index is a list of runs, immutable tables of the fingerprints of one batch each, sorted by fingerprint.
-
-A new batch is merge-joined with every run. Fingerprints that are in a run, or in two documents of the batch, go into a
-bit filter of bounded size; texts are read again, and windows whose fingerprint passes it are verified by 96-bit hashes
-of all their words: a window is a repetition if an earlier batch, or a smaller doc_id of the batch, has the same one.
-False passes of the filter cost rows, not correctness. Then the batch becomes a run, and runs are compacted into one when
-there are more than MOST_RUNS.
+twenty words. The index is a list of runs, immutable tables of fingerprints, bucketed and sorted by fingerprint, and a
+list of every document's own fingerprints.
+
+A new batch is merge-joined with every run, bucket by bucket, without a shuffle. Fingerprints that are in a run, or in two
+documents of the batch, go into a bit filter of bounded size. Documents none of whose fingerprints pass it aren't looked
+at; of earlier batches without such documents not even the files are opened. The others' texts are read again, and windows
+whose fingerprint passes are verified by 128-bit hashes of all their words: a window is a repetition if an earlier batch,
+or a smaller doc_id of the batch, has the same one. False passes of the filter cost rows, not correctness. Where there are
+more than 2**26 repeated fingerprints, a filter of bounded size would let most windows pass: each document is then brought
+its own repeated fingerprints by a join instead (the same rows).
+
+Then the batch becomes a run of level 0. FAN runs of a level are compacted into one of the next, so that a fingerprint is
+rewritten a number of times that grows with the logarithm of the number of batches.
 """
 
 from __future__ import annotations
@@ -19,14 +25,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store, textkit
-from .textkit import GRAMS, GRAMS2, U64
+from .textkit import U64
 
 WINDOW, GRAM = 50, 10
-MOST_RUNS = 4
+FAN, BATCHES = 3, 4
 MOST_FILTER_BITS = 28
 MOST_FILTERED = 1 << 26
 
@@ -45,29 +51,55 @@ def fingerprints(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def _windows(texts: pa.Array, window: int, gram: int):
-    """For each slice: first row, word hashes, each text's first word, fingerprints of windows and the text they are in
-    (-1 where a window would reach into the next text)."""
+    """For each slice: first row, a function of a family that hashes all its windows, each text's first word, fingerprints
+    of windows and the text they are in (-1 where a window would reach into the next text)."""
     for at, _, buf, offs in textkit.slices(texts):
         starts, ends, first = textkit.words(buf, offs)
         hashes = textkit.word_hashes(buf, starts, ends)
         found = fingerprints(hashes, window, gram)
         text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
         own = text[: len(found)]
-        yield at, hashes, first, found, np.where(own == text[window - 1 : window - 1 + len(found)], own, -1)
 
+        def whole(family, buf=buf, starts=starts, ends=ends):
+            return textkit.gram_hashes(textkit.word_hashes(buf, starts, ends, family), window, family)
+
+        yield at, whole, first, found, np.where(own == text[window - 1 : window - 1 + len(found)], own, -1)
 
-def _fingerprinted(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, f): every document's fingerprints."""
+
+def _listed(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(doc_id, t, fs): every document's different fingerprints; documents without any are left out."""
 
     def run(it):
         for b in textkit.batches(it):
-            for at, _, _, found, text in _windows(b.column(1), window, gram):
-                new = np.ones(len(found), bool)
-                new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
-                take = np.flatnonzero(new & (text >= 0))
-                yield pa.record_batch([b.column(0).take(pa.array(at + text[take])), pa.array(found[take].view(np.int64))], names=["doc_id", "f"])
+            for at, _, _, found, text in _windows(b.column(2), window, gram):
+                take = np.flatnonzero(text >= 0)
+                order = take[np.lexsort((found[take], text[take]))]
+                f, text = found[order], text[order]
+                new = np.ones(len(f), bool)
+                new[1:] = (f[1:] != f[:-1]) | (text[1:] != text[:-1])
+                f, text = f[new], text[new]
+                head = np.flatnonzero(np.diff(text, prepend=-1))
+                row = pa.array(at + text[head])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(f)), pa.int32()), pa.array(f.view(np.int64)))
+                yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), lists], names=["doc_id", "t", "fs"])
+
+    return docs.filter("doc_id is not null").select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t int, fs array<long>")
+
+
+def _by_fingerprint(listed: DataFrame) -> DataFrame:
+    """(f, low, high): the least and largest doc_id of each fingerprint in each batch of rows, so that a very frequent one
+    is shuffled as few rows."""
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f long")
+    def run(it):
+        for b in it:
+            f, n = b.column(1).flatten().to_numpy(), b.column(1).value_lengths().to_numpy()
+            order = np.argsort(f, kind="stable")
+            f, doc = f[order], np.repeat(b.column(0).to_numpy(), n)[order]
+            head = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else np.zeros(0, np.int64)
+            low, high = ((np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)) if len(f) else (doc, doc))
+            yield pa.record_batch([pa.array(f[head]), pa.array(low), pa.array(high)], names=["f", "low", "high"])
+
+    return listed.select("doc_id", "fs").mapInArrow(run, "f long, low long, high long")
 
 
 _step = 0x9E3779B97F4A7C15 - (1 << 64)
@@ -100,12 +132,12 @@ def _verified(docs: DataFrame, passes, window: int, gram: int) -> DataFrame:
 
     def run(it):
         for b in textkit.batches(it):
-            for at, hashes, first, found, text in _windows(b.column(3), window, gram):
+            for at, windows, first, found, text in _windows(b.column(3), window, gram):
                 take = np.flatnonzero(text >= 0)
                 take = take[passes(found[take], b, at + text[take])]
                 if not len(take):
                     continue
-                whole = [textkit.mix(g.spans(hashes, take, take + window)) for g in (GRAMS, GRAMS2)]
+                whole = [windows(family)[take] for family in (0, 1)]
                 order = np.lexsort((take, whole[0], text[take]))
                 take, (w1, w2) = take[order], (w[order] for w in whole)
                 new = np.ones(len(take), bool)
@@ -114,9 +146,10 @@ def _verified(docs: DataFrame, passes, window: int, gram: int) -> DataFrame:
                 places = (take - first[text[take]]).astype("<i4")
                 lists = [x.tobytes() for x in np.split(places, head[1:])]
                 row = pa.array(at + text[take[head]])
-                yield pa.record_batch([pa.array(w1[head].view(np.int64)), pa.array(w2[head].view(np.int64) >> 32, pa.int32()), *(b.column(k).take(row) for k in range(3)), pa.array(lists, pa.binary())], names=names)
+                hashes = (pa.array(w[head].view(np.int64)) for w in (w1, w2))
+                yield pa.record_batch([*hashes, *(b.column(k).take(row) for k in range(3)), pa.array(lists, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "w1 long, w2 int, age int, doc_id long, t int, at binary")
+    return docs.mapInArrow(run, "w1 long, w2 long, age int, doc_id long, t int, at binary")
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
@@ -141,13 +174,31 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
+def _may_be_in(held):
+    """A function of a column of 64-bit hashes: whether they pass the bit filter in the broadcast `held`."""
+
+    @F.pandas_udf("boolean")
+    def passes(f: pd.Series) -> pd.Series:
+        return pd.Series(_passes(held.value, f.to_numpy(np.int64).view(U64)))
+
+    return passes
+
+
+def _key() -> Column:
+    """Of a document's row."""
+    return F.xxhash64("doc_id", "t")
+
+
 class FingerprintIndex:
-    """Batches of documents seen so far: runs of fingerprints, and the tables that hold the texts."""
+    """Batches of documents seen so far: runs of fingerprints by level, each batch's documents with their fingerprints,
+    and the tables that hold the texts."""
 
-    def __init__(self, window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, min(gram, window)
-        self.runs: list[DataFrame] = []
+    def __init__(self, window: int = WINDOW, gram: int = GRAM, fan: int = FAN):
+        self.window, self.gram, self.fan = window, min(gram, window), fan
+        self.runs: list[tuple[int, DataFrame]] = []
+        self.listed: list[DataFrame] = []
         self.texts: list[DataFrame] = []
+        self.buckets: int | None = None
 
     def add(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed, kept_text (the words left, joined by one space) and kept_sha256 of each row of
@@ -157,65 +208,102 @@ class FingerprintIndex:
         Null texts have no words. Rows that share a doc_id are one document, so they don't remove each other's words; a
         document with a null doc_id neither loses words nor lets others lose them. Other columns are ignored.
         """
-        spark = docs.sparkSession
-        docs = docs.select(F.lit(len(self.texts)).alias("age"), F.col("doc_id").cast("long"), F.hash("text").alias("t"), F.col("text").cast("string"))
-        own = _fingerprinted(docs, self.window, self.gram).groupBy("f").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        own = self._run(own)
-        repeated = [own.filter("low != high").select("f")] + [own.select("f").hint("merge").join(r.select("f").hint("merge"), "f") for r in self.runs]
-        wanted = reduce(DataFrame.unionByName, repeated).distinct()
+        now = len(self.texts)
+        docs = docs.select(F.lit(now).alias("age"), F.col("doc_id").cast("long"), F.hash("text").alias("t"), F.col("text").cast("string"))
+        listed = store.save(_listed(docs, self.window, self.gram), "listed", codec="none")
+        own = self._run(_by_fingerprint(listed))
+        repeated = [own.filter("low != high").select("f")]
+        repeated += [own.select("f").hint("merge").join(r.select("f").hint("merge"), "f") for _, r in self.runs]
+        wanted = store.save(reduce(DataFrame.unionByName, repeated), "wanted", compact=True)
         self.texts.append(docs)
-        every = reduce(DataFrame.unionByName, self.texts).filter("doc_id is not null")
-        n = wanted.count()
-        if n <= MOST_FILTERED:
-            held = spark.sparkContext.broadcast(_bit_filter(wanted, n))
-            found = _verified(every.select("age", "doc_id", "t", "text"), lambda f, b, row: _passes(held.value, f), self.window, self.gram)
-        else:  # a filter of bounded size would let most windows pass: bring each document its own repeated fingerprints
-            by_doc = _fingerprinted(every, self.window, self.gram).join(wanted, "f").groupBy("doc_id").agg(F.collect_set("f").alias("wanted"))
-
-            def listed(f, b, row):
+        self.listed.append(listed)
+        self.runs.append((0, own))
+        hit = store.save(self._repetitions(wanted), "repetitions", compact=True)
+        store.drop(wanted)
+        self.compact()
+        return self._without(docs, hit)
+
+    def _repetitions(self, wanted: DataFrame) -> DataFrame:
+        """(doc_id, t, at) of the last batch: where windows begin that are repetitions."""
+        now, n = len(self.texts) - 1, wanted.count()
+        parts = [self._wanted_windows(age, wanted, n) for age in range(now + 1)]
+        every = reduce(DataFrame.unionByName, [p for p in parts if p is not None] or [_verified(self.texts[0].filter("false"), None, self.window, self.gram)])
+        at = F.struct("age", "doc_id")
+        first = every.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last").drop("last")
+        own = parts[now] if parts[now] is not None else every.filter("false")
+        again = own.join(first, ["w1", "w2"]).filter((F.col("first.age") < F.col("age")) | (F.col("first.doc_id") < F.col("doc_id")))
+        return again.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at"))
+
+    def _wanted_windows(self, age: int, wanted: DataFrame, n: int) -> DataFrame | None:
+        """_verified() windows of a batch whose fingerprints are wanted; None where no document has any."""
+        spark, listed = wanted.sparkSession, self.listed[age]
+        texts = self.texts[age].filter("doc_id is not null").select("age", "doc_id", "t", "text")
+        if n > MOST_FILTERED:
+            one = listed.select("doc_id", "t", F.explode("fs").alias("f")).join(wanted.distinct(), "f")
+            by_doc = one.groupBy("doc_id", "t").agg(F.collect_set("f").alias("wanted"))
+
+            def asked(f, b, row):
                 values, rows = f.view(np.int64), row
                 return np.concatenate([np.zeros(0, bool), *(np.isin(values[rows == r], b.column(4)[int(r)].as_py()) for r in np.unique(rows))])
 
-            found = _verified(every.join(by_doc, "doc_id").select("age", "doc_id", "t", "text", "wanted"), listed, self.window, self.gram)
-        first = F.first(F.struct("age", "doc_id")).over(Window.partitionBy("w1", "w2").orderBy("age", "doc_id"))
-        again = found.withColumn("first", first).filter((F.col("age") == len(self.texts) - 1) & ((F.col("first.age") < F.col("age")) | (F.col("first.doc_id") < F.col("doc_id"))))
-        hit = store.save(again.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at")), "repetitions", compact=True)
-        self.runs.append(own)
-        self.compact()
-        return self._without(docs, hit)
+            return _verified(texts.join(by_doc, ["doc_id", "t"]).select("age", "doc_id", "t", "text", "wanted"), asked, self.window, self.gram)
+        if not self._held or self._held[0] is not wanted:
+            self._held = wanted, spark.sparkContext.broadcast(_bit_filter(wanted, n))
+        held = self._held[1]
+
+        def any_wanted(it):
+            for b in it:
+                yes, sizes = _passes(held.value, b.column(1).flatten().to_numpy().view(U64)), b.column(1).value_lengths().to_numpy()
+                some = np.logical_or.reduceat(yes, np.cumsum(sizes) - sizes) if len(sizes) else yes
+                yield pa.record_batch([b.column(0).filter(pa.array(some))], names=["f"])
+
+        docs = store.save(listed.select(_key().alias("key"), "fs").mapInArrow(any_wanted, "f long"), "wanted-docs", compact=True)
+        k = docs.count()
+        if k:
+            if k <= MOST_FILTERED:
+                texts = texts.filter(_may_be_in(spark.sparkContext.broadcast(_bit_filter(docs, k)))(_key()))
+            texts = _verified(texts, lambda f, b, row: _passes(held.value, f), self.window, self.gram)
+        store.drop(docs)
+        return texts if k else None
+
+    _held = None
 
     def _without(self, docs: DataFrame, hit: DataFrame) -> DataFrame:
         """docs without the words of hit; only texts that may have some are brought to it."""
-        n, key = hit.count(), F.xxhash64("doc_id", "t")
+        n = hit.count()
         if n > MOST_FILTERED:
             return _kept(docs.join(hit, ["doc_id", "t"], "left"), self.window)
-        held = docs.sparkSession.sparkContext.broadcast(_bit_filter(hit.select(key.alias("f")), n))
-
-        @F.pandas_udf("boolean")
-        def may_be_hit(f: pd.Series) -> pd.Series:
-            return pd.Series(_passes(held.value, f.to_numpy(np.int64).view(U64)))
-
-        rest = docs.filter(~may_be_hit(key)).withColumn("at", F.lit(None).cast("array<binary>"))
-        return _kept(docs.filter(may_be_hit(key)).join(hit, ["doc_id", "t"], "left"), self.window).unionByName(_kept(rest, self.window))
+        may_be_hit = _may_be_in(docs.sparkSession.sparkContext.broadcast(_bit_filter(hit.select(_key().alias("f")), n)))
+        rest = docs.filter(~may_be_hit(_key())).withColumn("at", F.lit(None).cast("array<binary>"))
+        return _kept(docs.filter(may_be_hit(_key())).join(hit, ["doc_id", "t"], "left"), self.window).unionByName(_kept(rest, self.window))
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        """Writes fingerprints, grouped by f, as a run: each of its files is sorted."""
-        return store.save(rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("f"), "run")
-
-    def compact(self, most: int = MOST_RUNS) -> None:
-        """Merges all runs into one if there are more than `most`."""
-        if len(self.runs) > most:
-            merged = reduce(DataFrame.unionByName, self.runs).groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-            old, self.runs = self.runs, [self._run(merged)]
-            for r in old:
-                store.drop(r)
-
-
-def in_batches(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """FingerprintIndex.add() over docs in `batches` parts by ascending doc_id (of about equal ranges of ids)."""
-    index, low, high = FingerprintIndex(), *docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    cuts = [low + (high - low + 1) * i // batches for i in range(1, batches)] if low is not None else []
-    cuts = sorted(set(cuts))
+        """Writes (f, low, high) as a run: one row a fingerprint, in buckets of f, each a sorted file."""
+        if self.buckets is None:
+            self.buckets = 4 * rows.sparkSession.sparkContext.defaultParallelism
+        least = rows.repartition(self.buckets, "f").groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        return store.save_sorted(least, "run", "f", self.buckets)
+
+    def compact(self) -> None:
+        """Merges `fan` runs of a level into one of the next."""
+        level = 0
+        while True:
+            same = [r for k, r in self.runs if k == level]
+            if len(same) >= self.fan:
+                merged = self._run(reduce(DataFrame.unionByName, same))
+                self.runs = [(k, r) for k, r in self.runs if k != level] + [(level + 1, merged)]
+                for r in same:
+                    store.drop(r)
+            elif all(k <= level for k, _ in self.runs):
+                break
+            level += 1
+
+
+def in_batches(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """FingerprintIndex.add() over docs in `batches` parts by ascending doc_id, of about equally many rows."""
+    index = FingerprintIndex()
+    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
+    cuts = sorted({int(c) for c in cuts})
     out = []
     for i in range(len(cuts) + 1):
         part = docs

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 19
 U64 = np.uint64
@@ -81,56 +82,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Hashes of any substring of a sequence of 64-bit values from one prefix sum: sum of v[i] * base**i, divided by
-    base**start (an odd base is invertible modulo 2**64)."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def _grow(self, n: int) -> None:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inverse, k, 1 << 64))])
-
-    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(values)
-        self._grow(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(values * self.up[:n], out=total[1:])
-        return (total[ends] - total[starts]) * self.down[starts]
-
-    def trim(self, most: int = 1 << 20) -> None:
-        """Forgets powers kept for an unusually long text."""
-        if len(self.up) > most:
-            self.up, self.down = self.up[:most].copy(), self.down[:most].copy()
+#: Multipliers of independent families of hashes.
+FAMILIES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+LONG_WORD = 64  # bytes; longer words are hashed one by one
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: its 8-byte pieces are taken in one after the other, each mixed with all before
+    it; words of more than LONG_WORD bytes are hashed by xxh3."""
+    step, size = U64(FAMILIES[family]), ends - starts
+    out = size.astype(U64) * step
+    if not len(out):
+        return out
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    pieces = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place
+    for at in range(0, min(int(size.max()), LONG_WORD), 8):
+        now = np.flatnonzero((size > at) & (size <= LONG_WORD)) if at else np.flatnonzero(size <= LONG_WORD)
+        piece = pieces[starts[now] + at] & _low_bytes[np.minimum(size[now] - at, 8)]
+        out[now] = mix((out[now] ^ piece) * step + U64(at + 1))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), FAMILIES[family])
+    return out
 
 
-BYTES = Rolling(0x9E3779B97F4A7C15)
-GRAMS = Rolling(0xD1342543DE82EF95)
-GRAMS2 = Rolling(0xAF251AF3B0F025B5)
+_low_bytes = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    out = mix(BYTES.spans(buf.astype(U64) + U64(1), starts, ends) + (ends - starts).astype(U64) * U64(0x632BE59BD9B4E019))
-    BYTES.trim()
-    return out
+def joined(left: np.ndarray, right: np.ndarray, family: int = 0) -> np.ndarray:
+    """Hashes of two sequences behind each other, from those of each."""
+    return mix(mix(left * U64(FAMILIES[family])) + (right ^ (right >> U64(31))) * U64(0x2545F4914F6CDD1D))
 
 
-def gram_hashes(hashes: np.ndarray, k: int, rolling: Rolling = GRAMS) -> np.ndarray:
-    """Hashes of all runs of k words of one sequence (none if it is shorter)."""
+def gram_hashes(hashes: np.ndarray, k: int, family: int = 0) -> np.ndarray:
+    """Hashes of all runs of k words of one sequence (none if it is shorter): runs of doubled length are joined."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    at = np.arange(n)
-    out = mix(rolling.spans(hashes, at, at + k) + U64(k * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
-    rolling.trim()
-    return out
+    out, done, part, span = None, 0, hashes, 1
+    while True:
+        if k & span:
+            out = part[:n] if out is None else joined(out, part[done : done + n], family)
+            done += span
+        if done == k:
+            return mix(out + U64(k))
+        part = joined(part[:-span], part[span:], family)
+        span *= 2
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
