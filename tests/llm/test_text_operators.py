@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -128,6 +129,28 @@ def test_decontamination(spark, docs, most):
         assert sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t[s.begin : s.end])) for s in r.spans) == len(hit)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 10])
+def test_index_against_all_windows(size):
+    """Texts of few different words, so that windows overlap, repeat and are shared by items."""
+    rng = np.random.default_rng(size)
+    text = lambda n: " ".join(rng.choice(["a", "bb", "Ccc", "d"], n))
+    items = [(f"i{k % 17}", text(rng.integers(0, 25)).encode()) for k in range(40)]
+    index = decontaminate.Index(items, size)
+    for _ in range(300):
+        w = decontaminate.words_of(text(rng.integers(0, 40)).encode())
+        w[len(w) // 2 : len(w) // 2] = decontaminate.words_of(items[rng.integers(40)][1])
+        spans, found = index.find(decontaminate.normalise(b" ".join(w)))
+        hit, names = set(), set()
+        for name, t in items:
+            for win in item_windows(t.decode(), size):
+                win = [x.encode() for x in win]
+                for k in range(len(w) - len(win) + 1):
+                    if w[k : k + len(win)] == win:
+                        hit |= set(range(k, k + len(win)))
+                        names.add(name)
+        assert (set().union(*(range(a, b) for a, b in spans)), found) == (hit, names)
+
+
 def test_decontamination_keeps_columns(spark, docs):
     clash = docs.withColumn("items", F.lit("mine")).withColumn("n_hit", F.lit(5))
     out = decontaminate.decontaminate(clash, spark.createDataFrame([(1, "two words")], "item_id long, text string"))
@@ -220,6 +243,54 @@ def test_mix_targets():
     assert mix.targets({}) == {} and mix.targets({"a": 0}) == {"a": 0.0}
 
 
+def exact_targets(sizes):
+    """By the rule, in fractions: weights 5, 2, 1 repeat; while a source is above three times its size, it stops there and
+    the rest is shared anew."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    capped = {}
+    while True:
+        rest = [s for s in order if s not in capped]
+        left = sum(sizes.values()) - sum(capped.values())
+        now = {s: Fraction(left * weight[s], sum(weight[x] for x in rest)) for s in rest}
+        above = [s for s in rest if now[s] > 3 * sizes[s]]
+        if not above:
+            return {**capped, **now}
+        capped |= {s: Fraction(3 * sizes[s]) for s in above}
+
+
+@pytest.mark.parametrize("most_sources", [10_000, 0])
+def test_targets_and_sizes(spark, monkeypatch, most_sources):
+    """Both ways of finding targets against fractions, sizes against the pattern."""
+    monkeypatch.setattr(mix, "DRIVER_SOURCES", most_sources)
+    rng = np.random.default_rng(4)
+    names = [None, "", "a", "B", "b", "é", "中", *(f"s{i}" for i in range(20))]
+    rows = [(i, None if i % 50 == 0 else " \t".join(["w"] * int(rng.integers(0, 40) ** 2 // 20)) + "\x1c x\u00a0y ", None, names[int(rng.integers(len(names)) ** 1.2) % len(names)], 0) for i in range(500)]
+    got = mix.plan(spark.createDataFrame(rows, DOC)).collect()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
+    assert {r.doc_id: r["size"] for r in got} == size
+    by_source = defaultdict(int)
+    for i, _, _, s, _ in rows:
+        by_source[s] += size[i]
+    want = exact_targets(by_source)
+    assert any(want[s] == 3 * n for s, n in by_source.items())
+    for r in got:
+        assert r.source_size == by_source[r.source] and r.target == pytest.approx(float(want[r.source]), rel=1e-12)
+
+
+def test_special_tokens(spark):
+    """As by the library's default, in token files; as characters in chats."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = ["plain text", *(f"a{x}b {x}{x} c" for x in added), "<|endoftext", "", "a<|endoftext|>b"]
+    enc = tokens.encoder(PATH)
+    assert [x.tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    tok.encode_special_tokens = True
+    assert [x.tolist() for x in tokens.encoder(PATH, literal=True)(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_mix(spark, docs):
     rows = [(i, prose(i, 1 + i % 40), None, f"s{i % 4}" if i % 9 else None, 0) for i in range(600)]
     df = spark.createDataFrame(rows, DOC)

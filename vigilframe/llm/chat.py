@@ -34,7 +34,7 @@ def unescape(text: str) -> str:
 
 def assemble(roles: list[str], texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, loss mask, first id of each turn and the end) of turns in a row."""
-    enc = encoder(path)
+    enc = encoder(path, literal=True)
     base = enc.tok.get_vocab_size()
     coded = list(enc([escape(x) for pair in zip(roles, texts, strict=True) for x in pair]))
     parts, sizes = [], []
@@ -109,7 +109,7 @@ def read_back(ordered: DataFrame, path: str) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(it):
-        tok, now = encoder(path).tok, None
+        tok, now = encoder(path, literal=True).tok, None
         for b in batches(it, 512):
             done = []
             for conv, ids, mask in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):

@@ -3,7 +3,7 @@
 Every document of a source has the same expected number of copies, its source's target over its size. The whole part is
 taken; the fractional parts are rounded in pairs: mass (words) moves at random from one document of a pair to the other
 until one's part is 0 or 1, keeping the pair's expected words, and the other meets the next. Documents are dealt into
-buckets by a hash; each bucket leaves one undecided document at most, and these are paired up a tree of buckets until a
+buckets by a hash of id and text; each bucket leaves one undecided document at most, and these are paired up a tree of buckets until a
 source has one, which is drawn. Long documents meet first, so that the last one is short. So a source's taken words
 differ from its target by less than one document.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import store, textkit
 
 WEIGHTS, MOST = (5, 2, 1), 3.0
-BUCKET_ROWS, FAN_IN = 20_000, 256
-MOST_SOURCES = 1_000_000
+BUCKET_ROWS, FAN_IN = 2_000, 256
+DRIVER_SOURCES = 10_000  # targets of more sources are found by aggregates over a table of them
 SEED = 20
 
 
@@ -41,14 +41,43 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: float = MOST) -
     return out
 
 
+def _facts(by_source: DataFrame, weights, most: float) -> DataFrame:
+    """(source, source_size, target, rate) of every source in by_source (source, size), by targets()' rule, in a table.
+
+    Whether a source is above its limit depends on the share of one unit of weight alone, and that only rises from round
+    to round; so a round is one aggregate.
+    """
+    spark = by_source.sparkSession
+    numbered = store.save(by_source.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source").select("source", "size", F.monotonically_increasing_id().alias("at")), "sources")
+    part = F.shiftrightunsigned("at", 33)
+    counts, offsets, at = numbered.groupBy(part.alias("part")).count().collect(), [], 0  # a row for each partition
+    for r in sorted(counts):
+        offsets.append((r.part, at))
+        at += r["count"]
+    offset = F.broadcast(spark.createDataFrame(offsets, "part long, offset long"))
+    place = F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
+    listed = numbered.withColumn("part", part).join(offset, "part").select("source", "size", weight.alias("weight"))
+    share, over = 0.0, None
+    while True:
+        above = share * F.col("weight") > most * F.col("size")
+        r = listed.agg(F.sum("size").alias("all"), F.sum(F.when(above, F.col("size")).otherwise(0)).alias("capped"), F.sum(F.when(~above, F.col("weight"))).alias("weight"), F.count_if(above).alias("n")).first()
+        if r.n == over or not r.weight:
+            break
+        share, over = (float(r.all) - most * float(r.capped)) / r.weight, r.n
+    target = F.when(share * F.col("weight") > most * F.col("size"), most * F.col("size")).otherwise(share * F.col("weight"))
+    return store.save(listed.select("source", F.col("size").alias("source_size"), target.alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "facts")
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size is the number of words; null texts have none."""
+    """(doc_id, source, size, h): size is the number of words, h a hash of the text; null texts have no words."""
 
     def run(it):
         for b in it:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(textkit.word_counts(b.column(2)))], names=["doc_id", "source", "size"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(textkit.word_counts(b.column(3))), b.column(2)], names=["doc_id", "source", "size", "h"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, source string, size long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, source string, size long, h long")
 
 
 ROW = "doc_id long, source string, size long, bucket long, whole long, part double"
@@ -124,15 +153,20 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     """
     spark = docs.sparkSession
     sized = store.save(sizes_of(docs), "sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(by_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    total = {r.source: r.size for r in by_source}
-    target = targets(total, weights, most)
-    facts = spark.createDataFrame([(s, total[s], target[s], target[s] / total[s] if total[s] else 0.0) for s in total], "source string, source_size long, target double, rate double")
-    buckets = max(1, -(-sum(r.n for r in by_source) // BUCKET_ROWS))
+    by_source = store.save(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "by-source", compact=True)
+    n_sources, n = by_source.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = n_sources <= DRIVER_SOURCES
+    if few:
+        total = {r.source: r.size for r in by_source.collect()}
+        target = targets(total, weights, most)
+        facts = spark.createDataFrame([(s, total[s], target[s], target[s] / total[s] if total[s] else 0.0) for s in total], "source string, source_size long, target double, rate double")
+    else:
+        facts = _facts(by_source, weights, most)
+    buckets = max(1, -(-n // BUCKET_ROWS))
     s, f = sized.alias("s"), facts.alias("f")
-    rows = s.join(F.broadcast(f) if len(by_source) <= 10_000 else f, F.col("s.source").eqNullSafe(F.col("f.source"))).select("s.doc_id", "s.source", "s.size", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(buckets)).alias("bucket"), F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
+    bucket = F.pmod(F.xxhash64(F.lit(SEED + 1), "s.doc_id", "s.h"), F.lit(buckets)).alias("bucket")
+    dealt = s.join(F.broadcast(f) if few else f, F.col("s.source").eqNullSafe(F.col("f.source")))
+    rows = dealt.select("s.doc_id", "s.source", "s.size", bucket, F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
     decided = None
     while True:
         level = store.save(_round(rows, buckets == 1), "mix", compact=True)
@@ -144,7 +178,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
         buckets = -(-buckets // FAN_IN)
         rows = level.filter(undecided).withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
     d = decided.withColumn("copies", F.col("whole") + F.when(F.col("size") > 0, F.col("part").cast("long")).otherwise(0)).alias("d")
-    return d.join(F.broadcast(f) if len(by_source) <= 10_000 else f, F.col("d.source").eqNullSafe(F.col("f.source"))).select("d.doc_id", "d.source", "d.size", "f.source_size", "f.target", "d.copies", (F.col("d.copies") * F.col("d.size")).alias("taken"))
+    return d.join(F.broadcast(f) if few else f, F.col("d.source").eqNullSafe(F.col("f.source"))).select("d.doc_id", "d.source", "d.size", "f.source_size", "f.target", "d.copies", (F.col("d.copies") * F.col("d.size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:

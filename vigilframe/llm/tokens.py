@@ -9,6 +9,7 @@ by numpy table lookup, four ids at a time.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -71,16 +72,18 @@ def unpack(control: list[bytes], data: list[bytes], n: np.ndarray) -> tuple[np.n
 
 class Encoder:
     """Ids of whole texts by a tokenizers file. Where it splits texts by the byte-level pattern, pieces are found and
-    their ids kept by bytelevel.Pieces; else the library encodes each text."""
+    their ids kept by bytelevel.Pieces; else the library encodes each text. Literals of the tokenizer's added tokens get
+    these tokens' ids, as by the library's default (such texts are left to it); with `literal`, those of their characters."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = literal
+        self.added = [] if literal else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         pre = self.tok.pre_tokenizer
         plain = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and getattr(pre, "use_regex", True) and self.tok.normalizer is None
         self.pieces = bytelevel.Pieces(self.library) if plain else None
@@ -97,7 +100,7 @@ class Encoder:
                 size += len(texts[end])
                 end += 1
             part = texts[at:end]
-            if self.pieces is not None:
+            if self.pieces is not None and not any(x in t for x in self.added for t in part):
                 yield self.pieces("".join(part), np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64))
             else:
                 ids = self.library(part)
@@ -109,13 +112,9 @@ class Encoder:
             yield from np.split(ids, bounds[1:-1])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+@functools.cache
+def encoder(path: str, literal: bool = False) -> Encoder:
+    return Encoder(path, literal)
 
 
 CODED = "doc_id long, n long, zipped binary, tally binary"
@@ -167,8 +166,8 @@ def _unzipped(n: np.ndarray, zipped: list[bytes], z) -> tuple[np.ndarray, np.nda
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_bytes: int = 64 << 20) -> None:
     """Encodes docs (doc_id, text) and writes the format described above into `folder`.
 
-    Null texts count as empty; a null doc_id sorts first; repeated doc_ids stay, ordered by their coded ids; an empty
-    table gives a folder without documents. Other columns are ignored. The dictionary has a row per used id, so its size
+    Null texts count as empty; a null doc_id sorts first; repeated doc_ids stay, in an order that their ids alone decide; an
+    empty table gives a folder without documents. Other columns are ignored. The dictionary has a row per used id, so its size
     is bounded by the vocabulary's.
     """
     spark = docs.sparkSession
@@ -192,7 +191,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_b
 
     total = coded.agg(F.sum(F.octet_length("zipped"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
-    ordered = coded.select("doc_id", "n", "zipped").repartitionByRange(shards, "doc_id", "zipped").sortWithinPartitions("doc_id", "zipped")
+    # Ranges are found from a sample of keys, so these hold a hash and not the ids themselves.
+    keyed = coded.select("doc_id", "n", "zipped", F.xxhash64("zipped").alias("h"))
+    ordered = keyed.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "zipped").drop("h")
     ordered.mapInArrow(to_file, "doc_id long, shard long, begin long, n long, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/shards")
     spark.createDataFrame(counts.assign(rank=np.arange(len(counts))), "id long, count long, rank long").coalesce(1).write.parquet(f"{folder}/ranks")
     store.drop(coded)
