@@ -32,7 +32,7 @@ from . import store, textkit
 from .textkit import U64
 
 WINDOW, GRAM = 50, 10
-FAN, BATCHES = 3, 4
+FAN, BATCHES = 2, 3
 MOST_FILTER_BITS = 28
 MOST_FILTERED = 1 << 26
 
@@ -144,10 +144,11 @@ def _verified(docs: DataFrame, passes, window: int, gram: int) -> DataFrame:
                 new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (text[take][1:] != text[take][:-1])
                 head = np.flatnonzero(new)
                 places = (take - first[text[take]]).astype("<i4")
-                lists = [x.tobytes() for x in np.split(places, head[1:])]
+                ends = np.append(head, len(places)).astype("<i4") * 4
+                lists = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(places)])
                 row = pa.array(at + text[take[head]])
                 hashes = (pa.array(w[head].view(np.int64)) for w in (w1, w2))
-                yield pa.record_batch([*hashes, *(b.column(k).take(row) for k in range(3)), pa.array(lists, pa.binary())], names=names)
+                yield pa.record_batch([*hashes, *(b.column(k).take(row) for k in range(3)), lists], names=names)
 
     return docs.mapInArrow(run, "w1 long, w2 long, age int, doc_id long, t int, at binary")
 
@@ -226,47 +227,49 @@ class FingerprintIndex:
     def _repetitions(self, wanted: DataFrame) -> DataFrame:
         """(doc_id, t, at) of the last batch: where windows begin that are repetitions."""
         now, n = len(self.texts) - 1, wanted.count()
-        parts = [self._wanted_windows(age, wanted, n) for age in range(now + 1)]
-        every = reduce(DataFrame.unionByName, [p for p in parts if p is not None] or [_verified(self.texts[0].filter("false"), None, self.window, self.gram)])
+        parts = self._listed_windows(wanted) if n > MOST_FILTERED else self._filtered_windows(wanted, n)
+        every = reduce(DataFrame.unionByName, parts.values()) if parts else _verified(self.texts[now].filter("false"), None, self.window, self.gram)
         at = F.struct("age", "doc_id")
         first = every.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last").drop("last")
-        own = parts[now] if parts[now] is not None else every.filter("false")
-        again = own.join(first, ["w1", "w2"]).filter((F.col("first.age") < F.col("age")) | (F.col("first.doc_id") < F.col("doc_id")))
+        again = parts.get(now, every.filter("false")).join(first, ["w1", "w2"]).filter((F.col("first.age") < F.col("age")) | (F.col("first.doc_id") < F.col("doc_id")))
         return again.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at"))
 
-    def _wanted_windows(self, age: int, wanted: DataFrame, n: int) -> DataFrame | None:
-        """_verified() windows of a batch whose fingerprints are wanted; None where no document has any."""
-        spark, listed = wanted.sparkSession, self.listed[age]
-        texts = self.texts[age].filter("doc_id is not null").select("age", "doc_id", "t", "text")
-        if n > MOST_FILTERED:
-            one = listed.select("doc_id", "t", F.explode("fs").alias("f")).join(wanted.distinct(), "f")
-            by_doc = one.groupBy("doc_id", "t").agg(F.collect_set("f").alias("wanted"))
-
-            def asked(f, b, row):
-                values, rows = f.view(np.int64), row
-                return np.concatenate([np.zeros(0, bool), *(np.isin(values[rows == r], b.column(4)[int(r)].as_py()) for r in np.unique(rows))])
+    def _texts(self, age: int) -> DataFrame:
+        return self.texts[age].filter("doc_id is not null").select("age", "doc_id", "t", "text")
 
-            return _verified(texts.join(by_doc, ["doc_id", "t"]).select("age", "doc_id", "t", "text", "wanted"), asked, self.window, self.gram)
-        if not self._held or self._held[0] is not wanted:
-            self._held = wanted, spark.sparkContext.broadcast(_bit_filter(wanted, n))
-        held = self._held[1]
+    def _filtered_windows(self, wanted: DataFrame, n: int) -> dict[int, DataFrame]:
+        """By batch, _verified() windows whose fingerprints pass a bit filter of those wanted; batches without any are left
+        out."""
+        spark = wanted.sparkSession
+        held = spark.sparkContext.broadcast(_bit_filter(wanted, n))
 
         def any_wanted(it):
             for b in it:
-                yes, sizes = _passes(held.value, b.column(1).flatten().to_numpy().view(U64)), b.column(1).value_lengths().to_numpy()
+                yes, sizes = _passes(held.value, b.column(2).flatten().to_numpy().view(U64)), b.column(2).value_lengths().to_numpy()
                 some = np.logical_or.reduceat(yes, np.cumsum(sizes) - sizes) if len(sizes) else yes
-                yield pa.record_batch([b.column(0).filter(pa.array(some))], names=["f"])
-
-        docs = store.save(listed.select(_key().alias("key"), "fs").mapInArrow(any_wanted, "f long"), "wanted-docs", compact=True)
-        k = docs.count()
-        if k:
-            if k <= MOST_FILTERED:
-                texts = texts.filter(_may_be_in(spark.sparkContext.broadcast(_bit_filter(docs, k)))(_key()))
-            texts = _verified(texts, lambda f, b, row: _passes(held.value, f), self.window, self.gram)
+                yield pa.record_batch([c.filter(pa.array(some)) for c in b.columns[:2]], names=["age", "f"])
+
+        listed = reduce(DataFrame.unionByName, [x.select(F.lit(age).alias("age"), _key().alias("f"), "fs") for age, x in enumerate(self.listed)])
+        docs = store.save(listed.mapInArrow(any_wanted, "age int, f long"), "wanted-docs", compact=True)
+        counts = {r.age: r["count"] for r in docs.groupBy("age").count().collect()}  # a row a batch
+        k = sum(counts.values())
+        few = _may_be_in(spark.sparkContext.broadcast(_bit_filter(docs.select("f"), k)))(_key()) if 0 < k <= MOST_FILTERED else F.lit(True)
         store.drop(docs)
-        return texts if k else None
+        return {age: _verified(self._texts(age).filter(few), lambda f, b, row: _passes(held.value, f), self.window, self.gram) for age in counts}
+
+    def _listed_windows(self, wanted: DataFrame) -> dict[int, DataFrame]:
+        """The same where each document is brought its own wanted fingerprints."""
+
+        def asked(f, b, row):
+            values, rows = f.view(np.int64), row
+            return np.concatenate([np.zeros(0, bool), *(np.isin(values[rows == r], b.column(4)[int(r)].as_py()) for r in np.unique(rows))])
 
-    _held = None
+        wanted, out = wanted.distinct(), {}
+        for age, listed in enumerate(self.listed):
+            by_doc = listed.select("doc_id", "t", F.explode("fs").alias("f")).join(wanted, "f").groupBy("doc_id", "t").agg(F.collect_set("f").alias("wanted"))
+            texts = self._texts(age).join(by_doc, ["doc_id", "t"]).select("age", "doc_id", "t", "text", "wanted")
+            out[age] = _verified(texts, asked, self.window, self.gram)
+        return out
 
     def _without(self, docs: DataFrame, hit: DataFrame) -> DataFrame:
         """docs without the words of hit; only texts that may have some are brought to it."""
@@ -280,7 +283,7 @@ class FingerprintIndex:
     def _run(self, rows: DataFrame) -> DataFrame:
         """Writes (f, low, high) as a run: one row a fingerprint, in buckets of f, each a sorted file."""
         if self.buckets is None:
-            self.buckets = 4 * rows.sparkSession.sparkContext.defaultParallelism
+            self.buckets = max(8, rows.sparkSession.sparkContext.defaultParallelism)
         least = rows.repartition(self.buckets, "f").groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         return store.save_sorted(least, "run", "f", self.buckets)
 
