@@ -44,27 +44,47 @@ def support(terms: dict[str, Column], has_colour: Column, learned: Column | None
     return F.when(has_colour, mean(WEIGHTS)).otherwise(mean(grey))
 
 
+#: What each rule compares with, and the confidence it rejects with.
+BRIEF = {"confidence": 0.4}
+HABIT = {"most": 0.92, "base": 0.45, "slope": 0.6, "baseline": 0.7}
+FLARE = {"luma": 238, "blown": 0.25, "confidence": 0.9}
+STATIC = {"frames": 4, "drift": 0.6, "low": 0.85, "high": 1.18, "jitter": 1.5, "softness": 0.25, "confidence": 0.8}
+RIDGE = {"height": 14, "below": 14, "flat": 3, "shift": 3, "confidence": 0.75}
+WEATHER = {"contrast": 0.55, "texture": 0.75, "confidence": 0.8}
+AIR = {"above": -0.05, "rise": 3, "confidence": 0.75}
+CLOUD = {"frames": 3, "anchor": 0.28, "drift": 6, "low": 0.55, "high": 1.8, "airborne": 0.85, "confidence": 0.7}
+ERRATIC = {"frames": 3, "drift": 12, "anchor": 0.55, "confidence": 0.8}
+DUST = {"frames": 3, "rise": 2, "drift": 5, "below": 0, "greyness": 0.42, "confidence": 0.7}
+
+
 def _rejection(code: str, when: Column, confidence) -> Column:
     value = F.struct(F.lit(code).alias("code"), (confidence if isinstance(confidence, Column) else F.lit(float(confidence))).alias("confidence"))
     return F.when(when, value)
 
 
 def rejections(g: dict[str, Column], r: dict[str, Column], s: dict[str, Column], support: Column, height: Column, has_colour: Column, minimum: int = MINIMUM_FRAMES) -> Column:
-    """Array of (code, confidence) of the rules that fire, by falling confidence, ties in the rules' order."""
-    airborne = r["base_below"] < -0.05 * height
-    habituated = (s["clear_frames"] >= TRUST_FRAMES) & s["use_nuisance"] & (s["habituation"] >= HABITUAL)
-    below = (s["clear_frames"] >= TRUST_FRAMES) & s["use_ceiling"] & (s["ceiling"] > 0) & (support <= s["ceiling"] - s["slack"])
+    """Array of (code, confidence) of the rules that fire, by falling confidence, ties in the rules' order: brief, habitual
+    (or below the camera's baseline), flare, static, ridge, weather, airborne, cloud, erratic, dust."""
+    airborne = r["base_below"] < AIR["above"] * height
+    trusted = s["clear_frames"] >= TRUST_FRAMES
+    habituated = trusted & s["use_nuisance"] & (s["habituation"] >= HABITUAL)
+    below = trusted & s["use_ceiling"] & (s["ceiling"] > 0) & (support <= s["ceiling"] - s["slack"])
+    habit = F.least(F.lit(HABIT["most"]), HABIT["base"] + HABIT["slope"] * (s["habituation"] - HABITUAL))
+    still = (g["frames"] >= STATIC["frames"]) & (g["centroid_drift"] < STATIC["drift"]) & g["area_ratio"].between(STATIC["low"], STATIC["high"])
+    thin = (r["h"] <= RIDGE["height"]) & (F.abs(r["base_below"]) <= RIDGE["below"]) & (r["w"] > RIDGE["flat"] * r["h"])
+    adrift = (g["frames"] >= CLOUD["frames"]) & (g["anchor"] < CLOUD["anchor"]) & (g["centroid_drift"] > CLOUD["drift"])
+    dusty = has_colour & (g["frames"] >= DUST["frames"]) & (g["top_rise"] < DUST["rise"]) & (g["horizontal_drift"] > DUST["drift"])
     fired = [
-        _rejection("CLOUD_TRANSLATION", (g["frames"] >= 3) & (g["anchor"] < 0.28) & (g["centroid_drift"] > 6) & g["area_ratio"].between(0.55, 1.8), F.when(airborne, 0.85).otherwise(0.7)),
-        _rejection("AIRBORNE", airborne & (g["top_rise"] < 3), 0.75),
-        _rejection("GROUND_DRIFT", has_colour & (g["frames"] >= 3) & (g["top_rise"] < 2) & (g["horizontal_drift"] > 5) & (r["base_below"] > 0) & (r["greyness"] < 0.42), 0.7),
-        _rejection("ERRATIC_BASE", (g["frames"] >= 3) & (g["base_drift"] > 12) & (g["anchor"] < 0.55), 0.8),
-        _rejection("STATIC_ARTEFACT", (g["frames"] >= 4) & (g["centroid_drift"] < 0.6) & g["area_ratio"].between(0.85, 1.18) & (g["jitter"] < 1.5) & (r["edge_softness"] < 0.25), 0.8),
-        _rejection("FLARE", (r["mean_luma"] > 238) & (r["blown"] > 0.25), 0.9),
-        _rejection("RIDGE_REGISTRATION", (r["h"] <= 14) & (F.abs(r["base_below"]) <= 14) & (r["w"] > 3 * r["h"]) & ~s["corrected"] & (s["shift"] > 3), 0.75),
-        _rejection("WEATHER_FRONT", (s["contrast_ratio"] < 0.55) & (r["texture_ratio"] > 0.75 * s["contrast_ratio"]), 0.8),
-        F.when(habituated, F.struct(F.lit("HABITUAL_REGION").alias("code"), F.least(F.lit(0.92), 0.45 + 0.6 * (s["habituation"] - HABITUAL)).alias("confidence"))).when(below, F.struct(F.lit("BELOW_CAMERA_BASELINE").alias("code"), F.lit(0.7).alias("confidence"))),
-        _rejection("TOO_BRIEF", g["frames"] < minimum, 0.4),
+        _rejection("TOO_BRIEF", g["frames"] < minimum, BRIEF["confidence"]),
+        F.coalesce(_rejection("HABITUAL_REGION", habituated, habit), _rejection("BELOW_CAMERA_BASELINE", ~habituated & below, HABIT["baseline"])),
+        _rejection("FLARE", (r["mean_luma"] > FLARE["luma"]) & (r["blown"] > FLARE["blown"]), FLARE["confidence"]),
+        _rejection("STATIC_ARTEFACT", still & (g["jitter"] < STATIC["jitter"]) & (r["edge_softness"] < STATIC["softness"]), STATIC["confidence"]),
+        _rejection("RIDGE_REGISTRATION", thin & ~s["corrected"] & (s["shift"] > RIDGE["shift"]), RIDGE["confidence"]),
+        _rejection("WEATHER_FRONT", (s["contrast_ratio"] < WEATHER["contrast"]) & (r["texture_ratio"] > WEATHER["texture"] * s["contrast_ratio"]), WEATHER["confidence"]),
+        _rejection("AIRBORNE", airborne & (g["top_rise"] < AIR["rise"]), AIR["confidence"]),
+        _rejection("CLOUD_TRANSLATION", adrift & g["area_ratio"].between(CLOUD["low"], CLOUD["high"]), F.when(airborne, CLOUD["airborne"]).otherwise(CLOUD["confidence"])),
+        _rejection("ERRATIC_BASE", (g["frames"] >= ERRATIC["frames"]) & (g["base_drift"] > ERRATIC["drift"]) & (g["anchor"] < ERRATIC["anchor"]), ERRATIC["confidence"]),
+        _rejection("GROUND_DRIFT", dusty & (r["base_below"] > DUST["below"]) & (r["greyness"] < DUST["greyness"]), DUST["confidence"]),
     ]
     numbered = F.filter(F.array(*(F.struct((-x["confidence"]).alias("c"), F.lit(i).alias("i"), x.alias("x")) for i, x in enumerate(fired))), lambda y: y["x"].isNotNull())
     return F.transform(F.array_sort(numbered), lambda y: y["x"])

@@ -5,7 +5,7 @@ Readings are (sequence, date, camera_id, site_id, lat, lon, range_m, offset_s, c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -17,10 +17,6 @@ SWEEP = tuple(x / 100 for x in range(25, 70, 5))
 TOLERANCE_S, SIGMA_DEG, MAX_LOST = 120, 2.0, 2
 
 
-def thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in SWEEP], "threshold double")
-
-
 def _clear_minutes() -> Column:
     clear = F.when(F.col("offset_s") < 0, F.col("offset_s"))
     return F.when(F.count(clear) >= 2, (F.max(clear) - F.min(clear)) / 60.0).otherwise(0.0)
@@ -38,11 +34,23 @@ def sequence_scores(readings: DataFrame, threshold: float = SUSPECT_AT) -> DataF
     )
 
 
+def _swept(rows: DataFrame, once: dict[str, Column], each) -> DataFrame:
+    """A row per sequence and threshold, from one aggregate a sequence: the columns `once`, and those that each(threshold)
+    names. Readings aren't multiplied by thresholds."""
+    sweep = F.array(*(F.struct(F.lit(t).alias("threshold"), *(v.alias(k) for k, v in each(t).items())) for t in SWEEP))
+    one = rows.groupBy("sequence").agg(*(v.alias(k) for k, v in once.items()), sweep.alias("sweep"))
+    return one.select("sequence", *once, F.inline("sweep"))
+
+
 def first_bearings(readings: DataFrame) -> DataFrame:
     """(sequence, threshold, bearing) of the first smoke reading at or over each threshold."""
-    t = thresholds(readings.sparkSession)
-    hit = readings.filter("offset_s >= 0").join(F.broadcast(t), F.col("confidence") >= F.col("threshold"))  # nine rows
-    return hit.groupBy("sequence", "threshold").agg(F.min_by("bearing", F.struct("offset_s", "event_id")).alias("bearing"))
+    smoke, order = F.col("offset_s") >= 0, F.struct("offset_s", "event_id")
+
+    def each(t: float) -> dict[str, Column]:
+        hit = smoke & (F.col("confidence") >= t)
+        return {"bearing": F.min_by("bearing", F.when(hit, order)), "hits": F.count_if(hit)}
+
+    return _swept(readings, {}, each).filter("hits > 0").select("sequence", "threshold", "bearing")
 
 
 def summary(scores: DataFrame) -> DataFrame:
@@ -60,16 +68,23 @@ def summary(scores: DataFrame) -> DataFrame:
 
 
 def operating_curve(readings: DataFrame) -> DataFrame:
-    """Detections against false alarms at every swept threshold, from one pass: readings are reduced to a row per sequence
-    and threshold before anything else."""
-    t = F.broadcast(thresholds(readings.sparkSession))
-    smoke, over = F.col("offset_s") >= 0, F.col("confidence") >= F.col("threshold")
-    each = readings.crossJoin(t).groupBy("sequence", "threshold").agg((F.count_if(smoke) > 0).alias("fire"), F.min(F.when(smoke & over, F.col("offset_s"))).alias("alert_s"), F.count_if(~smoke & over).alias("false_frames"), _clear_minutes().alias("minutes"))
-    minutes = F.sum("minutes")
+    """Detections against false alarms at every swept threshold, from one pass over the readings."""
+    smoke = F.col("offset_s") >= 0
+
+    def at(t: float) -> dict[str, Column]:
+        over = F.col("confidence") >= t
+        return {"alert_s": F.min(F.when(smoke & over, F.col("offset_s"))), "false_frames": F.count_if(~smoke & over)}
+
+    each = _swept(readings, {"fire": F.count_if(smoke) > 0, "minutes": _clear_minutes()}, at)
+    fires, minutes = F.count_if("fire"), F.sum("minutes")
     return each.groupBy("threshold").agg(
-        F.count_if("fire").alias("fires"), F.count("alert_s").alias("detected"), F.when(F.count_if("fire") > 0, F.count("alert_s") / F.count_if("fire")).otherwise(0.0).alias("detection_rate"),
-        F.median("alert_s").alias("median_alert_s"), F.sum("false_frames").alias("false_frames"), F.when(minutes > 0, F.sum("false_frames") / (minutes / 1440.0)).otherwise(0.0).alias("per_camera_day"),
-    )
+        fires.alias("fires"),
+        F.count("alert_s").alias("detected"),
+        F.when(fires > 0, F.count("alert_s") / fires).otherwise(0.0).alias("detection_rate"),
+        F.median("alert_s").alias("median_alert_s"),
+        F.sum("false_frames").alias("false_frames"),
+        F.when(minutes > 0, F.sum("false_frames") / (minutes / 1440.0)).otherwise(0.0).alias("per_camera_day"),
+    )
 
 
 def _agreeing(readings: DataFrame, tolerance_s: int) -> DataFrame:
@@ -95,18 +110,25 @@ def corroboration_curve(readings: DataFrame, tolerance_s: int = TOLERANCE_S) ->
     dates = readings.groupBy("date").agg(F.count_distinct("site_id").alias("n")).filter("n >= 2").select("date")
     own = readings.join(dates, "date", "left_semi")
     own = own.join(_agreeing(own, tolerance_s), "event_id", "left")
-    t = F.broadcast(thresholds(readings.sparkSession))
-    smoke, over = F.col("offset_s") >= 0, F.col("confidence") >= F.col("threshold")
-    both = over & (F.col("level") >= F.col("threshold"))
-    each = own.crossJoin(t).groupBy("sequence", "threshold").agg(
-        (F.count_if(smoke) > 0).alias("fire"), (F.count_if(smoke & over) > 0).alias("alone"), (F.count_if(smoke & both) > 0).alias("both"),
-        F.count_if(~smoke & over).alias("alone_false"), F.count_if(~smoke & both).alias("both_false"), F.count_if(~smoke).alias("clear"), _clear_minutes().alias("minutes"),
-    )
+    smoke = F.col("offset_s") >= 0
+
+    def at(t: float) -> dict[str, Column]:
+        over = F.col("confidence") >= t
+        both = over & (F.col("level") >= t)
+        return {"alone": F.count_if(smoke & over) > 0, "both": F.count_if(smoke & both) > 0, "alone_false": F.count_if(~smoke & over), "both_false": F.count_if(~smoke & both)}
+
+    each = _swept(own, {"fire": F.count_if(smoke) > 0, "clear": F.count_if(~smoke), "minutes": _clear_minutes()}, at)
     days = F.when(F.sum("minutes") > 0, F.sum("minutes") / 1440.0).otherwise(1.0)
     return each.groupBy("threshold").agg(
-        F.count_if("fire").alias("fires"), F.count_if("alone").alias("alone_detected"), F.count_if("both").alias("both_detected"),
-        F.sum("alone_false").alias("alone_false_frames"), F.sum("both_false").alias("both_false_frames"), (F.sum("alone_false") / days).alias("alone_per_day"), (F.sum("both_false") / days).alias("both_per_day"), F.sum("clear").alias("clear_frames"),
-    )
+        F.count_if("fire").alias("fires"),
+        F.count_if("alone").alias("alone_detected"),
+        F.count_if("both").alias("both_detected"),
+        F.sum("alone_false").alias("alone_false_frames"),
+        F.sum("both_false").alias("both_false_frames"),
+        (F.sum("alone_false") / days).alias("alone_per_day"),
+        (F.sum("both_false") / days).alias("both_per_day"),
+        F.sum("clear").alias("clear_frames"),
+    )
 
 
 def consistency(scores: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -21,6 +21,35 @@ def in_cells(cameras: DataFrame) -> DataFrame:
     return wide.withColumn("cj", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col("lon") - dlon), cell(F.col("lon") + dlon)), lambda j: F.pmod(j, F.lit(int(360 / CELL_DEG)))))))
 
 
+def _unit(lat: str, lon: str) -> tuple[Column, Column, Column]:
+    """A place as a point of the unit sphere."""
+    a, b = F.radians(lat), F.radians(lon)
+    return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)
+
+
+def _looking(margin: float) -> list[Column]:
+    """Of a camera: its place (px, py, pz), the way it looks as a tangent there (lx, ly, lz), and cosines of the angles
+    that its range spans on the sphere and its view to either side (a little more of both)."""
+    lat, lon, az = F.radians("lat"), F.radians("lon"), F.radians("azimuth")
+    east, north = F.sin(az), F.cos(az)
+    way = (-east * F.sin(lon) - north * F.sin(lat) * F.cos(lon), east * F.cos(lon) - north * F.sin(lat) * F.sin(lon), north * F.cos(lat))
+    half = F.least(F.lit(180.0), F.greatest(F.lit(0.0), F.col("hfov") / 2.0 + margin + 0.01))
+    return [
+        *(x.alias(n) for n, x in zip(("px", "py", "pz"), _unit("lat", "lon"), strict=True)),
+        *(x.alias(n) for n, x in zip(("lx", "ly", "lz"), way, strict=True)),
+        F.cos((F.col("range_m") + 1.0) / geo.EARTH_RADIUS_M).alias("cos_range"),
+        F.cos(F.radians(half)).alias("cos_half"),
+    ]
+
+
+def _may_see() -> Column:
+    """Whether a camera may see a point: inner products alone, before any angle is worked out exactly."""
+    to = F.expr("tx * px + ty * py + tz * pz")
+    ahead = F.expr("tx * lx + ty * ly + tz * lz")
+    across = F.sqrt(F.greatest(F.lit(0.0), 1.0 - to * to))
+    return (to >= F.col("cos_range")) & (ahead >= F.col("cos_half") * across - 1e-9)
+
+
 def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIMIT, width: float = 1024.0) -> DataFrame:
     """For each suspect (event_id, camera_id, site_id, lat, lon, bearing), the cameras of other sites that overlook the
     point ASSUMED_RANGE_M along its bearing: the `limit` that cut the bearing most squarely, ties by the longer baseline,
@@ -33,8 +62,9 @@ def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIM
     o = o.withColumns({"ci": F.floor(F.col("t_lat") / CELL_DEG), "cj": F.pmod(F.floor(F.col("t_lon") / CELL_DEG), F.lit(int(360 / CELL_DEG)))})
     # A row here becomes many: dealt out in full, by the key of the ranking below, so that pairs aren't shuffled for it.
     o = o.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_id")
-    c = in_cells(cameras.filter("active").select("camera_id", "site_id", "lat", "lon", "azimuth", "hfov", "range_m"))
-    pairs = o.join(c, ["ci", "cj"]).filter("site_id != o_site and camera_id != origin")
+    c = in_cells(cameras.filter("active").select("camera_id", "site_id", "lat", "lon", "azimuth", "hfov", "range_m", *_looking(MARGIN_DEG)))
+    o = o.withColumns(dict(zip(("tx", "ty", "tz"), _unit("t_lat", "t_lon"), strict=True)))
+    pairs = o.join(c, ["ci", "cj"]).filter("site_id != o_site and camera_id != origin").filter(_may_see())
     pairs = pairs.withColumn("baseline_m", geo.haversine(*map(F.col, ("o_lat", "o_lon", "lat", "lon")))).filter(F.col("baseline_m") >= MIN_BASELINE_M)
     pairs = pairs.withColumn("expected", geo.bearing_between(*map(F.col, ("lat", "lon", "t_lat", "t_lon"))))
     pairs = pairs.filter(geo.covers(F.col("expected"), F.col("azimuth"), F.col("hfov"), MARGIN_DEG) & (geo.haversine(*map(F.col, ("lat", "lon", "t_lat", "t_lon"))) <= F.col("range_m")))

@@ -6,110 +6,154 @@ are folded in order. Rows stream through sorted partitions; what is kept per cam
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values.
 MATCH_IOU, MATCH_DISTANCE, MISSES = 0.10, 0.06, 2
 FRAME_WIDTH = 1024.0
 OUT = "camera_id long, frame_index long, region long, track_id long"
+BOX = ("x", "y", "w", "h", "cx", "cy")
 
 
 @dataclass
 class State:
-    """Open tracks of one camera: id -> [last box (x, y, w, h), missed frames]; the next id; the last frame seen."""
+    """Open tracks of one camera, oldest first: ids, last boxes (x, y, w, h, cx, cy) and missed frames; the next id; the
+    last frame seen; the width of its frames."""
 
-    tracks: dict[int, list] = field(default_factory=dict)
+    width: float = FRAME_WIDTH
+    tracks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    boxes: np.ndarray = field(default_factory=lambda: np.zeros((0, 6)))
+    missed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     next_id: int = 1
     last_frame: int = -1
 
 
-def _iou(a, b) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    both = max(w, 0.0) * max(h, 0.0)
-    total = a[2] * a[3] + b[2] * b[3] - both
-    return both / total if total > 0 else 0.0
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of every box of a with every box of b."""
+    both = np.ones((len(a), len(b)))
+    for o in (0, 1):
+        both *= np.maximum(np.minimum.outer(a[:, o] + a[:, o + 2], b[:, o] + b[:, o + 2]) - np.maximum.outer(a[:, o], b[:, o]), 0)
+    total = np.add.outer(a[:, 2] * a[:, 3], b[:, 2] * b[:, 3]) - both
+    return np.divide(both, total, out=np.zeros_like(both), where=total > 0)
 
 
-def step(state: State, frame_index: int, boxes: list[tuple]) -> list[int]:
-    """The track id of each box of a frame. A frame that was seen before, or is older, changes nothing: ids are -1."""
+def _boxes(boxes) -> np.ndarray:
+    """Boxes (x, y, w, h) get their centre as centroid."""
+    if not len(boxes):
+        return np.zeros((0, 6))
+    b = np.asarray(boxes, float)
+    return b if b.shape[1] == 6 else np.column_stack([b, b[:, :2] + b[:, 2:] / 2])
+
+
+def step(state: State, frame_index: int, boxes) -> list[int]:
+    """The track id of each box of a frame. A frame that was seen before, or is older, changes nothing: ids are -1.
+
+    A track and a box fit if they overlap enough or their centroids are near; of all that fit, the best are taken first.
+    """
     if frame_index <= state.last_frame:
         return [-1] * len(boxes)
     state.last_frame = frame_index
-    reach = FRAME_WIDTH * MATCH_DISTANCE
-    scored = []
-    for order, (track, (last, _)) in enumerate(state.tracks.items()):
-        for k, box in enumerate(boxes):
-            overlap = _iou(last, box)
-            apart = math.hypot(last[0] + last[2] / 2 - box[0] - box[2] / 2, last[1] + last[3] / 2 - box[1] - box[3] / 2)
-            if overlap >= MATCH_IOU or apart <= reach:
-                scored.append((-(overlap + max(0.0, 1.0 - apart / reach)), order, k, track))
-    out = [0] * len(boxes)
-    matched = set()
-    for _, _, k, track in sorted(scored):
-        if track not in matched and not out[k]:
-            matched.add(track)
-            out[k] = track
-            state.tracks[track] = [boxes[k], 0]
-    for track in [t for t in state.tracks if t not in matched]:
-        state.tracks[track][1] += 1
-        if state.tracks[track][1] > MISSES:
-            del state.tracks[track]
-    for k in range(len(boxes)):
-        if not out[k]:
-            out[k] = state.next_id
-            state.tracks[state.next_id] = [boxes[k], 0]
-            state.next_id += 1
+    now, reach = _boxes(boxes), state.width * MATCH_DISTANCE
+    out = np.zeros(len(now), np.int64)
+    if len(state.tracks):
+        state.missed += 1
+        if len(now):
+            share = overlap(state.boxes, now)
+            apart = np.hypot(np.subtract.outer(state.boxes[:, 4], now[:, 4]), np.subtract.outer(state.boxes[:, 5], now[:, 5]))
+            t, k = np.nonzero((share >= MATCH_IOU) | (apart <= reach))
+            if len(t):
+                score = share[t, k] + np.maximum(0.0, 1.0 - apart[t, k] / reach)
+                taken = np.zeros(len(state.tracks), bool)
+                for i in np.lexsort((k, t, -score)).tolist():
+                    if not taken[t[i]] and not out[k[i]]:
+                        taken[t[i]], out[k[i]] = True, state.tracks[t[i]]
+                        state.boxes[t[i]], state.missed[t[i]] = now[k[i]], 0
+    new = np.flatnonzero(out == 0)
+    out[new] = state.next_id + np.arange(len(new))
+    state.next_id += len(new)
+    open_ = state.missed <= MISSES
+    state.tracks = np.concatenate([state.tracks[open_], out[new]])
+    state.boxes = np.concatenate([state.boxes[open_], now[new]])
+    state.missed = np.concatenate([state.missed[open_], np.zeros(len(new), np.int64)])
+    return out.tolist()
+
+
+def fold(state: State, frames: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Track ids of the rows of one camera, which are sorted by frame."""
+    out = np.empty(len(frames), np.int64)
+    cuts = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1)).tolist() if len(frames) else []
+    for a, b in zip(cuts, [*cuts[1:], len(frames)], strict=True):
+        out[a:b] = step(state, int(frames[a]), boxes[a:b])
     return out
 
 
-def fold(state: State, camera: int, rows: pd.DataFrame) -> pd.DataFrame:
-    """All rows of one camera (frame_index, region, x, y, w, h), in order."""
-    out = []
-    for frame, part in rows.sort_values(["frame_index", "region"]).groupby("frame_index", sort=True):
-        ids = step(state, int(frame), list(part[["x", "y", "w", "h"]].itertuples(index=False, name=None)))
-        out += [(camera, int(frame), int(r), i) for r, i in zip(part["region"], ids, strict=True) if i > 0]
-    return pd.DataFrame(out, columns=["camera_id", "frame_index", "region", "track_id"])
+def with_centroids(regions: DataFrame) -> DataFrame:
+    """The columns that tracking takes; boxes without centroids get their centres."""
+    own = {"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2}
+    placed = regions.withColumns({c: v for c, v in own.items() if c not in regions.columns})
+    return placed.select("camera_id", "frame_index", "region", *(F.col(c).cast("double").alias(c) for c in BOX))
 
 
-def track(regions: DataFrame) -> DataFrame:
-    """(camera_id, frame_index, region, track_id) of regions (camera_id, frame_index, region, x, y, w, h)."""
+def track(regions: DataFrame, width: float = FRAME_WIDTH) -> DataFrame:
+    """(camera_id, frame_index, region, track_id) of regions (camera_id, frame_index, region, x, y, w, h and, if they have
+    them, centroids cx and cy) in frames of `width` pixels."""
 
-    def run(it):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         camera, state, held = None, None, None
-        for pdf in it:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = (pdf["camera_id"].iloc[-1], pdf["frame_index"].iloc[-1]) if len(pdf) else None
-            open_ = (pdf["camera_id"] == last[0]) & (pdf["frame_index"] == last[1]) if last else None
-            held = pdf[open_] if last else None  # a frame's rows may go on in the next batch
-            for c, part in (pdf[~open_] if last else pdf).groupby("camera_id", sort=False):
-                if c != camera:
-                    camera, state = c, State()
-                yield fold(state, int(c), part)
-        if held is not None and len(held):
-            if held["camera_id"].iloc[0] != camera:
-                state = State()
-            yield fold(state, int(held["camera_id"].iloc[0]), held)
-
-    cols = ["camera_id", "frame_index", "region", "x", "y", "w", "h"]
-    return regions.select(*cols).repartition("camera_id").sortWithinPartitions("camera_id", "frame_index", "region").mapInPandas(run, OUT)
-
-
-def suppress(boxes: DataFrame, overlap: float = 0.45) -> DataFrame:
+        for b in it:
+            keys = [b.column(k).to_numpy() for k in range(3)]
+            boxes = np.column_stack([b.column(k).to_numpy() for k in range(3, 9)])
+            if held is not None:
+                keys, boxes = [np.concatenate(x) for x in zip(held[0], keys, strict=True)], np.concatenate([held[1], boxes])
+            if not len(boxes):
+                continue
+            # A frame's rows may go on in the next batch.
+            before = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]))
+            end = int(before[-1]) + 1 if len(before) else 0
+            held = [k[end:] for k in keys], boxes[end:]
+            camera, state, ids = _fold_cameras(camera, state, [k[:end] for k in keys], boxes[:end], width)
+            yield pa.record_batch([*(pa.array(k[:end]) for k in keys), pa.array(ids)], names=_names)
+        if held is not None:
+            ids = _fold_cameras(camera, state, *held, width)[2]
+            yield pa.record_batch([*(pa.array(k) for k in held[0]), pa.array(ids)], names=_names)
+
+    rows = with_centroids(regions).withColumns({c: F.col(c).cast("long") for c in _names[:3]})
+    return rows.repartition("camera_id").sortWithinPartitions("camera_id", "frame_index", "region").mapInArrow(run, OUT)
+
+
+_names = [c.split()[0] for c in OUT.split(", ")]
+
+
+def _fold_cameras(camera, state, keys, boxes, width):
+    """(last camera, its state, ids) of rows sorted by camera and frame, going on from a camera's state."""
+    ids = np.empty(len(boxes), np.int64)
+    cuts = np.flatnonzero(np.diff(keys[0], prepend=keys[0][:1] - 1)).tolist() if len(boxes) else []
+    for a, b in zip(cuts, [*cuts[1:], len(boxes)], strict=True):
+        if camera is None or keys[0][a] != camera:
+            camera, state = keys[0][a], State(width)
+        ids[a:b] = fold(state, keys[1][a:b], boxes[a:b])
+    return camera, state, ids
+
+
+def suppress(boxes: DataFrame, most: float = 0.45) -> DataFrame:
     """Non-maximum suppression within each (image, label) of boxes (image, label, box, score, x, y, w, h): the best box
-    stays, those that overlap it by more than `overlap` go, and so on."""
+    stays, those that overlap it by more than `most` go, and so on."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = list(pdf.sort_values(["score", "box"], ascending=[False, True]).itertuples(index=False))
-        kept = []
-        while rest:
-            best = rest.pop(0)
+        rows = pdf.sort_values(["score", "box"], ascending=[False, True])
+        b, kept = rows[["x", "y", "w", "h"]].to_numpy(float), []
+        left = np.arange(len(b))
+        while len(left):
+            best, left = left[0], left[1:]
             kept.append(best)
-            rest = [r for r in rest if _iou((best.x, best.y, best.w, best.h), (r.x, r.y, r.w, r.h)) <= overlap]
-        return pd.DataFrame(kept, columns=pdf.columns)
+            left = left[overlap(b[best : best + 1], b[left])[0] <= most]
+        return rows.iloc[kept]
 
     return boxes.groupBy("image", "label").applyInPandas(run, boxes.schema)

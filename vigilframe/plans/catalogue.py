@@ -226,10 +226,11 @@ def nearest_approach_closest_pair(spark, d):
     return _rounded(best.select("event", "best.*"), distance_m=2, corridor_m=2)
 
 
-@entry(f"WITH {m.READING} SELECT sequence, round(1 - (1 - max(confidence)) * coalesce(exp(sum(ln(1 - 0.7 * confidence)) FILTER (WHERE k > 1)), 1.0), 9) AS joint FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY confidence DESC, event_id) AS k FROM reading) WHERE k <= 5 GROUP BY sequence")
+@entry(f"WITH {m.READING} SELECT sequence, round(1 - (1 - max(confidence)) * coalesce(exp(sum(ln(1 - 0.7 * confidence)) FILTER (WHERE k > 1)), 1.0), 9) AS joint FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY confidence DESC, event_id) AS k FROM reading) GROUP BY sequence")
 def noisy_or_confidence(spark, d):
+    """The best reading of a sequence, supported by all its others."""
     k = F.row_number().over(Window.partitionBy("sequence").orderBy(F.desc("confidence"), "event_id"))
-    r = fixtures.readings(spark, d).select("sequence", "event_id", "confidence").withColumn("k", k).filter("k <= 5")
+    r = fixtures.readings(spark, d).select("sequence", "event_id", "confidence").withColumn("k", k)
     others = F.product(F.when(F.col("k") > 1, 1 - scoring.SUPPORTER_SHARE * F.col("confidence")))
     return r.groupBy("sequence").agg(F.round(1 - (1 - F.max("confidence")) * F.coalesce(others, F.lit(1.0)), 9).alias("joint"))
 
@@ -397,17 +398,17 @@ def evidence_terms(spark, d):
 
 
 _RULES = [
-    ("CLOUD_TRANSLATION", "frames >= 3 AND anchor < 0.28 AND centroid_drift > 6 AND area_ratio >= 0.55 AND area_ratio <= 1.8", "CASE WHEN base_below < -0.05 * 683.0 THEN 0.85 ELSE 0.7 END"),
-    ("AIRBORNE", "base_below < -0.05 * 683.0 AND top_rise < 3", "0.75"),
-    ("GROUND_DRIFT", "has_colour AND frames >= 3 AND top_rise < 2 AND horizontal_drift > 5 AND base_below > 0 AND greyness < 0.42", "0.7"),
-    ("ERRATIC_BASE", "frames >= 3 AND base_drift > 12 AND anchor < 0.55", "0.8"),
-    ("STATIC_ARTEFACT", "frames >= 4 AND centroid_drift < 0.6 AND area_ratio >= 0.85 AND area_ratio <= 1.18 AND jitter < 1.5 AND edge_softness < 0.25", "0.8"),
+    ("TOO_BRIEF", "frames < 3", "0.4"),
+    ("HABITUAL_REGION", "clear_frames >= 25 AND use_nuisance AND habituation >= 0.35", "least(0.92, 0.45 + 0.6 * (habituation - 0.35))"),
+    ("BELOW_CAMERA_BASELINE", "NOT (clear_frames >= 25 AND use_nuisance AND habituation >= 0.35) AND clear_frames >= 25 AND use_ceiling AND ceiling > 0 AND support <= ceiling - slack", "0.7"),
     ("FLARE", "mean_luma > 238 AND blown > 0.25", "0.9"),
+    ("STATIC_ARTEFACT", "frames >= 4 AND centroid_drift < 0.6 AND area_ratio >= 0.85 AND area_ratio <= 1.18 AND jitter < 1.5 AND edge_softness < 0.25", "0.8"),
     ("RIDGE_REGISTRATION", "h <= 14 AND abs(base_below) <= 14 AND w > 3 * h AND NOT corrected AND shift > 3", "0.75"),
     ("WEATHER_FRONT", "contrast_ratio < 0.55 AND texture_ratio > 0.75 * contrast_ratio", "0.8"),
-    ("HABITUAL_REGION", "clear_frames >= 25 AND use_nuisance AND habituation >= 0.35", "least(0.92, 0.45 + 0.6 * (habituation - 0.35))"),
-    ("BELOW_CAMERA_BASELINE", "NOT (clear_frames >= 25 AND use_nuisance AND habituation >= 0.35) AND clear_frames >= 25 AND use_ceiling AND ceiling > 0 AND support <= ceiling - slack", "0.7"),
-    ("TOO_BRIEF", "frames < 3", "0.4"),
+    ("AIRBORNE", "base_below < -0.05 * 683.0 AND top_rise < 3", "0.75"),
+    ("CLOUD_TRANSLATION", "frames >= 3 AND anchor < 0.28 AND centroid_drift > 6 AND area_ratio >= 0.55 AND area_ratio <= 1.8", "CASE WHEN base_below < -0.05 * 683.0 THEN 0.85 ELSE 0.7 END"),
+    ("ERRATIC_BASE", "frames >= 3 AND base_drift > 12 AND anchor < 0.55", "0.8"),
+    ("GROUND_DRIFT", "has_colour AND frames >= 3 AND top_rise < 2 AND horizontal_drift > 5 AND base_below > 0 AND greyness < 0.42", "0.7"),
 ]
 _FIRED = ", fired AS (" + " UNION ALL ".join(f"SELECT track_id, {i} AS i, '{c}' AS code, CAST({v} AS DOUBLE) AS conf FROM scored WHERE {w}" for i, (c, w, v) in enumerate(_RULES)) + ")"
 

@@ -104,8 +104,8 @@ def synthetic_incident(spark, d):
     cams = synthetic.ring(spark, 3)
     found = detection.regions(synthetic.frames(cams, synthetic.CENTRE, 14, 6), least=20)
     number = F.regexp_extract("camera_id", r"\d+", 0).cast("long")
-    boxes = found.select(number.alias("camera_id"), F.col("frame_index").cast("long"), F.col("region").cast("long"), *(F.col(c).cast("double") for c in ("x", "y", "w", "h")))
-    tracked = tracker.track(boxes)
+    boxes = found.select(number.alias("camera_id"), F.col("frame_index").cast("long"), F.col("region").cast("long"), *(F.col(c).cast("double") for c in tracker.BOX))
+    tracked = tracker.track(boxes, width=160.0)
     seen = found.withColumn("camera", number).join(tracked.withColumnRenamed("camera_id", "camera"), ["camera", "frame_index", "region"])
     w = Window.partitionBy("camera_id").orderBy(F.desc("n"), F.desc("area"))
     longest = seen.withColumn("n", F.count("*").over(Window.partitionBy("camera_id", "track_id"))).withColumn("k", F.row_number().over(w)).filter("k = 1")

@@ -6,6 +6,7 @@ import bisect
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +15,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import tracker
 
 
-def track(regions: DataFrame) -> DataFrame:
+def _timeout(idle_s: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def track(regions: DataFrame, width: float = tracker.FRAME_WIDTH, idle_s: int | None = None) -> DataFrame:
     """tracker.track() of a stream: the same step, with a camera's open tracks as state. Frames that come after a newer
-    one of their camera was folded get no track; those of one micro-batch are folded in order."""
+    one of their camera was folded get no track; those of one micro-batch are folded in order. With idle_s, the state of
+    a camera that sends nothing for so many seconds is dropped, and its tracks with it (for streams that run on: timeouts
+    keep a stream that ends with its input from ending)."""
 
     def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = tracker.State()
+        if group.hasTimedOut:
+            group.remove()
+            return
+        state = tracker.State(width)
         if group.exists:
-            held, state.next_id, state.last_frame = json.loads(group.get[0])
-            state.tracks = {int(k): [tuple(b), m] for k, (b, m) in held}
-        rows = pd.concat(list(batches), ignore_index=True)
-        out = tracker.fold(state, int(key[0]), rows)
-        group.update((json.dumps([[(k, v) for k, v in state.tracks.items()], state.next_id, state.last_frame]),))
-        yield out
+            ids, boxes, missed, state.next_id, state.last_frame = json.loads(group.get[0])
+            state.tracks, state.missed = np.array(ids, np.int64), np.array(missed, np.int64)
+            state.boxes = np.array(boxes, float).reshape(-1, 6)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["frame_index", "region"])
+        rows["track_id"] = tracker.fold(state, rows["frame_index"].to_numpy(), rows[list(tracker.BOX)].to_numpy(float))
+        group.update((json.dumps([state.tracks.tolist(), state.boxes.tolist(), state.missed.tolist(), state.next_id, state.last_frame]),))
+        if idle_s is not None:
+            group.setTimeoutDuration(1000 * idle_s)
+        yield rows.loc[rows["track_id"] > 0, ["camera_id", "frame_index", "region", "track_id"]]
 
-    cols = ["camera_id", "frame_index", "region", "x", "y", "w", "h"]
-    return regions.select(*cols).groupBy("camera_id").applyInPandasWithState(run, tracker.OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    grouped = tracker.with_centroids(regions).groupBy("camera_id")
+    return grouped.applyInPandasWithState(run, tracker.OUT, "state string", "append", _timeout(idle_s))
 
 
 def _new(runs: list[list[int]], frame: int) -> bool:
@@ -47,13 +60,18 @@ def _new(runs: list[list[int]], frame: int) -> bool:
     return True
 
 
-def growth(observations: DataFrame) -> DataFrame:
+def growth(observations: DataFrame, idle_s: int | None = None) -> DataFrame:
     """(track_id, frames, area_slope, area_ratio) of tracks after each trigger, over all their observations. A late one
     counts at its time; a frame seen before is ignored, however long ago. A track's state holds running means and sums of
-    products, its first and last area, and its frame numbers as runs: a few numbers where frames leave no gaps."""
+    products, its first and last area, and its frame numbers as runs: a few numbers where frames leave no gaps. With idle_s,
+    that of a track without rows for so many seconds is dropped, as in track(). A frame seen before is taken for a repetition whether or not it is late:
+    what a source sends twice counts once."""
     out = "track_id long, frames long, area_slope double, area_ratio double"
 
     def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         n, mx, my, var, cov, first, last, runs = json.loads(group.get[0]) if group.exists else (0, 0.0, 0.0, 0.0, 0.0, None, None, [])
         for pdf in batches:
             for f, x, y in zip(pdf["frame_index"].tolist(), pdf["minute"].tolist(), pdf["area"].tolist(), strict=True):
@@ -66,9 +84,11 @@ def growth(observations: DataFrame) -> DataFrame:
                 own = [x, int(f), y]
                 first, last = min(first or own, own), max(last or own, own)
         group.update((json.dumps([n, mx, my, var, cov, first, last, runs]),))
+        if idle_s is not None:
+            group.setTimeoutDuration(1000 * idle_s)
         yield pd.DataFrame({"track_id": [int(key[0])], "frames": [n], "area_slope": [cov / var if var >= 1e-9 else 0.0], "area_ratio": [last[2] / max(first[2], 1.0)]})
 
-    return observations.select("track_id", "frame_index", "minute", "area").groupBy("track_id").applyInPandasWithState(run, out, "state string", "update", GroupStateTimeout.NoTimeout)
+    return observations.select("track_id", "frame_index", "minute", "area").groupBy("track_id").applyInPandasWithState(run, out, "state string", "update", _timeout(idle_s))
 
 
 def unique_frames(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
