@@ -80,8 +80,11 @@ def test_near_duplicates(docs, k, percent):
     assert {(r.doc_id, r.n_shingles) for r in got} == {(i, len(shingles(t, k))) for i, t, *_ in documents()}
 
 
-def test_near_duplicates_of_a_family(spark):
-    """A chain of edits, and many copies that differ from one text in other places: no link may get lost."""
+@pytest.mark.parametrize("block", [256, 8])
+def test_near_duplicates_of_a_family(spark, monkeypatch, block):
+    """A chain of edits, and many copies that differ from one text in other places: no link may get lost, in families
+    compared whole or key by key."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
     rng, base = np.random.default_rng(7), prose(9, 200).split()
     rows, now = [], list(base)
     for i in range(40):
@@ -96,6 +99,16 @@ def test_near_duplicates_of_a_family(spark):
     assert got == by_brute_force(rows, 3, 85)
 
 
+def test_families_are_dealt_the_cheaper_way(spark):
+    """A chain of keys of two documents key by key, documents that share all keys as a family."""
+    n = 3 * near_duplicates.BLOCK
+    chain = [(k, r, r, 0) for k in range(n) for r in (k, k + 1)]
+    dense = [(n + k, 10**6 + r, r, 1) for k in range(5) for r in range(n)]
+    keyed = spark.createDataFrame(chain + dense, "key long, rep long, c long, family long")
+    got = near_duplicates._dealt(keyed.select("rep", "c", "family").distinct(), keyed).groupBy("by_key").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"))
+    assert {(r.by_key, r.n, r.blocks) for r in got.collect()} == {(True, 2 * n, 1), (False, n, 3)}
+
+
 def test_keys_hold_the_pigeonhole_promise():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, (200, near_duplicates.CHUNKS * near_duplicates.WIDTH)).astype(np.uint64)

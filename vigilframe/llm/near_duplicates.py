@@ -109,24 +109,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _between(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between documents that share a key and lie in different components of `found`; as many as join them.
 
-    Documents that keys connect are a family. A family's sets are compared in blocks, by products of their incidence
-    matrices, so that pairs don't become rows.
+    Documents that keys connect are a family. Sets are compared in blocks, by products of their incidence matrices, so that
+    pairs don't become rows: those of a family, or where that copies fewer sets, as in a chain of templates, those of each
+    of its keys.
     """
     placed = buckets.join(found, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("hub")).filter("x != y").select("key", "hub")
-    placed = store.save(placed.join(mixed, "key").select("rep", "c", "hub").distinct(), "placed", compact=True)
+    placed = store.save(placed.join(mixed, "key"), "placed", compact=True)
     if placed.isEmpty():
         return None
     family = components(placed.select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a != b").distinct())
-    member = store.save(placed.select("rep", "c").distinct().join(family, F.col("rep") == F.col("id")).select("rep", "c", F.col("component").alias("family")), "families", compact=True)
-    size = member.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = member.join(size, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    own = family.select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    member = store.save(placed.select("rep", "c").distinct().join(own, "rep"), "families", compact=True)
+    dealt = _dealt(member, placed.select("key", "rep", "c").join(member.select("rep", "family"), "rep"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    paired = paired.join(sets, F.col("rep") == F.col("id")).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "hashes")
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    paired = paired.join(sets, F.col("rep") == F.col("id")).select("by_key", "group", i, j, "own", "rep", "c", "hashes")
 
     def compare(it):
         a, b = [], []
-        for (_, i, j), (own, rep, c, hashes) in textkit.runs(it, 3):
+        for (_, _, i, j), (own, rep, c, hashes) in textkit.runs(it, 4):
             side, c = np.array(own) == j, np.array(c)
             left, right = (np.arange(len(rep)),) * 2 if i == j else (np.flatnonzero(~side), np.flatnonzero(side))
             if len(left) and len(right) and c.min() != c.max():
@@ -137,11 +140,24 @@ def _between(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int
                     o.extend(v.tolist())
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    group = ["family", "i", "j"]
+    group = ["by_key", "group", "i", "j"]
     more = store.save(paired.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long"), "links")
     return None if more.isEmpty() else more
 
 
+def _dealt(member: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(by_key, group, blocks, rep, c): of each family in member (rep, c, family) its members, or of each of its keys in
+    keyed (key, rep, c, family) those, whichever makes fewer copies of sets."""
+    n, blocks = F.count("*"), F.ceil(F.count("*") / F.lit(BLOCK))
+    whole = member.groupBy("family").agg(blocks.alias("blocks"), (n * blocks).alias("copies"))
+    keys = keyed.groupBy("key").agg(blocks.alias("blocks"), (n * blocks).alias("copies"), F.first("family").alias("family"))
+    parts = keys.groupBy("family").agg(F.sum("copies").alias("key_copies"))
+    chosen = whole.join(parts, "family").withColumn("by_key", F.col("key_copies") < F.col("copies")).select("family", "blocks", "by_key")
+    by_family = member.join(chosen.filter("not by_key"), "family").select("by_key", F.col("family").alias("group"), "blocks", "rep", "c")
+    by_key = keyed.join(chosen.filter("by_key").select("family", "by_key"), "family").join(keys.select("key", "blocks"), "key")
+    return by_family.unionByName(by_key.select("by_key", F.col("key").alias("group"), "blocks", "rep", "c"))
+
+
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of all sets, and of the intersections of those at left with those at right."""
     size = np.array([len(s) for s in sets])
