@@ -285,3 +285,105 @@ def test_plane_tilt(spark):
         c, s = np.cos(np.radians(tilt)), np.sin(np.radians(tilt))
         h = k @ np.array([[1, 0, 0], [0, c, 0], [0, s, 500.0]]).astype(float)
         assert value(spark, measures.plane_tilt([L(float(x)) for x in h.ravel()], L(800.0), L(320.0), L(240.0))) == pytest.approx(tilt, abs=1e-6)
+
+
+def test_lookup_and_sets(spark):
+    from vigilframe.operators import network, sets
+    from vigilframe.plans import analysers
+
+    rows = spark.createDataFrame([(1, 5), (2, 7)], "camera_id long, t long")
+    assert network.one(rows, "camera_id", 2).first().t == 7
+    with pytest.raises(KeyError, match="no camera_id 3"):
+        network.one(rows, "camera_id", 3)
+    assert [r.t for r in network.before(rows, "t", 7).collect()] == [5]
+    assert sets.concatenated([rows, rows.withColumn("x", L(1))]).filter("x is null").count() == 2
+    analysers.register("twice", lambda df, n=2: df.limit(n))
+    assert analysers.analyse("twice", rows, n=1).count() == 1 and "regions" in analysers.names()
+    with pytest.raises(KeyError, match="no analyser"):
+        analysers.analyse("none", rows)
+
+
+def test_more_pixels():
+    mask = np.zeros((40, 60), bool)
+    mask[5:8, 5:35] = mask[20:30, 10:20] = mask[35, 50:55] = True
+    kept = pixels.elongated(mask)
+    assert kept[6, 20] and not kept[25, 15] and not kept[35, 52]
+    image = np.arange(400).reshape(20, 20)
+    assert pixels.crop(image, 2, 3, 4, 5).shape == (16, 14) and pixels.crop(image, 15, 15, 5, 5).shape == (13, 13)
+
+
+def test_bundles_come_back(spark, tmp_path):
+    """Written with bitmaps and a manifest, read by the readers and decoded by the engine."""
+    from vigilframe.sources import archives
+
+    cams = synthetic.ring(spark, 2)
+    frames = synthetic.frames(cams, synthetic.CENTRE, 3, 1).withColumns({"incident": L(7), "ts": F.timestamp_seconds(1600000000 + 60 * F.col("frame_index"))})
+    row = sinks.bundles(frames, cams).first()
+    (tmp_path / "i.zip").write_bytes(row.archive)
+    back, listed = archives.load(spark, f"file://{tmp_path}/i.zip")
+    rows = listed.orderBy("camera_id", "frame_index").collect()
+    assert back.count() == 2 and len(rows) == 6 and not any(r.problem for r in rows)
+    (tmp_path / "img").mkdir()
+    for k, r in enumerate(rows):
+        (tmp_path / "img" / f"{k}.bmp").write_bytes(r.content)
+    want = {(r.camera_id, r.frame_index): r.data for r in frames.collect()}
+    got = {int(r.path.rpartition("/")[2][:-4]): r.data for r in readers.images(spark, f"file://{tmp_path}/img").collect()}
+    assert all(got[k] == want[r.camera_id, r.frame_index] for k, r in enumerate(rows))
+    (tmp_path / "img" / "bad.bmp").write_bytes(b"no image")
+    assert readers.images(spark, f"file://{tmp_path}/img", skip_invalid=True).count() == 6
+    with pytest.raises(Exception, match="not an image"):
+        readers.images(spark, f"file://{tmp_path}/img").collect()
+
+
+def test_frozen_model(spark):
+    """Frames that don't teach the model are judged alike however often they come."""
+    from vigilframe.operators import detection
+
+    quiet, smoke = [synthetic.render(3, i, None, 99) for i in range(8)], synthetic.render(3, 8, 80.0, 4)
+    df = readers.sequence(spark, "c", [*quiet, smoke, smoke, smoke])
+    strip = lambda rows: {f: sorted((r.x, r.y, r.w, r.h, r.area) for r in rows if r.frame_index == f) for f in (8, 9, 10)}
+    frozen = strip(detection.regions(df, least=20, learn_until=8).collect())
+    assert frozen[8] and frozen[8] == frozen[9] == frozen[10]
+    assert frozen[8] == strip(detection.regions(df, least=20).collect())[8]
+
+
+def test_alerts_are_located(spark):
+    place = (33.3, -116.85)
+    log = [(1, i, t, "alert", "alerted", "crossed_bearings", c, 0.9) for i, (t, c) in enumerate([(0, 1), (1, 1), (2, 1)])] + [(1, 3, 3, "transition", "watch", "faded", 1, 0.2)]
+    log = spark.createDataFrame(log, escalation.OUT)
+
+    def ray(tick, camera, lat, lon, bearing):
+        return (1, tick, 1, camera, lat, lon, bearing, 1.5, 40_000.0)
+
+    def aim(lat, lon):
+        from vigilframe.functions import geo
+
+        return value(spark, geo.bearing_between(L(lat), L(lon), L(place[0]), L(place[1])))
+
+    a, b = (33.2, -116.9), (33.25, -116.7)
+    rays = [ray(0, 1, *a, aim(*a)), ray(0, 2, *b, aim(*b)), ray(1, 1, *a, 10.0), ray(1, 2, *b, 12.0), ray(2, 1, *a, 10.0)]
+    rays = spark.createDataFrame(rays, "incident long, tick long, origin long, camera_id long, lat double, lon double, bearing double, sigma double, range_m double")
+    got = {r.tick: r for r in escalation.locate(log, rays).collect()}
+    assert set(got) == {0, 1, 2}
+    assert (got[0].lat, got[0].lon) == pytest.approx(place, abs=2e-3) and got[0].refusal is None and "cross" in got[0].headline
+    assert got[1].refusal == "RAYS_TOO_PARALLEL" and got[1].lat is None and got[1].nearest_m > 0
+    assert got[2].refusal == "TOO_FEW_RAYS" and got[2].n_rays == 1 and "bearing 10" in got[2].headline
+
+
+def test_timer(spark):
+    t = sinks.Timer(4)
+    with t.stage("a"):
+        pass
+    with t.stage("a"):
+        pass
+    assert json.loads(sinks.run_record(t.stages(spark)).first().record)["stages"][0]["calls"] == 2
+
+
+def test_tracks_use_width_and_centroids():
+    """Boxes 30 pixels apart match in frames of 1024 pixels and not of 160; centroids count, not centres."""
+    for width, same in ((1024.0, True), (160.0, False)):
+        s = tracker.State(width)
+        first = tracker.step(s, 0, [(0, 0, 10, 10)])
+        assert (tracker.step(s, 1, [(30, 0, 10, 10)]) == first) is same
+    s = tracker.State(160.0)
+    assert tracker.step(s, 0, [(0, 0, 10, 10, 9.0, 9.0)]) == tracker.step(s, 1, [(12, 12, 10, 10, 13.0, 13.0)])

@@ -49,6 +49,14 @@ def habituation(regions: DataFrame, nuisance: DataFrame) -> DataFrame:
     return r.groupBy("region_id").agg(h.alias("habituation")).withColumn("habitual", F.col("habituation") >= HABITUAL)
 
 
+def inject(tracks: DataFrame, pooled: DataFrame, habituation: DataFrame, key: str) -> DataFrame:
+    """tracks (key, camera_id, …) with what the rules ask of a calibration: clear_frames and ceiling of their camera, and
+    their own habituation. A camera without a calibration has seen nothing, so no rule trusts it."""
+    cams = pooled.select("camera_id", "clear_frames", F.col("p95").alias("ceiling"))
+    own = habituation.select(key, "habituation")
+    return tracks.join(cams, "camera_id", "left").join(own, key, "left").na.fill({"clear_frames": 0, "ceiling": 0.0, "habituation": 0.0})
+
+
 def summary(pooled: DataFrame, nuisance: DataFrame) -> DataFrame:
     busy = nuisance.filter(F.col("share") >= HABITUAL).select("camera_id").distinct().withColumn("busy", F.lit(True))
     j = pooled.join(busy, "camera_id", "left")

@@ -50,11 +50,12 @@ def _ordered(frames: DataFrame) -> DataFrame:
     return frames.select("camera_id", "frame_index", "minute", "height", "width", "data").repartition("camera_id").sortWithinPartitions("camera_id", "frame_index")
 
 
-def regions(frames: DataFrame, least: int = 40) -> DataFrame:
+def regions(frames: DataFrame, least: int = 40, learn_until: int | None = None) -> DataFrame:
     """Regions of frames (camera_id, frame_index, minute, height, width, data: grey bytes). A camera's frames stream in
     order through one background; pixels that changed aren't learnt. Each is first moved onto the camera's last frame; the
     mask joins what a mixture of Gaussians takes for foreground to what differs from the background, and is closed and
-    opened before it is labelled."""
+    opened before it is labelled. With learn_until, frames from that number on are judged by the model as it was then:
+    they are examined again without teaching it what they show."""
 
     def run(it):
         camera, model, mixture, last = None, None, None, None
@@ -67,7 +68,9 @@ def regions(frames: DataFrame, least: int = 40) -> DataFrame:
                 if last is not None:
                     dx, dy, _, moved = pixels.align(grey, last)
                     grey = pixels.shift(grey, dx, dy) if moved else grey
-                last = grey
+                learns = learn_until is None or r.frame_index < learn_until
+                last = grey if learns or last is None else last
+                kept = None if learns else mixture.copy()
                 foreground = pixels.close(pixels.open_(mixture.foreground(grey), pixels.ELLIPSE3), pixels.ELLIPSE3, 2)
                 bucket = int(r.minute / 120) % 12
                 change = model.difference(grey, bucket)
@@ -81,7 +84,10 @@ def regions(frames: DataFrame, least: int = 40) -> DataFrame:
                     mask = pixels.open_(pixels.close(mask, pixels.ELLIPSE5, 2), pixels.ELLIPSE5)
                     for k, m in enumerate(pixels.regions(mask, grey, sky, least)):
                         out.append({"camera_id": camera, "frame_index": r.frame_index, "minute": r.minute, "region": k} | m)
-                model.learn(grey, bucket, None if mask is None else ~mask)
+                if learns:
+                    model.learn(grey, bucket, None if mask is None else ~mask)
+                else:
+                    mixture = kept
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REGION.split(", ")])
 
     return _ordered(frames).mapInPandas(run, REGION)

@@ -11,8 +11,11 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import measures
 from ..functions.scoring import CONFIRM_AT, SUPPORTER_SHARE, SUSPECT_AT
+from . import fixes
 
 #: Fixed values.
 ROUNDS, ESCALATE_FRAMES, CAP = 3, 4, 0.99
@@ -126,3 +129,24 @@ def escalate(sweeps: DataFrame) -> DataFrame:
 
 
 _names = [c.split()[0] for c in OUT.split(", ")]
+
+
+def locate(log: DataFrame, rays: DataFrame) -> DataFrame:
+    """Alerts of a log with where they are: incident, seq, tick, camera_id, state, cause, confidence, headline, n_rays,
+    refusal (of fixes.cross), lat, lon, residual_m, and nearest_m, how close the two closest rays come where they don't
+    cross. rays (incident, tick, origin, camera_id, lat, lon, bearing, sigma, range_m) are the lines of sight of each
+    reading: its camera's own and those of cameras that support it, a few for each.
+    """
+    own = ["incident", "seq", "tick", "camera_id", "state", "cause", "confidence"]
+    alerts = log.filter("kind = 'alert'").select(*own, F.concat_ws("-", "incident", "seq").alias("alert"))
+    seen = alerts.select("alert", "incident", "tick", F.col("camera_id").alias("origin"), "cause").join(rays, ["incident", "tick", "origin"])
+    seen = seen.filter((F.col("cause") == "crossed_bearings") | (F.col("camera_id") == F.col("origin")))  # others didn't count
+    fix = fixes.cross(seen.select("alert", "camera_id", "lat", "lon", "bearing", "sigma", "range_m"), "alert")
+    a, b = ({c: F.col(f"{p}_{c}") for c in ("lat", "lon", "bearing", "sigma")} for p in "ab")
+    sides = [seen.select("alert", *(F.col(c).alias(f"{p}_{c}") for c in ("camera_id", "lat", "lon", "bearing", "sigma"))) for p in "ab"]
+    near = sides[0].join(sides[1], "alert").filter("a_camera_id < b_camera_id").groupBy("alert").agg(F.min(fixes.approach(a, b)["distance_m"]).alias("nearest"))
+    aim = seen.filter("camera_id = origin").groupBy("alert").agg(F.first("bearing").alias("bearing"))
+    out = alerts.join(fix, "alert", "left").join(near, "alert", "left").join(aim, "alert", "left")
+    said = measures.headline(F.col("state"), F.col("lat").isNotNull(), F.col("bearing").isNotNull(), F.lit("in view"), F.col("camera_id"), F.col("bearing"))
+    missed = F.when(F.col("refusal").isNotNull(), F.col("nearest")).alias("nearest_m")
+    return out.select(*own, said.alias("headline"), F.coalesce("n_rays", F.lit(0)).alias("n_rays"), "refusal", "lat", "lon", "residual_m", missed)

@@ -34,6 +34,17 @@ def sequence_scores(readings: DataFrame, threshold: float = SUSPECT_AT) -> DataF
     )
 
 
+def diagnostics(readings: DataFrame) -> DataFrame:
+    """(sequence, unusable, mean_ms, reasons) of readings (sequence, usable, ms, reason): unusable frames, mean processing
+    time, and how often each reason was given, as `code:n` in order. Counted by reason first, so that a long sequence is
+    a few rows."""
+    by_reason = readings.groupBy("sequence", "reason").agg(F.count("*").alias("n"), F.count_if(~F.col("usable")).alias("unusable"), F.sum("ms").alias("ms"))
+    listed = F.array_sort(F.collect_list(F.struct("reason", "n")))  # a row a reason
+    one = by_reason.groupBy("sequence").agg(F.sum("unusable").alias("unusable"), (F.sum("ms") / F.sum("n")).alias("mean_ms"), listed.alias("r"))
+    named = F.transform(F.filter("r", lambda x: x["reason"].isNotNull()), lambda x: F.concat(x["reason"], F.lit(":"), x["n"].cast("string")))
+    return one.select("sequence", "unusable", "mean_ms", F.array_join(named, ",").alias("reasons"))
+
+
 def _swept(rows: DataFrame, once: dict[str, Column], each) -> DataFrame:
     """A row per sequence and threshold, from one aggregate a sequence: the columns `once`, and those that each(threshold)
     names. Readings aren't multiplied by thresholds."""

@@ -96,6 +96,19 @@ def history(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= n)
 
 
+def before(rows: DataFrame, order: str, when) -> DataFrame:
+    """Rows that lie before `when`."""
+    return rows.filter(F.col(order) < F.lit(when))
+
+
+def one(rows: DataFrame, key: str, value) -> DataFrame:
+    """The rows of a key's value; KeyError, naming it, where there are none."""
+    found = rows.filter(F.col(key) == F.lit(value))
+    if found.isEmpty():
+        raise KeyError(f"no {key} {value!r}")
+    return found
+
+
 def bounds(cameras: DataFrame) -> DataFrame:
     """Zeros without cameras."""
     return cameras.agg(*(F.coalesce(f(c), F.lit(0.0)).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures
@@ -40,6 +42,16 @@ def only(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
     return rows.join(named.select(key).distinct(), key, "left_semi")
 
 
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """Sets of sequences behind each other; columns that one of them lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def merged(early: Column, late: Column) -> Column:
+    """Two maps as one; where both have a key, the later map's value counts."""
+    return F.map_concat(F.map_filter(early, lambda k, v: ~F.array_contains(F.map_keys(late), k)), late)
+
+
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row: counts of the four outcomes, accuracy, precision and recall (0 where they have no base)."""
     t, p = F.col(truth) == 1, F.col(predicted) == 1

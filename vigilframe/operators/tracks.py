@@ -35,19 +35,58 @@ def growth(observations: DataFrame) -> DataFrame:
         _slope("area").alias("area_slope"), (-_slope("top_y")).alias("top_rise"), travel("base_cx", "base_cy").alias("base_drift"), travel("cx", "cy").alias("centroid_drift"),
         F.abs(_slope("cx")).alias("horizontal_drift"), _slope("w").alias("width_growth"), F.coalesce(F.avg("kept"), F.lit(1.0)).alias("monotonic"), F.when(F.count("*") >= 3, F.median("step")).otherwise(0.0).alias("jitter"),
     )
-    single = F.col("frames") < 2
-    rise = F.greatest("top_rise", F.lit(0.0))
-    g = g.withColumns({"area_ratio": F.when(single, 1.0).otherwise(F.col("area_last") / F.greatest("area_first", F.lit(1.0))), "anchor": F.when(rise + F.col("base_drift") > 1e-6, rise / (rise + F.col("base_drift"))).otherwise(0.0)})
-    return g
+    return _with_ratios(g)
 
 
 def growth_so_far(observations: DataFrame) -> DataFrame:
-    """Area slope and ratio as of each frame of a track."""
-    w = Window.partitionBy("track_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count("*").over(w)
-    cov = F.sum(F.col("minute") * F.col("area")).over(w) - F.sum("minute").over(w) * F.sum("area").over(w) / n
-    var = F.sum(F.col("minute") * F.col("minute")).over(w) - F.sum("minute").over(w) * F.sum("minute").over(w) / n
-    return observations.select("track_id", "frame_index", n.alias("frames"), F.when(var < 1e-9, 0.0).otherwise(cov / var).alias("area_slope"), (F.col("area") / F.greatest(F.first("area").over(w), F.lit(1.0))).alias("area_ratio"))
+    """growth() of a track as of each of its frames: track_id, frame_index and all of growth()'s columns.
+
+    Sums and slopes run along one sorted window; medians of the first and last third need the rows so far as an array,
+    which is bounded by a track's length (a track closes after missed frames).
+    """
+    by_frame = Window.partitionBy("track_id").orderBy("frame_index")
+    w = by_frame.rowsBetween(Window.unboundedPreceding, 0)
+    gain = F.col("area") - F.lag("area").over(by_frame)
+    o = observations.withColumns({
+        "kept": (gain >= -0.02 * F.lag("area").over(by_frame)).cast("double"),
+        "step": F.hypot(*(F.col(c) - F.lag(c).over(by_frame) for c in ("base_cx", "base_cy"))),
+    })
+    so_far = F.collect_list(F.struct("minute", "base_cx", "base_cy", "cx", "cy", "step")).over(w)
+    o = o.withColumns({"frames": F.count("*").over(w), "rows": so_far})
+    third = F.greatest(F.lit(1), F.floor(F.col("frames") / 3)).cast("int")
+    early, late = F.slice("rows", F.lit(1), third), F.slice("rows", F.col("frames").cast("int") - third + 1, third)
+
+    def gone(c: str) -> Column:
+        return _median(F.transform(late, lambda x: x[c])) - _median(F.transform(early, lambda x: x[c]))
+
+    def slope(y: str) -> Column:
+        steady = F.col("frames") * F.var_pop("minute").over(w) < 1e-9
+        return F.when(steady, 0.0).otherwise(F.coalesce(F.regr_slope(y, "minute").over(w), F.lit(0.0)))
+
+    minutes = F.when(gone("minute") <= 1e-6, F.max("minute").over(w) - F.min("minute").over(w)).otherwise(gone("minute"))
+
+    def travel(x: str, y: str) -> Column:
+        return F.when((F.col("frames") >= 2) & (minutes > 1e-6), F.hypot(gone(x), gone(y)) / minutes).otherwise(0.0)
+
+    first = {c: F.first(c).over(w) for c in ("minute", "area")}
+    g = o.select(
+        "track_id", "frame_index", "frames",
+        (F.col("minute") - first["minute"]).alias("span_min"), first["area"].alias("area_first"), F.col("area").alias("area_last"),
+        slope("area").alias("area_slope"), (-slope("top_y")).alias("top_rise"),
+        travel("base_cx", "base_cy").alias("base_drift"), travel("cx", "cy").alias("centroid_drift"),
+        F.abs(slope("cx")).alias("horizontal_drift"), slope("w").alias("width_growth"),
+        F.coalesce(F.avg("kept").over(w), F.lit(1.0)).alias("monotonic"),
+        F.when(F.col("frames") >= 3, _median(F.transform(F.slice("rows", 2, F.col("frames").cast("int")), lambda x: x["step"]))).otherwise(0.0).alias("jitter"),
+    )
+    return _with_ratios(g)
+
+
+def _with_ratios(g: DataFrame) -> DataFrame:
+    """Growth's columns that follow from others."""
+    rise = F.greatest("top_rise", F.lit(0.0))
+    ratio = F.col("area_last") / F.greatest("area_first", F.lit(1.0))
+    anchor = F.when(rise + F.col("base_drift") > 1e-6, rise / (rise + F.col("base_drift"))).otherwise(0.0)
+    return g.withColumns({"area_ratio": F.when(F.col("frames") < 2, 1.0).otherwise(ratio), "anchor": anchor})
 
 
 def trailing_median(frames: DataFrame, key: str, order: str, value: str, n: int = 12, least: int = 4) -> DataFrame:

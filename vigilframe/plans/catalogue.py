@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, names, scoring
-from ..operators import calibration, evaluation, fixes, network, tracks
+from ..operators import calibration, evaluation, fixes, network, sets, tracks
 from ..sources import fixtures
 from . import macros as m
 
@@ -363,9 +363,13 @@ def track_growth(spark, d):
     return _rounded(g.select("track_id", "frames", "area_first", "area_last", *_GROWN), **dict.fromkeys(_GROWN, 6))
 
 
-@entry(f"WITH {m.OBSERVATION}, g AS (SELECT track_id, frame_index, count(*) OVER w AS frames, sum(minute * area) OVER w - sum(minute) OVER w * sum(area) OVER w / count(*) OVER w AS cov, sum(minute * minute) OVER w - sum(minute) OVER w * sum(minute) OVER w / count(*) OVER w AS v, area / greatest(first_value(area) OVER w, 1.0) AS area_ratio FROM observation WINDOW w AS (PARTITION BY track_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING)) SELECT track_id, frame_index, frames, round(CASE WHEN v < 1e-9 THEN 0.0 ELSE cov / v END, 5) AS area_slope, round(area_ratio, 9) AS area_ratio FROM g")
+_SO_FAR = f"""{m.OBSERVATION.replace('observation AS', 'base AS', 1)}, observation AS (SELECT a.track_id * 100 + a.frame_index AS track_id, b.* EXCLUDE (track_id) FROM base a JOIN base b ON a.track_id = b.track_id AND b.frame_index <= a.frame_index){_GROW[len(m.OBSERVATION):]}"""
+
+
+@entry(f"WITH {_SO_FAR} SELECT track_id // 100 AS track_id, track_id % 100 AS frame_index, frames, area_first, area_last, {', '.join(f'round({c}, 5) AS {c}' for c in _GROWN)} FROM growth")
 def growth_as_of_frame(spark, d):
-    return _rounded(tracks.growth_so_far(fixtures.observations(spark, d)), area_slope=5, area_ratio=9)
+    g = tracks.growth_so_far(fixtures.observations(spark, d))
+    return _rounded(g.select("track_id", "frame_index", "frames", "area_first", "area_last", *_GROWN), **dict.fromkeys(_GROWN, 5))
 
 
 _REGION = "region AS (SELECT g.*, track_id % 3 <> 0 AS has_colour, (track_id * 7 % 100) / 60.0::DOUBLE AS texture_ratio, CAST(track_id * 11 % 80 - 40 AS DOUBLE) AS base_below, (track_id * 13 % 100) / 100.0::DOUBLE AS edge_softness, (track_id * 17 % 100) / 80.0::DOUBLE AS saturation_ratio, (track_id * 19 % 100) / 100.0::DOUBLE AS greyness, CAST(track_id * 23 % 256 AS DOUBLE) AS mean_luma, (track_id * 29 % 100) / 100.0::DOUBLE AS blown, CAST(3 + track_id * 31 % 30 AS DOUBLE) AS h, CAST(3 + track_id * 37 % 90 AS DOUBLE) AS w, CAST(track_id * 41 % 60 AS BIGINT) AS clear_frames, track_id % 2 = 0 AS use_nuisance, (track_id * 43 % 100) / 100.0::DOUBLE AS habituation, track_id % 5 = 0 AS use_ceiling, (track_id * 47 % 100) / 100.0::DOUBLE AS ceiling, 0.05::DOUBLE AS slack, track_id % 4 = 0 AS corrected, CAST(track_id % 7 AS DOUBLE) AS shift, (track_id * 53 % 120) / 100.0::DOUBLE AS contrast_ratio FROM growth g)"
@@ -511,6 +515,61 @@ def sequence_names(spark, d):
     return o.select("id", F.concat_ws("-", F.left(day, F.lit(4)), F.substring(day, 5, 2), F.substring(day, 7, 2)).alias("day"), F.regexp_extract("dir", names.SEQUENCE, 2).alias("camera"), offset.alias("offset_s"), (offset >= 0).alias("smoke"), "clock")
 
 
+_CALIBRATED = f""", p AS (SELECT camera_id, count(*) AS clear, quantile_cont(confidence, 0.95) AS p95 FROM evidence GROUP BY camera_id HAVING count(*) >= 25), plain AS (SELECT * EXCLUDE (clear_frames, habituation, ceiling), track_id % 50 AS camera_id, track_id * 7 % 768 AS cell FROM region),
+ known AS (SELECT plain.*, coalesce(clear, 0) AS clear_frames, coalesce(p95, 0.0) AS ceiling, coalesce(share, 0.0) AS habituation FROM plain LEFT JOIN p USING (camera_id) LEFT JOIN n USING (camera_id, cell))"""
+
+
+@entry(f"WITH {m.EVIDENCE}, {_NUIS}, {_GROW}, {_REGION}{_CALIBRATED}{_SUPPORT.replace('FROM region)', 'FROM known)')}{_FIRED} SELECT s.track_id, coalesce(string_agg(code, ',' ORDER BY conf DESC, i), '') AS codes, any_value(s.clear_frames) AS clear_frames FROM scored s LEFT JOIN fired f USING (track_id) GROUP BY s.track_id")
+def rejections_calibrated(spark, d):
+    """The rules with each camera's own calibration joined to its tracks."""
+    c, e = _Columns(), fixtures.evidence(spark, d)
+    plain = _regions(spark, d).drop("clear_frames", "habituation", "ceiling").withColumn("camera_id", F.col("track_id") % 50)
+    nuisance = calibration.nuisance(e)
+    covered = plain.select(F.col("track_id").alias("region_id"), "camera_id", (F.col("track_id") * 7 % 768).alias("cell"), F.lit(1.0).alias("coverage"))
+    r = calibration.inject(plain, calibration.pool(e), calibration.habituation(covered, nuisance).withColumnRenamed("region_id", "track_id"), "track_id")
+    r = r.withColumn("support", scoring.support(scoring.evidence(c, c, F.lit(_HEIGHT)), F.col("has_colour")))
+    fired = scoring.rejections(c, c, c, F.col("support"), F.lit(_HEIGHT), F.col("has_colour"))
+    return r.select("track_id", F.array_join(F.transform(fired, lambda x: x["code"]), ",").alias("codes"), "clear_frames")
+
+
+@entry(f"WITH {m.READING}, c AS (SELECT sequence, event_type AS code, count(*) AS n, count(*) FILTER (WHERE event_id % 9 = 0) AS unusable, sum(event_id % 400) AS ms FROM reading GROUP BY 1, 2) SELECT sequence, CAST(sum(unusable) AS BIGINT) AS unusable, round(sum(ms) / sum(n)::DOUBLE, 6) AS mean_ms, string_agg(code || ':' || n, ',' ORDER BY code) AS reasons FROM c GROUP BY sequence")
+def sequence_diagnostics(spark, d):
+    k = F.col("event_id")
+    r = fixtures.readings(spark, d).select("sequence", (k % 9 != 0).alias("usable"), (k % 400).alias("ms"), F.col("event_type").alias("reason"))
+    return _rounded(evaluation.diagnostics(r), mean_ms=6)
+
+
+@entry(f"WITH {m.READING} SELECT DISTINCT epoch_s - epoch_s % 60 AS tick FROM reading ORDER BY tick DESC LIMIT 20")
+def timeline_latest(spark, d):
+    """The last 20 ticks: the limit is the feature."""
+    return timeline_distinct(spark, d).orderBy(F.desc("tick")).limit(20)
+
+
+@entry(f"WITH {m.READING} SELECT event_id, epoch_s FROM reading WHERE epoch_s < 1705000000 AND camera_id = (SELECT min(camera_id) FROM camera)")
+def rows_before(spark, d):
+    cams = fixtures.cameras(spark, d)
+    first = cams.agg(F.min("camera_id")).first()[0]
+    own = network.one(cams, "camera_id", first).select("camera_id")
+    return network.before(fixtures.readings(spark, d).join(own, "camera_id", "left_semi"), "epoch_s", 1705000000).select("event_id", "epoch_s")
+
+
+@entry(f"WITH {m.READING}, a AS (SELECT sequence, camera_id FROM reading WHERE offset_s >= 0), b AS (SELECT sequence, camera_id FROM reading WHERE offset_s < 0) SELECT camera_id, count(*) AS n, count(DISTINCT sequence) AS sequences FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY camera_id")
+def sequences_concatenated(spark, d):
+    r = fixtures.readings(spark, d).select("sequence", "camera_id", "offset_s")
+    both = sets.concatenated([r.filter("offset_s >= 0"), r.filter("offset_s < 0")])
+    return both.groupBy("camera_id").agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("sequences"))
+
+
+@entry("SELECT event_id, sha256(props) AS digest, coalesce(CASE WHEN event_id % 3 = 0 THEN event_id % 7 END, event_id % 5) AS a, event_id % 11 AS b FROM events")
+def merged_metrics(spark, d):
+    """A digest of what came in, and metrics merged: those of the later map win."""
+    k = F.col("event_id")
+    early = F.create_map(F.lit("a"), k % 5, F.lit("b"), k % 11)
+    late = F.when(k % 3 == 0, F.create_map(F.lit("a"), k % 7)).otherwise(F.create_map().cast("map<string, bigint>"))
+    both = sets.merged(early, late)
+    return fixtures.table(spark, d, "events").select("event_id", F.sha2("props", 256).alias("digest"), both["a"].alias("a"), both["b"].alias("b"))
+
+
 def queries() -> dict:
     from . import extras, stateful
 

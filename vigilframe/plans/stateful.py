@@ -32,25 +32,52 @@ def box_suppression(spark, d):
     return tracker.suppress(boxes)
 
 
-def _sweeps(spark: SparkSession, d: str) -> DataFrame:
-    """Detections of suspect readings with what their neighbours say."""
+def _said(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Detections of active cameras' readings, and what the cameras that overlook a suspect one say of it."""
     r = fixtures.readings(spark, d).filter("active")
     k = F.col("event_id")
-    own = r.select("event_id", F.col("date").alias("incident"), F.floor(F.col("epoch_s") / 3600).alias("tick"), "camera_id", (F.col("sequence") % 3).alias("track_id"), "confidence", (k % 9).alias("frames"))
+    at = F.col("date").alias("incident"), F.floor(F.col("epoch_s") / 3600).alias("tick")
+    own = r.select("event_id", *at, "camera_id", (F.col("sequence") % 3).alias("track_id"), "confidence", (k % 9).alias("frames"), "lat", "lon", "bearing", "range_m")
     near = network.consultable(r.filter(F.col("confidence") >= scoring.SUSPECT_AT), fixtures.cameras(spark, d))
     said = scoring.answer(F.lit(True), (k + F.col("camera_id")) % 11 == 0, F.col("crossing") - 60.0, (k * 3 % 100) / 100.0, k % 9, tolerance=20.0)
-    answers = near.select("event_id", F.struct("camera_id", said.alias("outcome"), ((k * 3 % 100) / 100.0).alias("confidence")).alias("a")).groupBy("event_id").agg(F.array_sort(F.collect_list("a")).alias("answers"))  # four at most
-    return own.join(answers, "event_id", "left")
+    return own, near.select("event_id", "camera_id", said.alias("outcome"), ((k * 3 % 100) / 100.0).alias("confidence"), "expected")
+
+
+def _sweeps(own: DataFrame, said: DataFrame) -> DataFrame:
+    """Detections with the answers to them, four at most."""
+    answers = said.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("camera_id", "outcome", "confidence"))).alias("answers"))
+    return own.drop("lat", "lon", "bearing", "range_m").join(answers, "event_id", "left")
 
 
 def escalation_log(spark, d):
-    return escalation.escalate(_sweeps(spark, d))
+    return escalation.escalate(_sweeps(*_said(spark, d)))
+
+
+def alert_fixes(spark, d):
+    """Where the alerts are: the rays of each camera's best reading of a tick, and of those that support it."""
+    own, said = _said(spark, d)
+    best = F.row_number().over(Window.partitionBy("incident", "tick", "camera_id").orderBy(F.desc("confidence"), "event_id"))
+    own_best = own.filter(F.col("confidence") >= scoring.SUSPECT_AT).withColumn("k", best).filter("k = 1")
+    mine = own_best.select("incident", "tick", F.col("camera_id").alias("origin"), "camera_id", "lat", "lon", "bearing", "range_m")
+    places = fixtures.cameras(spark, d).select("camera_id", "lat", "lon", "range_m")
+    theirs = said.filter("outcome = 'supported'").join(own_best.select("event_id", "incident", "tick", F.col("camera_id").alias("origin")), "event_id").join(places, "camera_id")
+    rays = mine.unionByName(theirs.select("incident", "tick", "origin", "camera_id", "lat", "lon", F.col("expected").alias("bearing"), "range_m")).withColumn("sigma", F.lit(1.5))
+    return escalation.locate(escalation.escalate(_sweeps(own, said)), rays)
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share; a local one only where all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vigilframe-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _run(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
     """All a stream's input, through a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilframe-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = _fresh(spark, "stream")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/batch_no={n}")
@@ -61,8 +88,7 @@ def _run(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
 
 def late_growth_stream(spark, d):
     """Tracks whose frames come out of order, some twice: the last state of each equals the batch aggregate."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilframe-")
-    at = f"{base.rstrip('/')}/input-{uuid.uuid4().hex}"
+    at = _fresh(spark, "input")
     o = fixtures.observations(spark, d).select("track_id", "frame_index", "minute", "area")
     late = F.pmod(F.xxhash64("track_id", "frame_index"), F.lit(3))
     for n in range(3):
@@ -125,7 +151,7 @@ def scene_usability(spark, d):
 
 
 def queries() -> dict:
-    own = (region_tracks, box_suppression, escalation_log, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability)
+    own = (region_tracks, box_suppression, escalation_log, alert_fixes, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability)
     return {f.__name__: f for f in own}
 
 

@@ -74,8 +74,15 @@ def sampled(stills: DataFrame, interval_s: float) -> DataFrame:
     return s.filter((F.col("frame_index") % F.col("stride") == 0) & (F.col("frame_index") / F.col("stride") < F.col("count"))).drop("n", "count")
 
 
+#: An upload's field of view where none is given, and the widest that is believed.
+UPLOAD_HFOV, MOST_HFOV = 60.0, 180.0
+
+
 def camera(spark: SparkSession, bearing_deg: float | None = None, hfov_deg: float | None = None) -> DataFrame:
-    """The camera of an upload: its aim is known if the caller gave one in range; its position is not."""
+    """The camera of an upload: its aim is known if the caller gave one in range; its position is not. A number out of
+    range isn't used, and refusal says so."""
     aim = bearing_deg is not None and 0 <= bearing_deg <= 360
-    wide = hfov_deg if hfov_deg is not None and 1 <= hfov_deg <= 360 else 90.0
-    return spark.createDataFrame([("upload", "upload", bearing_deg if aim else 0.0, float(wide), False, aim)], "camera_id string, site_id string, azimuth double, hfov double, position_known boolean, aim_known boolean")
+    wide = hfov_deg is not None and 1 <= hfov_deg <= MOST_HFOV
+    refusal = "BEARING_OUT_OF_RANGE" if bearing_deg is not None and not aim else "HFOV_OUT_OF_RANGE" if hfov_deg is not None and not wide else None
+    row = ("upload", "upload", float(bearing_deg) if aim else 0.0, float(hfov_deg) if wide else UPLOAD_HFOV, False, aim, refusal)
+    return spark.createDataFrame([row], "camera_id string, site_id string, azimuth double, hfov double, position_known boolean, aim_known boolean, refusal string")

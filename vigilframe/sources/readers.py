@@ -66,6 +66,16 @@ def stills(spark: SparkSession, folder: str, start: str = "1970-01-01 00:00:00",
     return files.select("path", "content").join(rows, "path").withColumn("ts", names.timestamp(F.col("path")) if good else given)
 
 
+def sequence(spark: SparkSession, camera_id: str, images: list, interval_s: float = 60.0) -> DataFrame:
+    """Frames (camera_id, frame_index, minute, height, width, data) of grey images in memory, interval_s apart."""
+    from ..functions import pixels
+    from . import synthetic
+
+    grey = [pixels.luma(x).round().clip(0, 255).astype("uint8") for x in images]
+    rows = [(camera_id, i, i * interval_s / 60.0, *x.shape, x.tobytes()) for i, x in enumerate(grey)]
+    return spark.createDataFrame(rows, synthetic.FRAME)
+
+
 def archive(spark: SparkSession, root: str, cameras: DataFrame, stride: int = 1, least: int = LEAST_FRAMES) -> DataFrame:
     """Frames of `<date>_FIRE_<camera>/<epoch>_<offset>.jpg` below root: sequence, date, camera_id, offset_s, ts, smoke and
     the camera's columns; every stride-th of sequences of at least `least`. Unknown cameras stay, at (0, 0)."""
@@ -85,8 +95,9 @@ def subset(cameras: DataFrame, ids: DataFrame, still_url: str) -> DataFrame:
     return cameras.join(ids.select("camera_id").distinct(), "camera_id", "left_semi").withColumn("still_url", F.format_string(still_url, "camera_id"))
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, height, width, data) of a folder's images, decoded by the engine and turned to grey bytes."""
+def images(spark: SparkSession, folder: str, skip_invalid: bool = False) -> DataFrame:
+    """(path, height, width, data) of a folder's images, decoded by the engine and turned to grey bytes. One that can't be
+    decoded is an error that names it, unless such are to be skipped."""
     import pandas as pd
 
     from ..functions import pixels
@@ -95,10 +106,13 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
         import numpy as np
 
         for pdf in it:
+            bad = pdf.loc[pdf["height"] <= 0, "origin"]
+            if len(bad):
+                raise ValueError(f"not an image: {bad.iloc[0]}")
             grey = [np.rint(pixels.luma(np.frombuffer(d, np.uint8).reshape(h, w, c)[..., : min(c, 3)].squeeze())).astype(np.uint8).tobytes() for h, w, c, d in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True)]
             yield pd.DataFrame({"path": pdf["origin"], "height": pdf["height"], "width": pdf["width"], "data": grey})
 
-    return spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "path string, height int, width int, data binary")
+    return spark.read.format("image").option("dropInvalid", skip_invalid).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "path string, height int, width int, data binary")
 
 
 def missing(wanted: DataFrame, cached: DataFrame) -> DataFrame:

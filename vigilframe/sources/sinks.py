@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = "1.0"
@@ -24,6 +27,56 @@ def incident(frames: DataFrame, path: str) -> None:
     frames.write.mode("overwrite").partitionBy("camera_id").parquet(path)
 
 
+def bundles(frames: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(incident, archive): each incident of frames (incident, camera_id, frame_index, ts, height, width, data: grey bytes)
+    as a zip with a manifest of its cameras (camera_id, lat, lon, azimuth, hfov) and bitmaps, as readers take it. An
+    incident's frames are bounded (240 a clip), so one task holds one."""
+    import io
+    import json
+    import zipfile
+
+    import numpy as np
+    import pandas as pd
+
+    from ..functions import pixels
+
+    known = F.struct("camera_id", "lat", "lon", F.col("azimuth").alias("azimuth_deg"), F.col("hfov").alias("hfov_deg"))
+    told = frames.join(cameras.select("camera_id", F.to_json(known).alias("camera")), "camera_id")
+    told = told.select("incident", "camera_id", "camera", "frame_index", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "height", "width", "data")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, listed = io.BytesIO(), {}
+        with zipfile.ZipFile(out, "w") as z:
+            for r in pdf.sort_values(["camera_id", "frame_index"]).itertuples(index=False):
+                path = f"frames/{r.camera_id}/{r.frame_index:04d}.bmp"
+                z.writestr(path, pixels.bmp(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)))
+                listed.setdefault(r.camera_id, []).append({"path": path, "timestamp": r.ts})
+            spec = {"cameras": [json.loads(c) for c in sorted(set(pdf["camera"]))]}
+            z.writestr("manifest.json", json.dumps({"name": str(pdf["incident"].iloc[0]), "network": spec, "sequences": listed}))
+        return pd.DataFrame({"incident": pdf["incident"].iloc[:1], "archive": [out.getvalue()]})
+
+    incident = told.schema["incident"].dataType.simpleString()
+    return told.groupBy("incident").applyInPandas(pack, f"incident {incident}, archive binary")
+
+
+class Timer:
+    """Milliseconds and calls by stage, in the form that run_record() takes."""
+
+    def __init__(self, run: int):
+        self.run, self.rows = run, []
+
+    @contextlib.contextmanager
+    def stage(self, name: str):
+        begin = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.rows.append((self.run, name, int(1000 * (time.perf_counter() - begin)), 1, None))
+
+    def stages(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "run long, name string, ms long, calls long, refusal string")
+
+
 def run_record(stages: DataFrame) -> DataFrame:
     """(run, record): stages (run, name, ms, calls, refusal) summed by name, as one JSON text a run."""
     by_name = stages.groupBy("run", "name").agg(F.sum("ms").alias("ms"), F.sum("calls").alias("calls"), F.array_sort(F.collect_set("refusal")).alias("refusals"))
