@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import DATA, matches
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vigilframe.llm import components, embeddings, near_duplicates, queries, store, urls
@@ -42,6 +43,18 @@ def test_embeddings(spark):
     assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_odd_vectors(spark):
+    """Of any size that is finite and not zero; repeated ids; clashing columns; ties."""
+    v = np.random.default_rng(3).normal(size=8)
+    rows = [(1, (v * 1e-200).tolist()), (2, (v * 1e200).tolist()), (3, v.tolist()), (4, (-v).tolist()), (5, [5e-324] * 8), (6, [1e308] * 8), (3, v.tolist()), (7, [1e-200, float("inf")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("rep", "copies", "n_links", "raw", "length")})
+    got = embeddings.links(df).collect()
+    assert len(got) == len(rows)
+    part = {r.vec_id: r.component_id for r in got}
+    assert part == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+    assert {r.n_links for r in got if r.vec_id in (1, 2)} == {3} and {r.n_links for r in got if r.vec_id in (4, 7)} == {0}
+
+
 def test_codes_list_every_filter_above_the_cap():
     codes = embeddings.Codes(10, 16, codes=2)
     x = np.random.default_rng(2).normal(size=(30, 10))

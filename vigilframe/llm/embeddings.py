@@ -59,19 +59,27 @@ class Codes:
         return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
 
 
-def _unit_rows(column: pa.Array) -> tuple[np.ndarray, list]:
-    """(usable, vectors): vectors of finite numbers, not all zero, as float64; None for the others."""
-    out = []
-    for v in column.to_pylist():
-        x = np.array([np.nan if k is None else k for k in v], float) if v is not None else np.zeros(0)
-        with np.errstate(over="ignore"):
-            out.append(x if len(x) and np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0 else None)
-    return np.array([x is not None for x in out], bool), out
+def _usable(column: pa.Array) -> tuple[np.ndarray, list]:
+    """(usable, vectors) of a column of lists: those of finite numbers that aren't all zero are usable, and given as
+    float64; None for the others."""
+    size = column.value_lengths().fill_null(0).to_numpy()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)  # null is NaN
+    ok, ends = np.zeros(len(size), bool), size.cumsum()
+    full = np.flatnonzero(size)
+    if len(full):
+        begin = (ends - size)[full]
+        ok[full] = np.logical_and.reduceat(np.isfinite(values), begin) & np.logical_or.reduceat(values != 0, begin)
+    return ok, [values[e - n : e] if k else None for k, n, e in zip(ok.tolist(), size.tolist(), ends.tolist(), strict=True)]
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors (rows) times a power of two each, so that squares neither over- nor underflow; nothing else changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def _packed(x: np.ndarray) -> bytes:
     """Single precision where that loses nothing."""
-    short = x.astype("<f4") if np.abs(x).max() < 1e38 else None
+    short = x.astype("<f4") if 1e-37 < np.abs(x).max() < 1e38 else None
     return short.tobytes() if short is not None and (short == x).all() else x.tobytes()
 
 
@@ -115,11 +123,11 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vectors of different lengths. Equal vectors link with each other and stand for one. A null vec_id links with nothing
     and has a null component. Other columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
+    spark, begin = vectors.sparkSession, len(store.made)
 
     def classes(it):
         for b in it:
-            ok, rows = _unit_rows(b.column(1))
+            _, rows = _usable(b.column(1))
             digest = [(None, None) if x is None else tuple(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist()) for x in rows]
             yield pa.record_batch([b.column(0), *(pa.array([d[k] for d in digest], pa.int64()) for k in (0, 1)), pa.array([None if x is None else len(x) for x in rows], pa.int64()), pa.array([None if x is None else _packed(x) for x in rows], pa.binary())], names=["vec_id", "h1", "h2", "length", "raw"])
 
@@ -138,8 +146,8 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 for at in range(0, len(own), 256):
                     part = own[at : at + 256]
                     x = np.stack([_vector(raw[i], length) for i in part])
-                    top = np.abs(x).max(1, keepdims=True)
-                    found = codes.decode(x / top / np.sqrt(((x / top) ** 2).sum(1, keepdims=True)))
+                    x = _scaled(x)
+                    found = codes.decode(x / np.sqrt((x * x).sum(1, keepdims=True)))
                     yield pa.record_batch([pa.array([rep[i] for i in part], pa.int64()), pa.array([copies[i] for i in part], pa.int64()), pa.array([length] * len(part), pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array([raw[i] for i in part], pa.binary())], names=["rep", "copies", "length", "filters", "raw"])
 
     listed = store.save(kinds.select("rep", "copies", "length", "raw").mapInArrow(decode, "rep long, copies long, length long, filters array<long>, raw binary"), "filters")
@@ -153,7 +161,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         out = ([], [], [])
         for key, (own, rep, copies, filters, raw) in runs(it, 4):
             if len(rep) > 1:
-                x = np.stack([_vector(r, key[0]) for r in raw])
+                x = _scaled(np.stack([_vector(r, key[0]) for r in raw]))
                 for o, v in zip(out, _compare(key[1], np.array(rep), np.array(copies, np.int64), x, filters, np.array(own) == key[3], key[2] == key[3], cosine), strict=True):
                     o.extend(v)
             if len(out[0]) >= 10_000:
@@ -164,7 +172,8 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     group = ["length", "f", "i", "j"]
     found = store.save(paired.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long, n long"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    joined = components(found.filter("b is not null").select("a", "b").distinct())
+    joined = store.save(components(found.filter("b is not null").select("a", "b").distinct()), "components", compact=True)
+    store.clear(spark, begin, rows, kinds, found, joined)
     of_kind = kinds.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("id"), "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     return rows.select("vec_id", "h1", "h2").join(of_kind, ["h1", "h2"], "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id")).alias("component_id"))
 

@@ -183,6 +183,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     to the links; a null doc_id is linked with nothing and has a null component. Other columns are ignored; an empty
     table gives no rows.
     """
+    begin = len(store.made)
     signed = store.save(_signed(docs, shingle), "signatures")
     by_set = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     by_set = store.save(by_set, "sets", compact=True)
@@ -197,6 +198,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     more = _between(buckets, found, sets, percent)
     if more is not None:
         found = store.save(components(links.unionByName(more)), "components", compact=True)
+    store.clear(docs.sparkSession, begin, signed, by_set, found)
     many = by_set.filter("n > 1").select("h1", "h2", "rep")
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(many, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     return own.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

@@ -64,12 +64,13 @@ def save_sorted(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
 made: list[str] = []
 
 
-def clear(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Deletes what save() wrote since made had `since` paths, but for the table to keep: for use once that is written."""
+def clear(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes what save() wrote since made had `since` paths, but for the tables to keep: for use once those are written."""
+    kept = [k.stored_at for k in keep]
     for path in made[since:]:
-        if path != keep.stored_at:
+        if path not in kept:
             _delete(spark, path)
-    del made[since:]
+    made[since:] = [p for p in made[since:] if p in kept]
 
 
 def drop(df: DataFrame) -> None:
