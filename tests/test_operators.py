@@ -387,3 +387,62 @@ def test_tracks_use_width_and_centroids():
         assert (tracker.step(s, 1, [(30, 0, 10, 10)]) == first) is same
     s = tracker.State(160.0)
     assert tracker.step(s, 0, [(0, 0, 10, 10, 9.0, 9.0)]) == tracker.step(s, 1, [(12, 12, 10, 10, 13.0, 13.0)])
+
+
+def _iou(a, b):
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    both = max(w, 0.0) * max(h, 0.0)
+    total = a[2] * a[3] + b[2] * b[3] - both
+    return both / total if total > 0 else 0.0
+
+
+def test_tracks_are_those_of_plain_matching(spark):
+    """Greedy matching by the rule, box by box, over several cameras whose frames cross batches."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(4):
+        at = rng.uniform(0, 300, (6, 2))
+        for f in range(60):
+            at += rng.normal(0, 4, at.shape)
+            rows += [(c, f, k, *at[k].round(1).tolist(), 20.0, 15.0, *(at[k] + 9).round(1).tolist()) for k in range(6) if rng.random() > 0.25]
+    want = {}
+    for c in range(4):
+        tracks, following = [], 1  # (id, box, missed)
+        for f in range(60):
+            boxes = [r for r in rows if r[0] == c and r[1] == f]
+            pairs = []
+            for i, (_, last, _) in enumerate(tracks):
+                for k, b in enumerate(boxes):
+                    apart, reach = np.hypot(last[4] - b[7], last[5] - b[8]), 0.06 * 320
+                    if _iou(last, b[3:7]) >= 0.10 or apart <= reach:
+                        pairs.append((-(_iou(last, b[3:7]) + max(0.0, 1 - apart / reach)), i, k))
+            used, got = {}, {}
+            for _, i, k in sorted(pairs):
+                if i not in used and k not in got:
+                    used[i], got[k] = k, tracks[i][0]
+            tracks = [(t, boxes[used[i]][3:], 0) if i in used else (t, b, m + 1) for i, (t, b, m) in enumerate(tracks)]
+            tracks = [t for t in tracks if t[2] <= 2]
+            for k, b in enumerate(boxes):
+                if k not in got:
+                    got[k], following = following, following + 1
+                    tracks.append((got[k], b[3:], 0))
+                want[c, f, b[2]] = got[k]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    df = spark.createDataFrame(rows, "camera_id long, frame_index long, region long, x double, y double, w double, h double, cx double, cy double")
+    assert {(r.camera_id, r.frame_index, r.region): r.track_id for r in tracker.track(df.repartition(3), width=320.0).collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_suppression_is_that_of_plain_selection(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(4)), int(rng.integers(2)), k, float(rng.integers(10)), *map(float, rng.integers(0, 40, 2)), 20.0, 15.0) for k in range(120)]
+    df = spark.createDataFrame(rows, "image long, label long, box long, score double, x double, y double, w double, h double")
+    want = set()
+    for key in {r[:2] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: (-r[3], r[2])):
+            if all(_iou(k[4:], r[4:]) <= 0.45 for k in kept):
+                kept.append(r)
+        want |= {r[2] for r in kept}
+    assert {r.box for r in tracker.suppress(df).collect()} == want
