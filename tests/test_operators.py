@@ -446,3 +446,91 @@ def test_suppression_is_that_of_plain_selection(spark):
                 kept.append(r)
         want |= {r[2] for r in kept}
     assert {r.box for r in tracker.suppress(df).collect()} == want
+
+
+def through_stream(spark, frames, tmp_path, operator):
+    """What a stream makes of frames that come in three micro-batches, the last of which repeats old ones."""
+    from pyspark.sql.types import StructType
+
+    for part in ("frame_index < 4", "frame_index >= 4 AND frame_index < 9", "frame_index >= 7"):
+        frames.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(StructType.fromDDL(synthetic.FRAME)).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = operator(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    out.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out").drop("coverage")
+
+
+@pytest.mark.parametrize("learn_until", [None, 8])
+def test_streamed_regions_equal_batch(spark, tmp_path, learn_until):
+    from vigilframe.operators import detection
+    from vigilframe.streaming import watching
+
+    frames = synthetic.frames(synthetic.ring(spark, 2), synthetic.CENTRE, 12, 6)
+    batch = detection.regions(frames, least=20, learn_until=learn_until).drop("coverage")
+    streamed = through_stream(spark, frames, tmp_path, lambda s: watching.regions(s, least=20, learn_until=learn_until))
+    got, want = (sorted(map(tuple, x.collect())) for x in (streamed, batch))
+    assert got == want and len({r[1] for r in got}) > 3
+
+
+def test_streamed_scenes_equal_batch(spark, tmp_path):
+    from vigilframe.operators import detection
+    from vigilframe.streaming import watching
+
+    cams = synthetic.with_impostors(synthetic.ring(spark, 3), ("night", "frozen", "fog"))
+    frames = synthetic.frames(cams, None, 12, 99)
+    columns = ("camera_id", "frame_index", "repeat_count", "baseline_contrast", "usability")
+    got, want = (sorted(map(str, x.select(*columns).collect())) for x in (through_stream(spark, frames, tmp_path, watching.watched), detection.watched(frames)))
+    assert got == want and len(got) == 36
+
+
+def test_impostors_blind_or_stay_usable(spark):
+    from vigilframe.plans import stateful
+
+    said = {}
+    for r in stateful.impostor_scenes(spark, None).collect():
+        said.setdefault(r.impostor, {})[r.frame_index] = r.usability
+    assert set(said) == set(synthetic.IMPOSTORS) and all(len(s) == 14 for s in said.values())
+    assert set(said["night"].values()) == {"night"}
+    assert [k for k, u in sorted(said["frozen"].items()) if u == "frozen"] == [10, 11, 12, 13]
+    assert said["fog"][7] == "usable" and said["fog"][13] == "fog"
+    for kind in ("cloud", "dust", "droplet", "wobble"):
+        assert set(said[kind].values()) == {"usable"}, kind
+    with pytest.raises(ValueError, match="no impostor"):
+        synthetic.render(1, 0, None, 9, impostor="bird")
+
+
+def test_clouds_move_and_droplets_stay():
+    bright = {}
+    for kind in ("cloud", "droplet"):
+        at = []
+        for f in (0, 6, 12):
+            gap = np.abs(synthetic.render(3, f, None, 99, impostor=kind).astype(float) - synthetic.render(3, f, None, 99))
+            at.append((gap.sum(0) @ np.arange(160)) / gap.sum())
+        bright[kind] = np.diff(at)
+    assert bright["cloud"] == pytest.approx([18, 18], abs=2) and bright["droplet"] == pytest.approx([0, 0], abs=1)
+
+
+def test_ladder_of_numbers_is_that_of_columns(spark):
+    from vigilframe.functions import scoring
+
+    names = ("mean_luma", "p98", "contrast", "dark", "saturated", "repeat_count", "horizon_confidence", "baseline_contrast")
+    rng = np.random.default_rng(5)
+    rows = [(*map(float, rng.uniform(0, [200, 220, 900, 220, 0.4, 3, 1, 2000])), bool(rng.integers(2))) for _ in range(300)]
+    rows = [(*r[:7], None if k % 3 == 0 else 0.0 if k % 7 == 0 else r[7], r[8]) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", flat boolean")
+    got = [r.u for r in df.select(scoring.usability({n: F.col(n) for n in (*names, "flat")}).alias("u")).collect()]
+    assert got == [scoring.usability_of(dict(zip((*names, "flat"), r, strict=True))) for r in rows] and len(set(got)) == 7
+
+
+def test_busy_bins_are_dealt_out(spark, monkeypatch):
+    """Parts of a bin meet all that is near them, whatever their number."""
+    from vigilframe.operators import evaluation
+
+    cams = synthetic.ring(spark, 4).crossJoin(spark.range(30).withColumnRenamed("id", "k"))
+    readings = cams.select(
+        F.xxhash64("camera_id", "k").alias("event_id"), L("2026-01-01").alias("date"), "site_id", F.col("camera_id").alias("sequence"), (F.col("k") * 37).alias("offset_s"),
+        ((F.col("k") % 7) / 10.0 + 0.1).alias("confidence"), "lat", "lon", (F.col("azimuth") + F.col("k") % 5 * 8 - 16).alias("bearing"), "range_m",
+    )
+    whole = sorted(map(tuple, evaluation._agreeing(readings, 120).collect()))
+    monkeypatch.setattr(evaluation, "BIN_ROWS", 2)
+    assert sorted(map(tuple, evaluation._agreeing(readings, 120).collect())) == whole and 20 < len(whole) < 120

@@ -99,23 +99,46 @@ def verdict(confidence: Column, suspect=SUSPECT_AT, confirm=CONFIRM_AT) -> Colum
     return F.when(confidence >= confirm, "column").when(confidence >= suspect, "suspect").otherwise("clear")
 
 
+#: Fixed values of the usability ladder: repetitions of a frozen feed, luma of a night's mean and bright end, glare's share and
+#: mean, what is left of a camera's own contrast in fog and in haze (and these where that isn't known), fog's darkest
+#: channel, and the least confidence in a horizon.
+FROZEN_AT, NIGHT_MEAN, NIGHT_P98, GLARE_SHARE, GLARE_MEAN = 2, 42, 110, 0.20, 150
+FOG_LEFT, HAZE_LEFT, FOG_CONTRAST, HAZE_CONTRAST, FOG_DARK, LEAST_HORIZON = 0.25, 0.55, 300.0, 450.0, 140, 0.25
+
+
 def usability(m: dict[str, Column]) -> Column:
     """The first that holds of a scene's measures m: frozen, night, glare, fog, lens_obscured, degraded, usable."""
     base = m["baseline_contrast"]
     known = base.isNotNull() & (base != 0)
-    fog = F.when(known, m["contrast"] < 0.25 * base).otherwise(m["contrast"] < 300.0)
-    haze = F.when(known, m["contrast"] < 0.55 * base).otherwise(m["contrast"] < 450.0)
+    fog = F.when(known, m["contrast"] < FOG_LEFT * base).otherwise(m["contrast"] < FOG_CONTRAST)
+    haze = F.when(known, m["contrast"] < HAZE_LEFT * base).otherwise(m["contrast"] < HAZE_CONTRAST)
     return (
-        F.when(m["repeat_count"] >= 2, "frozen")
-        .when((m["mean_luma"] < 42) & (m["p98"] < 110), "night")
-        .when((m["saturated"] > 0.20) & (m["mean_luma"] > 150), "glare")
-        .when(fog & (m["dark"] > 140), "fog")
+        F.when(m["repeat_count"] >= FROZEN_AT, "frozen")
+        .when((m["mean_luma"] < NIGHT_MEAN) & (m["p98"] < NIGHT_P98), "night")
+        .when((m["saturated"] > GLARE_SHARE) & (m["mean_luma"] > GLARE_MEAN), "glare")
+        .when(fog & (m["dark"] > FOG_DARK), "fog")
         .when(m["flat"] & haze, "lens_obscured")
-        .when(haze | (m["horizon_confidence"] < 0.25), "degraded")
+        .when(haze | (m["horizon_confidence"] < LEAST_HORIZON), "degraded")
         .otherwise("usable")
     )
 
 
+def usability_of(m: dict) -> str:
+    """usability() of one scene's numbers, for folds that need the last frame's before they judge the next."""
+    base = m["baseline_contrast"]
+    fog = m["contrast"] < (FOG_LEFT * base if base else FOG_CONTRAST)
+    haze = m["contrast"] < (HAZE_LEFT * base if base else HAZE_CONTRAST)
+    ladder = {
+        "frozen": m["repeat_count"] >= FROZEN_AT,
+        "night": m["mean_luma"] < NIGHT_MEAN and m["p98"] < NIGHT_P98,
+        "glare": m["saturated"] > GLARE_SHARE and m["mean_luma"] > GLARE_MEAN,
+        "fog": fog and m["dark"] > FOG_DARK,
+        "lens_obscured": m["flat"] and haze,
+        "degraded": haze or m["horizon_confidence"] < LEAST_HORIZON,
+    }
+    return next((k for k, holds in ladder.items() if holds), "usable")
+
+
 def blind_rejection(usability: Column) -> Column:
     """A rejection of confidence 1 for a frame that can't be believed, else null."""
     return _rejection_of(F.concat(F.lit("CAMERA_"), F.upper(usability)), usability.isin(*BLIND))

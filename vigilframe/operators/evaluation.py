@@ -98,20 +98,29 @@ def operating_curve(readings: DataFrame) -> DataFrame:
     )
 
 
+#: Readings of one date and time bin that a task compares with the others of their bin.
+BIN_ROWS = 2000
+
+
 def _agreeing(readings: DataFrame, tolerance_s: int) -> DataFrame:
     """(event_id, level): the highest confidence of a reading of another site on the same date, at most tolerance_s away,
     whose ray crosses this one's in front of both cameras and within range.
 
-    An equi-join on date and a time bin of tolerance_s. A reading agrees at a threshold if its own confidence and this
-    level reach it, so the thresholds need no joins of their own.
+    An equi-join on date and a time bin of tolerance_s; a bin of more than BIN_ROWS readings is dealt out in parts, each of
+    which meets all readings that may be near. A reading agrees at a threshold if its own confidence and this level reach
+    it, so the thresholds need no joins of their own.
     """
     cols = ["event_id", "date", "site_id", "sequence", "offset_s", "confidence", "lat", "lon", "bearing", "range_m"]
-    strong = readings.filter(F.col("confidence") >= SWEEP[0]).select(*cols)
-    a = strong.select(*(F.col(c).alias(f"a_{c}") for c in cols), F.floor(F.col("offset_s") / tolerance_s).alias("bin"))
-    b = strong.select(*(F.col(c).alias(f"b_{c}") for c in cols), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("offset_s") / tolerance_s) + d)).alias("bin"))
+    bin_ = F.floor(F.col("offset_s") / tolerance_s)
+    strong = readings.filter(F.col("confidence") >= SWEEP[0]).select(*cols, bin_.alias("bin"))
+    parts = strong.groupBy("date", "bin").agg(F.ceil(F.count("*") / BIN_ROWS).alias("parts"))
+    near_bins = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("bin") + d)).alias("bin")
+    a = strong.join(parts, ["date", "bin"]).select(*(F.col(c).alias(f"a_{c}") for c in cols), "bin", F.pmod(F.xxhash64("event_id"), "parts").alias("part"))
+    b = strong.select(*cols, near_bins).join(parts, ["date", "bin"])
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in cols), "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     n = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in full: a row becomes many
-    a, b = a.repartition(n, "a_date", "bin"), b.repartition(n, "b_date", "bin")
-    near = a.join(b, (a.a_date == b.b_date) & (a.bin == b.bin) & (a.a_site_id != b.b_site_id) & (a.a_sequence != b.b_sequence) & (F.abs(a.a_offset_s - b.b_offset_s) <= tolerance_s))
+    a, b = a.repartition(n, "a_date", "bin", "part"), b.repartition(n, "b_date", "bin", "part")
+    near = a.join(b, (a.a_date == b.b_date) & (a.bin == b.bin) & (a.part == b.part) & (a.a_site_id != b.b_site_id) & (a.a_sequence != b.b_sequence) & (F.abs(a.a_offset_s - b.b_offset_s) <= tolerance_s))
     ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
     return near.filter(fixes.pair(ray("a"), ray("b"))["refusal"].isNull()).groupBy(F.col("a_event_id").alias("event_id")).agg(F.max("b_confidence").alias("level"))
 

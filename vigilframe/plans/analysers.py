@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import detection, tracker, tracks
 
-_known: dict[str, Callable[..., DataFrame]] = {"regions": detection.regions, "scenes": detection.scenes, "tracks": tracker.track, "growth": tracks.growth, "growth_so_far": tracks.growth_so_far}
+_known: dict[str, Callable[..., DataFrame]] = {"regions": detection.regions, "scenes": detection.scenes, "watched": detection.watched, "tracks": tracker.track, "growth": tracks.growth, "growth_so_far": tracks.growth_so_far}
 
 
 def register(name: str, analyser: Callable[..., DataFrame]) -> None:

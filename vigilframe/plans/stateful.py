@@ -150,8 +150,15 @@ def scene_usability(spark, d):
     return s.select("camera_id", "frame_index", scoring.usability(measures).alias("usability"))
 
 
+def impostor_scenes(spark, d):
+    """How the frames of cameras with an impostor each are judged, one after another."""
+    cams = synthetic.with_impostors(synthetic.ring(spark, len(synthetic.IMPOSTORS)), synthetic.IMPOSTORS)
+    seen = detection.watched(synthetic.frames(cams, None, 14, 99)).join(cams.select("camera_id", "impostor"), "camera_id")
+    return seen.select("camera_id", "impostor", "frame_index", "repeat_count", "usability")
+
+
 def queries() -> dict:
-    own = (region_tracks, box_suppression, escalation_log, alert_fixes, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability)
+    own = (region_tracks, box_suppression, escalation_log, alert_fixes, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability, impostor_scenes)
     return {f.__name__: f for f in own}
 
 
