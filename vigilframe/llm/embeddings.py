@@ -4,7 +4,8 @@ A code is a random rotation and, for each half of the rotated vector, a list of
 direction from each half is a filter. A vector is decoded to all filters whose two inner products sum to more than the
 cap's height: the directions are sorted by inner product, so that only pairs above it are enumerated. Vectors that share a
 filter are compared in blocks by matrix products, in double precision. A pair that shares several filters is counted in
-the first of them only, so that counts add up without a list of pairs.
+the first of them only, so that counts add up without a list of pairs. For that, a vector brings its earlier filters along:
+decoded anew in a block of another size, an inner product at a cap's height could round to its other side.
 
 The number of filters follows the number of vectors (about BUCKET vectors a filter at any size), and CAPS filters are
 expected for a vector in each of CODES independent codes; at a cosine of 0.95 two vectors miss each other in all of them
@@ -90,8 +91,9 @@ def _vector(raw: bytes, length: int) -> np.ndarray:
 _ends = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def _compare(filter_id: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, lists: list[np.ndarray], side: np.ndarray, same: bool, cosine: float) -> tuple[list, list, list]:
-    """Links within a block (same) or between two: link counts by vector (b is null), and links that join them (n is 0)."""
+def _compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, early: list[np.ndarray], side: np.ndarray, same: bool, cosine: float) -> tuple[list, list, list]:
+    """Links within a block (same) or between two: link counts by vector (b is null), and links that join them (n is 0).
+    Pairs that share one of their early filters were counted there."""
     left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
     norm = np.sqrt((x * x).sum(1))
     near = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None]) >= cosine
@@ -99,8 +101,6 @@ def _compare(filter_id: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray,
         near &= np.arange(len(ids))[:, None] < np.arange(len(ids))[None]
     if not near.any():
         return [], [], []
-    # Pairs that share an earlier filter were counted there.
-    early = [v[: np.searchsorted(v, filter_id)] for v in lists]
     names, column, times = np.unique(np.concatenate(early), return_inverse=True, return_counts=True)
     table = np.zeros((len(ids), len(names)), np.float32)
     table[np.repeat(np.arange(len(ids)), [len(e) for e in early]), column] = 1
@@ -135,6 +135,8 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     kinds = rows.filter("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("length").alias("length"), F.first("raw").alias("raw"))
     kinds = store.save(kinds, "kinds", compact=True)
     directions = max(16, int(np.ceil((kinds.count() * CAPS / BUCKET) ** 0.5)))
+    short = CODES * directions**2 < 2**31
+    number, filter_type = ("int", pa.int32()) if short else ("long", pa.int64())
     held: dict[int, Codes] = {}
 
     def decode(it):
@@ -148,21 +150,21 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     x = np.stack([_vector(raw[i], length) for i in part])
                     x = _scaled(x)
                     found = codes.decode(x / np.sqrt((x * x).sum(1, keepdims=True)))
-                    yield pa.record_batch([pa.array([rep[i] for i in part], pa.int64()), pa.array([copies[i] for i in part], pa.int64()), pa.array([length] * len(part), pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array([raw[i] for i in part], pa.binary())], names=["rep", "copies", "length", "filters", "raw"])
+                    yield pa.record_batch([pa.array([rep[i] for i in part], pa.int64()), pa.array([copies[i] for i in part], pa.int64()), pa.array([length] * len(part), pa.int64()), pa.array([v.astype(filter_type.to_pandas_dtype()) for v in found], pa.list_(filter_type)), pa.array([raw[i] for i in part], pa.binary())], names=["rep", "copies", "length", "filters", "raw"])
 
-    listed = store.save(kinds.select("rep", "copies", "length", "raw").mapInArrow(decode, "rep long, copies long, length long, filters array<long>, raw binary"), "filters")
-    one = listed.select("length", F.explode("filters").alias("f"), "rep", "copies", "filters", "raw")
+    listed = store.save(kinds.select("rep", "copies", "length", "raw").mapInArrow(decode, f"rep long, copies long, length long, filters array<{number}>, raw binary"), "filters")
+    one = listed.select("length", F.posexplode("filters").alias("k", "f"), "rep", "copies", "filters", "raw").withColumn("early", F.slice("filters", F.lit(1), F.col("k"))).drop("k", "filters")
     size = listed.select("length", F.explode("filters").alias("f")).groupBy("length", "f").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
     dealt = one.join(size, ["length", "f"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    paired = paired.select("length", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "filters", "raw")
+    paired = paired.select("length", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "early", "raw")
 
     def compare(it):
         out = ([], [], [])
-        for key, (own, rep, copies, filters, raw) in runs(it, 4):
+        for key, (own, rep, copies, early, raw) in runs(it, 4):
             if len(rep) > 1:
                 x = _scaled(np.stack([_vector(r, key[0]) for r in raw]))
-                for o, v in zip(out, _compare(key[1], np.array(rep), np.array(copies, np.int64), x, filters, np.array(own) == key[3], key[2] == key[3], cosine), strict=True):
+                for o, v in zip(out, _compare(np.array(rep), np.array(copies, np.int64), x, early, np.array(own) == key[3], key[2] == key[3], cosine), strict=True):
                     o.extend(v)
             if len(out[0]) >= 10_000:
                 yield pa.record_batch([pa.array(o, pa.int64()) for o in out], schema=_ends)
