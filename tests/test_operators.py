@@ -460,14 +460,15 @@ def through_stream(spark, frames, tmp_path, operator):
     return spark.read.parquet(f"{tmp_path}/out").drop("coverage")
 
 
-@pytest.mark.parametrize("learn_until", [None, 8])
-def test_streamed_regions_equal_batch(spark, tmp_path, learn_until):
+@pytest.mark.parametrize(("learn_until", "skip_blind"), [(None, False), (8, True), (None, True)])
+def test_streamed_regions_equal_batch(spark, tmp_path, learn_until, skip_blind):
     from vigilframe.operators import detection
     from vigilframe.streaming import watching
 
     frames = synthetic.frames(synthetic.ring(spark, 2), synthetic.CENTRE, 12, 6)
-    batch = detection.regions(frames, least=20, learn_until=learn_until).drop("coverage")
-    streamed = through_stream(spark, frames, tmp_path, lambda s: watching.regions(s, least=20, learn_until=learn_until))
+    options = {"least": 20, "learn_until": learn_until, "skip_blind": skip_blind}
+    batch = detection.regions(frames, **options).drop("coverage")
+    streamed = through_stream(spark, frames, tmp_path, lambda s: watching.regions(s, **options))
     got, want = (sorted(map(tuple, x.collect())) for x in (streamed, batch))
     assert got == want and len({r[1] for r in got}) > 3
 
@@ -534,3 +535,19 @@ def test_busy_bins_are_dealt_out(spark, monkeypatch):
     whole = sorted(map(tuple, evaluation._agreeing(readings, 120).collect()))
     monkeypatch.setattr(evaluation, "BIN_ROWS", 2)
     assert sorted(map(tuple, evaluation._agreeing(readings, 120).collect())) == whole and 20 < len(whole) < 120
+
+
+def test_blinded_cameras_report_nothing(spark):
+    """A night frame among days is a change all over; skipped, it leaves the model as it was."""
+    from vigilframe.operators import detection
+
+    def shown(kinds):
+        return [synthetic.render(3, i, 80.0, 8, impostor=k) for i, k in enumerate(kinds)]
+
+    days = readers.sequence(spark, "c", shown([None] * 11))
+    mixed = readers.sequence(spark, "c", shown([None] * 7 + ["night"] + [None] * 3))
+    strip = lambda df: sorted((r.frame_index, r.x, r.y, r.w, r.h) for r in df.collect())
+    plain = strip(detection.regions(days, least=20))
+    skipped = strip(detection.regions(mixed, least=20, skip_blind=True))
+    assert {r[0] for r in skipped} <= {8, 9, 10} and {r[0] for r in skipped} == {r[0] for r in plain if r[0] > 7}
+    assert 7 not in {r[0] for r in skipped}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import io
 
 import numpy as np
@@ -100,16 +101,23 @@ class Scene:
 
 
 class Watch:
-    """All that is kept of one camera between frames: its background, its mixture of Gaussians and the frame that the next
-    ones are moved onto."""
+    """All that is kept of one camera between frames: its background, its mixture of Gaussians, the frame that the next
+    ones are moved onto and, if frames that blind it are to be skipped, its scene."""
 
-    def __init__(self, height: int, width: int):
+    def __init__(self, height: int, width: int, skip_blind: bool = False):
         self.model, self.mixture, self.last, self.newest = Background(), pixels.Mixture((height, width)), None, -1
+        self.scene = Scene() if skip_blind else None
 
     def observe(self, frame_index: int, minute: float, data: bytes, least: int, learns: bool = True) -> list[dict]:
         """Regions of the next frame, which is then learnt unless learns is false: in that case nothing changes."""
         shape = self.mixture.weight.shape[1:]
-        grey = np.frombuffer(data, np.uint8).reshape(shape).astype(float)
+        image = np.frombuffer(data, np.uint8).reshape(shape)
+        self.newest = frame_index
+        if self.scene is not None:
+            scene = self.scene if learns else copy.copy(self.scene)
+            if scene.observe(frame_index, image)["usability"] in scoring.BLIND:
+                return []
+        grey = image.astype(float)
         if self.last is not None:
             dx, dy, _, moved = pixels.align(grey, self.last)
             grey = pixels.shift(grey, dx, dy) if moved else grey
@@ -131,7 +139,6 @@ class Watch:
             self.model.learn(grey, bucket, None if mask is None else ~mask)
         else:
             self.mixture = kept
-        self.newest = frame_index
         return found
 
     def to_bytes(self) -> bytes:
@@ -139,6 +146,8 @@ class Watch:
         buckets = sorted(m.mean)
         arrays = {"weight": x.weight, "mean": x.mean, "var": x.var, "counts": np.array([x.frames, m.learnt, self.newest]), "buckets": np.array(buckets, int), "seen": np.array([m.seen[b] for b in buckets], int)}
         arrays |= {f"bucket{b}": m.mean[b] for b in buckets}
+        if self.scene is not None:
+            arrays["scene"] = np.frombuffer(self.scene.to_bytes(), np.uint8)
         return packed(arrays if self.last is None else arrays | {"last": self.last})
 
     @classmethod
@@ -150,6 +159,7 @@ class Watch:
         for b, n in zip(z["buckets"].tolist(), z["seen"].tolist(), strict=True):
             out.model.mean[b], out.model.seen[b] = z[f"bucket{b}"], n
         out.last = z.get("last")
+        out.scene = Scene.from_bytes(z["scene"].tobytes()) if "scene" in z else None
         return out
 
 
@@ -157,12 +167,13 @@ def table(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
-def regions(frames: DataFrame, least: int = 40, learn_until: int | None = None) -> DataFrame:
+def regions(frames: DataFrame, least: int = 40, learn_until: int | None = None, skip_blind: bool = False) -> DataFrame:
     """Regions of frames (camera_id, frame_index, minute, height, width, data: grey bytes). A camera's frames stream in
     order through one background; pixels that changed aren't learnt. Each is first moved onto the camera's last frame; the
     mask joins what a mixture of Gaussians takes for foreground to what differs from the background, and is closed and
     opened before it is labelled. With learn_until, frames from that number on are judged by the model as it was then:
-    they are examined again without teaching it what they show."""
+    they are examined again without teaching it what they show. With skip_blind, frames that blind a camera (see watched)
+    give no regions and aren't learnt."""
 
     def run(it):
         camera, watch = None, None
@@ -170,7 +181,7 @@ def regions(frames: DataFrame, least: int = 40, learn_until: int | None = None)
             out = []
             for r in pdf.itertuples(index=False):
                 if r.camera_id != camera:
-                    camera, watch = r.camera_id, Watch(r.height, r.width)
+                    camera, watch = r.camera_id, Watch(r.height, r.width, skip_blind)
                 learns = learn_until is None or r.frame_index < learn_until
                 out += [{"camera_id": camera} | m for m in watch.observe(r.frame_index, r.minute, r.data, least, learns)]
             yield table(out, REGION)

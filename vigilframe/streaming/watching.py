@@ -40,15 +40,13 @@ def _fold(frames: DataFrame, schema: str, start: Callable, load: Callable, step:
     return frames.select(*FRAME).groupBy("camera_id").applyInPandasWithState(run, schema, "state binary", "append", _timeout(idle_s))
 
 
-def regions(frames: DataFrame, least: int = 40, learn_until: int | None = None, idle_s: int | None = None) -> DataFrame:
+def regions(frames: DataFrame, least: int = 40, learn_until: int | None = None, skip_blind: bool = False, idle_s: int | None = None) -> DataFrame:
     """detection.regions() of a stream of frames. A history that comes first, with learn_until after it, primes the model."""
 
     def step(watch: detection.Watch, r) -> list[dict]:
-        found = watch.observe(r.frame_index, r.minute, r.data, least, learn_until is None or r.frame_index < learn_until)
-        watch.newest = r.frame_index
-        return found
+        return watch.observe(r.frame_index, r.minute, r.data, least, learn_until is None or r.frame_index < learn_until)
 
-    return _fold(frames, detection.REGION, lambda r: detection.Watch(r.height, r.width), detection.Watch.from_bytes, step, idle_s)
+    return _fold(frames, detection.REGION, lambda r: detection.Watch(r.height, r.width, skip_blind), detection.Watch.from_bytes, step, idle_s)
 
 
 def watched(frames: DataFrame, idle_s: int | None = None) -> DataFrame:
