@@ -65,9 +65,15 @@ def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIM
     c = in_cells(cameras.filter("active").select("camera_id", "site_id", "lat", "lon", "azimuth", "hfov", "range_m", *_looking(MARGIN_DEG)))
     o = o.withColumns(dict(zip(("tx", "ty", "tz"), _unit("t_lat", "t_lon"), strict=True)))
     pairs = o.join(c, ["ci", "cj"]).filter("site_id != o_site and camera_id != origin").filter(_may_see())
-    pairs = pairs.withColumn("baseline_m", geo.haversine(*map(F.col, ("o_lat", "o_lon", "lat", "lon")))).filter(F.col("baseline_m") >= MIN_BASELINE_M)
-    pairs = pairs.withColumn("expected", geo.bearing_between(*map(F.col, ("lat", "lon", "t_lat", "t_lon"))))
-    pairs = pairs.filter(geo.covers(F.col("expected"), F.col("azimuth"), F.col("hfov"), MARGIN_DEG) & (geo.haversine(*map(F.col, ("lat", "lon", "t_lat", "t_lon"))) <= F.col("range_m")))
+    # Worked out once a pair: as plain columns, their trigonometry would be repeated in every filter that uses them.
+    places = [F.col(c) for c in ("lat", "lon", "t_lat", "t_lon")]
+    found = F.struct(
+        geo.haversine(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon")).alias("baseline_m"),
+        geo.haversine(*places).alias("away_m"),
+        geo.bearing_between(*places).alias("expected"),
+    )
+    pairs = pairs.select("*", F.inline(F.array(found))).filter((F.col("baseline_m") >= MIN_BASELINE_M) & (F.col("away_m") <= F.col("range_m")))
+    pairs = pairs.filter(geo.covers(F.col("expected"), F.col("azimuth"), F.col("hfov"), MARGIN_DEG))
     pairs = pairs.withColumn("crossing", geo.fold(geo.signed_delta(F.col("expected"), F.col("bearing")))).filter(F.col("crossing") >= MIN_ANGLE_DEG)
     if limit is not None:
         order = Window.partitionBy("event_id").orderBy(F.desc(F.round(F.least("crossing", F.lit(90.0)), 9)), F.desc(F.round("baseline_m", 6)), "camera_id")
