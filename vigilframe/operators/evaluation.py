@@ -122,7 +122,7 @@ def _agreeing(readings: DataFrame, tolerance_s: int) -> DataFrame:
     a, b = a.repartition(n, "a_date", "bin", "part"), b.repartition(n, "b_date", "bin", "part")
     near = a.join(b, (a.a_date == b.b_date) & (a.bin == b.bin) & (a.part == b.part) & (a.a_site_id != b.b_site_id) & (a.a_sequence != b.b_sequence) & (F.abs(a.a_offset_s - b.b_offset_s) <= tolerance_s))
     ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
-    return near.filter(fixes.pair(ray("a"), ray("b"))["refusal"].isNull()).groupBy(F.col("a_event_id").alias("event_id")).agg(F.max("b_confidence").alias("level"))
+    return fixes.meet(near, ray("a"), ray("b")).filter("refusal is null").groupBy(F.col("a_event_id").alias("event_id")).agg(F.max("b_confidence").alias("level"))
 
 
 def corroboration_curve(readings: DataFrame, tolerance_s: int = TOLERANCE_S) -> DataFrame:
@@ -158,8 +158,8 @@ def consistency(scores: DataFrame, cameras: DataFrame) -> DataFrame:
     rays = scores.filter("bearing is not null").join(c, "camera_id")
     a, b = (rays.select("date", *(F.col(x).alias(f"{p}_{x}") for x in ("sequence", "site_id", "lat", "lon", "bearing", "range_m"))) for p in "ab")
     pairs = a.join(b, "date").filter("a_sequence < b_sequence and a_site_id != b_site_id")
-    fix = fixes.pair(*({k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")} for p in "ab"))
-    fixed = pairs.select("date", fix["lat"].alias("lat"), fix["lon"].alias("lon"), fix["refusal"].alias("refusal")).filter("refusal is null")
+    ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
+    fixed = fixes.meet(pairs, ray("a"), ray("b")).filter("refusal is null").select("date", "lat", "lon")
     w = Window.partitionBy("date")
     far = fixed.withColumns({"c_lat": F.avg("lat").over(w), "c_lon": F.avg("lon").over(w)})
     return far.groupBy("date").agg(F.count("*").alias("pairs"), F.when(F.count("*") >= 2, F.avg(geo.haversine(*map(F.col, ("lat", "lon", "c_lat", "c_lon"))))).alias("spread_m"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import sets
 
 
 def _direction(lat, lon, bearing, ref_lon) -> tuple[Column, Column]:
@@ -44,20 +45,28 @@ def cross(rays: DataFrame, key: str, min_angle: float = geo.MIN_CROSSING_DEG) ->
     return out.select(key, "n_rays", "refusal", *(F.when(F.col("refusal").isNull(), v).alias(n) for n, v in values.items()))
 
 
-def pair(a: dict[str, Column], b: dict[str, Column], min_angle: float = geo.MIN_CROSSING_DEG) -> dict[str, Column]:
-    """The same for two rays, as expressions: refusal, lat, lon. Each ray has lat, lon, bearing, sigma, range_m."""
+def meet(pairs: DataFrame, a: dict[str, Column], b: dict[str, Column], min_angle: float = geo.MIN_CROSSING_DEG) -> DataFrame:
+    """pairs with refusal (as by cross), lat, lon and crossing of two rays, each given by columns lat, lon, bearing, range_m.
+
+    Parts that several results use are worked out once a pair.
+    """
     ref_lat, ref_lon = (a["lat"] + b["lat"]) / 2.0, (a["lon"] + b["lon"]) / 2.0
-    origin = [geo.enu(r["lat"], r["lon"], ref_lat, ref_lon) for r in (a, b)]
-    way = [_direction(r["lat"], r["lon"], r["bearing"], ref_lon) for r in (a, b)]
-    # Two lines meet in one point whatever their weights.
-    det = way[0][0] * way[1][1] - way[0][1] * way[1][0]
-    wx, wy = origin[1][0] - origin[0][0], origin[1][1] - origin[0][1]
-    s = (wx * way[1][1] - wy * way[1][0]) / det
-    t = (wx * way[0][1] - wy * way[0][0]) / det
-    crossing = geo.fold(geo.signed_delta(a["bearing"], b["bearing"]))
-    refusal = F.when(crossing < min_angle, "RAYS_TOO_PARALLEL").when((s <= 0) | (t <= 0), F.when(s <= 0, F.when(F.lit(True), "BEHIND_CAMERA")).otherwise(F.when(s > a["range_m"], "BEYOND_RANGE").otherwise("BEHIND_CAMERA"))).when((s > a["range_m"]) | (t > b["range_m"]), "BEYOND_RANGE")
-    lat, lon = geo.from_enu(origin[0][0] + way[0][0] * s, origin[0][1] + way[0][1] * s, ref_lat, ref_lon)
-    return {"refusal": refusal, "lat": lat, "lon": lon, "crossing": crossing}
+    parts = {"__ref_lat": ref_lat, "__ref_lon": ref_lon, "__crossing": geo.fold(geo.signed_delta(a["bearing"], b["bearing"]))}
+    for n, ray in (("a", a), ("b", b)):
+        east, north = geo.enu(ray["lat"], ray["lon"], ref_lat, ref_lon)
+        dx, dy = _direction(ray["lat"], ray["lon"], ray["bearing"], ref_lon)
+        parts |= {f"__{n}_east": east, f"__{n}_north": north, f"__{n}_dx": dx, f"__{n}_dy": dy}
+    # Two lines meet in one point whatever their weights; det is 0 only where they are parallel.
+    det = "__a_dx * __b_dy - __a_dy * __b_dx"
+    along = {n: F.expr(f"try_divide((__b_east - __a_east) * __{o}_dy - (__b_north - __a_north) * __{o}_dx, {det})") for n, o in (("__s", "b"), ("__t", "a"))}
+    rows = sets.once(sets.once(pairs, parts), along)
+    refusal = F.when((F.col("__crossing") < min_angle) | F.col("__s").isNull(), "RAYS_TOO_PARALLEL")
+    for n, ray in (("__s", a), ("__t", b)):
+        refusal = refusal.when(F.col(n) <= 0, "BEHIND_CAMERA").when(F.col(n) > ray["range_m"], "BEYOND_RANGE")
+    point = [F.expr(f"__a_{c} + __a_{d} * __s") for c, d in (("east", "dx"), ("north", "dy"))]
+    lat, lon = geo.from_enu(*point, F.col("__ref_lat"), F.col("__ref_lon"))
+    found = {"refusal": refusal, "lat": lat, "lon": lon, "crossing": F.col("__crossing")}
+    return rows.withColumns(found).drop(*parts, *along)
 
 
 def approach(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import sets
 
 #: A working guess of the range, and what a second view must offer.
 ASSUMED_RANGE_M, MIN_ANGLE_DEG, MIN_BASELINE_M, MARGIN_DEG, LIMIT = 12_000.0, 10.0, 1_500.0, -2.0, 4
@@ -65,14 +66,10 @@ def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIM
     c = in_cells(cameras.filter("active").select("camera_id", "site_id", "lat", "lon", "azimuth", "hfov", "range_m", *_looking(MARGIN_DEG)))
     o = o.withColumns(dict(zip(("tx", "ty", "tz"), _unit("t_lat", "t_lon"), strict=True)))
     pairs = o.join(c, ["ci", "cj"]).filter("site_id != o_site and camera_id != origin").filter(_may_see())
-    # Worked out once a pair: as plain columns, their trigonometry would be repeated in every filter that uses them.
     places = [F.col(c) for c in ("lat", "lon", "t_lat", "t_lon")]
-    found = F.struct(
-        geo.haversine(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon")).alias("baseline_m"),
-        geo.haversine(*places).alias("away_m"),
-        geo.bearing_between(*places).alias("expected"),
-    )
-    pairs = pairs.select("*", F.inline(F.array(found))).filter((F.col("baseline_m") >= MIN_BASELINE_M) & (F.col("away_m") <= F.col("range_m")))
+    baseline = geo.haversine(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon"))
+    pairs = sets.once(pairs, {"baseline_m": baseline, "away_m": geo.haversine(*places), "expected": geo.bearing_between(*places)})
+    pairs = pairs.filter((F.col("baseline_m") >= MIN_BASELINE_M) & (F.col("away_m") <= F.col("range_m")))
     pairs = pairs.filter(geo.covers(F.col("expected"), F.col("azimuth"), F.col("hfov"), MARGIN_DEG))
     pairs = pairs.withColumn("crossing", geo.fold(geo.signed_delta(F.col("expected"), F.col("bearing")))).filter(F.col("crossing") >= MIN_ANGLE_DEG)
     if limit is not None:

@@ -59,3 +59,9 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     return out.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
+
+
+def once(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """rows with the values as columns, each worked out once a row. As plain columns, expressions are repeated in every
+    filter and column that uses them, which is dear for trigonometry on pairs."""
+    return rows.select("*", F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))

@@ -208,8 +208,8 @@ _pp = m.pair("a", "b")
 @entry(f"WITH {_RAYS} SELECT a.event, a.camera_id AS a, b.camera_id AS b, round({_pp['lat']}, 7) AS lat, round({_pp['lon']}, 7) AS lon FROM ray a JOIN ray b ON a.event = b.event AND a.camera_id < b.camera_id WHERE {_pp['ok']}")
 def pair_fixes(spark, d):
     pairs, a, b = _ray_pairs(spark, d)
-    fix = fixes.pair(a, b)
-    return pairs.filter(fix["refusal"].isNull()).select("event", F.col("a_camera_id").alias("a"), F.col("b_camera_id").alias("b"), F.round(fix["lat"], 7).alias("lat"), F.round(fix["lon"], 7).alias("lon"))
+    met = fixes.meet(pairs, a, b).filter("refusal is null")
+    return met.select("event", F.col("a_camera_id").alias("a"), F.col("b_camera_id").alias("b"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
 @entry(f"""WITH {_RAYS}, z AS (SELECT a.event, a.camera_id AS a, b.camera_id AS b, a.sigma AS sa, b.sigma AS sb, (a.lat + b.lat) / 2.0 AS rlat, (a.lon + b.lon) / 2.0 AS rlon, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon, a.bearing AS ab, b.bearing AS bb FROM ray a JOIN ray b ON a.event = b.event AND a.camera_id < b.camera_id),
