@@ -446,6 +446,33 @@ def test_suppression_is_that_of_plain_selection(spark):
                 kept.append(r)
         want |= {r[2] for r in kept}
     assert {r.box for r in tracker.suppress(df).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a group's boxes come in many batches
+    try:
+        assert {r.box for r in tracker.suppress(df.repartition(3)).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert tracker.suppress(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, 0, 1, 2.0, 0.0, 0.0, 9.0, 9.0), (1, 0, 2, 2.0, 0.0, 0.0, 9.0, 9.0), (1, 0, 3, None, None, 0.0, 9.0, 9.0), (None, 0, 4, 1.0, 0.0, 0.0, 9.0, 9.0)], df.schema)
+    assert sorted(r.box for r in tracker.suppress(odd).collect()) == [1, 3, 4]
+
+
+def test_two_rays_meet_or_say_why_not(spark):
+    here = (33.0, -117.0)
+    cases = {  # bearing of a camera here, of another 0.1 degrees east of it, and the range of the first
+        "crossing": (45.0, 315.0, 40_000.0),
+        "RAYS_TOO_PARALLEL": (0.0, 0.0, 40_000.0),
+        "BEHIND_CAMERA": (225.0, 315.0, 40_000.0),
+        "BEYOND_RANGE": (45.0, 315.0, 1_000.0),
+    }
+    rows = [(name, *here, bearing, reach, here[0], here[1] + 0.1, other, 40_000.0) for name, (bearing, other, reach) in cases.items()]
+    ray = ("lat", "lon", "bearing", "range_m")
+    df = spark.createDataFrame(rows, "name string, " + ", ".join(f"{p}_{c} double" for p in "ab" for c in ray))
+    met = fixes.meet(df, *({c: F.col(f"{p}_{c}") for c in ray} for p in "ab"))
+    assert met.columns == [*df.columns, "refusal", "lat", "lon", "crossing"]
+    got = {r["name"]: r for r in met.collect()}
+    assert {n: r.refusal for n, r in got.items()} == {n: None if n == "crossing" else n for n in cases}
+    assert got["crossing"].lon == pytest.approx(-116.95, abs=1e-3)
+    assert got["crossing"].lat == pytest.approx(33.0 + 0.05 * np.cos(np.radians(33.0)), abs=1e-3)
 
 
 def through_stream(spark, frames, tmp_path, operator):

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,16 +143,42 @@ def _fold_cameras(camera, state, keys, boxes, width):
 
 def suppress(boxes: DataFrame, most: float = 0.45) -> DataFrame:
     """Non-maximum suppression within each (image, label) of boxes (image, label, box, score, x, y, w, h): the best box
-    stays, those that overlap it by more than `most` go, and so on."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["score", "box"], ascending=[False, True])
-        b, kept = rows[["x", "y", "w", "h"]].to_numpy(float), []
-        left = np.arange(len(b))
-        while len(left):
-            best, left = left[0], left[1:]
-            kept.append(best)
-            left = left[overlap(b[best : best + 1], b[left])[0] <= most]
-        return rows.iloc[kept]
-
-    return boxes.groupBy("image", "label").applyInPandas(run, boxes.schema)
+    stays, those that overlap it by more than `most` go, and so on; ties by the smaller box.
+
+    Boxes stream from the best on, and only those that stayed are held. Boxes with null places overlap nothing.
+    """
+
+    columns = [boxes.columns.index(c) for c in ("image", "label", "x", "y", "w", "h")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, np.empty((0, 4))
+        for batch in it:
+            images, labels = (batch.column(k).to_pylist() for k in columns[:2])
+            places = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in columns[2:]])
+            stays = np.zeros(len(places), bool)
+            starts = [k for k in range(len(images)) if k == 0 or (images[k], labels[k]) != (images[k - 1], labels[k - 1])]
+            for a, b in zip(starts, [*starts[1:], len(images)], strict=True):
+                if (images[a], labels[a]) != group:
+                    group, kept = (images[a], labels[a]), np.empty((0, 4))
+                left = np.arange(a, b)
+                left = left[_clear_of(kept, places[left], most)]
+                while len(left):
+                    stays[left[0]] = True
+                    left = left[1:][_clear_of(places[left[:1]], places[left[1:]], most)]
+                kept = np.concatenate([kept, places[a:b][stays[a:b]]])
+            yield batch.filter(pa.array(stays))
+
+    order = ["image", "label", F.desc("score"), "box"]
+    return boxes.repartition("image", "label").sortWithinPartitions(*order).mapInArrow(run, boxes.schema)
+
+
+#: Boxes that are compared at once with those kept before.
+KEPT_AT_ONCE = 1024
+
+
+def _clear_of(kept: np.ndarray, boxes: np.ndarray, most: float) -> np.ndarray:
+    """Which boxes overlap none of those kept by more than `most`."""
+    clear = np.ones(len(boxes), bool)
+    for k in range(0, len(kept), KEPT_AT_ONCE):
+        clear[clear] = (overlap(kept[k : k + KEPT_AT_ONCE], boxes[clear]) <= most).all(axis=0)
+    return clear
