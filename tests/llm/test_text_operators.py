@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -321,6 +321,18 @@ def test_mix(spark, docs):
     assert mix.mix(docs).columns == docs.columns
 
 
+def test_mix_of_rows_that_share_ids(spark):
+    """Null and repeated ids: each text is there as often as the plan takes it, not another of its id."""
+    rows = [(None if i % 3 else i % 5, prose(i % 50, 1 + i % 50), None, "ab"[i % 2] if i % 7 else None, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, DOC)
+    planned = Counter()
+    for r in mix.plan(df).collect():
+        planned[r.doc_id, r.source, r.size] += r.copies
+    mixed = mix.mix(df.repartition(4).withColumn("copies", F.lit("clash")).withColumn("h", F.lit(0))).collect()
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed)
+    assert got == +planned and any(r.doc_id is None for r in mixed)
+
+
 def test_rounding_tree(spark, monkeypatch):
     monkeypatch.setattr(mix, "BUCKET_ROWS", 20)
     monkeypatch.setattr(mix, "FAN_IN", 3)

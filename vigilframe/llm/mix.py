@@ -80,7 +80,7 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, source string, size long, h long")
 
 
-ROW = "doc_id long, source string, size long, bucket long, whole long, part double"
+ROW = "doc_id long, source string, size long, bucket long, whole long, part double, h long"
 
 
 class _Group:
@@ -116,8 +116,8 @@ class _Group:
 
 def _round(rows: DataFrame, last: bool) -> DataFrame:
     """One level of the tree: a group is a bucket of a source; its rows are streamed in a fixed order."""
-    names = ["doc_id", "source", "size", "bucket", "whole", "part"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    names = ["doc_id", "source", "size", "bucket", "whole", "part", "h"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
 
     def finish(group, out):
         if group and group.held is not None:
@@ -141,11 +141,11 @@ def _round(rows: DataFrame, last: bool) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    return rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), order, "doc_id", "whole", "part").mapInArrow(run, ROW)
+    return rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), order, "doc_id", "h", "whole", "part").mapInArrow(run, ROW)
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (copies * size) of every document.
+    """doc_id, source, size, source_size, target, copies, taken (copies * size) and h (a hash of the text) of every document.
 
     Needs doc_id, source and text; other columns are ignored. Null texts and those without words have size 0, and are
     taken once if their source's documents are on average (rounded down). Null is a source of its own. Repeated rows are
@@ -166,7 +166,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     s, f = sized.alias("s"), facts.alias("f")
     bucket = F.pmod(F.xxhash64(F.lit(SEED + 1), "s.doc_id", "s.h"), F.lit(buckets)).alias("bucket")
     dealt = s.join(F.broadcast(f) if few else f, F.col("s.source").eqNullSafe(F.col("f.source")))
-    rows = dealt.select("s.doc_id", "s.source", "s.size", bucket, F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
+    rows = dealt.select("s.doc_id", "s.source", "s.size", bucket, F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), "s.h")
     decided = None
     while True:
         level = store.save(_round(rows, buckets == 1), "mix", compact=True)
@@ -178,16 +178,22 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
         buckets = -(-buckets // FAN_IN)
         rows = level.filter(undecided).withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
     d = decided.withColumn("copies", F.col("whole") + F.when(F.col("size") > 0, F.col("part").cast("long")).otherwise(0)).alias("d")
-    return d.join(F.broadcast(f) if few else f, F.col("d.source").eqNullSafe(F.col("f.source"))).select("d.doc_id", "d.source", "d.size", "f.source_size", "f.target", "d.copies", (F.col("d.copies") * F.col("d.size")).alias("taken"))
+    planned = d.join(F.broadcast(f) if few else f, F.col("d.source").eqNullSafe(F.col("f.source")))
+    taken = (F.col("d.copies") * F.col("d.size")).alias("taken")
+    return planned.select("d.doc_id", "d.source", "d.size", "f.source_size", "f.target", "d.copies", taken, "d.h")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """The rows of docs, each as often as plan() takes it. Rows that share a doc_id share their copies evenly, those that
-    come first by source and text taking what is left over."""
+    """The rows of docs, each as often as plan() takes it; a document is known by its doc_id, source and text. Rows that
+    share all three share their copies evenly, and which of them take what is left over makes no difference but in other
+    columns, by whose hash they are ordered. So many rows without a doc_id are many documents, not one group."""
     own = docs.columns
-    planned = plan(docs, weights, most).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
-    joined = docs.alias("d").join(planned.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", "__copies", "__rows")
-    shared = joined.filter("__rows > 1").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text")))
+    key = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__h": F.xxhash64(F.col("text").cast("string"))}
+    planned = plan(docs, weights, most).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
+    same = F.col("d.__id").eqNullSafe(F.col("p.doc_id")) & F.col("d.__source").eqNullSafe(F.col("p.source")) & (F.col("d.__h") == F.col("p.h"))
+    joined = docs.withColumns(key).alias("d").join(planned.alias("p"), same).select("d.*", "__copies", "__rows")
+    rest = F.xxhash64(*(F.col(c).cast("string") for c in own))
+    shared = joined.filter("__rows > 1").withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(rest)))
     shared = shared.withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__k") <= F.col("__copies") % F.col("__rows")).cast("long")).drop("__k")
     dealt = joined.filter("__rows = 1").unionByName(shared).filter("__copies > 0")
     return dealt.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__k")).select(*own)
