@@ -33,3 +33,44 @@ CHAT = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
 
 EMBEDDINGS = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95), n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
  r AS (SELECT vec_id, vec_id AS node FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.node), m AS (SELECT vec_id, min(node) AS component_id FROM r GROUP BY vec_id) SELECT m.vec_id, coalesce(n, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.a = m.vec_id"""
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0 to an and codebooks b0 to bn of n rounds; b holds (pos, k, c), c an entry's integers."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, label, pos, p, arg_min(k, (d, k)) AS k, min(d) AS d FROM
+   (SELECT vec_id, label, x.pos, p, k, list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{i} b ON b.pos = x.pos)
+   GROUP BY vec_id, label, pos, p)""")
+        if i < n:
+            out.append(f"""m{i} AS MATERIALIZED (SELECT pos, k, list(f ORDER BY i) AS c FROM
+   (SELECT pos, k, i, CAST(floor(sum(p[i]) / count(*)) AS BIGINT) AS f FROM a{i}, range(1, 17) t(i) GROUP BY pos, k, i) GROUP BY pos, k)""")
+            out.append(f"b{i + 1} AS MATERIALIZED (SELECT b.pos, b.k, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON m.pos = b.pos AND m.k = b.k)")
+    return ",\n ".join(out)
+
+
+#: For vectors of 64 components with distinct vec_ids.
+CODES = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+ x AS MATERIALIZED (SELECT vec_id, label, pos, w[16 * pos + 1:16 * pos + 16] AS p FROM v, range(4) t(pos)),
+ b0 AS MATERIALIZED (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS k, p AS c FROM x QUALIFY k < 256),
+ {_rounds(4)},
+ s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, k)) AS codebooks_sha256 FROM b4),
+ r AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id, label)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, s"""
+
+#: crc32 by bytes and bits: a list of a digit's code + 256 and eight zeros each is folded.
+_crc = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+   lambda y: [ascii(y) + 256, 0, 0, 0, 0, 0, 0, 0, 0]))), lambda a, y: CASE WHEN y >= 256 THEN xor(a, y - 256) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+TRIE = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+   md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations),
+ c AS (SELECT conv_id, CAST({_crc} AS BIGINT) % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM conversations)),
+ z AS (SELECT c.conv_id, 0 AS part, place, g, n_bytes FROM c JOIN t ON t.conv_id = c.base AND place <= h UNION ALL SELECT c.conv_id, 1, place, g, n_bytes FROM c JOIN t ON t.conv_id = c.conv_id AND place > h),
+ n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS d, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY part, place) AS k FROM z),
+ p AS MATERIALIZED (SELECT conv_id, d, k, n_bytes FROM n UNION ALL SELECT conv_id, 0, '', 0 FROM c), l AS (SELECT conv_id, max(d) AS len FROM p GROUP BY conv_id),
+ o AS MATERIALIZED (SELECT d, k, min(p.conv_id) AS rep, count(*) AS n, any_value(n_bytes) AS n_bytes, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE d = len) AS ends FROM p JOIN l USING (conv_id) GROUP BY d, k),
+ u AS MATERIALIZED (SELECT o.*, q.rep AS parent FROM o LEFT JOIN p a ON a.conv_id = o.rep AND a.d = o.d - 1 LEFT JOIN o q ON q.d = a.d AND q.k = a.k), k AS MATERIALIZED (SELECT d - 1 AS d, parent AS rep, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+ s AS (SELECT a.d, a.k, sum((u.n - 1) * u.n_bytes) AS saved, count(*) FILTER (WHERE k.rep IS NULL) AS leaves FROM u JOIN p a ON a.conv_id = u.rep AND a.d <= u.d LEFT JOIN k ON k.rep = u.rep AND k.d = u.d GROUP BY a.d, a.k)
+ SELECT u.rep AS conv_id, CAST(u.d AS BIGINT) AS depth, u.parent AS parent_conv_id, u.n AS n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+ FROM u JOIN s ON s.d = u.d AND s.k = u.k LEFT JOIN k ON k.rep = u.rep AND k.d = u.d"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, mix, near_duplicates, oracles, quality, store, substrings, tokens, urls
+from . import chat, decontaminate, embeddings, langid, mix, near_duplicates, oracles, prefixes, quality, store, substrings, tokencounts, tokens, urls, vectorcodes
 
 
 QUALITY = 0.3  # documents with a lower score are rejected
@@ -79,12 +79,27 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, folder, with_ids=False)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = store.fresh_path(spark, "token-counts")
+    counted = tokencounts.count(store.table(spark, sf_dir, "documents"), cache, tokenizer_path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vectorcodes.compress(store.table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.nodes(store.table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """A trained model's scores (3, 6), random rounding (9) and a tokenizer (10) can't be expressed in SQL."""
+    """A trained model's scores (3, 6), random rounding (9) and tokenizers (10, 11) can't be expressed in SQL."""
     return {
         "op1_near_duplicates": oracles.NEAR_DUPLICATES,
         "op2_decontamination": oracles.DECONTAMINATION,
@@ -92,4 +107,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": oracles.URLS,
         "op7_chat_format": oracles.CHAT,
         "op8_embedding_duplicates": oracles.EMBEDDINGS,
+        "op12_vector_codes": oracles.CODES,
+        "op13_prefix_trie": oracles.TRIE,
     }

@@ -80,6 +80,11 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, df.stored_at)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Wherever the shared folder is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
