@@ -113,6 +113,7 @@ def count(docs: DataFrame, cache: str, path: str) -> DataFrame:
         wanted = F.broadcast(missing) if n <= SMALL_ROWS else missing.hint("shuffle_hash")
         texts = docs.select(digest, place, content.alias("content")).join(wanted, ["digest", "place"])
         counted = texts.select("digest", "content").mapInArrow(_counts(path), "digest binary, n_tokens long")
+        counted = counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # rows repeated in full may have met different tasks
         counted.withColumn("version", F.lit(of)).write.mode("append").partitionBy("version").parquet(cache)
     return keyed.join(stored(spark, cache, of), "digest").select("doc_id", "n_bytes", "n_tokens")
 
