@@ -26,8 +26,8 @@ def test_counts_are_the_library_s(spark, monkeypatch):
     docs = spark.createDataFrame(odd_texts(), DOC).repartition(3)
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = sorted((i is None, i or 0, len((t or "").encode()), len(sp.encode(t or ""))) for i, t, *_ in odd_texts())
-    for small in (tokencounts.SMALL_ROWS, 0):  # missing digests are broadcast, or shuffled
-        monkeypatch.setattr(tokencounts, "SMALL_ROWS", small)
+    for size in (tokencounts.ROW_BYTES, 1 << 40):  # missing digests are broadcast, or shuffled
+        monkeypatch.setattr(tokencounts, "ROW_BYTES", size)
         got = tokencounts.count(docs, store.fresh_path(spark, "counts"), MODEL).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == want
 

@@ -23,7 +23,7 @@ from .textkit import batches
 
 CACHE = "digest binary, n_tokens long, version string"
 SLICE_CHARS = 1 << 20  # characters that go to the library at once
-SMALL_ROWS = 50_000  # so many missing digests, 60 bytes each, are broadcast rather than shuffled
+ROW_BYTES = 64  # of a missing digest; where all together are below the session's limit of broadcasts, texts aren't shuffled
 
 
 class Counter:
@@ -110,7 +110,8 @@ def count(docs: DataFrame, cache: str, path: str) -> DataFrame:
     n = missing.count()
     if n:
         # Digest and place spread the copies of one text; the sorting of texts that a merge join would need is spared.
-        wanted = F.broadcast(missing) if n <= SMALL_ROWS else missing.hint("shuffle_hash")
+        few = n * ROW_BYTES <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        wanted = F.broadcast(missing) if few else missing.hint("shuffle_hash")
         texts = docs.select(digest, place, content.alias("content")).join(wanted, ["digest", "place"])
         counted = texts.select("digest", "content").mapInArrow(_counts(path), "digest binary, n_tokens long")
         counted = counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # rows repeated in full may have met different tasks
