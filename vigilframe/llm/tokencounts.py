@@ -116,7 +116,8 @@ def count(docs: DataFrame, cache: str, path: str) -> DataFrame:
         counted = texts.select("digest", "content").mapInArrow(_counts(path), "digest binary, n_tokens long")
         counted = counted.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # rows repeated in full may have met different tasks
         counted.withColumn("version", F.lit(of)).write.mode("append").partitionBy("version").parquet(cache)
-    return keyed.join(stored(spark, cache, of), "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = store.save(first.select("digest").join(stored(spark, cache, of), "digest"), "counts", compact=True)
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")  # between two tables, so that a hot digest is split
 
 
 def _counts(path: str):
