@@ -251,7 +251,7 @@ def test_quality(spark, docs):
 
 def test_mix_targets():
     t = mix.targets({"a": 10, "b": 100, None: 30, "c": 20})
-    assert t == pytest.approx({"a": 30.0, "c": 20.0 + 2 / 3 * 0, "b": t["b"], None: t[None]}, abs=1e9) and sum(t.values()) == pytest.approx(160)
+    assert sum(t.values()) == pytest.approx(160)
     assert t["a"] == 30 and all(t[s] <= 3 * n + 1e-9 for s, n in {"a": 10, "b": 100, None: 30, "c": 20}.items())
     assert mix.targets({}) == {} and mix.targets({"a": 0}) == {"a": 0.0}
 

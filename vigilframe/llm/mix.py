@@ -188,12 +188,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     share all three share their copies evenly, and which of them take what is left over makes no difference but in other
     columns, by whose hash they are ordered. So many rows without a doc_id are many documents, not one group."""
     own = docs.columns
-    key = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__h": F.xxhash64(F.col("text").cast("string"))}
-    planned = plan(docs, weights, most).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
-    same = F.col("d.__id").eqNullSafe(F.col("p.doc_id")) & F.col("d.__source").eqNullSafe(F.col("p.source")) & (F.col("d.__h") == F.col("p.h"))
-    joined = docs.withColumns(key).alias("d").join(planned.alias("p"), same).select("d.*", "__copies", "__rows")
+    key = {f"__{k}": v for k, v in _key(F.col("doc_id"), F.col("source"), F.xxhash64(F.col("text").cast("string"))).items()}
+    planned = plan(docs, weights, most)
+    planned = planned.withColumns({f"__{k}": v for k, v in _key(F.col("doc_id"), F.col("source"), F.col("h")).items()})
+    planned = planned.groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
+    joined = docs.withColumns(key).join(planned.hint("shuffle_hash"), list(key))
     rest = F.xxhash64(*(F.col(c).cast("string") for c in own))
-    shared = joined.filter("__rows > 1").withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(rest)))
-    shared = shared.withColumn("__copies", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__k") <= F.col("__copies") % F.col("__rows")).cast("long")).drop("__k")
-    dealt = joined.filter("__rows = 1").unionByName(shared).filter("__copies > 0")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(rest))  # in the join's partitions
+    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__k") <= F.col("__copies") % F.col("__rows")).cast("long")
+    dealt = joined.withColumn("__k", rank).withColumn("__copies", share).filter("__copies > 0")
     return dealt.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__k")).select(*own)
+
+
+def _key(doc_id, source, h) -> dict:
+    """What a document is known by, without nulls, so that joins and windows on it share a partitioning."""
+    source = F.concat(doc_id.isNull().cast("string"), F.coalesce(F.concat(F.lit(" "), source.cast("string")), F.lit("")))
+    return {"id": F.coalesce(doc_id.cast("long"), F.lit(0)), "source": source, "h": h}
