@@ -5,6 +5,9 @@ Observations are (track_id, camera_id, frame_index, minute, area, top_y, base_cx
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,45 +41,99 @@ def growth(observations: DataFrame) -> DataFrame:
     return _with_ratios(g)
 
 
+#: Of these, medians of a track's first and last third count.
+_THIRDS = ("minute", "base_cx", "base_cy", "cx", "cy")
+_MEDIANS = [*(f"{part}_{c}" for part in ("early", "late") for c in _THIRDS), "step_median"]
+
+
+class _Sorted:
+    """Values in order, nulls left out; one goes in or out by bisection."""
+
+    def __init__(self):
+        self.values: list[float] = []
+
+    def add(self, x: float | None) -> None:
+        if x is not None:
+            bisect.insort(self.values, x)
+
+    def drop(self, x: float | None) -> None:
+        if x is not None:
+            del self.values[bisect.bisect_left(self.values, x)]
+
+    def median(self) -> float | None:
+        v, k = self.values, len(self.values) // 2
+        return None if not v else v[k] if len(v) % 2 else (v[k - 1] + v[k]) / 2.0
+
+
+def _running_medians(it):
+    """Rows sorted by track and frame, each with the medians of the first and last third of its track's rows so far and of
+    the steps so far. The first third only gains rows and the last one moves on, so a row goes in and out once."""
+    track = object()  # none yet
+    for b in it:
+        named = dict(zip(b.schema.names, b.columns, strict=True))
+        values = list(zip(*(named[c].to_pylist() for c in (*_THIRDS, "step")), strict=True))
+        out = []
+        for key, row in zip(named["track_id"].to_pylist(), values, strict=True):
+            if key != track:
+                track, rows, gone, taken = key, [], 0, 0
+                early, late, steps = [_Sorted() for _ in _THIRDS], [_Sorted() for _ in _THIRDS], _Sorted()
+            rows.append(row)
+            third = max(1, len(rows) // 3)
+            for kept, x in zip(late, row, strict=False):
+                kept.add(x)
+            steps.add(row[-1])
+            while taken < third:
+                for kept, x in zip(early, rows[taken], strict=False):
+                    kept.add(x)
+                taken += 1
+            while len(rows) - gone > third:
+                for kept, x in zip(late, rows[gone], strict=False):
+                    kept.drop(x)
+                gone += 1
+            out.append([*(k.median() for k in early), *(k.median() for k in late), steps.median()])
+        columns = zip(*out, strict=True) if out else [[]] * len(_MEDIANS)
+        yield pa.record_batch([*b.columns, *(pa.array(c, pa.float64()) for c in columns)], names=[*b.schema.names, *_MEDIANS])
+
+
 def growth_so_far(observations: DataFrame) -> DataFrame:
     """growth() of a track as of each of its frames: track_id, frame_index and all of growth()'s columns.
 
-    Sums and slopes run along one sorted window; medians of the first and last third need the rows so far as an array,
-    which is bounded by a track's length (a track closes after missed frames).
+    One shuffle: sums and slopes run along a sorted window, and one Arrow pass over its sorted rows keeps medians of the
+    rows so far, in memory that grows with the track and time that hardly depends on its length. Nulls are left out of
+    medians; rows of a track that share a frame_index are in no order.
     """
     by_frame = Window.partitionBy("track_id").orderBy("frame_index")
     w = by_frame.rowsBetween(Window.unboundedPreceding, 0)
     gain = F.col("area") - F.lag("area").over(by_frame)
-    o = observations.withColumns({
-        "kept": (gain >= -0.02 * F.lag("area").over(by_frame)).cast("double"),
-        "step": F.hypot(*(F.col(c) - F.lag(c).over(by_frame) for c in ("base_cx", "base_cy"))),
-    })
-    so_far = F.collect_list(F.struct("minute", "base_cx", "base_cy", "cx", "cy", "step")).over(w)
-    o = o.withColumns({"frames": F.count("*").over(w), "rows": so_far})
-    third = F.greatest(F.lit(1), F.floor(F.col("frames") / 3)).cast("int")
-    early, late = F.slice("rows", F.lit(1), third), F.slice("rows", F.col("frames").cast("int") - third + 1, third)
-
-    def gone(c: str) -> Column:
-        return _median(F.transform(late, lambda x: x[c])) - _median(F.transform(early, lambda x: x[c]))
+    step = F.hypot(*(F.col(c) - F.lag(c).over(by_frame) for c in ("base_cx", "base_cy")))
+    o = observations.withColumns({"kept": (gain >= -0.02 * F.lag("area").over(by_frame)).cast("double"), "step": step})
 
     def slope(y: str) -> Column:
-        steady = F.col("frames") * F.var_pop("minute").over(w) < 1e-9
+        steady = F.count("*").over(w) * F.var_pop("minute").over(w) < 1e-9
         return F.when(steady, 0.0).otherwise(F.coalesce(F.regr_slope(y, "minute").over(w), F.lit(0.0)))
 
-    minutes = F.when(gone("minute") <= 1e-6, F.max("minute").over(w) - F.min("minute").over(w)).otherwise(gone("minute"))
+    o = o.select(
+        "track_id", "frame_index", *(F.col(c).cast("double").alias(c) for c in (*_THIRDS, "step")),
+        F.count("*").over(w).alias("frames"), F.first("area").over(w).alias("area_first"), F.col("area").alias("area_last"),
+        (F.col("minute") - F.first("minute").over(w)).alias("span_min"), (F.max("minute").over(w) - F.min("minute").over(w)).alias("minutes"),
+        slope("area").alias("area_slope"), (-slope("top_y")).alias("top_rise"), F.abs(slope("cx")).alias("horizontal_drift"), slope("w").alias("width_growth"),
+        F.coalesce(F.avg("kept").over(w), F.lit(1.0)).alias("monotonic"),
+    )
+    types = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in o.schema), *(f"{c} double" for c in _MEDIANS)])
+    o = o.sortWithinPartitions("track_id", "frame_index").mapInArrow(_running_medians, types)  # as the window leaves them
+
+    def gone(c: str) -> Column:
+        return F.col(f"late_{c}") - F.col(f"early_{c}")
+
+    minutes = F.when(gone("minute") <= 1e-6, F.col("minutes")).otherwise(gone("minute"))
 
     def travel(x: str, y: str) -> Column:
         return F.when((F.col("frames") >= 2) & (minutes > 1e-6), F.hypot(gone(x), gone(y)) / minutes).otherwise(0.0)
 
-    first = {c: F.first(c).over(w) for c in ("minute", "area")}
     g = o.select(
-        "track_id", "frame_index", "frames",
-        (F.col("minute") - first["minute"]).alias("span_min"), first["area"].alias("area_first"), F.col("area").alias("area_last"),
-        slope("area").alias("area_slope"), (-slope("top_y")).alias("top_rise"),
-        travel("base_cx", "base_cy").alias("base_drift"), travel("cx", "cy").alias("centroid_drift"),
-        F.abs(slope("cx")).alias("horizontal_drift"), slope("w").alias("width_growth"),
-        F.coalesce(F.avg("kept").over(w), F.lit(1.0)).alias("monotonic"),
-        F.when(F.col("frames") >= 3, _median(F.transform(F.slice("rows", 2, F.col("frames").cast("int")), lambda x: x["step"]))).otherwise(0.0).alias("jitter"),
+        "track_id", "frame_index", "frames", "span_min", "area_first", "area_last", "area_slope", "top_rise",
+        travel("base_cx", "base_cy").alias("base_drift"), travel("cx", "cy").alias("centroid_drift"), "horizontal_drift", "width_growth", "monotonic",
+        F.when(F.col("frames") >= 3, F.col("step_median")).otherwise(0.0).alias("jitter"),
     )
     return _with_ratios(g)
 

@@ -366,10 +366,10 @@ def track_growth(spark, d):
 _SO_FAR = f"""{m.OBSERVATION.replace('observation AS', 'base AS', 1)}, observation AS (SELECT a.track_id * 100 + a.frame_index AS track_id, b.* EXCLUDE (track_id) FROM base a JOIN base b ON a.track_id = b.track_id AND b.frame_index <= a.frame_index){_GROW[len(m.OBSERVATION):]}"""
 
 
-@entry(f"WITH {_SO_FAR} SELECT track_id // 100 AS track_id, track_id % 100 AS frame_index, frames, area_first, area_last, {', '.join(f'round({c}, 5) AS {c}' for c in _GROWN)} FROM growth")
+@entry(f"WITH {_SO_FAR} SELECT track_id // 100 AS track_id, track_id % 100 AS frame_index, frames, area_first, area_last, {', '.join(f'round({c}, 6) AS {c}' for c in _GROWN)} FROM growth")
 def growth_as_of_frame(spark, d):
     g = tracks.growth_so_far(fixtures.observations(spark, d))
-    return _rounded(g.select("track_id", "frame_index", "frames", "area_first", "area_last", *_GROWN), **dict.fromkeys(_GROWN, 5))
+    return _rounded(g.select("track_id", "frame_index", "frames", "area_first", "area_last", *_GROWN), **dict.fromkeys(_GROWN, 6))
 
 
 _REGION = "region AS (SELECT g.*, track_id % 3 <> 0 AS has_colour, (track_id * 7 % 100) / 60.0::DOUBLE AS texture_ratio, CAST(track_id * 11 % 80 - 40 AS DOUBLE) AS base_below, (track_id * 13 % 100) / 100.0::DOUBLE AS edge_softness, (track_id * 17 % 100) / 80.0::DOUBLE AS saturation_ratio, (track_id * 19 % 100) / 100.0::DOUBLE AS greyness, CAST(track_id * 23 % 256 AS DOUBLE) AS mean_luma, (track_id * 29 % 100) / 100.0::DOUBLE AS blown, CAST(3 + track_id * 31 % 30 AS DOUBLE) AS h, CAST(3 + track_id * 37 % 90 AS DOUBLE) AS w, CAST(track_id * 41 % 60 AS BIGINT) AS clear_frames, track_id % 2 = 0 AS use_nuisance, (track_id * 43 % 100) / 100.0::DOUBLE AS habituation, track_id % 5 = 0 AS use_ceiling, (track_id * 47 % 100) / 100.0::DOUBLE AS ceiling, 0.05::DOUBLE AS slack, track_id % 4 = 0 AS corrected, CAST(track_id % 7 AS DOUBLE) AS shift, (track_id * 53 % 120) / 100.0::DOUBLE AS contrast_ratio FROM growth g)"
