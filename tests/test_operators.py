@@ -90,21 +90,21 @@ def test_machine():
     d = dict(camera_id=1, track_id=1, confidence=0.6, frames=5, answers=[(2, "supported", 0.5)])
     m = escalation.Machine()
     m.tick(0, [d | {"frames": 2}])
-    assert m.state == "suspect" and not [r for r in m.rows if r[1] == "alert"]
+    assert m.state == "suspect" and not [r for r in m.rows if r[2] == "alert"]
     m.tick(1, [d])
-    alert = next(r for r in m.rows if r[1] == "alert")
-    assert alert[2] == "alerted" and alert[5] == pytest.approx(1 - 0.4 * 0.65)
+    alert = next(r for r in m.rows if r[2] == "alert")
+    assert alert[3] == "alerted" and alert[6] == pytest.approx(1 - 0.4 * 0.65)
     blind = escalation.Machine()
     for t in range(3):
         blind.tick(t, [d | {"answers": [(2, "blind", None)]}])
-    assert [r[3] for r in blind.rows if r[1] == "alert"] == ["NEIGHBOURS_BLIND"]
+    assert [r[4] for r in blind.rows if r[2] == "alert"] == ["NEIGHBOURS_BLIND"]
     quiet = escalation.Machine()
     for t in range(3):
         quiet.tick(t, [d | {"answers": [(2, "silent", None)]}])
     assert quiet.state == "stood_down"
     alone = escalation.Machine()
     alone.tick(0, [d | {"answers": []}])
-    assert [r[2:4] for r in alone.rows if r[1] == "alert"] == [("needs_human", "NO_SECOND_VIEW")]
+    assert [r[3:5] for r in alone.rows if r[2] == "alert"] == [("needs_human", "NO_SECOND_VIEW")]
 
 
 def test_pixels():
@@ -349,7 +349,7 @@ def test_frozen_model(spark):
 
 def test_alerts_are_located(spark):
     place = (33.3, -116.85)
-    log = [(1, i, t, "alert", "alerted", "crossed_bearings", c, 0.9) for i, (t, c) in enumerate([(0, 1), (1, 1), (2, 1)])] + [(1, 3, 3, "transition", "watch", "faded", 1, 0.2)]
+    log = [(1, i, t, "alert", "alerted", "crossed_bearings", c, 0.9, ["seen"], 1) for i, (t, c) in enumerate([(0, 1), (1, 1), (2, 1)])] + [(1, 3, 3, "transition", "watch", "faded", 1, 0.2, None, None)]
     log = spark.createDataFrame(log, escalation.OUT)
 
     def ray(tick, camera, lat, lon, bearing):
@@ -365,7 +365,10 @@ def test_alerts_are_located(spark):
     rays = spark.createDataFrame(rays, "incident long, tick long, origin long, camera_id long, lat double, lon double, bearing double, sigma double, range_m double")
     got = {r.tick: r for r in escalation.locate(log, rays).collect()}
     assert set(got) == {0, 1, 2}
-    assert (got[0].lat, got[0].lon) == pytest.approx(place, abs=2e-3) and got[0].refusal is None and "cross" in got[0].headline
+    assert (got[0].lat, got[0].lon) == pytest.approx(place, abs=2e-3) and got[0].refusal is None
+    assert got[0].headline == f"Smoke {got[0].range_m / 1000:.1f} km from camera 1, confirmed by 2 cameras"
+    assert got[0].reasoning[0] == "seen" and got[0].reasoning[1].startswith("The bearings cross at ")
+    assert got[1].reasoning[1] == "No position: RAYS_TOO_PARALLEL." and "km apart" in got[1].reasoning[2]
     assert got[1].refusal == "RAYS_TOO_PARALLEL" and got[1].lat is None and got[1].nearest_m > 0
     assert got[2].refusal == "TOO_FEW_RAYS" and got[2].n_rays == 1 and "bearing 10" in got[2].headline
 

@@ -124,6 +124,28 @@ def alert_id(camera: Column, epoch_s: Column) -> Column:
     return F.concat_ws("-", camera.cast("string"), epoch_s.cast("string"))
 
 
-def headline(state: Column, has_fix: Column, aim_known: Column, place: Column, camera: Column, bearing: Column) -> Column:
-    lead = F.when(state == "needs_human", "Unresolved: possible smoke").otherwise("Smoke")
-    return F.when(~aim_known, F.concat(lead, F.lit(" "), place, F.lit(", one camera, no location"))).when(has_fix, F.concat(lead, F.lit(", bearings cross"))).otherwise(F.concat(lead, F.format_string(" on bearing %d from camera %s", F.bround(bearing).cast("long"), camera.cast("string"))))
+def headline(state: Column, range_m: Column, bearing: Column, place: Column, label: Column, site: Column, cameras: Column) -> Column:
+    """An alert's first line: range_m is null without a fix, bearing where the camera's aim isn't known."""
+    open_ = state == "needs_human"
+    lead = F.when(open_, "Unresolved: possible smoke").otherwise("Smoke")
+    on = F.format_string(" on bearing %d from %s", F.bround(bearing).cast("long"), label)
+    fixed = F.format_string("Smoke %.1f km from %s, confirmed by %d cameras", range_m / 1000.0, site, cameras)
+    unaimed = F.concat(lead, F.lit(" "), place, F.lit(", one camera, no location"))
+    return F.when(bearing.isNull(), unaimed).when(~open_ & range_m.isNotNull(), fixed).otherwise(F.concat(lead, on))
+
+
+#: Why an alert has no position, by cause.
+_NO_POSITION = {"NO_SECOND_VIEW": "no camera overlooks that bearing", "NEIGHBOURS_BLIND": "every camera that overlooks that bearing is unusable, which is not a stand-down but a gap in cover", "UNRESOLVED": "no neighbour agrees; a person should look at this"}
+
+
+def fix_sentences(refusal: Column, crossing: Column, semi_major_m: Column, distance_m: Column, corridor_m: Column, cause: Column) -> Column:
+    """The last lines of an alert's reasoning, as an array with nulls: how good a fix is, or why there is none and how far the
+    closest bearings pass each other."""
+    fix = F.format_string("The bearings cross at %.0f degrees, giving a position good to about %.0f m along the long axis.", crossing, semi_major_m)
+    why = refusal
+    for k, text in _NO_POSITION.items():
+        why = F.when(cause == k, text).otherwise(why)
+    none = F.concat(F.lit("No position: "), why, F.lit("."))
+    verdict = F.when(distance_m <= corridor_m, "they are consistent and it is the geometry that is soft.").otherwise("they are not looking at the same thing.")
+    apart = F.concat(F.format_string("The bearings pass %.1f km apart, against a combined uncertainty of %.0f m at that range, so ", distance_m / 1000.0, corridor_m), verdict)
+    return F.array(F.when(refusal.isNull() & crossing.isNotNull(), fix).when(why.isNotNull(), none), F.when(refusal.isNotNull() & distance_m.isNotNull(), apart))

@@ -80,17 +80,49 @@ def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIM
     return pairs.select("event_id", "origin", "camera_id", "rank", "baseline_m", "expected", "crossing", geo.pixel_from_bearing(F.col("expected"), F.lit(width), F.col("azimuth"), F.col("hfov")).alias("expected_x"))
 
 
-def nearest(probes: DataFrame, frames: DataFrame, key: str, within_s: int = 90) -> DataFrame:
+#: A key's time is dealt out in slabs of so many times the tolerance.
+SLAB = 100
+
+
+def nearest(probes: DataFrame, frames: DataFrame, key: str | list[str], within_s: int = 90) -> DataFrame:
     """Each probe (key, probe_id, at) with the frame (key, frame_id, ts) of its key nearest in time, at most within_s
-    away; of two equally near, the earlier, then the smaller id. Probes without one are left out.
+    away; of two equally near, the earlier, then the smaller id. Probes without one, or with a null key or time, are left
+    out. Other columns are ignored.
 
-    An equi-join on key and a time bin of within_s; a frame is listed in its own bin and both neighbours.
+    Both tables are merged in one sort by key and time, where the last frame up to a probe and the first from it on are
+    its neighbours. A key's time is dealt out in slabs, so that no key is one task's; only frames within within_s of a
+    slab's edge are listed in the slab next to it too.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    slab = lambda t: F.floor(t / (SLAB * within_s))
+    p = probes.select(*keys, slab(F.col("at")).alias("slab"), F.col("at").alias("t"), F.lit(None).cast(frames.schema["frame_id"].dataType).alias("frame_id"), "probe_id", F.lit(1).alias("asks"))
+    near = F.array_distinct(F.array(*(slab(F.col("ts") + d) for d in (-within_s, 0, within_s))))
+    f = frames.select(*keys, F.explode(near).alias("slab"), F.col("ts").alias("t"), "frame_id", F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.lit(0).alias("asks"))
+    both = p.unionByName(f).filter("t is not null").dropna(subset=keys)
+    frame = F.when(F.col("asks") == 0, F.struct(F.col("t").alias("ts"), "frame_id"))
+    order = {"before": F.col("t"), "after": F.desc("t")}
+    sides = {n: F.last(frame, ignorenulls=True).over(Window.partitionBy(*keys, "slab").orderBy(o, "asks", F.desc("frame_id")).rowsBetween(Window.unboundedPreceding, 0)) for n, o in order.items()}
+    met = both.withColumns(sides).filter("asks = 1")
+    gap = {"before": F.col("t") - F.col("before.ts"), "after": F.col("after.ts") - F.col("t")}
+    earlier = F.col("after").isNull() | (F.col("before").isNotNull() & (gap["before"] <= gap["after"]))
+    met = met.withColumn("frame_id", F.when(earlier, F.col("before.frame_id")).otherwise(F.col("after.frame_id"))).withColumn("gap_s", F.when(earlier, gap["before"]).otherwise(gap["after"]))
+    return met.filter(F.col("gap_s") <= within_s).select(*keys, "probe_id", "frame_id", "gap_s")
+
+
+def sweep(frames: DataFrame, within_s: int = 90) -> DataFrame:
+    """What every camera shows at every tick: incident, tick, camera_id, frame_id, gap_s of frames (incident, camera_id,
+    frame_id, ts, tick). Ticks are the distinct ones of an incident's frames, of whatever camera; a camera's frame is the
+    nearest at most within_s away, of two the earlier, then the smaller id; without one a camera has no row.
+
+    Ticks meet the cameras that have frames in their stretch of time, not all there are, so that what is asked grows with
+    what is found.
     """
-    f = frames.withColumn("bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("ts") / within_s) + d)))
-    p = probes.withColumn("bin", F.floor(F.col("at") / within_s))
-    near = p.join(f, [key, "bin"]).withColumn("gap_s", F.abs(F.col("ts") - F.col("at"))).filter(F.col("gap_s") <= within_s)
-    best = Window.partitionBy("probe_id").orderBy("gap_s", "ts", "frame_id")
-    return near.withColumn("k", F.row_number().over(best)).filter("k = 1").select(key, "probe_id", "frame_id", "gap_s")
+    stretch = lambda t: F.floor(t / (4 * within_s))
+    ticks = frames.select("incident", "tick").filter("tick is not null").distinct().withColumn("stretch", stretch(F.col("tick")))
+    near = F.array_distinct(F.array(stretch(F.col("ts") - within_s), stretch(F.col("ts") + within_s)))
+    there = frames.select("incident", "camera_id", F.explode(near).alias("stretch")).distinct()
+    probes = ticks.join(there, ["incident", "stretch"]).select("incident", "camera_id", F.col("tick").alias("probe_id"), F.col("tick").alias("at"))
+    return nearest(probes, frames, ["incident", "camera_id"], within_s).withColumnRenamed("probe_id", "tick").select("incident", "tick", "camera_id", "frame_id", "gap_s")
 
 
 def history(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -99,9 +131,10 @@ def history(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= n)
 
 
-def before(rows: DataFrame, order: str, when) -> DataFrame:
-    """Rows that lie before `when`."""
-    return rows.filter(F.col(order) < F.lit(when))
+def before(rows: DataFrame, order: str, when, n: int | None = None) -> DataFrame:
+    """Rows that lie before `when`, or the last n of them."""
+    earlier = rows.filter(F.col(order) < F.lit(when))
+    return earlier if n is None else earlier.orderBy(F.desc(order)).limit(n)
 
 
 def one(rows: DataFrame, key: str, value) -> DataFrame:

@@ -124,6 +124,20 @@ def nearest_frame(spark, d):
     return network.nearest(probes, frames, "sequence", 3600)
 
 
+@entry(f"""WITH {m.READING},
+ f AS (SELECT date AS incident, camera_id, event_id AS frame_id, epoch_s AS ts, epoch_s - epoch_s % 60 AS tick FROM reading WHERE active),
+ t AS (SELECT DISTINCT incident, tick FROM f),
+ j AS (SELECT incident, t.tick, camera_id, frame_id, abs(ts - t.tick) AS gap_s,
+   row_number() OVER (PARTITION BY incident, t.tick, camera_id ORDER BY abs(ts - t.tick), ts, frame_id) AS k
+   FROM t JOIN f USING (incident) WHERE abs(ts - t.tick) <= 90)
+ SELECT incident, tick, camera_id, frame_id, gap_s FROM j WHERE k = 1""")
+def tick_sweep(spark, d):
+    """What each active camera shows at each tick of an incident's timeline."""
+    r = fixtures.readings(spark, d).filter("active")
+    s = F.col("epoch_s")
+    return network.sweep(r.select(F.col("date").alias("incident"), "camera_id", F.col("event_id").alias("frame_id"), s.alias("ts"), (s - s % 60).alias("tick")))
+
+
 @entry(f"WITH {m.READING} SELECT camera_id, event_id, back FROM (SELECT camera_id, event_id, row_number() OVER (PARTITION BY camera_id ORDER BY epoch_s DESC, event_id DESC) AS back FROM reading WHERE epoch_s < 1705000000) WHERE back <= 6")
 def history_last_n(spark, d):
     return network.history(fixtures.readings(spark, d).filter("epoch_s < 1705000000").select("camera_id", "event_id", "epoch_s"), "camera_id", ["epoch_s", "event_id"], 6).drop("epoch_s")
@@ -539,10 +553,10 @@ def sequence_diagnostics(spark, d):
     return _rounded(evaluation.diagnostics(r), mean_ms=6)
 
 
-@entry(f"WITH {m.READING} SELECT DISTINCT epoch_s - epoch_s % 60 AS tick FROM reading ORDER BY tick DESC LIMIT 20")
+@entry(f"WITH {m.READING} SELECT DISTINCT epoch_s - epoch_s % 60 AS tick FROM reading ORDER BY tick LIMIT 20")
 def timeline_latest(spark, d):
-    """The last 20 ticks: the limit is the feature."""
-    return timeline_distinct(spark, d).orderBy(F.desc("tick")).limit(20)
+    """The first 20 ticks, as a run with a limit walks them: the limit is the feature."""
+    return timeline_distinct(spark, d).orderBy("tick").limit(20)
 
 
 @entry(f"WITH {m.READING} SELECT event_id, epoch_s FROM reading WHERE epoch_s < 1705000000 AND camera_id = (SELECT min(camera_id) FROM camera)")
@@ -576,6 +590,10 @@ def queries() -> dict:
     return {k: f for k, (f, _) in _entries.items()} | extras.queries() | stateful.queries()
 
 
+def oracle_of(name: str) -> str:
+    return _entries[name][1]
+
+
 def oracle_sql() -> dict[str, str]:
     from . import extras, stateful
 

@@ -113,11 +113,25 @@ def alert_labels(spark, d):
     place = measures.where(aim, F.lit(10.0) * (F.col("event_id") % 36), F.col("x") / 1024.0)
     asked = F.when(F.col("event_id") % 5 == 0, "none").otherwise((F.col("event_id") % 10 / 10.0).cast("string"))
     state = F.when(F.col("event_id") % 2 == 0, "needs_human").otherwise("alerted")
-    return r.select("event_id", measures.alert_id(F.col("camera_id"), F.col("epoch_s")).alias("alert_id"), place.alias("place"), measures.threshold(asked).alias("threshold"), measures.headline(state, F.col("event_id") % 3 == 0, aim, place, F.col("camera_id"), F.lit(10.0) * (F.col("event_id") % 36)).alias("headline"))
+    bearing = F.when(aim, F.lit(10.0) * (F.col("event_id") % 36))
+    range_m = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 200 * 100.0)
+    label, site = (F.concat(F.lit(f"{n} "), F.col(f"{n}_id").cast("string")) for n in ("camera", "site"))
+    headline = measures.headline(state, range_m, bearing, place, label, site, 2 + F.col("event_id") % 3)
+    return r.select(
+        "event_id", measures.alert_id(F.col("camera_id"), F.col("epoch_s")).alias("alert_id"), place.alias("place"),
+        measures.threshold(asked).alias("threshold"), headline.alias("headline"),
+    )
 
 
-_PLACE = "CASE WHEN event_id % 4 <> 0 THEN 'at bearing ' || (10 * (event_id % 36)) || '.0 degrees' ELSE 'at ' || CAST(round_even(100 * x / 1024.0, 0) AS BIGINT) || '% across the frame' END"
-_LABELS = f"WITH {m.READING}, p AS (SELECT *, {_PLACE} AS place, CASE WHEN event_id % 2 = 0 THEN 'Unresolved: possible smoke' ELSE 'Smoke' END AS lead FROM reading) SELECT event_id, camera_id || '-' || epoch_s AS alert_id, place, CASE WHEN event_id % 5 = 0 THEN 0.45 ELSE least(greatest((event_id % 10) / 10.0::DOUBLE, 0.1), 0.68::DOUBLE - 0.01) END AS threshold, CASE WHEN event_id % 4 = 0 THEN lead || ' ' || place || ', one camera, no location' WHEN event_id % 3 = 0 THEN lead || ', bearings cross' ELSE lead || ' on bearing ' || (10 * (event_id % 36)) || ' from camera ' || camera_id END AS headline FROM p"
+_PLACE = """CASE WHEN event_id % 4 <> 0 THEN 'at bearing ' || (10 * (event_id % 36)) || '.0 degrees'
+   ELSE 'at ' || CAST(round_even(100 * x / 1024.0, 0) AS BIGINT) || '% across the frame' END"""
+_LABELS = f"""WITH {m.READING},
+ p AS (SELECT *, {_PLACE} AS place, CASE WHEN event_id % 2 = 0 THEN 'Unresolved: possible smoke' ELSE 'Smoke' END AS lead FROM reading)
+ SELECT event_id, camera_id || '-' || epoch_s AS alert_id, place,
+  CASE WHEN event_id % 5 = 0 THEN 0.45 ELSE least(greatest((event_id % 10) / 10.0::DOUBLE, 0.1), 0.68::DOUBLE - 0.01) END AS threshold,
+  CASE WHEN event_id % 4 = 0 THEN lead || ' ' || place || ', one camera, no location'
+   WHEN event_id % 2 = 1 AND event_id % 3 = 0 THEN printf('Smoke %.1f km from site %d, confirmed by %d cameras', event_id % 200 / 10.0, site_id, 2 + event_id % 3)
+   ELSE lead || ' on bearing ' || (10 * (event_id % 36)) || ' from camera ' || camera_id END AS headline FROM p"""
 
 _entries = {"plane_measures": _PLANE, "map_places": _MAP, "detector_boxes": _BOXES, "clear_regions": _CLEAR, "first_answers": _FIRST, "last_states": _LAST, "scored_only": _ONLY, "confusion_counts": _CONF, "alert_labels": _LABELS}
 

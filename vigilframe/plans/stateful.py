@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scoring
 from ..operators import detection, escalation, network, tracker, tracks
 from ..sources import fixtures, sinks, synthetic
-from ..streaming import tracking
+from ..streaming import escalating, tracking
 from . import macros as m
 
 
@@ -32,37 +33,102 @@ def box_suppression(spark, d):
     return tracker.suppress(boxes)
 
 
+_HOUR, _DAY = 3600, 86_400
+
+
 def _said(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Detections of active cameras' readings, and what the cameras that overlook a suspect one say of it."""
+    """Each active camera's best reading of an hour of an incident (a date's sequences on one day), blind ones too, and what
+    the cameras that overlook a suspect one's bearing say of it."""
     r = fixtures.readings(spark, d).filter("active")
     k = F.col("event_id")
-    at = F.col("date").alias("incident"), F.floor(F.col("epoch_s") / 3600).alias("tick")
-    own = r.select("event_id", *at, "camera_id", (F.col("sequence") % 3).alias("track_id"), "confidence", (k % 9).alias("frames"), "lat", "lon", "bearing", "range_m")
-    near = network.consultable(r.filter(F.col("confidence") >= scoring.SUSPECT_AT), fixtures.cameras(spark, d))
-    said = scoring.answer(F.lit(True), (k + F.col("camera_id")) % 11 == 0, F.col("crossing") - 60.0, (k * 3 % 100) / 100.0, k % 9, tolerance=20.0)
-    return own, near.select("event_id", "camera_id", said.alias("outcome"), ((k * 3 % 100) / 100.0).alias("confidence"), "expected")
+    day, hour = (F.floor(F.col("epoch_s") / n) for n in (_DAY, _HOUR))
+    own = r.select("event_id", (day * 20 + F.col("date")).alias("incident"), hour.alias("tick"), F.timestamp_seconds(hour * _HOUR).alias("at"), "camera_id", (F.col("sequence") % 3).alias("track_id"), "confidence", (k % 9).alias("frames"), F.when(k % 13 == 0, "fog").alias("blind"), "lat", "lon", "bearing", "range_m", "site_id")
+    best = Window.partitionBy("incident", "tick", "camera_id").orderBy(F.col("blind").isNotNull(), F.desc("confidence"), "event_id")
+    own = escalation.re_examined(own.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k"), ["incident"], ["tick"])
+    own = own.withColumn("summary", F.format_string("scored %.2f over %d frames", "confidence", "frames"))
+    suspects = own.filter((F.col("confidence") >= scoring.SUSPECT_AT) & F.col("blind").isNull())
+    near = network.consultable(suspects, fixtures.cameras(spark, d))
+    asked = (k * 3 % 100) / 100.0
+    outcome = scoring.answer(F.lit(True), (k + F.col("camera_id")) % 11 == 0, F.col("crossing") - 60.0, asked, k % 9, tolerance=20.0)
+    near = near.select("event_id", "camera_id", outcome.alias("outcome"), asked.alias("confidence"), "expected", (k % 9).alias("frames"))
+    seen_at = geo.normalise(F.col("expected") + (k % 5 - 2) * 1.0 + F.when(F.col("outcome") == "off_bearing", 30.0).otherwise(0.0))
+    return own, near.withColumn("said", escalation.answer_text(F.col("outcome"), F.col("expected"), seen_at, F.col("confidence"), F.col("frames"), F.when(F.col("outcome") == "blind", "fog")))
 
 
 def _sweeps(own: DataFrame, said: DataFrame) -> DataFrame:
     """Detections with the answers to them, four at most."""
-    answers = said.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("camera_id", "outcome", "confidence"))).alias("answers"))
-    return own.drop("lat", "lon", "bearing", "range_m").join(answers, "event_id", "left")
+    answers = said.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("camera_id", "outcome", "confidence", "said"))).alias("answers"))
+    return own.drop("lat", "lon", "bearing", "range_m", "site_id").join(answers, "event_id", "left").drop("event_id")
 
 
 def escalation_log(spark, d):
     return escalation.escalate(_sweeps(*_said(spark, d)))
 
 
+def escalation_stream(spark, d):
+    """escalation_log of a stream: ticks come shuffled, in four files of a week each, with a tenth of the rows a file late; a
+    last row moves the watermark past all."""
+    sweeps = _sweeps(*_said(spark, d))
+    week, behind = F.floor(F.unix_seconds("at") / (7.5 * _DAY)), F.pmod(F.xxhash64("incident", "tick", "camera_id"), F.lit(10)) == 0
+    end = sweeps.agg(F.max("incident").alias("incident"), F.max("tick").alias("tick"), F.max("at").alias("at"))
+    end = end.select((F.col("incident") + 1_000_000).alias("incident"), (F.col("tick") + 10_000).alias("tick"), (F.col("at") + F.expr("interval 300 days")).alias("at"))
+    at = _in_files(spark, sweeps.unionByName(end, allowMissingColumns=True), week + behind.cast("long"))
+    stream = spark.readStream.schema(sweeps.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    with _rocksdb(spark):
+        return _run(escalating.escalate(stream, late="16 days", idle_s=_DAY), "append", spark).drop("batch")
+
+
+def nearest_stream(spark, d):
+    """nearest_frame of two streams: events in order of time, a tenth of them a week late."""
+    r = fixtures.readings(spark, d).select(F.col("sequence").alias("key"), "event_id", "event_type", F.timestamp_seconds("epoch_s").alias("ts"))
+    week, behind = F.floor(F.unix_seconds("ts") / (7.5 * _DAY)), F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
+    ends = r.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 300 days")).alias("ts"), F.explode(F.array(F.lit("error"), F.lit("view"))).alias("event_type"))
+    at = _in_files(spark, r.unionByName(ends), week + behind.cast("long"))
+    stream = lambda: spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    probes = stream().filter("event_type = 'error'").select("key", F.col("event_id").alias("probe_id"), F.col("ts").alias("at"))
+    frames = stream().filter("event_type != 'error'").select("key", F.col("event_id").alias("frame_id"), "ts")
+    got = _run(tracking.nearest(probes, frames, 3600, late="16 days"), "append", spark)
+    return got.filter("key >= 0").select(F.col("key").alias("sequence"), "probe_id", "frame_id", F.col("gap_s").cast("long").alias("gap_s"))
+
+
 def alert_fixes(spark, d):
-    """Where the alerts are: the rays of each camera's best reading of a tick, and of those that support it."""
+    """Where the alerts are: the rays of each camera's reading of a tick, and of those that support it."""
     own, said = _said(spark, d)
-    best = F.row_number().over(Window.partitionBy("incident", "tick", "camera_id").orderBy(F.desc("confidence"), "event_id"))
-    own_best = own.filter(F.col("confidence") >= scoring.SUSPECT_AT).withColumn("k", best).filter("k = 1")
-    mine = own_best.select("incident", "tick", F.col("camera_id").alias("origin"), "camera_id", "lat", "lon", "bearing", "range_m")
-    places = fixtures.cameras(spark, d).select("camera_id", "lat", "lon", "range_m")
-    theirs = said.filter("outcome = 'supported'").join(own_best.select("event_id", "incident", "tick", F.col("camera_id").alias("origin")), "event_id").join(places, "camera_id")
-    rays = mine.unionByName(theirs.select("incident", "tick", "origin", "camera_id", "lat", "lon", F.col("expected").alias("bearing"), "range_m")).withColumn("sigma", F.lit(1.5))
-    return escalation.locate(escalation.escalate(_sweeps(own, said)), rays)
+    named = {"label": F.concat(F.lit("camera "), F.col("camera_id").cast("string")), "site_name": F.concat(F.lit("site "), F.col("site_id").cast("string"))}
+    seen = own.filter((F.col("confidence") >= scoring.SUSPECT_AT) & F.col("blind").isNull())
+    cols = ["incident", "tick", "origin", "camera_id", "lat", "lon", "bearing", "range_m", "label", "site_name"]
+    mine = seen.withColumns({**named, "origin": F.col("camera_id")}).select(*cols)
+    places = fixtures.cameras(spark, d).withColumns(named).select("camera_id", "lat", "lon", "range_m", "label", "site_name")
+    asked = seen.select("event_id", "incident", "tick", F.col("camera_id").alias("origin"))
+    theirs = said.filter("outcome = 'supported'").join(asked, "event_id").join(places, "camera_id").withColumn("bearing", F.col("expected")).select(*cols)
+    located = escalation.locate(escalation.escalate(_sweeps(own, said)), mine.unionByName(theirs).withColumn("sigma", F.lit(1.5)))
+    return located.withColumn("reasoning", F.concat_ws("\n", "reasoning"))
+
+
+def _in_files(spark: SparkSession, rows: DataFrame, place) -> str:
+    """Rows in files of a folder that a stream takes one by one, in order of place."""
+    at = _fresh(spark, "input")
+    rows = rows.withColumn("__place", place)
+    rows = rows.repartition("__place").cache()
+    for n in sorted(r[0] for r in rows.select("__place").distinct().collect()):  # a few
+        rows.filter(F.col("__place") == n).drop("__place").coalesce(1).write.mode("append").parquet(at)
+    rows.unpersist()
+    return at
+
+
+@contextlib.contextmanager
+def _rocksdb(spark: SparkSession):
+    """The session's streams that start within keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, escalating.ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
@@ -158,9 +224,11 @@ def impostor_scenes(spark, d):
 
 
 def queries() -> dict:
-    own = (region_tracks, box_suppression, escalation_log, alert_fixes, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability, impostor_scenes)
+    own = (region_tracks, box_suppression, escalation_log, escalation_stream, nearest_stream, alert_fixes, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability, impostor_scenes)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"late_growth_stream": _LATE, "tiny_image_stats": _TINY, "run_records": _RECORDS}
+    from .catalogue import oracle_of
+
+    return {"nearest_stream": oracle_of("nearest_frame"), "late_growth_stream": _LATE, "tiny_image_stats": _TINY, "run_records": _RECORDS}

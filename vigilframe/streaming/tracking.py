@@ -101,7 +101,18 @@ def report(readings: DataFrame, every: str = "1 hour", late: str = "10 minutes")
     return readings.withWatermark("ts", late).groupBy(F.window("ts", every), "camera_id").agg(F.count("*").alias("readings"), F.max("confidence").alias("peak")).select(F.col("window.start").alias("start"), "camera_id", "readings", "peak")
 
 
-def nearest(probes: DataFrame, frames: DataFrame, within: str = "90 seconds", late: str = "10 minutes") -> DataFrame:
-    """Frames of a probe's key at most `within` from it, of two streams (key, probe_id, at) and (key, frame_id, ts)."""
-    p, f = probes.withWatermark("at", late), frames.withWatermark("ts", late).withColumnRenamed("key", "f_key")
-    return p.join(f, F.expr(f"key = f_key AND ts >= at - interval {within} AND ts <= at + interval {within}")).select("key", "probe_id", "frame_id", F.abs(F.unix_micros("ts") - F.unix_micros("at")).alias("gap_us"))
+def nearest(probes: DataFrame, frames: DataFrame, within_s: int = 90, late: str = "10 minutes") -> DataFrame:
+    """network.nearest() of two streams (key, probe_id, at) and (key, frame_id, ts), both times timestamps: key, probe_id, at,
+    frame_id and gap_s of the nearest frame at most within_s from a probe, of two the earlier, then the smaller id.
+
+    An interval join, and behind it an aggregate that keeps one frame a probe until the watermark passes the probe, then
+    gives it once. Rows that come up to `late` after the newest of their stream count at their time; later ones are
+    dropped. The join keeps what may still meet, the aggregate one frame a probe.
+    """
+    p = probes.select("key", "probe_id", "at").withWatermark("at", late)
+    f = frames.select(F.col("key").alias("f_key"), "frame_id", "ts").withWatermark("ts", late)
+    near = p.join(f, F.expr(f"key = f_key AND ts >= at - interval {within_s} seconds AND ts <= at + interval {within_s} seconds"))
+    micros = F.unix_micros("ts")
+    near = near.select("key", "probe_id", "at", "frame_id", micros.alias("ts_us"), F.abs(micros - F.unix_micros("at")).alias("gap_us"))
+    best = near.groupBy("at", "key", "probe_id").agg(F.min(F.struct("gap_us", "ts_us", "frame_id")).alias("best"))
+    return best.select("key", "probe_id", "at", F.col("best.frame_id").alias("frame_id"), (F.col("best.gap_us") / 1e6).alias("gap_s"))
