@@ -92,3 +92,30 @@ def test_growth_so_far_of_a_long_track(spark):
     last = tracks.growth_so_far(rows).filter("frame_index = 99999").first().asDict()
     whole = tracks.growth(rows).first().asDict()
     assert all(last[c] == pytest.approx(whole[c], rel=1e-6, abs=1e-9) for c in whole)
+
+
+RAY = "key long, id long, site_id long, lat double, lon double, bearing double, range_m double"
+
+
+def test_crossings_are_those_of_all_pairs(spark):
+    """On a wide network, far north, across the date line, for long ranges, lines along a row or column of cells."""
+    from vigilframe.operators import fixes
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for key, (lat, lon, wide, metres) in enumerate([(33.0, -117.0, 0.4, 40_000.0), (62.0, 20.0, 1.5, 40_000.0), (-45.0, 179.9, 0.8, 60_000.0), (10.0, 5.0, 6.0, 40_000.0)]):
+        for i in range(90):
+            bearing = float(rng.choice([rng.uniform(0, 360), rng.integers(0, 8) * 45]))
+            rows.append((key, 100 * key + i, i % 7, float(lat + rng.uniform(-wide, wide)), float(lon + rng.uniform(-wide, wide)), bearing, metres))
+    rays = spark.createDataFrame(rows, RAY)
+    got = sorted((r.a_id, r.b_id, round(r.lat, 9), round(r.lon, 9)) for r in fixes.crossings(rays, "key", "id", [], ["site_id"]).collect())
+    a, b = (rays.select("key", *(F.col(c).alias(f"{p}_{c}") for c in rays.columns[1:])) for p in "ab")
+    pairs = a.join(b, "key").filter("a_id < b_id AND a_site_id != b_site_id")
+    ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
+    met = fixes.meet(pairs, ray("a"), ray("b")).filter("refusal is null")
+    want = sorted((r.a_id, r.b_id, round(r.lat, 9), round(r.lon, 9)) for r in met.collect())
+    assert got == want and len({i // 100 for i, *_ in want}) == 4
+    # Over the wide network few pairs share a cell.
+    wide = fixes.walked(rays.filter("key = 3")).select("ci", "cj", "id")
+    shared = wide.join(wide.withColumnRenamed("id", "other"), ["ci", "cj"]).filter("id < other").select("id", "other").distinct().count()
+    assert shared < 0.03 * 90 * 89 / 2

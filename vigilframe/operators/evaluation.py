@@ -106,23 +106,26 @@ def _agreeing(readings: DataFrame, tolerance_s: int) -> DataFrame:
     """(event_id, level): the highest confidence of a reading of another site on the same date, at most tolerance_s away,
     whose ray crosses this one's in front of both cameras and within range.
 
-    An equi-join on date and a time bin of tolerance_s; a bin of more than BIN_ROWS readings is dealt out in parts, each of
-    which meets all readings that may be near. A reading agrees at a threshold if its own confidence and this level reach
-    it, so the thresholds need no joins of their own.
+    An equi-join on date, a time bin of tolerance_s and the cells that both rays pass; where more than BIN_ROWS readings of a
+    bin pass a cell, they are dealt out in parts, each of which meets all readings that may be near. A reading agrees at a
+    threshold if its own confidence and this level reach it, so the thresholds need no joins of their own.
     """
     cols = ["event_id", "date", "site_id", "sequence", "offset_s", "confidence", "lat", "lon", "bearing", "range_m"]
+    place = ["date", "bin", "ci", "cj"]
     bin_ = F.floor(F.col("offset_s") / tolerance_s)
-    strong = readings.filter(F.col("confidence") >= SWEEP[0]).select(*cols, bin_.alias("bin"))
-    parts = strong.groupBy("date", "bin").agg(F.ceil(F.count("*") / BIN_ROWS).alias("parts"))
+    strong = fixes.walked(readings.filter(F.col("confidence") >= SWEEP[0]).select(*cols, bin_.alias("bin")))
+    parts = strong.groupBy(*place).agg(F.ceil(F.count("*") / BIN_ROWS).alias("parts")).filter("parts > 1")  # few, if any
+    part = F.coalesce("parts", F.lit(1).cast("long"))
     near_bins = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("bin") + d)).alias("bin")
-    a = strong.join(parts, ["date", "bin"]).select(*(F.col(c).alias(f"a_{c}") for c in cols), "bin", F.pmod(F.xxhash64("event_id"), "parts").alias("part"))
-    b = strong.select(*cols, near_bins).join(parts, ["date", "bin"])
-    b = b.select(*(F.col(c).alias(f"b_{c}") for c in cols), "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    a = strong.join(parts, place, "left").select(*(F.col(c).alias(f"a_{c}") for c in cols), *place, F.pmod(F.xxhash64("event_id"), part).alias("part"))
+    b = strong.select(*cols, near_bins, "ci", "cj").join(parts, place, "left")
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in cols), *place, F.explode(F.sequence(F.lit(0).cast("long"), part - 1)).alias("part"))
     n = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in full: a row becomes many
-    a, b = a.repartition(n, "a_date", "bin", "part"), b.repartition(n, "b_date", "bin", "part")
-    near = a.join(b, (a.a_date == b.b_date) & (a.bin == b.bin) & (a.part == b.part) & (a.a_site_id != b.b_site_id) & (a.a_sequence != b.b_sequence) & (F.abs(a.a_offset_s - b.b_offset_s) <= tolerance_s))
+    a, b = (x.repartition(n, *place, "part") for x in (a, b))
+    near = a.join(b, [*place, "part"]).filter((F.col("a_site_id") != F.col("b_site_id")) & (F.col("a_sequence") != F.col("b_sequence")) & (F.abs(F.col("a_offset_s") - F.col("b_offset_s")) <= tolerance_s))
     ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
-    return fixes.meet(near, ray("a"), ray("b")).filter("refusal is null").groupBy(F.col("a_event_id").alias("event_id")).agg(F.max("b_confidence").alias("level"))
+    met = fixes.meet(near, ray("a"), ray("b")).filter("refusal is null").filter(fixes.in_cell(F.col("lat"), F.col("lon")))
+    return met.groupBy(F.col("a_event_id").alias("event_id")).agg(F.max("b_confidence").alias("level"))
 
 
 def corroboration_curve(readings: DataFrame, tolerance_s: int = TOLERANCE_S) -> DataFrame:
@@ -156,13 +159,10 @@ def consistency(scores: DataFrame, cameras: DataFrame) -> DataFrame:
     fixes' mean position (null below two pairs). scores has (sequence, date, camera_id, bearing)."""
     c = cameras.select("camera_id", "site_id", "lat", "lon", "range_m").filter("not (lat = 0 and lon = 0)")
     rays = scores.filter("bearing is not null").join(c, "camera_id")
-    a, b = (rays.select("date", *(F.col(x).alias(f"{p}_{x}") for x in ("sequence", "site_id", "lat", "lon", "bearing", "range_m"))) for p in "ab")
-    pairs = a.join(b, "date").filter("a_sequence < b_sequence and a_site_id != b_site_id")
-    ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
-    fixed = fixes.meet(pairs, ray("a"), ray("b")).filter("refusal is null").select("date", "lat", "lon")
-    w = Window.partitionBy("date")
-    far = fixed.withColumns({"c_lat": F.avg("lat").over(w), "c_lon": F.avg("lon").over(w)})
-    return far.groupBy("date").agg(F.count("*").alias("pairs"), F.when(F.count("*") >= 2, F.avg(geo.haversine(*map(F.col, ("lat", "lon", "c_lat", "c_lon"))))).alias("spread_m"))
+    fixed = fixes.crossings(rays.select("date", "sequence", "site_id", "lat", "lon", "bearing", "range_m"), "date", "sequence", [], ["site_id"])
+    centre = fixed.groupBy("date").agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
+    far = fixed.join(centre, "date").withColumn("off_m", geo.haversine(*map(F.col, ("lat", "lon", "c_lat", "c_lon"))))
+    return far.groupBy("date").agg(F.count("*").alias("pairs"), F.when(F.count("*") >= 2, F.avg("off_m")).alias("spread_m"))
 
 
 def consistency_summary(consistent: DataFrame) -> DataFrame:

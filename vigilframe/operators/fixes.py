@@ -69,6 +69,60 @@ def meet(pairs: DataFrame, a: dict[str, Column], b: dict[str, Column], min_angle
     return rows.withColumns(found).drop(*parts, *along)
 
 
+#: Cells of this size hold a fifth of a usual ray's length: smaller ones copy rays, larger ones bring together what never meets.
+RAY_CELL_DEG = 0.1
+
+
+def walked(rays: DataFrame) -> DataFrame:
+    """Each ray (lat, lon, bearing, range_m) once for each cell (ci, cj) that it passes or comes near to, row of cells by row.
+
+    Rays that meet() finds to cross do so in a cell that both pass: what its plane, which lies between both cameras, bends a
+    line is within a margin that grows with the square of the range. Longitudes wrap around.
+    """
+    cell = lambda x: F.floor(x / RAY_CELL_DEG)
+    shrink = F.greatest(F.cos(F.radians("lat")), F.lit(0.02))
+    lean = F.tan(F.radians(F.least(F.abs("lat"), F.lit(85.0))))
+    margin = F.degrees((3.0 * F.col("range_m") * F.col("range_m") / geo.EARTH_RADIUS_M * (lean + 0.1) + 50.0) / geo.EARTH_RADIUS_M)
+    north = F.degrees(F.cos(F.radians("bearing")) * F.col("range_m") / geo.EARTH_RADIUS_M)
+    east = F.degrees(F.sin(F.radians("bearing")) * F.col("range_m") / geo.EARTH_RADIUS_M / shrink)
+    r = sets.once(rays, {"__margin": margin, "__north": north, "__east": east, "__shrink": shrink})
+    ends = [F.col("lat") + F.least(F.lit(0.0), F.col("__north")) - F.col("__margin"), F.col("lat") + F.greatest(F.lit(0.0), F.col("__north")) + F.col("__margin")]
+    r = r.withColumn("ci", F.explode(F.sequence(*map(cell, ends))))
+    share = [(F.col("ci") + k) * RAY_CELL_DEG + sign * F.col("__margin") - F.col("lat") for k, sign in ((0, -1), (1, 1))]
+    flat = F.abs("__north") < 1e-9
+    inside = lambda x, otherwise: F.when(flat, otherwise).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x / F.col("__north"))))
+    r = sets.once(r, {"__t0": inside(share[0], 0.0), "__t1": inside(share[1], 1.0)})
+    reach = [F.col("lon") + f(F.col("__east") * F.col("__t0"), F.col("__east") * F.col("__t1")) + sign * F.col("__margin") * 1.05 / F.col("__shrink") for f, sign in ((F.least, -1), (F.greatest, 1))]
+    columns = F.array_distinct(F.transform(F.sequence(*map(cell, reach)), lambda j: F.pmod(j, F.lit(_AROUND))))
+    return r.withColumn("cj", F.explode(columns)).drop("__margin", "__north", "__east", "__shrink", "__t0", "__t1")
+
+
+_AROUND = round(360 / RAY_CELL_DEG)
+
+
+def in_cell(lat: Column, lon: Column) -> Column:
+    """Whether a place lies in the row's cell (ci, cj): a pair of rays that meets in several common cells counts in this one."""
+    return (F.floor(lat / RAY_CELL_DEG) == F.col("ci")) & (F.pmod(F.floor(lon / RAY_CELL_DEG), F.lit(_AROUND)) == F.col("cj"))
+
+
+def crossings(rays: DataFrame, key: str, ident: str, keep: list[str], apart: list[str]) -> DataFrame:
+    """Pairs of rays (key, ident, lat, lon, bearing, range_m, ...) of one key that meet, each once: key, a_ and b_ of ident and
+    `keep`, and lat, lon of the crossing. The a side has the smaller ident; values of `apart` differ.
+
+    An equi-join on key and cells that both rays pass, so that rays that lie apart aren't compared.
+    """
+    cols = list(dict.fromkeys([ident, *keep, *apart, "lat", "lon", "bearing", "range_m"]))
+    cells = walked(rays.select(key, *cols))
+    n = int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in full: a row becomes many
+    a, b = (cells.select(key, "ci", "cj", *(F.col(c).alias(f"{p}_{c}") for c in cols)).repartition(n, key, "ci", "cj") for p in "ab")
+    pairs = a.join(b, [key, "ci", "cj"]).filter(F.col(f"a_{ident}") < F.col(f"b_{ident}"))
+    for c in apart:
+        pairs = pairs.filter(F.col(f"a_{c}") != F.col(f"b_{c}"))
+    ray = lambda p: {k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m")}
+    met = meet(pairs, ray("a"), ray("b")).filter("refusal is null").filter(in_cell(F.col("lat"), F.col("lon")))
+    return met.select(key, *(f"{p}_{c}" for p in "ab" for c in dict.fromkeys([ident, *keep])), "lat", "lon")
+
+
 def approach(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     """How close two rays come in front of both cameras: distance_m, corridor_m, lat, lon of the midpoint, consistent."""
     ref_lat, ref_lon = (a["lat"] + b["lat"]) / 2.0, (a["lon"] + b["lon"]) / 2.0

@@ -221,8 +221,7 @@ _pp = m.pair("a", "b")
 
 @entry(f"WITH {_RAYS} SELECT a.event, a.camera_id AS a, b.camera_id AS b, round({_pp['lat']}, 7) AS lat, round({_pp['lon']}, 7) AS lon FROM ray a JOIN ray b ON a.event = b.event AND a.camera_id < b.camera_id WHERE {_pp['ok']}")
 def pair_fixes(spark, d):
-    pairs, a, b = _ray_pairs(spark, d)
-    met = fixes.meet(pairs, a, b).filter("refusal is null")
+    met = fixes.crossings(_rays(spark, d), "event", "camera_id", [], [])
     return met.select("event", F.col("a_camera_id").alias("a"), F.col("b_camera_id").alias("b"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
