@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def sanitise(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_")
 
 
+def plain(name: str) -> str:
+    """sanitise() of one name."""
+    return re.sub(r"[^A-Za-z0-9._-]", "_", name)
+
+
 def clock(seconds: Column) -> Column:
     """h:mm:ss."""
     s = seconds.cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
 from ..operators import detection, escalation, network, tracker, tracks
-from ..sources import fixtures, sinks, synthetic
+from ..sources import fixtures, recorded, sinks, synthetic
 from ..streaming import escalating, tracking
 from . import macros as m
 
@@ -191,6 +191,32 @@ def run_records(spark, d):
 _RECORDS = "WITH s AS (SELECT user_id % 50 AS run, event_type AS name, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_type) AS k FROM events GROUP BY 1, 2) SELECT run, '1.0' AS version, max(name) FILTER (WHERE k = 1) AS first, max(ms) FILTER (WHERE k = 1) AS ms, max(CASE WHEN name = 'error' THEN 'NO_SECOND_VIEW' END) FILTER (WHERE k = 3) AS refusal FROM s GROUP BY run"
 
 
+def recorded_frames(spark, d):
+    """Vectors as frames of eight by eight pixels, 50 an incident, written as bundles and read back through the source: the
+    frames of three of five cameras from the third minute on."""
+    v = F.col("vec_id")
+    grey = F.transform(F.slice("embedding", 1, 64), lambda x: F.lpad(F.hex(F.pmod(F.floor(x.cast("double") * 1000), F.lit(256))), 2, "0"))
+    frames = fixtures.table(spark, d, "embeddings").select(
+        F.floor(v / 50).alias("incident"), (v % 5).cast("string").alias("camera_id"), v.alias("frame_index"),
+        F.timestamp_seconds(1_700_000_000 + F.floor(v % 50 / 5) * 60).alias("ts"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(F.array_join(grey, "")).alias("data"),
+    )
+    cams = fixtures.cameras(spark, d).filter("camera_id < 5").withColumn("camera_id", F.col("camera_id").cast("string"))
+    at = _fresh(spark, "bundles")
+    sinks.write_bundles(sinks.bundles(frames, cams), at).write.format("noop").mode("overwrite").save()
+    recorded.register(spark)
+    read = spark.read.format("recorded").load(at).filter(F.col("camera_id").isin("1", "2", "4") & (F.col("ts") >= F.timestamp_seconds(F.lit(1_700_000_120))))
+    byte = lambda i: F.conv(F.substring(F.hex("data"), 2 * i + 1, 2), 16, 10).cast("long")
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.length("data") - 1), byte), F.lit(0).cast("long"), lambda a, x: a + x)
+    return read.select(F.col("incident").cast("long"), F.col("camera_id").cast("long"), F.col("frame_index").cast("long"), F.unix_seconds("ts").alias("epoch_s"), F.col("height").cast("long"), F.col("width").cast("long"), total.alias("total"), "problem")
+
+
+_RECORDED = """WITH f AS (SELECT vec_id // 50 AS incident, vec_id % 5 AS camera_id, 1700000000 + vec_id % 50 // 5 * 60 AS epoch_s,
+   [CAST(((floor(CAST(x AS DOUBLE) * 1000) % 256) + 256) % 256 AS BIGINT) FOR x IN embedding[1:64]] AS p FROM embeddings)
+ SELECT incident, camera_id, row_number() OVER (PARTITION BY incident, camera_id ORDER BY epoch_s) - 1 AS frame_index, epoch_s,
+  CAST(8 AS BIGINT) AS height, CAST(8 AS BIGINT) AS width, CAST(list_sum(p) AS BIGINT) AS total, NULL AS problem
+ FROM f QUALIFY camera_id IN (1, 2, 4) AND epoch_s >= 1700000120"""
+
+
 def synthetic_incident(spark, d):
     """Frames in which three cameras see a plume, down to its position: rendered, measured, tracked and crossed."""
     cams = synthetic.ring(spark, 3)
@@ -224,11 +250,11 @@ def impostor_scenes(spark, d):
 
 
 def queries() -> dict:
-    own = (region_tracks, box_suppression, escalation_log, escalation_stream, nearest_stream, alert_fixes, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability, impostor_scenes)
+    own = (region_tracks, box_suppression, escalation_log, escalation_stream, nearest_stream, alert_fixes, recorded_frames, late_growth_stream, tiny_image_stats, run_records, synthetic_incident, scene_usability, impostor_scenes)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     from .catalogue import oracle_of
 
-    return {"nearest_stream": oracle_of("nearest_frame"), "late_growth_stream": _LATE, "tiny_image_stats": _TINY, "run_records": _RECORDS}
+    return {"nearest_stream": oracle_of("nearest_frame"), "recorded_frames": _RECORDED, "late_growth_stream": _LATE, "tiny_image_stats": _TINY, "run_records": _RECORDS}

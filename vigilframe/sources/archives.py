@@ -18,8 +18,8 @@ LEAST_STILLS = 6
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, content) of every file in zip archives, one at a time in the task that reads the archive. Hidden
-    files, resource forks and what isn't a zip are left out."""
+    """(archive, path, content, refusal) of every file in zip archives, one at a time in the task that reads the archive.
+    Hidden files and resource forks are left out; what isn't a zip is one row without a path that says NOT_A_ZIP."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -27,18 +27,20 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
+                    yield pd.DataFrame({"archive": [archive], "path": [None], "content": [None], "refusal": ["NOT_A_ZIP"]})
                     continue
                 for info in z.infolist():
                     if not info.is_dir() and "__MACOSX" not in info.filename and not info.filename.rpartition("/")[2].startswith("."):
-                        yield pd.DataFrame({"archive": [archive], "path": [info.filename], "content": [z.read(info)]})
+                        yield pd.DataFrame({"archive": [archive], "path": [info.filename], "content": [z.read(info)], "refusal": [None]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, content binary, refusal string")
 
 
 def kind(files: DataFrame) -> DataFrame:
-    """(archive, kind): a bundle has a manifest, at its root or below one folder; else it is a clip of stills."""
+    """(archive, kind): a bundle has a manifest, at its root or below one folder; else it is a clip of stills; an archive that
+    couldn't be opened is neither and has no row here."""
     manifest = F.col("path").rlike(r"^([^/]+/)?manifest\.json$")
-    return files.groupBy("archive").agg(F.when(F.count_if(manifest) > 0, "bundle").otherwise("stills").alias("kind"))
+    return files.groupBy("archive").agg(F.when(F.count_if(manifest) > 0, "bundle").when(F.count("path") > 0, "stills").alias("kind")).filter("kind is not null")
 
 
 def bundle(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -95,3 +95,30 @@ def observed(df: DataFrame, name: str, confidence: str = "confidence"):
 def events(stream: DataFrame, path: str, checkpoint: str):
     """Appends a stream's rows to Parquet, once each."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def write_bundles(bundled: DataFrame, folder: str) -> DataFrame:
+    """Writes each row of bundles() as <incident>.zip into a folder that all executors share, and returns (incident, path).
+    A name appears once its file is whole, so a task that is run again does no harm."""
+    import uuid
+
+    import pandas as pd
+
+    from ..functions import names
+    from .recorded import _files
+
+    def run(it):
+        files, at = _files(folder)
+        files.create_dir(at, recursive=True)
+        for pdf in it:
+            paths = []
+            for incident, archive in zip(pdf["incident"], pdf["archive"], strict=True):
+                name = names.plain(str(incident))
+                part = f"{at}/.{name}-{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as f:
+                    f.write(archive)
+                files.move(part, f"{at}/{name}.zip")
+                paths.append(f"{folder.rstrip('/')}/{name}.zip")
+            yield pd.DataFrame({"incident": pdf["incident"].astype(str), "path": paths})
+
+    return bundled.mapInPandas(run, "incident string, path string")
