@@ -503,6 +503,38 @@ def test_streamed_regions_equal_batch(spark, tmp_path, learn_until, skip_blind):
     assert got == want and len({r[1] for r in got}) > 3
 
 
+def test_state_by_parts_and_a_history(spark, tmp_path, monkeypatch):
+    """The same regions as of the table, whether all frames are the stream's or the first ones a table that primes it; of a
+    day's buckets only the one in use is written."""
+    from vigilframe.operators import detection
+    from vigilframe.plans import stateful
+    from vigilframe.streaming import parts
+
+    frames = synthetic.frames(synthetic.ring(spark, 2), synthetic.CENTRE, 12, 6).withColumn("minute", F.when(F.col("frame_index") < 7, F.col("minute")).otherwise(F.col("minute") + 300))
+    batch = sorted(map(tuple, detection.regions(frames, least=20, skip_blind=True).drop("coverage").collect()))
+    with stateful._rocksdb(spark):
+        streamed = through_stream(spark, frames, tmp_path / "all", lambda s: parts.regions(s, least=20, skip_blind=True))
+        assert sorted(map(tuple, streamed.collect())) == batch and len({r[1] for r in batch}) > 3
+        history = frames.filter("frame_index < 6")
+        primed = through_stream(spark, frames.filter("frame_index >= 6"), tmp_path / "primed", lambda s: parts.regions(s, history, least=20, skip_blind=True))
+        assert sorted(map(tuple, primed.collect())) == [r for r in batch if r[1] >= 6]
+
+    class Map(dict):
+        def keys(self):
+            return list(super().keys())
+
+        def getValue(self, k):  # noqa: N802
+            return self[k]
+
+    stored = Map({(b,): (detection.packed({"mean": np.full((2, 2), float(b))}),) for b in (1, 5)})
+    means = parts._Means(stored)
+    model = detection.Background()
+    model.mean, model.seen, model.learnt = means, {1: 3, 5: 3}, 9
+    assert model.reference(4)[0, 0] == 5.0 and dict.__getitem__(means, 1) is None  # the other wasn't read
+    model.learn(np.zeros((2, 2)), 5)
+    assert means.changed == {5}
+
+
 def test_streamed_scenes_equal_batch(spark, tmp_path):
     from vigilframe.operators import detection
     from vigilframe.streaming import watching
