@@ -23,11 +23,15 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def duck():
+    return views(DATA)
+
+
+def views(data):
     import duckdb
 
     c = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     return c
 
 
@@ -42,8 +46,8 @@ def plain(rows, columns):
     return sorted(tuple(text(r[c]) for c in columns) for r in rows)
 
 
-def matches(spark, duck, query, sql):
-    df = query(spark, DATA)
+def matches(spark, duck, query, sql, data=DATA):
+    df = query(spark, data)
     columns = sorted(df.columns)
     got = duck.execute(sql)
     names = [d[0] for d in got.description]

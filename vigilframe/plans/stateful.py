@@ -169,13 +169,15 @@ _LATE = f"WITH {m.OBSERVATION} SELECT track_id, count(*) AS frames, round(CASE W
 
 
 def tiny_image_stats(spark, d):
-    """Eight by eight images of vectors: mean, variance, extremes and the mean absolute step between rows."""
+    """Images of eight columns of vectors: mean, variance, extremes and the mean absolute step between rows (null without a
+    second row)."""
     v = fixtures.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     mean = total / F.size("e")
     var = F.aggregate("e", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("e")
-    steps = F.transform(F.sequence(F.lit(1), F.lit(56)), lambda i: F.abs(F.element_at("e", i + 8) - F.element_at("e", i)))
-    out = v.withColumn("mean", mean).select("vec_id", "mean", var.alias("var"), F.array_min("e").alias("low"), F.array_max("e").alias("high"), (F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / 56.0).alias("step"))
+    more = F.size("e") - 8  # components with one a row below
+    steps = F.when(more > 0, F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.abs(F.get("e", i + 7) - F.get("e", i - 1))))
+    out = v.withColumn("mean", mean).select("vec_id", "mean", var.alias("var"), F.array_min("e").alias("low"), F.array_max("e").alias("high"), (F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / more).alias("step"))
     return out.withColumns({c: F.round(c, 8) for c in ("mean", "var", "low", "high", "step")})
 
 

@@ -91,8 +91,11 @@ def archive(spark: SparkSession, root: str, cameras: DataFrame, stride: int = 1,
 
 
 def subset(cameras: DataFrame, ids: DataFrame, still_url: str) -> DataFrame:
-    """The named cameras, with the address of their latest still (%s stands for the id)."""
-    return cameras.join(ids.select("camera_id").distinct(), "camera_id", "left_semi").withColumn("still_url", F.format_string(still_url, "camera_id"))
+    """The named cameras, with the address of their latest still (%s stands for the id); ValueError where none is known."""
+    found = cameras.join(ids.select("camera_id").distinct(), "camera_id", "left_semi")
+    if found.isEmpty():
+        raise ValueError("none of these cameras is in the network")
+    return found.withColumn("still_url", F.format_string(still_url, "camera_id"))
 
 
 def images(spark: SparkSession, folder: str, skip_invalid: bool = False) -> DataFrame:
