@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
 from ..operators import detection, escalation, network, tracker, tracks
-from ..sources import fixtures, recorded, sinks, synthetic
+from ..sources import fixtures, recorded, scratch, sinks, synthetic
 from ..streaming import escalating, tracking
 from . import macros as m
 
@@ -75,7 +73,7 @@ def escalation_stream(spark, d):
     at = _in_files(spark, sweeps.unionByName(end, allowMissingColumns=True), week + behind.cast("long"))
     stream = spark.readStream.schema(sweeps.schema).option("maxFilesPerTrigger", 1).parquet(at)
     with _rocksdb(spark):
-        return _run(escalating.escalate(stream, late="16 days", idle_s=_DAY), "append", spark).drop("batch")
+        return _run(escalating.escalate(stream, late="16 days", idle_s=_DAY), "append", spark, at).drop("batch")
 
 
 def nearest_stream(spark, d):
@@ -87,7 +85,7 @@ def nearest_stream(spark, d):
     stream = lambda: spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(at)
     probes = stream().filter("event_type = 'error'").select("key", F.col("event_id").alias("probe_id"), F.col("ts").alias("at"))
     frames = stream().filter("event_type != 'error'").select("key", F.col("event_id").alias("frame_id"), "ts")
-    got = _run(tracking.nearest(probes, frames, 3600, late="16 days"), "append", spark)
+    got = _run(tracking.nearest(probes, frames, 3600, late="16 days"), "append", spark, at)
     return got.filter("key >= 0").select(F.col("key").alias("sequence"), "probe_id", "frame_id", F.col("gap_s").cast("long").alias("gap_s"))
 
 
@@ -107,7 +105,7 @@ def alert_fixes(spark, d):
 
 def _in_files(spark: SparkSession, rows: DataFrame, place) -> str:
     """Rows in files of a folder that a stream takes one by one, in order of place."""
-    at = _fresh(spark, "input")
+    at = scratch.fresh_path(spark, "input")
     rows = rows.withColumn("__place", place)
     rows = rows.repartition("__place").cache()
     for n in sorted(r[0] for r in rows.select("__place").distinct().collect()):  # a few
@@ -131,36 +129,28 @@ def _rocksdb(spark: SparkSession):
             spark.conf.set(key, before)
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    """A path in the folder that driver and executors share; a local one only where all runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="vigilframe-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _run(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
-    """All a stream's input, through a table in the shared folder."""
-    at = _fresh(spark, "stream")
+def _run(stream: DataFrame, mode: str, spark: SparkSession, *used: str) -> DataFrame:
+    """All a stream's input, through a table in the shared folder; its state and the folders it used go."""
+    at = scratch.fresh_path(spark, "stream")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/batch_no={n}")
 
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(put).start().awaitTermination()
+    for path in (f"{at}/state", *used):
+        scratch.delete(spark, path)
     return spark.read.parquet(f"{at}/out").drop("batch_no")
 
 
 def late_growth_stream(spark, d):
     """Tracks whose frames come out of order, some twice: the last state of each equals the batch aggregate."""
-    at = _fresh(spark, "input")
+    at = scratch.fresh_path(spark, "input")
     o = fixtures.observations(spark, d).select("track_id", "frame_index", "minute", "area")
     late = F.pmod(F.xxhash64("track_id", "frame_index"), F.lit(3))
     for n in range(3):
         o.filter(late >= n).filter((late == n) | (late == 2)).write.mode("append").parquet(at)
     stream = tracking.growth(spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 8).parquet(at))
-    got = _run(stream, "update", spark)
+    got = _run(stream, "update", spark, at)
     last = got.groupBy("track_id").agg(F.max_by(F.struct("frames", "area_slope", "area_ratio"), "batch").alias("s"))
     return last.select("track_id", F.col("s.frames").alias("frames"), F.round("s.area_slope", 6).alias("area_slope"), F.round("s.area_ratio", 9).alias("area_ratio"))
 
@@ -203,7 +193,7 @@ def recorded_frames(spark, d):
         F.timestamp_seconds(1_700_000_000 + F.floor(v % 50 / 5) * 60).alias("ts"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(F.array_join(grey, "")).alias("data"),
     )
     cams = fixtures.cameras(spark, d).filter("camera_id < 5").withColumn("camera_id", F.col("camera_id").cast("string"))
-    at = _fresh(spark, "bundles")
+    at = scratch.fresh_path(spark, "bundles")
     sinks.write_bundles(sinks.bundles(frames, cams), at).write.format("noop").mode("overwrite").save()
     recorded.register(spark)
     read = spark.read.format("recorded").load(at).filter(F.col("camera_id").isin("1", "2", "4") & (F.col("ts") >= F.timestamp_seconds(F.lit(1_700_000_120))))
