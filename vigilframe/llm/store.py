@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import delete, exists, fresh_path, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Only where all runs on this machine may that be unset; a
-    temporary folder then serves, and goes with the process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (named or _own_folder()).rstrip("/")
-
-
-@functools.cache
-def _own_folder() -> str:
-    path = tempfile.mkdtemp(prefix="vigilframe-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["clear", "drop", "exists", "fresh_path", "made", "save", "save_sorted", "shared_folder", "table"]
 
 
 def save(df: DataFrame, name: str, codec: str = "zstd", compact: bool = False) -> DataFrame:
@@ -57,11 +35,13 @@ def save_sorted(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     out = spark.table(table)
     out.stored_at, out.stored_as = path, table
     made.append(path)
+    named[path] = table
     return out
 
 
-#: Paths that save() and save_sorted() wrote in this process, in order.
+#: Paths that save() and save_sorted() wrote in this process, in order, and the names of those that are tables of the catalogue.
 made: list[str] = []
+named: dict[str, str] = {}
 
 
 def clear(spark: SparkSession, since: int, *keep: DataFrame) -> None:
@@ -69,7 +49,9 @@ def clear(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     kept = [k.stored_at for k in keep]
     for path in made[since:]:
         if path not in kept:
-            _delete(spark, path)
+            if path in named:
+                spark.sql(f"DROP TABLE IF EXISTS {named.pop(path)}")
+            delete(spark, path)
     made[since:] = [p for p in made[since:] if p in kept]
 
 
@@ -77,18 +59,8 @@ def drop(df: DataFrame) -> None:
     """Deletes a table written by save() or save_sorted()."""
     if hasattr(df, "stored_as"):
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
-    _delete(df.sparkSession, df.stored_at)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Wherever the shared folder is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        named.pop(df.stored_at, None)
+    delete(df.sparkSession, df.stored_at)
 
 
 BATCH_ROWS = 1000

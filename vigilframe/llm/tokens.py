@@ -24,7 +24,6 @@ from . import bytelevel, store
 from .textkit import batches
 
 END_ID = 2
-CACHE_WORDS = 400_000
 
 _lengths = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)])
 _ends = _lengths.cumsum(1)
