@@ -158,12 +158,6 @@ def answer(frame: Column, blind: Column, best_delta: Column, best_confidence: Co
     return F.when(~frame, "no_frame").when(blind, "blind").when((F.abs(best_delta) <= tolerance) & strong, "supported").when((F.abs(best_delta) > tolerance) & strong, "off_bearing").otherwise("silent")
 
 
-def top_reasons(terms: dict[str, Column], n: int = 2) -> Column:
-    """Names of the n terms with the largest contributions, ties in order."""
-    items = F.array(*(F.struct((-terms[k] * w).alias("c"), F.lit(i).alias("i"), F.lit(k).alias("name")) for i, (k, w) in enumerate(WEIGHTS.items())))
-    return F.transform(F.slice(F.array_sort(items), 1, n), lambda x: x["name"])
-
-
 def sampling_plan(total: Column, interval_s: Column) -> tuple[Column, Column]:
     """(stride, frames analysed) of a clip: about a minute apart, 40 to 240 frames, at most four minutes apart."""
     stride = F.greatest(F.lit(1), F.bround(60.0 / interval_s).cast("long"))

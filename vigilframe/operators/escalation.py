@@ -8,6 +8,7 @@ streaming.escalating runs the same machine on keyed state.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -20,6 +21,8 @@ from . import fixes
 
 #: Fixed values.
 ROUNDS, ESCALATE_FRAMES, CAP, MOST_ALERTS, AGAIN_FRAMES = 3, 4, 0.99, 8, 4
+#: Rows that a fold hands on at once.
+BATCH = 2000
 OUT = "incident long, seq long, tick long, kind string, state string, cause string, camera_id long, confidence double, reasoning array<string>, supporters long"
 ANSWER = "array<struct<camera_id: bigint, outcome: string, confidence: double, said: string>>"
 SWEEP = {"camera_id": "long", "track_id": "long", "confidence": "double", "frames": "long", "summary": "string", "blind": "string", "again": "double", "again_frames": "long", "answers": ANSWER}
@@ -188,28 +191,70 @@ def escalate(sweeps: DataFrame, keep_watching: bool = True, most_alerts: int = M
     """
 
     def run(it):
-        now, machine, tick, sweep = None, None, None, []
-        for pdf in it:
-            done = []
-            for r in rows_of(pdf):
-                if (r["incident"], r["tick"]) != (now, tick):
-                    if sweep:
-                        machine.tick(tick, sweep)
-                    sweep, tick = [], r["tick"]
-                    if r["incident"] != now:
-                        if machine:
-                            machine.end()
-                            done += [(now, *row) for row in machine.rows]
-                        now, machine = r["incident"], Machine(keep_watching, most_alerts)
-                sweep.append(r)
-            yield said(done)
-        if machine:
-            machine.tick(tick, sweep)
-            machine.end()
-            yield said([(now, *row) for row in machine.rows])
+        done = []
+        for incident, machine, _ in _folded(it, keep_watching, most_alerts):
+            done += [(incident, *row) for row in machine.rows]
+            if len(done) >= BATCH:
+                yield said(done)
+                done = []
+        yield said(done)
 
+    return _walkable(sweeps).mapInPandas(run, OUT)
+
+
+def _walkable(sweeps: DataFrame) -> DataFrame:
     rows = prepared(sweeps).filter("incident is not null and tick is not null")
-    return rows.repartition("incident").sortWithinPartitions("incident", "tick", "camera_id", "track_id").mapInPandas(run, OUT)
+    return rows.repartition("incident").sortWithinPartitions("incident", "tick", "camera_id", "track_id")
+
+
+def _folded(it: Iterator[pd.DataFrame], keep_watching: bool, most_alerts: int) -> Iterator[tuple[int, Machine, int]]:
+    """(incident, its machine at its end, readings that it looked at) from sorted rows, one machine at a time."""
+    now, machine, tick, sweep, read = None, None, None, [], 0
+    for pdf in it:
+        for r in rows_of(pdf):
+            if (r["incident"], r["tick"]) != (now, tick):
+                if sweep:
+                    read += 0 if machine.over else len(sweep)
+                    machine.tick(tick, sweep)
+                sweep, tick = [], r["tick"]
+                if r["incident"] != now:
+                    if machine:
+                        machine.end()
+                        yield now, machine, read
+                    now, machine, read = r["incident"], Machine(keep_watching, most_alerts), 0
+            sweep.append(r)
+    if machine:
+        read += 0 if machine.over else len(sweep)
+        machine.tick(tick, sweep)
+        machine.end()
+        yield now, machine, read
+
+
+RECORD = {
+    "incident": "long", "state": "string", "frames_read": "long", "consulted": "array<bigint>", "unusable": "array<struct<camera_id: bigint, reason: string>>",
+    "alerts": "long", "confidence": "double", "stopped_early": "string",
+}
+
+
+def records(sweeps: DataFrame, keep_watching: bool = True, most_alerts: int = MOST_ALERTS) -> DataFrame:
+    """A row per incident of what its escalation came to: the last state, the readings looked at, the cameras ever
+    consulted, those that couldn't be believed at the end and why, alerts, the last alert's confidence, and why it stopped
+    before the end of the footage, if it did. sweeps as escalate takes them."""
+
+    def run(it):
+        done = []
+        for incident, machine, read in _folded(it, keep_watching, most_alerts):
+            raised = [row for row in machine.rows if row[2] == "alert"]
+            ended = machine.rows and machine.rows[-1][4] == "sequence_ended"
+            early = None if ended or not raised else f"The watch stopped at its {len(raised)}th flag, the most one upload may raise, before the end of the footage"
+            confidence = raised[-1][6] if raised else None
+            done.append((incident, machine.state, read, sorted(machine.told), sorted(machine.unusable.items()), len(raised), confidence, early))
+            if len(done) >= BATCH:
+                yield pd.DataFrame(done, columns=list(RECORD))
+                done = []
+        yield pd.DataFrame(done, columns=list(RECORD))
+
+    return _walkable(sweeps).mapInPandas(run, ", ".join(f"{k} {v}" for k, v in RECORD.items()))
 
 
 _names = [c.split()[0] for c in OUT.split(", ")]

@@ -78,6 +78,46 @@ def summary(scores: DataFrame) -> DataFrame:
     )
 
 
+def assessed(readings: DataFrame) -> DataFrame:
+    """readings (also with unusable, why a frame can't be believed or null, warmed and ms) as sequence_scores takes them: a frame
+    that can't be believed, or that came before its camera's model was warm, is a frame but has no confidence."""
+    counted = F.col("unusable").isNull() & F.col("warmed")
+    return readings.withColumn("confidence", F.when(counted, F.col("confidence")))
+
+
+def counters(readings: DataFrame) -> DataFrame:
+    """One row of unusable_frames (by name) and rejections_fired (most frequent first, ties by name), arrays of (code, n).
+    readings have unusable, warmed and rejections, an array of codes; only what a believed frame fired counts. Counted by
+    code first, so the arrays are as long as there are codes."""
+    fired = F.when(F.col("unusable").isNull() & F.col("warmed"), F.col("rejections"))
+    named = F.concat(
+        F.array(F.struct(F.lit("unusable").alias("what"), F.col("unusable").alias("code"))),
+        F.transform(F.coalesce(fired, F.array().cast("array<string>")), lambda c: F.struct(F.lit("fired").alias("what"), c.alias("code"))),
+    )
+    n = readings.select(F.inline(named)).filter("code is not null").groupBy("what", "code").agg(F.count("*").alias("n"))
+
+    def listed(what: str, *order: Column) -> Column:
+        own = F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct(*order, F.struct("code", "n").alias("x")))))
+        return F.transform(own, lambda v: v["x"])
+
+    return n.agg(listed("unusable", F.col("code")).alias("unusable_frames"), listed("fired", -F.col("n"), F.col("code")).alias("rejections_fired"))
+
+
+def report(readings: DataFrame, threshold: float = SUSPECT_AT) -> DataFrame:
+    """One row that says everything of an evaluation: summary's columns, the threshold, alerts before the human mark, frames
+    that couldn't be believed by reason, rejections fired by code, and milliseconds a frame (median and largest of the
+    sequences' means; a sequence without any doesn't count). An empty table has zeros, empty arrays and nulls."""
+    per = sequence_scores(assessed(readings), threshold)
+    at, ms = F.col("first_alert_s"), F.when(F.col("ms_per_frame") != 0, F.col("ms_per_frame"))
+    times = readings.groupBy("sequence", "camera_id").agg(F.avg("ms").alias("ms_per_frame"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    sums = ("frames", "false_frames", "clear_frames", "clear_hours")
+    whole = summary(per).select(*(zero(c) if c in sums else c for c in summary(per).columns))
+    more = per.agg(F.lit(threshold).alias("threshold"), F.count(at).alias("alerts"), F.count_if(at < 0).alias("before_mark"))
+    took = times.agg(F.median(ms).alias("median_ms"), F.max(ms).alias("max_ms"))
+    return whole.crossJoin(F.broadcast(more)).crossJoin(F.broadcast(took)).crossJoin(F.broadcast(counters(readings)))  # a row each
+
+
 def operating_curve(readings: DataFrame) -> DataFrame:
     """Detections against false alarms at every swept threshold, from one pass over the readings."""
     smoke = F.col("offset_s") >= 0

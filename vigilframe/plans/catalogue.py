@@ -584,9 +584,9 @@ def merged_metrics(spark, d):
 
 
 def queries() -> dict:
-    from . import extras, stateful
+    from . import extras, reports, stateful
 
-    return {k: f for k, (f, _) in _entries.items()} | extras.queries() | stateful.queries()
+    return {k: f for k, (f, _) in _entries.items()} | extras.queries() | stateful.queries() | reports.queries()
 
 
 def oracle_of(name: str) -> str:
@@ -594,6 +594,6 @@ def oracle_of(name: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import extras, stateful
+    from . import extras, reports, stateful
 
-    return {k: sql for k, (_, sql) in _entries.items() if sql} | extras.oracle_sql() | stateful.oracle_sql()
+    return {k: sql for k, (_, sql) in _entries.items() if sql} | extras.oracle_sql() | stateful.oracle_sql() | reports.oracle_sql()
