@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_escalation import random_incident, sweeps
 
 from vigilframe.functions import pixels, sentences, skyline, wire
-from vigilframe.operators import escalation, evaluation
+from vigilframe.operators import escalation, evaluation, tracks
 from vigilframe.sources import uploads
 
 FILES = "archive string, path string, decodable boolean"
@@ -28,6 +28,20 @@ def test_a_wire_form_needs_all_its_columns(spark):
         wire.shaped(spark.createDataFrame([(1, 2.0)], "k int, lat double"), wire.FIX, "k").collect()
 
 
+def test_a_horizon_over_the_wire(spark):
+    got = pixels.horizon(np.vstack([np.full((60, 80), 200.0), np.full((40, 80), 60.0)]).astype(np.uint8)[..., None].repeat(3, 2))
+    row = (1, got["boundary"].tolist(), got["confidence"], got["sky"], int(got["threshold"]), got["flat"])
+    df = spark.createDataFrame([row], "k int, boundary array<int>, confidence double, sky double, threshold int, flat boolean")
+    r = wire.shaped(df.select("*", *(v.alias(k) for k, v in skyline.shape(F.col("boundary")).items())), wire.HORIZON, "k").first()
+    assert list(r.asDict()) == ["k", *wire.HORIZON] and (r.sky_fraction, r.median_row, r.relief_px) == (round(got["sky"], 3), int(np.median(got["boundary"])), 0)
+
+
+def test_first_and_last_aspects(spark):
+    rows = [(1, 2, 0.0, 9.0), (1, 0, 4.0, 2.0), (1, 1, 5.0, 5.0), (2, 5, 2.0, 3.0)]
+    got = tracks.aspects(spark.createDataFrame(rows, "track_id int, frame_index int, w double, h double"))
+    assert {tuple(r) for r in got.collect()} == {(1, 0.5, 9.0), (2, 1.5, 1.5)}
+
+
 def test_skylines_as_columns_and_as_masks(spark):
     rng = np.random.default_rng(3)
     lines = [rng.integers(0, 41, n).tolist() for n in (1, 2, 7, 64)] + [[0, 0, 0], [40, 40], []]

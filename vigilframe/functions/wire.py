@@ -11,10 +11,10 @@ GROWTH = {
     "area_slope_px_per_min": ("area_slope", 1), "area_ratio": ("area_ratio", 3), "monotonic_fraction": ("monotonic", 3),
     "top_rise_px_per_min": ("top_rise", 2), "base_drift_px_per_min": ("base_drift", 2), "centroid_drift_px_per_min": ("centroid_drift", 2),
     "horizontal_drift_px_per_min": ("horizontal_drift", 2), "width_growth_px_per_min": ("width_growth", 2),
-    "base_jitter_px": ("jitter", 2), "anchor_score": ("anchor", 3),
+    "aspect_first": ("aspect_first", 3), "aspect_last": ("aspect_last", 3), "base_jitter_px": ("jitter", 2), "anchor_score": ("anchor", 3),
 }
 FIX = {"lat": ("lat", 6), "lon": ("lon", 6), "residual_m": ("residual_m", 1), "semi_major_m": ("semi_major_m", 1), "semi_minor_m": ("semi_minor_m", 1), "crossing_angle_deg": ("crossing_deg", 1)}
-HORIZON = {"confidence": ("confidence", 3), "sky_fraction": ("sky_fraction", 3), "threshold": ("threshold", None), "flat": ("flat", None), "median_row": ("median_row", None), "relief_px": ("relief_px", None)}
+HORIZON = {"confidence": ("confidence", 3), "sky_fraction": ("sky", 3), "threshold": ("threshold", None), "flat": ("flat", None), "median_row": ("median_row", None), "relief_px": ("relief_px", None)}
 
 #: A value's noise behind this place doesn't decide a half.
 NOISE = 9

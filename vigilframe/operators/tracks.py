@@ -41,6 +41,13 @@ def growth(observations: DataFrame) -> DataFrame:
     return _with_ratios(g)
 
 
+def aspects(observations: DataFrame) -> DataFrame:
+    """(track_id, aspect_first, aspect_last): height to width of a track's first and last region, 0 wide ones as 1 wide. Keyed as
+    growth is, so joining both shuffles nothing more."""
+    aspect, at = F.col("h") / F.greatest(F.col("w"), F.lit(1.0)), F.col("frame_index")
+    return observations.groupBy("track_id").agg(F.min_by(aspect, at).alias("aspect_first"), F.max_by(aspect, at).alias("aspect_last"))
+
+
 #: Of these, medians of a track's first and last third count.
 _THIRDS = ("minute", "base_cx", "base_cy", "cx", "cy")
 _MEDIANS = [*(f"{part}_{c}" for part in ("early", "late") for c in _THIRDS), "step_median"]

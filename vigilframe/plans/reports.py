@@ -116,7 +116,8 @@ _SUMMARIES = f"""WITH {catalogue._GROW}, {catalogue._REGION}{catalogue._SUPPORT}
 
 def wire_growth(spark, d):
     """Growth of tracks as it goes over the wire."""
-    g = tracks.growth(fixtures.observations(spark, d)).withColumn("span_s", F.col("span_min") * 60)
+    o = fixtures.observations(spark, d)
+    g = tracks.growth(o).join(tracks.aspects(o), "track_id").withColumn("span_s", F.col("span_min") * 60)
     return wire.shaped(g, wire.GROWTH, "track_id")
 
 
@@ -125,7 +126,9 @@ def _wired(source: str, places: int | None) -> str:
     return source if places is None else f"CAST({even(source, places)} AS DOUBLE)"
 
 
-_WIRE = f"WITH {catalogue._GROW} SELECT track_id, {', '.join(f'{_wired(c, n)} AS {k}' for k, (c, n) in wire.GROWTH.items())} FROM growth"
+_WIRE = f"""WITH {catalogue._GROW},
+ aspects AS (SELECT track_id, arg_min(h / greatest(w, 1.0), frame_index) AS aspect_first, arg_max(h / greatest(w, 1.0), frame_index) AS aspect_last FROM observation GROUP BY track_id)
+ SELECT track_id, {', '.join(f'{_wired(c, n)} AS {k}' for k, (c, n) in wire.GROWTH.items())} FROM growth JOIN aspects USING (track_id)"""
 
 
 def horizon_masks(spark, d):
