@@ -43,7 +43,7 @@ def growth(observations: DataFrame) -> DataFrame:
 
 def aspects(observations: DataFrame) -> DataFrame:
     """(track_id, aspect_first, aspect_last): height to width of a track's first and last region, 0 wide ones as 1 wide. Keyed as
-    growth is, so joining both shuffles nothing more."""
+    growth is, so the join itself shuffles nothing."""
     aspect, at = F.col("h") / F.greatest(F.col("w"), F.lit(1.0)), F.col("frame_index")
     return observations.groupBy("track_id").agg(F.min_by(aspect, at).alias("aspect_first"), F.max_by(aspect, at).alias("aspect_last"))
 
