@@ -92,7 +92,8 @@ def _grams(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def grow(texts: list[bytes], most: int = CONTEXTS) -> Tree:
-    """The tree of one language; of contexts of two and three bytes, it holds the most frequent, `most` in all."""
+    """The tree of one language; of contexts of two and three bytes, it holds the most frequent, `most` in all (of three
+    bytes, only those seen twice)."""
     texts = [t for t in texts if t]
     buf = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.cumsum([0, *map(len, texts)])[:-1].astype(np.int64)
@@ -141,17 +142,22 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """A model from labelled documents (doc_id, text, lang): of every language, the docs_per_lang documents that come first
-    by a hash of doc_id, those of at most `chars` characters before longer ones, of which the first `chars` are taken (of
-    rows that share a doc_id, the text that sorts first)."""
-    rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), "text").filter("lang is not null and text is not null")
-    rows = rows.withColumn("long", F.length("text") > chars)
-    first = rows.drop("text").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))).filter(F.col("k") <= docs_per_lang)
-    ids = first.select("doc_id", "lang", "long").distinct()
-    picked = rows.join(F.broadcast(ids), ["doc_id", "lang", "long"], "left_semi").groupBy("lang", "doc_id", "long").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    by a hash of doc_id, whatever their lengths. A text of more than `chars` characters gives a passage of that length,
+    which begins at a place drawn from its whole length by another hash of doc_id.
+
+    Rows without a doc_id, text or lang teach nothing. Rows that share a doc_id and lang are one document: the passage that
+    sorts first. A table without labelled rows gives a model of no languages, which predicts `und`.
+    """
+    rows = docs.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null")
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= docs_per_lang).select("doc_id", "lang").distinct()
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    passages = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").withColumn("text", F.substring("text", begin, F.lit(chars)))
+    picked = passages.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = pdf.sort_values(["long", "doc_id"]).head(docs_per_lang)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "tree": [pickle.dumps(grow([t.encode() for t in taken["text"]]))]})
+        texts = pdf.sort_values("doc_id")["text"]
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "tree": [pickle.dumps(grow([t.encode() for t in texts]))]})
 
     trees = store.save(picked.groupBy("lang").applyInPandas(learn, "lang string, tree binary"), "trees", compact=True)
     got = sorted(((r.lang, pickle.loads(r.tree)) for r in trees.toLocalIterator()), key=lambda x: x[0])  # one tree a language
@@ -164,7 +170,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     of that language among those learned under equal priors (0 for `und`).
 
     A tie goes to the language that sorts first. Needs text; other columns stay (columns named like the new ones are
-    replaced); empty tables give no rows.
+    replaced); repeated rows are each predicted; empty tables give no rows.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
