@@ -1,6 +1,7 @@
 """Operators over documents against plain Python, on small tables with odd rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -203,6 +204,43 @@ def test_substring_index_over_many_batches(spark, monkeypatch):
     assert sorted(map(tuple, substrings.in_batches(df, 2).select("doc_id", "n_removed", "kept_sha256").collect())) == want
 
 
+def test_substring_index_of_several_sessions(spark, tmp_path):
+    """An index is opened from its folder by a session whose catalogue knows nothing of it, also after an add broke off."""
+    rows = [(i, prose(i % 3, 90) + f" end{i}") for i in range(14)] + [(14, None), (None, prose(0, 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [df.filter("doc_id < 5"), df.filter("doc_id >= 5 and doc_id < 9"), df.filter("doc_id >= 9 or doc_id is null")]
+    folder = f"file://{tmp_path}/index"
+    index, got = substrings.FingerprintIndex(folder=folder), []
+    for part in parts:
+        before = set(os.listdir(f"{tmp_path}/index")) if got else set()
+        got += map(tuple, index.add(part).select("doc_id", "n_removed", "kept_sha256").collect())
+        for name in set(os.listdir(f"{tmp_path}/index")) - before:
+            if name.startswith("run-"):
+                spark.sql(f"DROP TABLE IF EXISTS {name.replace('-', '_')}")
+        os.mkdir(f"{tmp_path}/index/run-left{len(got)}")
+        index = substrings.FingerprintIndex.open(spark, folder)
+        assert sum(r.count() for _, r in index.runs) > 0 and len(index.texts) == len(index.listed)
+        plan = index.runs[0][1].hint("merge").join(index.runs[-1][1].select("f").hint("merge"), "f")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+    want = substrings.in_batches(df, 1).select("doc_id", "n_removed", "kept_sha256").collect()
+    assert sorted(got, key=str) == sorted(map(tuple, want), key=str)
+    assert len(index.runs) == 2  # of three adds: two were merged
+
+
+def test_language_is_learned_from_whole_texts(spark):
+    """What tells two languages apart lies behind the first `chars` characters of long documents, shorter ones have none."""
+    rng = np.random.default_rng(8)
+    noise = ["".join(map(chr, rng.integers(97, 123, 3000))) for _ in range(60)]
+    rows = [(i, t[:200] + said * 400, lang) for i, t in enumerate(noise[:40]) for lang, said in [[("aa", "the cat sat on the mat "), ("bb", "le chat et la souris ")][i % 2]]]
+    rows += [(100 + i, t[:100], ["aa", "bb"][i % 2]) for i, t in enumerate(noise[40:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, docs_per_lang=15, chars=150)
+    new = spark.createDataFrame([(1, "on the mat the cat sat"), (2, "et la souris le chat"), (3, "the cat"), (3, "the cat")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(new, model).orderBy("doc_id").collect()] == ["aa", "bb", "aa", "aa"]
+    again = langid.fit(df.repartition(5), docs_per_lang=15, chars=150)
+    assert all(np.array_equal(x, y) for a, b in zip(model.trees, again.trees, strict=True) for x, y in zip(a.grams + a.seen, b.grams + b.seen, strict=True))
+
+
 def test_language(spark, docs):
     other = [(1000 + i, t, l, "s", 1) for i, (t, l) in enumerate([("the cat sat on the mat and the dog ran", "en"), ("le chat et la souris dans la maison", "fr")] * 20)]
     model = langid.fit(spark.createDataFrame(other, DOC))
@@ -226,11 +264,11 @@ def test_many_languages(spark):
     rows += [(1000 + i, said["en"] * 20, "en") for i in range(3)] + [(2000, said["zz"] * 400, "zz")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == sorted({r[2] for r in rows})
-    alone = langid.train({"en": [(said["en"] * 20).encode()] * 3, "zz": [(said["zz"] * 400)[: langid.SAMPLE_CHARS].encode()]})
-    for tree, lang in zip(alone.trees, alone.langs, strict=True):
-        mine = model.trees[model.langs.index(lang)]
-        for a, b in zip([*tree.contexts, *tree.escapes, *tree.grams, *tree.seen], [*mine.contexts, *mine.escapes, *mine.grams, *mine.seen], strict=True):
-            assert a.tolist() == b.tolist()
+    levels = lambda t: [x.tolist() for x in [*t.contexts, *t.escapes, *t.grams, *t.seen]]
+    mine = {lang: levels(model.trees[model.langs.index(lang)]) for lang in said}
+    assert mine["en"] == levels(langid.grow([(said["en"] * 20).encode()] * 3))
+    passages = {(said["zz"] * 400)[k : k + langid.SAMPLE_CHARS] for k in range(len(said["zz"]))}  # one of them, wherever it begins
+    assert mine["zz"] in [levels(langid.grow([t.encode()])) for t in passages]
     new = spark.createDataFrame([(1, said["zz"]), (2, said["en"]), (3, rows[7][1])], "doc_id long, text string")
     assert [r.lang_pred for r in langid.predict(new, model).orderBy("doc_id").collect()] == ["zz", "en", "l007"]
 

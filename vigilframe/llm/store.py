@@ -2,40 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import delete, exists, fresh_path, shared_folder
 
-__all__ = ["clear", "drop", "exists", "fresh_path", "made", "save", "save_sorted", "shared_folder", "table"]
+__all__ = ["clear", "drop", "exists", "fresh_path", "made", "open_sorted", "save", "save_sorted", "shared_folder", "table"]
 
 
-def save(df: DataFrame, name: str, codec: str = "zstd", compact: bool = False) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns the reread table (its path is in .stored_at).
+def save(df: DataFrame, name: str, codec: str = "zstd", compact: bool = False, folder: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder, or for good in a folder given, and returns the reread table (its path is
+    in .stored_at).
 
     compact is for what comes out of a shuffle and is small: it is written by four tasks a core at most, so that many
     shuffle partitions don't become as many tiny files. Scans of texts keep a task, and a file, for each split.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = _place(spark, name, folder)
     out = df.coalesce(4 * spark.sparkContext.defaultParallelism) if compact else df
     out.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    made.append(path)
+    if folder is None:
+        made.append(path)
     return out
 
 
-def save_sorted(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+def _place(spark: SparkSession, name: str, folder: str | None) -> str:
+    return fresh_path(spark, name) if folder is None else f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _named(path: str) -> str:
+    """The catalogue's name of a table written by save_sorted()."""
+    return path.rpartition("/")[2].replace("-", "_")
+
+
+def save_sorted(df: DataFrame, name: str, by: str, buckets: int, folder: str | None = None) -> DataFrame:
     """Writes df, which is partitioned by hash of `by` into as many partitions, in buckets of that column, each one sorted
-    file: such tables are joined on it without a shuffle."""
+    file: such tables are joined on it without a shuffle. In a folder given, for good: another session reads it by
+    open_sorted()."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    table = path.rpartition("/")[2].replace("-", "_")
+    path = _place(spark, name, folder)
+    table = _named(path)
     df.write.bucketBy(buckets, by).sortBy(by).option("compression", "zstd").option("path", path).saveAsTable(table)
     out = spark.table(table)
     out.stored_at, out.stored_as = path, table
-    made.append(path)
-    named[path] = table
+    if folder is None:
+        made.append(path)
+        named[path] = table
+    return out
+
+
+def open_sorted(spark: SparkSession, path: str, ddl: str, by: str, buckets: int) -> DataFrame:
+    """A table that save_sorted() wrote, in whatever session: the catalogue learns its columns and buckets anew."""
+    table = _named(path)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    out = spark.table(table)
+    out.stored_at, out.stored_as = path, table
     return out
 
 

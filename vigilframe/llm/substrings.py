@@ -15,17 +15,22 @@ its own repeated fingerprints by a join instead (the same rows).
 
 Then the batch becomes a run of level 0. FAN runs of a level are compacted into one of the next, so that a fingerprint is
 rewritten a number of times that grows with the logarithm of the number of batches.
+
+An index with a folder outlives its session: all that it needs is written there, texts included, and an add ends with a
+manifest that names it. FingerprintIndex.open() goes on from the last manifest, so an add that broke off leaves no trace
+but files that nothing names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store, textkit
@@ -83,7 +88,7 @@ def _listed(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(f)), pa.int32()), pa.array(f.view(np.int64)))
                 yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), lists], names=["doc_id", "t", "fs"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t int, fs array<long>")
+    return docs.filter("doc_id is not null").select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, fs array<long>")
 
 
 def _by_fingerprint(listed: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def _verified(docs: DataFrame, passes, window: int, gram: int) -> DataFrame:
                 hashes = (pa.array(w[head].view(np.int64)) for w in (w1, w2))
                 yield pa.record_batch([*hashes, *(b.column(k).take(row) for k in range(3)), lists], names=names)
 
-    return docs.mapInArrow(run, "w1 long, w2 long, age int, doc_id long, t int, at binary")
+    return docs.mapInArrow(run, "w1 long, w2 long, age int, doc_id long, t long, at binary")
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
@@ -190,17 +195,49 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "t")
 
 
+RUN, LISTED, TEXTS = "f long, low long, high long", "doc_id long, t long, fs array<long>", "age int, doc_id long, t long, text string"
+
+
 class FingerprintIndex:
     """Batches of documents seen so far: runs of fingerprints by level, each batch's documents with their fingerprints,
-    and the tables that hold the texts."""
+    and the tables that hold the texts.
 
-    def __init__(self, window: int = WINDOW, gram: int = GRAM, fan: int = FAN):
-        self.window, self.gram, self.fan = window, min(gram, window), fan
+    With a folder that executors share, the index is kept there for other sessions (one at a time); without one, it lives
+    as long as this object, and earlier batches are read from where they came from."""
+
+    def __init__(self, window: int = WINDOW, gram: int = GRAM, fan: int = FAN, folder: str | None = None):
+        self.window, self.gram, self.fan, self.folder = window, min(gram, window), fan, folder
+        self.merged: list[DataFrame] = []
         self.runs: list[tuple[int, DataFrame]] = []
         self.listed: list[DataFrame] = []
         self.texts: list[DataFrame] = []
         self.buckets: int | None = None
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index that the last finished add left in a folder; an error where there is none."""
+        held = max((json.loads(r.value) for r in spark.read.text(f"{folder}/manifest-*").collect()), key=lambda m: len(m["texts"]))  # a row an add
+        index = cls(held["window"], held["gram"], held["fan"], folder)
+        index.buckets = held["buckets"]
+        index.runs = [(k, store.open_sorted(spark, path, RUN, "f", index.buckets)) for k, path in held["runs"]]
+        index.listed = [spark.read.schema(LISTED).parquet(path) for path in held["listed"]]
+        index.texts = [spark.read.schema(TEXTS).parquet(path) for path in held["texts"]]
+        for tables, paths in ((index.listed, held["listed"]), (index.texts, held["texts"])):
+            for table, path in zip(tables, paths, strict=True):
+                table.stored_at = path
+        return index
+
+    def _manifest(self, spark: SparkSession) -> None:
+        """Names what the index consists of now; only then do runs that were merged go."""
+        if self.folder is not None:
+            held = {k: getattr(self, k) for k in ("window", "gram", "fan", "buckets")} | {"runs": [(k, r.stored_at) for k, r in self.runs]}
+            held |= {"listed": [x.stored_at for x in self.listed], "texts": [x.stored_at for x in self.texts]}
+            one = spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1)
+            one.write.mode("overwrite").text(f"{self.folder}/manifest-{len(self.texts):06d}")
+        for r in self.merged:
+            store.drop(r)
+        self.merged = []
+
     def add(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed, kept_text (the words left, joined by one space) and kept_sha256 of each row of
         docs (doc_id, text), after removing every word that a window covers whose word sequence also begins in a document
@@ -210,8 +247,10 @@ class FingerprintIndex:
         document with a null doc_id neither loses words nor lets others lose them. Other columns are ignored.
         """
         now = len(self.texts)
-        docs = docs.select(F.lit(now).alias("age"), F.col("doc_id").cast("long"), F.hash("text").alias("t"), F.col("text").cast("string"))
-        listed = store.save(_listed(docs, self.window, self.gram), "listed", codec="none")
+        docs = docs.select(F.lit(now).alias("age"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), F.col("text").cast("string"))
+        if self.folder is not None:
+            docs = store.save(docs, "texts", folder=self.folder)
+        listed = store.save(_listed(docs, self.window, self.gram), "listed", codec="none", folder=self.folder)
         own = self._run(_by_fingerprint(listed))
         repeated = [own.filter("low != high").select("f")]
         repeated += [own.select("f").hint("merge").join(r.select("f").hint("merge"), "f") for _, r in self.runs]
@@ -222,6 +261,7 @@ class FingerprintIndex:
         hit = store.save(self._repetitions(wanted), "repetitions", compact=True)
         store.drop(wanted)
         self.compact()
+        self._manifest(docs.sparkSession)
         return self._without(docs, hit)
 
     def _repetitions(self, wanted: DataFrame) -> DataFrame:
@@ -285,18 +325,17 @@ class FingerprintIndex:
         if self.buckets is None:
             self.buckets = max(8, rows.sparkSession.sparkContext.defaultParallelism)
         least = rows.repartition(self.buckets, "f").groupBy("f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        return store.save_sorted(least, "run", "f", self.buckets)
+        return store.save_sorted(least, "run", "f", self.buckets, self.folder)
 
     def compact(self) -> None:
-        """Merges `fan` runs of a level into one of the next."""
+        """Merges `fan` runs of a level into one of the next. They are dropped once a manifest no longer names them."""
         level = 0
         while True:
             same = [r for k, r in self.runs if k == level]
             if len(same) >= self.fan:
                 merged = self._run(reduce(DataFrame.unionByName, same))
                 self.runs = [(k, r) for k, r in self.runs if k != level] + [(level + 1, merged)]
-                for r in same:
-                    store.drop(r)
+                self.merged += same
             elif all(k <= level for k, _ in self.runs):
                 break
             level += 1
