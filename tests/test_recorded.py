@@ -18,7 +18,7 @@ def place(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("incidents")
     cams = synthetic.ring(spark, 2)
     frames = synthetic.frames(cams, synthetic.CENTRE, 3, 1).withColumns({"incident": F.explode(F.array(F.lit(7), F.lit(8))), "ts": F.timestamp_seconds(1600000000 + 60 * F.col("frame_index") + 7 * (F.col("camera_id") == "syn1").cast("int"))})
-    sinks.write_bundles(sinks.bundles(frames, cams), f"file://{at}").collect()
+    sinks.write_bundles(frames, cams, f"file://{at}").collect()
     picture = pixels.bmp(np.arange(60, dtype=np.uint8).reshape(5, 12))
     manifest = {"name": "odd", "network": {"cameras": [{"camera_id": "a"}]}, "sequences": {"a": [{"path": "f/2.bmp", "timestamp": "2020-09-13T12:28:00+00:00"}, {"path": "f/1.bmp", "timestamp": "2020-09-13 12:27:00"}, {"path": "f/gone.bmp", "timestamp": "2020-09-13 12:29:00"}, {"path": "f/bad.bmp", "timestamp": "2020-09-13 12:30:00"}, {"path": "f/0.bmp"}], "b": [{"path": "f/1.bmp", "timestamp": "2020-09-13 12:27:00"}]}}
     members = {"manifest.json": json.dumps(manifest).encode(), "f/1.bmp": picture, "f/2.bmp": picture, "f/0.bmp": picture, "f/bad.bmp": b"BMno"}
@@ -96,3 +96,43 @@ def test_replay_gives_the_table_tick_by_tick(spark, place, tmp_path):
     assert got == want and len(got) == 6
     times = [t for b in seen for t in b]
     assert times == sorted(set(times)) and len([b for b in seen if b]) == 6
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_odd_incidents_are_written_whole(spark, tmp_path, zone):
+    """Names that only differ in characters a file can't have, repeated frames, cameras nobody knows, no time, fractions of a
+    second, an incident of many Arrow batches; and none at all."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        grey = lambda k: bytes([k % 256] * 6)
+        rows = [(i, c, k, 1_700_000_000.25 + 60 * k, 2, 3, grey(k)) for i in ("a/b", "a_b", "", "..") for c in ("x", "y/z") for k in range(3)]
+        rows += [("a_b", "x", 0, 1_700_000_000.25, 2, 3, grey(0)), ("a_b", "nobody", 0, 1_700_000_000.25, 2, 3, grey(9)), ("a_b", "x", 5, None, 2, 3, grey(5))]
+        rows += [("long", "x", k, 1_700_000_000.25 + k, 2, 3, grey(k)) for k in range(100)]
+        left_out = [(None, "x", 0, 1.0, 2, 3, grey(0)), ("a_b", None, 0, 1.0, 2, 3, grey(0)), ("a_b", "x", 0, 1.0, 2, 3, None)]
+        df = spark.createDataFrame(rows + left_out, "incident string, camera_id string, frame_index int, t double, height int, width int, data binary")
+        cams = spark.createDataFrame([("x", 1.0, 2.0, 0.0, 60.0), ("x", 1.0, 3.0, 0.0, 60.0), ("y/z", 1.0, 2.0, 0.0, 60.0)], "camera_id string, lat double, lon double, azimuth double, hfov double")
+        frames = df.withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+        for _ in range(2):  # once more writes the same
+            written = sinks.write_bundles(frames, cams, f"file://{tmp_path}/out").collect()
+        assert {r.incident: r.frames for r in written} == {"a/b": 6, "a_b": 9, "": 6, "..": 6, "long": 100}
+        assert sorted(f"file://{x}" for x in (tmp_path / "out").iterdir()) == sorted(r.path for r in written)  # and nothing else
+        recorded.register(spark)
+        back = load(spark, f"file://{tmp_path}/out").select("incident", "camera_id", F.unix_micros("ts").alias("us"), "data", "problem").collect()
+        problem = lambda r: "UNKNOWN_CAMERA" if r[1] == "nobody" else "NO_TIMESTAMP" if r[3] is None else None
+        want = [(r[0], r[1], None if r[3] is None else int(r[3] * 1_000_000), None if problem(r) else r[6], problem(r)) for r in rows]
+        assert sorted(((r.incident, r.camera_id, r.us, r.data and bytes(r.data), r.problem) for r in back), key=str) == sorted(want, key=str)
+        assert sinks.write_bundles(frames.filter("false"), cams, f"file://{tmp_path}/none").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_an_archive_that_breaks_off_leaves_nothing(spark, tmp_path):
+    rows = [("i", "x", k, 2, 3, b"123456" if k < 50 else b"1") for k in range(51)]
+    frames = spark.createDataFrame(rows, "incident string, camera_id string, frame_index int, height int, width int, data binary").withColumn("ts", F.timestamp_seconds(F.col("frame_index")))
+    cams = spark.createDataFrame([("x", 1.0, 2.0, 0.0, 60.0)], "camera_id string, lat double, lon double, azimuth double, hfov double")
+    with pytest.raises(Exception, match="reshape"):
+        sinks.write_bundles(frames, cams, f"file://{tmp_path}").collect()
+    assert not list(tmp_path.iterdir())

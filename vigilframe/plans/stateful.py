@@ -203,7 +203,7 @@ def recorded_frames(spark, d):
     )
     cams = fixtures.cameras(spark, d).filter("camera_id < 5").withColumn("camera_id", F.col("camera_id").cast("string"))
     at = scratch.fresh_path(spark, "bundles")
-    sinks.write_bundles(sinks.bundles(frames, cams), at).write.format("noop").mode("overwrite").save()
+    sinks.write_bundles(frames, cams, at).write.format("noop").mode("overwrite").save()
     recorded.register(spark)
     read = spark.read.format("recorded").load(at).filter(F.col("camera_id").isin("1", "2", "4") & (F.col("ts") >= F.timestamp_seconds(F.lit(1_700_000_120))))
     byte = lambda i: F.conv(F.substring(F.hex("data"), 2 * i + 1, 2), 16, 10).cast("long")

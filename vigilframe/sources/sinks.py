@@ -29,8 +29,8 @@ def incident(frames: DataFrame, path: str) -> None:
 
 def bundles(frames: DataFrame, cameras: DataFrame) -> DataFrame:
     """(incident, archive): each incident of frames (incident, camera_id, frame_index, ts, height, width, data: grey bytes)
-    as a zip with a manifest of its cameras (camera_id, lat, lon, azimuth, hfov) and bitmaps, as readers take it. An
-    incident's frames are bounded (240 a clip), so one task holds one."""
+    as a zip with a manifest of its cameras (camera_id, lat, lon, azimuth, hfov) and bitmaps, as readers take it. One task
+    holds an incident (240 frames a clip): write_bundles() doesn't, and has no bound."""
     import io
     import json
     import zipfile
@@ -97,28 +97,100 @@ def events(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def write_bundles(bundled: DataFrame, folder: str) -> DataFrame:
-    """Writes each row of bundles() as <incident>.zip into a folder that all executors share, and returns (incident, path).
-    A name appears once its file is whole, so a task that is run again does no harm."""
-    import uuid
+def write_bundles(frames: DataFrame, cameras: DataFrame, folder: str) -> DataFrame:
+    """Writes each incident of frames (incident, camera_id, frame_index, ts, height, width, data: grey bytes) as an archive
+    into a folder that all executors share, and returns (incident, path, frames: how many).
 
-    import pandas as pd
+    Frames stream into their archive by camera in order of time, so a task holds one Arrow batch and the list of names,
+    however long an incident is. A name appears once its file is whole; a task that is run again writes the same. Frames of
+    cameras that aren't in the table, and those without a time, are kept and read back with that problem; those without an
+    incident, a camera or a picture are left out. Repeated frames are each written; of a camera listed twice, the
+    description that sorts first counts. Where a name needs other characters, or is empty, a digest tells incidents apart.
+    """
+    import pyarrow as pa
 
-    from ..functions import names
-    from .recorded import _files
+    known = F.struct("camera_id", "lat", "lon", F.col("azimuth").alias("azimuth_deg"), F.col("hfov").alias("hfov_deg"))
+    listed = cameras.groupBy("camera_id").agg(F.min(F.to_json(known)).alias("camera"))
+    told = frames.dropna(subset=["incident", "camera_id", "height", "width", "data"]).join(listed, "camera_id", "left")
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    told = told.select(F.col("incident").cast("string"), "camera_id", "ts", "frame_index", "camera", when.alias("at"), "height", "width", "data")
 
     def run(it):
-        files, at = _files(folder)
-        files.create_dir(at, recursive=True)
-        for pdf in it:
-            paths = []
-            for incident, archive in zip(pdf["incident"], pdf["archive"], strict=True):
-                name = names.plain(str(incident))
-                part = f"{at}/.{name}-{uuid.uuid4().hex}"
-                with files.open_output_stream(part) as f:
-                    f.write(archive)
-                files.move(part, f"{at}/{name}.zip")
-                paths.append(f"{folder.rstrip('/')}/{name}.zip")
-            yield pd.DataFrame({"incident": pdf["incident"].astype(str), "path": paths})
-
-    return bundled.mapInPandas(run, "incident string, path string")
+        open_ = None
+        try:
+            for batch in it:
+                done = []
+                for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5, 6, 7, 8)), strict=True):
+                    if open_ is not None and open_.incident != row[0]:
+                        done.append(open_.close())
+                        open_ = None
+                    open_ = open_ or _Archive(folder, row[0])
+                    open_.add(*row[1:])
+                yield _written(pa, done)
+            if open_ is not None:
+                done, open_ = [open_.close()], None
+                yield _written(pa, done)
+        finally:
+            if open_ is not None:
+                open_.give_up()
+
+    ordered = told.repartition("incident").sortWithinPartitions("incident", "camera_id", F.col("ts").asc_nulls_last(), "frame_index", "data")
+    return ordered.mapInArrow(run, "incident string, path string, frames long")
+
+
+def _written(pa, done: list[tuple]):
+    kinds = {"incident": pa.string(), "path": pa.string(), "frames": pa.int64()}
+    return pa.record_batch({name: pa.array([d[k] for d in done], kind) for k, (name, kind) in enumerate(kinds.items())})
+
+
+class _Archive:
+    """An incident's archive as it is written, below a hidden name."""
+
+    def __init__(self, folder: str, incident: str):
+        import hashlib
+        import uuid
+        import zipfile
+
+        from ..functions import names
+        from .recorded import _files
+
+        self.incident, self.folder = incident, folder.rstrip("/")
+        self.name = names.plain(incident)
+        if self.name != incident or not incident.strip("."):
+            self.name += "-" + hashlib.sha256(incident.encode()).hexdigest()[:12]
+        self.files, self.at = _files(self.folder)
+        self.files.create_dir(self.at, recursive=True)
+        self.part = f"{self.at}/.{self.name}-{uuid.uuid4().hex}"
+        self.stream = self.files.open_output_stream(self.part)
+        self.zip = zipfile.ZipFile(self.stream, "w")
+        self.n, self.listed, self.cameras = 0, {}, {}
+
+    def add(self, camera_id, camera: str | None, at: str | None, height: int, width: int, data: bytes) -> None:
+        import json
+
+        import numpy as np
+
+        from ..functions import names, pixels
+
+        camera_id = str(camera_id)
+        path = f"frames/{names.plain(camera_id)}/{self.n:06d}.bmp"  # numbered through the incident, so no two are the same
+        self.zip.writestr(path, pixels.bmp(np.frombuffer(data, np.uint8).reshape(height, width)))
+        self.listed.setdefault(camera_id, []).append({"path": path, "timestamp": at})
+        if camera is not None:
+            self.cameras[camera_id] = json.loads(camera)
+        self.n += 1
+
+    def close(self) -> tuple[str, str, int]:
+        import json
+
+        spec = {"cameras": [self.cameras[c] for c in sorted(self.cameras)]}
+        self.zip.writestr("manifest.json", json.dumps({"name": self.incident, "network": spec, "sequences": self.listed}))
+        self.zip.close()
+        self.stream.close()
+        self.files.move(self.part, f"{self.at}/{self.name}.zip")
+        return self.incident, f"{self.folder}/{self.name}.zip", self.n
+
+    def give_up(self) -> None:
+        self.zip.close()
+        self.stream.close()
+        self.files.delete_file(self.part)
