@@ -101,6 +101,18 @@ def test_link_graph(spark):
     assert urls.judge(pages.filter("false")).count() == 0
 
 
+def test_pages_that_repeat_and_name_columns_alike(spark):
+    """Each row is judged for itself; a column with a new one's name doesn't disturb; very long pages give their last link."""
+    link = lambda h: f'<a href="https://{h}/p">x</a>'
+    rows = [(1, "http://farm.net/", "y" * 3_000_000 + link("bad.com")), (1, "http://farm.net/", "y" * 3_000_000 + link("bad.com")), (None, None, None), (2, "http://bad.com/de/", ""), (3, "http://other.net/", link("fine.net"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted([(1, "farm.net", None, "block")] * 2 + [(2, "bad.com", "com/de/", "block"), (3, "other.net", None, "allow"), (None, "", None, "allow")], key=str)
+    clash = {c: F.lit("mine") for c in ("host", "path", "rule", "said", "verdict", "trust", "distrust", "score", "weight", "src", "dst")}
+    for df in (pages, pages.withColumns(clash)):
+        got = urls.judge(df).select("page_id", "host", "rule", "verdict").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_distrust_of_many_hosts_that_link_to_one(spark):
     """Backwards, a blocked host's weights sum to 1 however many hosts link to it; scores are those of a plain iteration."""
     link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)

@@ -459,6 +459,33 @@ def test_long_text(spark):
     assert {r.doc_id: r.n_removed for r in substrings.in_batches(df).collect()} == {1: 0, 2: 0, 3: 120_000}
 
 
+def test_long_texts_of_other_operators(spark):
+    """The same for decontamination, chat, mixing and token files: what counts lies at the text's end."""
+    from tokenizers import Tokenizer
+
+    text = " ".join(prose(i, 4000) for i in range(30)) + " end marker"
+    assert len(text) > textkit.SLICE_BYTES
+    df = spark.createDataFrame([(1, text, "a"), (2, "short one", "a"), (3, text, "b")], "doc_id long, text string, source string")
+    item = " ".join(text.split()[-12:])
+    found = decontaminate.find(df, spark.createDataFrame([("q", item), ("none", prose(99, 12))], "item_id string, text string")).collect()
+    begin = text.rindex(item)
+    assert [(r.n_words, r.n_hit, r.items, [tuple(s) for s in r.spans]) for r in sorted(found, key=lambda r: r.doc_id)] == [
+        (120_002, 12, ["q"], [(begin, len(text))]), (2, 0, [], []), (120_002, 12, ["q"], [(begin, len(text))]),
+    ]
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    chatted = chat.read_back(chat.conversations(chat.format_turns(turns, PATH)), PATH).first()
+    assert chatted.loss_chars == len(text) and chatted.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    mixed = {r.doc_id: r for r in mix.plan(df).collect()}
+    assert mixed[1]["size"] == mixed[3]["size"] == 120_002 and mixed[3].taken <= 3 * 120_002
+    folder = store.fresh_path(spark, "long-tokens")
+    tokens.write(df, folder, PATH)
+    rows = sorted(tokens.read(spark, folder, with_ids=False).collect(), key=lambda r: r.doc_id)
+    library = Tokenizer.from_file(PATH)
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in (text, "short one", text)]
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+    assert [r.start for r in rows] == [0, len(ids[0]), len(ids[0]) + len(ids[1])]
+
+
 def test_stages_on_odd_rows(spark, docs, none):
     """Nulls, empty and repeated rows, extra columns with the operators' own names; and an empty table."""
     import corpus_pipeline
