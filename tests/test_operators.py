@@ -221,6 +221,20 @@ def test_archives(spark, tmp_path):
     assert archives.camera(spark, 400.0).first().aim_known is False and archives.camera(spark, 20.0, 60.0).first().hfov == 60
 
 
+@pytest.mark.parametrize("times", [[0, 60, 120, 180, 240, 300, 360], [0, 60, 60, 180, 240, 300, 360], [0, None, 120, 180, 240, 300, 360]])
+def test_times_of_stills_count_only_all_and_apart(spark, tmp_path, times):
+    import zipfile
+
+    from vigilframe.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        for k, t in enumerate(times):
+            z.writestr(f"{k}/" + ("still" if t is None else str(1600000000 + t)) + ".png", b"x")
+    rows = archives.clip(archives.members(spark, f"file://{tmp_path}/t.zip"), 10.0).withColumn("s", F.unix_seconds("ts")).orderBy("frame_index").collect()
+    good = None not in times and len(set(times)) == len(times)
+    assert [r.s for r in rows] == [1600000000 + t if good else 10 * k for k, t in enumerate(times)]
+
+
 def test_scenarios_are_rendered_once(spark, tmp_path):
     cams, frames = synthetic.scenario(spark, "quiet", f"file://{tmp_path}")
     assert cams.count() == 3 and frames.count() == 42

@@ -63,7 +63,8 @@ def clip(files: DataFrame, interval_s: float = 60.0) -> DataFrame:
     own = names.timestamp(F.col("path"))
     w = Window.partitionBy("archive")
     s = files.filter(names.is_image(F.col("path"))).withColumns({"own": own, "n": F.count("*").over(w), "frame_index": F.row_number().over(w.orderBy("path")) - 1})
-    s = s.withColumn("good", (F.count("own").over(w) == F.col("n")) & (F.size(F.collect_set("own").over(w)) == F.col("n")))
+    s = s.withColumn("again", F.lag("own").over(w.orderBy("own")) == F.col("own"))
+    s = s.withColumn("good", (F.count("own").over(w) == F.col("n")) & (F.count_if("again").over(w) == 0))
     ts = F.when(F.col("good"), F.col("own")).otherwise(F.timestamp_seconds(F.col("frame_index") * interval_s))
     return s.select("archive", "path", "content", "frame_index", ts.alias("ts"), F.when(F.col("n") < LEAST_STILLS, "TOO_FEW_FRAMES").alias("refusal"))
 
