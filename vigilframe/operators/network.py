@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -22,33 +22,31 @@ def in_cells(cameras: DataFrame) -> DataFrame:
     return wide.withColumn("cj", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col("lon") - dlon), cell(F.col("lon") + dlon)), lambda j: F.pmod(j, F.lit(int(360 / CELL_DEG)))))))
 
 
-def _unit(lat: str, lon: str) -> tuple[Column, Column, Column]:
-    """A place as a point of the unit sphere."""
-    a, b = F.radians(lat), F.radians(lon)
-    return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)
+def _foremost(cameras: DataFrame, keys: list[str], order: list, limit: int | None) -> DataFrame:
+    """Of each key's cameras, in that order, those that can be among the first `limit` of whichever camera asks: it leaves
+    out itself and its site's, so no more than limit + 1 of a site count, nor more than that and as many again in all."""
+    if limit is None:
+        return cameras
+    for part, n in (([*keys, "site_id"], limit + 1), (keys, 2 * limit + 2)):
+        cameras = cameras.withColumn("__k", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col("__k") <= n).drop("__k")
+    return cameras
 
 
-def _looking(margin: float) -> list[Column]:
-    """Of a camera: its place (px, py, pz), the way it looks as a tangent there (lx, ly, lz), and cosines of the angles
-    that its range spans on the sphere and its view to either side (a little more of both)."""
-    lat, lon, az = F.radians("lat"), F.radians("lon"), F.radians("azimuth")
-    east, north = F.sin(az), F.cos(az)
-    way = (-east * F.sin(lon) - north * F.sin(lat) * F.cos(lon), east * F.cos(lon) - north * F.sin(lat) * F.sin(lon), north * F.cos(lat))
-    half = F.least(F.lit(180.0), F.greatest(F.lit(0.0), F.col("hfov") / 2.0 + margin + 0.01))
-    return [
-        *(x.alias(n) for n, x in zip(("px", "py", "pz"), _unit("lat", "lon"), strict=True)),
-        *(x.alias(n) for n, x in zip(("lx", "ly", "lz"), way, strict=True)),
-        F.cos((F.col("range_m") + 1.0) / geo.EARTH_RADIUS_M).alias("cos_range"),
-        F.cos(F.radians(half)).alias("cos_half"),
-    ]
+#: What is alike for cameras of one place.
+PLACE = ["lat", "lon", "range_m"]
 
 
-def _may_see() -> Column:
-    """Whether a camera may see a point: inner products alone, before any angle is worked out exactly."""
-    to = F.expr("tx * px + ty * py + tz * pz")
-    ahead = F.expr("tx * lx + ty * ly + tz * lz")
-    across = F.sqrt(F.greatest(F.lit(0.0), 1.0 - to * to))
-    return (to >= F.col("cos_range")) & (ahead >= F.col("cos_half") * across - 1e-9)
+def _by_sector(cameras: DataFrame, limit: int | None) -> DataFrame:
+    """Cameras once for each sector of a degree (sector, from 0 to 359) around their place that they may cover; of those that
+    cover it all (sure), the foremost. Where there are as many of these as can count, the sector is `full`."""
+    centre = F.col("sector") + 0.5
+    off = F.abs(geo.signed_delta(centre, F.col("azimuth"))) - (F.col("hfov") / 2.0 + MARGIN_DEG)
+    c = _foremost(cameras, [*PLACE, "azimuth", "hfov"], ["camera_id"], limit)
+    c = c.withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(359)))).filter(off <= 0.5 + 1e-6).withColumn("sure", off <= -0.5 - 1e-6)
+    if limit is None:
+        return c.withColumn("full", F.lit(False))
+    c = _foremost(c.filter("sure"), [*PLACE, "sector"], ["camera_id"], limit).unionByName(c.filter("not sure"))
+    return c.withColumn("full", F.count_if("sure").over(Window.partitionBy(*PLACE, "sector")) == 2 * limit + 2)
 
 
 def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIMIT, width: float = 1024.0) -> DataFrame:
@@ -56,25 +54,35 @@ def consultable(suspects: DataFrame, cameras: DataFrame, limit: int | None = LIM
     point ASSUMED_RANGE_M along its bearing: the `limit` that cut the bearing most squarely, ties by the longer baseline,
     then the smaller id.
 
-    An equi-join on the cell of that point, so it doesn't depend on the number of cameras.
+    Distinct lines of sight meet the distinct places of cameras, by an equi-join on the cell of that point, as a place decides
+    how its cameras cut the line. Behind the best place that is sure to have cameras enough, none count any more; only at the
+    places up to there are cameras looked at, by the sector of the point. So what is compared grows with lines and places,
+    whatever the number of suspects on a line or of cameras at a place.
     """
-    tlat, tlon = geo.project(F.col("lat"), F.col("lon"), F.col("bearing"), F.lit(ASSUMED_RANGE_M))
-    o = suspects.select("event_id", F.col("camera_id").alias("origin"), F.col("site_id").alias("o_site"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "bearing", tlat.alias("t_lat"), tlon.alias("t_lon"))
+    line = ["o_lat", "o_lon", "bearing"]
+    n = int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in full: a row becomes many
+    s = suspects.select("event_id", F.col("camera_id").alias("origin"), F.col("site_id").alias("o_site"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), "bearing")
+    tlat, tlon = geo.project(F.col("o_lat"), F.col("o_lon"), F.col("bearing"), F.lit(ASSUMED_RANGE_M))
+    o = s.select(*line).distinct().repartition(n, *line).withColumns({"t_lat": tlat, "t_lon": tlon})
     o = o.withColumns({"ci": F.floor(F.col("t_lat") / CELL_DEG), "cj": F.pmod(F.floor(F.col("t_lon") / CELL_DEG), F.lit(int(360 / CELL_DEG)))})
-    # A row here becomes many: dealt out in full, by the key of the ranking below, so that pairs aren't shuffled for it.
-    o = o.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_id")
-    c = in_cells(cameras.filter("active").select("camera_id", "site_id", "lat", "lon", "azimuth", "hfov", "range_m", *_looking(MARGIN_DEG)))
-    o = o.withColumns(dict(zip(("tx", "ty", "tz"), _unit("t_lat", "t_lon"), strict=True)))
-    pairs = o.join(c, ["ci", "cj"]).filter("site_id != o_site and camera_id != origin").filter(_may_see())
-    places = [F.col(c) for c in ("lat", "lon", "t_lat", "t_lon")]
+    c = cameras.filter("active").select("camera_id", "site_id", "azimuth", "hfov", *PLACE)
+    pairs = o.join(in_cells(c.select(*PLACE).distinct()), ["ci", "cj"])
+    places = [F.col(x) for x in ("lat", "lon", "t_lat", "t_lon")]
     baseline = geo.haversine(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon"))
     pairs = sets.once(pairs, {"baseline_m": baseline, "away_m": geo.haversine(*places), "expected": geo.bearing_between(*places)})
     pairs = pairs.filter((F.col("baseline_m") >= MIN_BASELINE_M) & (F.col("away_m") <= F.col("range_m")))
-    pairs = pairs.filter(geo.covers(F.col("expected"), F.col("azimuth"), F.col("hfov"), MARGIN_DEG))
-    pairs = pairs.withColumn("crossing", geo.fold(geo.signed_delta(F.col("expected"), F.col("bearing")))).filter(F.col("crossing") >= MIN_ANGLE_DEG)
+    pairs = sets.once(pairs, {"crossing": geo.fold(geo.signed_delta(F.col("expected"), F.col("bearing")))}).filter(F.col("crossing") >= MIN_ANGLE_DEG)
+    square, far = F.round(F.least("crossing", F.lit(90.0)), 9), F.round("baseline_m", 6)
+    pairs = pairs.select(*line, *PLACE, "baseline_m", "expected", "crossing", F.struct(square.alias("square"), far.alias("far")).alias("good"), (F.floor("expected") % 360).cast("int").alias("sector"))
+    c = _by_sector(c, limit)
+    pairs = pairs.join(c.select(*PLACE, "sector", "full").distinct(), [*PLACE, "sector"])
+    best = F.max(F.when(F.col("full"), F.col("good"))).over(Window.partitionBy(*line))
+    pairs = pairs.withColumn("best", best).filter(F.col("best").isNull() | (F.col("good") >= F.col("best"))).drop("full", "best")
+    pairs = pairs.join(c.drop("sure", "full"), [*PLACE, "sector"]).filter(geo.covers(F.col("expected"), F.col("azimuth"), F.col("hfov"), MARGIN_DEG))
+    order = [F.desc("good"), "camera_id"]
+    pairs = _foremost(pairs, line, order, limit).join(s, line).filter("site_id != o_site and camera_id != origin")
     if limit is not None:
-        order = Window.partitionBy("event_id").orderBy(F.desc(F.round(F.least("crossing", F.lit(90.0)), 9)), F.desc(F.round("baseline_m", 6)), "camera_id")
-        pairs = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy(*order))).filter(F.col("rank") <= limit)
     else:
         pairs = pairs.withColumn("rank", F.lit(None).cast("int"))
     return pairs.select("event_id", "origin", "camera_id", "rank", "baseline_m", "expected", "crossing", geo.pixel_from_bearing(F.col("expected"), F.lit(width), F.col("azimuth"), F.col("hfov")).alias("expected_x"))
