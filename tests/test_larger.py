@@ -29,3 +29,15 @@ def test_consultable_cameras_of_crowded_places(spark, crowded):
     few, many = (network._by_sector(cams.filter(f"camera_id < {n}"), network.LIMIT).count() for n in (2000, 4000))
     assert many < 1.3 * few
     assert network._by_sector(cams, network.LIMIT).filter("full").count() > 0
+
+
+def test_strongest_reading_of_large_ids(spark, tmp_path):
+    """A slightly stronger reading with a much larger id is the stronger one, and a later one with a smaller id the later."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT i AS s_suppkey, 'S' AS s_name, 0 AS s_nationkey, 0.0::DOUBLE AS s_acctbal FROM range(2) t(i)) TO '{tmp_path}/supplier.parquet'")
+    c.execute(f"COPY (SELECT * FROM (VALUES (5, TIMESTAMP '2024-01-01 00:00:01', 0, 'view', 100.0::DOUBLE, '{{}}'), (3000000, TIMESTAMP '2024-01-01 00:00:00', 0, 'view', 100.01::DOUBLE, '{{}}')) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet'")
+    for t in ("supplier", "events"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    query, sql = catalogue.queries()["latest_and_strongest"], catalogue.oracle_sql()["latest_and_strongest"]
+    assert matches(spark, c, query, sql, str(tmp_path)) == 1
+    assert [(r.last_confidence, r.strongest) for r in query(spark, str(tmp_path)).collect()] == [(0.5, 3000000)]
