@@ -41,3 +41,16 @@ def test_strongest_reading_of_large_ids(spark, tmp_path):
     query, sql = catalogue.queries()["latest_and_strongest"], catalogue.oracle_sql()["latest_and_strongest"]
     assert matches(spark, c, query, sql, str(tmp_path)) == 1
     assert [(r.last_confidence, r.strongest) for r in query(spark, str(tmp_path)).collect()] == [(0.5, 3000000)]
+
+
+def test_noise_fires_no_rule(spark):
+    """A drift of just its limit, give or take what a sum's order leaves, is not above it."""
+    from pyspark.sql import functions as F
+
+    from vigilframe.functions import scoring
+
+    named = dict(frames=4, area_ratio=3.0, centroid_drift=0.0, base_drift=0.0, top_rise=0.0, jitter=9.0, anchor=1.0, h=30.0, w=30.0, base_below=5.0, edge_softness=1.0, texture_ratio=0.1, greyness=0.1, mean_luma=0.0, blown=0.0, clear_frames=0, use_nuisance=False, habituation=0.0, use_ceiling=False, ceiling=0.0, slack=0.0, corrected=True, shift=0.0, contrast_ratio=1.0)
+    c = {k: F.lit(v) for k, v in named.items()} | {"horizontal_drift": F.col("x")}
+    fired = scoring.rejections(c, c, c, F.lit(0.5), F.lit(683.0), F.lit(True))
+    rows = spark.createDataFrame([(5.0 - 1e-14,), (5.0,), (5.000000000000002,), (5.001,)], "x double")
+    assert [r.n for r in rows.select(F.size(fired).alias("n")).collect()] == [0, 0, 0, 1]
