@@ -84,15 +84,65 @@ def step(state: State, frame_index: int, boxes) -> list[int]:
     return out.tolist()
 
 
+#: Up to so many pairs of a track and a box are compared one by one, which takes less time than arrays do.
+FEW = 64
+
+
+def _step_few(tracks: list[list], boxes: list[tuple], reach: float, next_id: int) -> tuple[list[list], list[int], int]:
+    """step() on plain numbers: open tracks [id, box, missed], oldest first, and boxes (x, y, w, h, cx, cy); the open tracks
+    behind it, the ids of the boxes, the next id."""
+    fits, out = [], [0] * len(boxes)
+    for i, t in enumerate(tracks):
+        t[2] += 1
+        ax, ay, aw, ah, acx, acy = t[1]
+        for k, (x, y, w, h, cx, cy) in enumerate(boxes):
+            both = max(min(ax + aw, x + w) - max(ax, x), 0.0) * max(min(ay + ah, y + h) - max(ay, y), 0.0)
+            total = aw * ah + w * h - both
+            share = both / total if total > 0 else 0.0
+            apart = abs(complex(acx - cx, acy - cy))  # as numpy's hypot rounds
+            if share >= MATCH_IOU or apart <= reach:
+                fits.append((-(share + max(0.0, 1.0 - apart / reach)), i, k))
+    for _, i, k in sorted(fits):
+        t = tracks[i]
+        if t[2] and not out[k]:
+            out[k], t[1], t[2] = t[0], boxes[k], 0
+    tracks = [t for t in tracks if t[2] <= MISSES]
+    for k, known in enumerate(out):
+        if not known:
+            out[k] = next_id
+            tracks.append([next_id, boxes[k], 0])
+            next_id += 1
+    return tracks, out, next_id
+
+
 def fold(state: State, frames: np.ndarray, boxes: np.ndarray) -> np.ndarray:
-    """Track ids of the rows of one camera, which are sorted by frame."""
-    out = np.empty(len(frames), np.int64)
+    """Track ids of the rows of one camera, which are sorted by frame. Frames of few boxes and tracks are taken as plain
+    numbers, others as arrays; both do the same."""
+    out = np.full(len(frames), -1, np.int64)
     cuts = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1)).tolist() if len(frames) else []
+    numbers, rows, reach, tracks = frames.tolist(), list(map(tuple, boxes.tolist())), state.width * MATCH_DISTANCE, None
+    plain = bool(np.isfinite(boxes).all())
     for a, b in zip(cuts, [*cuts[1:], len(frames)], strict=True):
-        out[a:b] = step(state, int(frames[a]), boxes[a:b])
+        if not plain or (len(state.tracks) if tracks is None else len(tracks)) * (b - a) > FEW:
+            _kept(state, tracks)
+            tracks = None
+            out[a:b] = step(state, numbers[a], boxes[a:b])
+        elif numbers[a] > state.last_frame:
+            if tracks is None:
+                tracks = [[i, tuple(x), n] for i, x, n in zip(state.tracks.tolist(), state.boxes.tolist(), state.missed.tolist(), strict=True)]
+            state.last_frame = numbers[a]
+            tracks, out[a:b], state.next_id = _step_few(tracks, rows[a:b], reach, state.next_id)
+    _kept(state, tracks)
     return out
 
 
+def _kept(state: State, tracks: list[list] | None) -> None:
+    """Puts open tracks that were taken as plain numbers back into their state."""
+    if tracks is not None:
+        state.tracks, state.missed = (np.array([t[k] for t in tracks], np.int64) for k in (0, 2))
+        state.boxes = np.array([t[1] for t in tracks], float).reshape(-1, 6)
+
+
 def with_centroids(regions: DataFrame) -> DataFrame:
     """The columns that tracking takes; boxes without centroids get their centres."""
     own = {"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2}
