@@ -138,3 +138,28 @@ def approach(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     distance = F.hypot(ax - bx, ay - by)
     corridor = F.tan(F.radians(a["sigma"])) * s + F.tan(F.radians(b["sigma"])) * t
     return {"distance_m": distance, "corridor_m": corridor, "lat": lat, "lon": lon, "consistent": distance <= corridor}
+
+
+#: Rays of a key that a task compares with all others of it.
+CLOSEST_ROWS = 250
+
+
+def closest(rays: DataFrame, key: str, ident: str) -> DataFrame:
+    """For each key of rays (key, ident, lat, lon, bearing, sigma, range_m) the two that come closest to a micrometre, ties by the
+    smaller idents: key, a, b, distance_m, corridor_m, consistent.
+
+    All pairs, quadratic by nature: a key's rays are dealt out in parts of about CLOSEST_ROWS, each of which meets all of its
+    rays. The join is by merging and the aggregate by the same key and part, so pairs are neither sorted nor kept.
+    """
+    cols = [ident, "lat", "lon", "bearing", "range_m", "sigma"]
+    n = int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in full: a row becomes many
+    parts = rays.groupBy(key).agg(F.ceil(F.count("*") / CLOSEST_ROWS).alias("parts"))
+    r = rays.select(key, *cols).join(parts, key)
+    part = {"a": F.pmod(F.xxhash64(ident), F.col("parts")), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))}
+    a, b = (r.select(key, part[p].alias("part"), *(F.col(c).alias(f"{p}_{c}") for c in cols)).repartition(n, key, "part") for p in "ab")
+    pairs = a.join(b.hint("merge"), [key, "part"]).filter(F.col(f"a_{ident}") < F.col(f"b_{ident}"))
+    near = approach(*({k: F.col(f"{p}_{k}") for k in ("lat", "lon", "bearing", "range_m", "sigma")} for p in "ab"))
+    out = pairs.select(key, "part", F.col(f"a_{ident}").alias("a"), F.col(f"b_{ident}").alias("b"), *(near[k].alias(k) for k in ("distance_m", "corridor_m", "consistent")))
+    best = F.min_by(F.struct("a", "b", "distance_m", "corridor_m", "consistent"), F.struct(F.round("distance_m", 6), "a", "b")).alias("best")
+    out = out.groupBy(key, "part").agg(best).select(key, "best.*")
+    return out.groupBy(key).agg(best).select(key, "best.*")
