@@ -76,3 +76,18 @@ def test_few_boxes_are_tracked_as_many_are(monkeypatch):
         took[few], got[few] = time.perf_counter() - start, (ids, state.tracks.tolist(), state.boxes.tolist(), state.missed.tolist(), state.next_id)
     assert got[64] == got[-1] and -1 in got[64][0][1]
     assert took[64] < 0.7 * took[-1]
+
+
+def test_streamed_growth_keeps_its_state_built_in(spark, tmp_path):
+    """A repetition that comes in a later file counts once, and no track is folded by a function of its own."""
+    from vigilframe.streaming import tracking
+
+    rows = [(1, 0, 0.0, 10.0), (1, 2, 2.0, 30.0), (1, 1, 1.0, 20.0), (1, 2, 2.0, 90.0), (2, 5, 1.0, 0.0)]
+    for n, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "track_id long, frame_index long, minute double, area double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("track_id long, frame_index long, minute double, area double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = tracking.growth(stream)
+    assert "PythonUDF" not in got._jdf.queryExecution().analyzed().toString() and "run(" not in got._jdf.queryExecution().analyzed().toString()
+    got.writeStream.format("memory").queryName("built_in").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = {r.track_id: (r.frames, r.area_slope, r.area_ratio) for r in spark.table("built_in").orderBy("frames").collect()}
+    assert last[1][0] == 3 and last[1][2] == 3.0 and abs(last[1][1] - 10.0) < 1e-9 and last[2] == (1, 0.0, 0.0)

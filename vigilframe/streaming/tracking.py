@@ -62,10 +62,17 @@ def _new(runs: list[list[int]], frame: int) -> bool:
 
 def growth(observations: DataFrame, idle_s: int | None = None) -> DataFrame:
     """(track_id, frames, area_slope, area_ratio) of tracks after each trigger, over all their observations. A late one
-    counts at its time; a frame seen before is ignored, however long ago. A track's state holds running means and sums of
-    products, its first and last area, and its frame numbers as runs: a few numbers where frames leave no gaps. With idle_s,
-    that of a track without rows for so many seconds is dropped, as in track(). A frame seen before is taken for a repetition whether or not it is late:
-    what a source sends twice counts once."""
+    counts at its time; a frame seen before is taken for a repetition, late or not, however long ago: what a source sends
+    twice counts once. Repetitions are dropped by a state of frame numbers and growth is an aggregate of running sums, both
+    built in. With idle_s, the state of a track without rows for so many seconds is dropped, as in track(): such tracks
+    are folded one by one, with frame numbers as runs."""
+    rows = observations.select("track_id", "frame_index", "minute", "area")
+    if idle_s is None:
+        own = F.struct("minute", "frame_index", "area")
+        g = rows.dropDuplicates(["track_id", "frame_index"]).groupBy("track_id")
+        n, first, last = F.count("*"), F.min(own)["area"], F.max(own)["area"]
+        slope = F.when(n * F.var_pop("minute") < 1e-9, 0.0).otherwise(F.coalesce(F.regr_slope("area", "minute"), F.lit(0.0)))
+        return g.agg(n.alias("frames"), slope.alias("area_slope"), (last / F.greatest(first, F.lit(1.0))).alias("area_ratio"))
     out = "track_id long, frames long, area_slope double, area_ratio double"
 
     def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
@@ -88,7 +95,7 @@ def growth(observations: DataFrame, idle_s: int | None = None) -> DataFrame:
             group.setTimeoutDuration(1000 * idle_s)
         yield pd.DataFrame({"track_id": [int(key[0])], "frames": [n], "area_slope": [cov / var if var >= 1e-9 else 0.0], "area_ratio": [last[2] / max(first[2], 1.0)]})
 
-    return observations.select("track_id", "frame_index", "minute", "area").groupBy("track_id").applyInPandasWithState(run, out, "state string", "update", _timeout(idle_s))
+    return rows.groupBy("track_id").applyInPandasWithState(run, out, "state string", "update", _timeout(idle_s))
 
 
 def unique_frames(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
