@@ -106,7 +106,8 @@ def nearest(probes: DataFrame, frames: DataFrame, key: str | list[str], within_s
     p = probes.select(*keys, slab(F.col("at")).alias("slab"), F.col("at").alias("t"), F.lit(None).cast(frames.schema["frame_id"].dataType).alias("frame_id"), "probe_id", F.lit(1).alias("asks"))
     near = F.array_distinct(F.array(*(slab(F.col("ts") + d) for d in (-within_s, 0, within_s))))
     f = frames.select(*keys, F.explode(near).alias("slab"), F.col("ts").alias("t"), "frame_id", F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.lit(0).alias("asks"))
-    both = p.unionByName(f).filter("t is not null").dropna(subset=keys)
+    n = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in more, smaller tasks: each sorts its rows twice
+    both = p.unionByName(f).filter("t is not null").dropna(subset=keys).repartition(4 * n, *keys, "slab")
     frame = F.when(F.col("asks") == 0, F.struct(F.col("t").alias("ts"), "frame_id"))
     order = {"before": F.col("t"), "after": F.desc("t")}
     sides = {n: F.last(frame, ignorenulls=True).over(Window.partitionBy(*keys, "slab").orderBy(o, "asks", F.desc("frame_id")).rowsBetween(Window.unboundedPreceding, 0)) for n, o in order.items()}
@@ -122,12 +123,12 @@ def sweep(frames: DataFrame, within_s: int = 90) -> DataFrame:
     frame_id, ts, tick). Ticks are the distinct ones of an incident's frames, of whatever camera; a camera's frame is the
     nearest at most within_s away, of two the earlier, then the smaller id; without one a camera has no row.
 
-    Ticks meet the cameras that have frames in their stretch of time, not all there are, so that what is asked grows with
-    what is found.
+    Ticks meet the cameras that have frames in or next to their stretch of within_s, not all there are: about two in three
+    find a frame, so that what is asked grows with what is found.
     """
-    stretch = lambda t: F.floor(t / (4 * within_s))
+    stretch = lambda t: F.floor(t / within_s)
     ticks = frames.select("incident", "tick").filter("tick is not null").distinct().withColumn("stretch", stretch(F.col("tick")))
-    near = F.array_distinct(F.array(stretch(F.col("ts") - within_s), stretch(F.col("ts") + within_s)))
+    near = F.array_distinct(F.array(*(stretch(F.col("ts") + d) for d in (-within_s, 0, within_s))))
     there = frames.select("incident", "camera_id", F.explode(near).alias("stretch")).distinct()
     probes = ticks.join(there, ["incident", "stretch"]).select("incident", "camera_id", F.col("tick").alias("probe_id"), F.col("tick").alias("at"))
     return nearest(probes, frames, ["incident", "camera_id"], within_s).withColumnRenamed("probe_id", "tick").select("incident", "tick", "camera_id", "frame_id", "gap_s")
