@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import matches
+from conftest import DATA, matches, views
 
 from vigilframe.operators import network
 from vigilframe.plans import catalogue
@@ -91,3 +91,14 @@ def test_streamed_growth_keeps_its_state_built_in(spark, tmp_path):
     got.writeStream.format("memory").queryName("built_in").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     last = {r.track_id: (r.frames, r.area_slope, r.area_ratio) for r in spark.table("built_in").orderBy("frames").collect()}
     assert last[1][0] == 3 and last[1][2] == 3.0 and abs(last[1][1] - 10.0) < 1e-9 and last[2] == (1, 0.0, 0.0)
+
+
+def test_closest_rays_in_parts(spark, monkeypatch):
+    """Parts of a few rays give what all pairs do, joined by merging."""
+    from vigilframe.operators import fixes
+
+    monkeypatch.setattr(fixes, "CLOSEST_ROWS", 2)
+    query, sql = catalogue.queries()["nearest_approach_closest_pair"], catalogue.oracle_sql()["nearest_approach_closest_pair"]
+    assert matches(spark, views(DATA.replace("0.001", "0.01")), query, sql, DATA.replace("0.001", "0.01")) == 60
+    plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Cartesian" not in plan
