@@ -102,3 +102,23 @@ def test_closest_rays_in_parts(spark, monkeypatch):
     assert matches(spark, views(DATA.replace("0.001", "0.01")), query, sql, DATA.replace("0.001", "0.01")) == 60
     plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("tried", [(1,), (2, 8), None])
+def test_readings_of_a_busy_time_bin_meet_few(spark, tmp_path, monkeypatch, tried):
+    """Of a bin of 900 readings hardly one is left to meet all, and the curve is its SQL's, however many are tried first."""
+    from pyspark.sql import functions as F
+
+    from vigilframe.operators import evaluation
+
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT i AS s_suppkey, 'S' || i AS s_name, CAST(i % 25 AS INTEGER) AS s_nationkey, 0.0::DOUBLE AS s_acctbal FROM range(400) t(i)) TO '{tmp_path}/supplier.parquet'")
+    c.execute(f"COPY (SELECT i // 3 * 7200 + i % 3 AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, i * 7 % 400 * 20 + i % 20 // 19 AS user_id, 'view' AS event_type, CAST(i * 13 % 300 AS DOUBLE) AS value, '{{}}' AS props FROM range(900) t(i)) TO '{tmp_path}/events.parquet'")
+    for t in ("supplier", "events"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    if tried:
+        monkeypatch.setattr(evaluation, "TRIED", tried)
+    assert matches(spark, c, catalogue.queries()["corroboration_curve"], catalogue.oracle_sql()["corroboration_curve"], str(tmp_path)) == 9
+    r = fixtures.readings(spark, str(tmp_path)).filter(F.col("date") == 0)
+    left = evaluation._unmet(r, 120).count()
+    assert 0 < r.filter("confidence >= 0.25").count() and (left < 40 if tried is None else left > 0)

@@ -92,7 +92,7 @@ def nearest_stream(spark, d):
 def alert_fixes(spark, d):
     """Where the alerts are: the rays of each camera's reading of a tick, and of those that support it. Readings, answers, log
     and rays are used several times each, so they are tables."""
-    own, said = (_kept(x, n) for x, n in zip(_said(spark, d), ("readings", "answers"), strict=True))
+    own, said = (scratch.kept(x, n) for x, n in zip(_said(spark, d), ("readings", "answers"), strict=True))
     named = {"label": F.concat(F.lit("camera "), F.col("camera_id").cast("string")), "site_name": F.concat(F.lit("site "), F.col("site_id").cast("string"))}
     seen = own.filter((F.col("confidence") >= scoring.SUSPECT_AT) & F.col("blind").isNull())
     cols = ["incident", "tick", "origin", "camera_id", "lat", "lon", "bearing", "range_m", "label", "site_name"]
@@ -100,18 +100,11 @@ def alert_fixes(spark, d):
     places = fixtures.cameras(spark, d).withColumns(named).select("camera_id", "lat", "lon", "range_m", "label", "site_name")
     asked = seen.select("event_id", "incident", "tick", F.col("camera_id").alias("origin"))
     theirs = said.filter("outcome = 'supported'").join(asked, "event_id").join(places, "camera_id").withColumn("bearing", F.col("expected")).select(*cols)
-    log = _kept(escalation.escalate(_sweeps(own, said)), "log")
-    located = escalation.locate(log, _kept(mine.unionByName(theirs).withColumn("sigma", F.lit(1.5)), "rays"))
+    log = scratch.kept(escalation.escalate(_sweeps(own, said)), "log")
+    located = escalation.locate(log, scratch.kept(mine.unionByName(theirs).withColumn("sigma", F.lit(1.5)), "rays"))
     return located.withColumn("reasoning", F.concat_ws("\n", "reasoning"))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder."""
-    at = scratch.fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def _in_files(spark: SparkSession, rows: DataFrame, place) -> str:
     """Rows in files of a folder that a stream takes one by one, in order of place."""
     at = scratch.fresh_path(spark, "input")
