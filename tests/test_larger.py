@@ -122,3 +122,31 @@ def test_readings_of_a_busy_time_bin_meet_few(spark, tmp_path, monkeypatch, trie
     r = fixtures.readings(spark, str(tmp_path)).filter(F.col("date") == 0)
     left = evaluation._unmet(r, 120).count()
     assert 0 < r.filter("confidence >= 0.25").count() and (left < 40 if tried is None else left > 0)
+
+
+def test_short_tracks_need_no_maps_of_values(spark):
+    """Growth takes its medians without an aggregate that keeps a map a measure, and they are medians whatever a track's length."""
+    import math
+    import statistics
+
+    from vigilframe.operators import tracks
+
+    rows = [(n, f, f * 1.5, float(f * 37 % 11 + 1), 5.0, f * f * 13 % 17 + 0.5, float(f * 29 % 7), None if f == 2 else float(f * 31 % 13), float(f * 7 % 5), 3.0, 4.0) for n in (*range(1, 14), 40) for f in range(n)]
+    names = ["track_id", "frame_index", "minute", "area", "top_y", "base_cx", "base_cy", "cx", "cy", "w", "h"]
+    df = tracks.growth(spark.createDataFrame(rows, ", ".join(f"{c} {'long' if i < 2 else 'double'}" for i, c in enumerate(names))))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "median(" not in plan and "percentile" not in plan
+    for got in df.collect():
+        own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == got.track_id]
+        third = max(1, len(own) // 3)
+        med = lambda c, part: statistics.median([r[c] for r in part if r[c] is not None])
+        early, late = own[:third], own[-third:]
+        t = med("minute", late) - med("minute", early)
+        for field, x, y in (("base_drift", "base_cx", "base_cy"), ("centroid_drift", "cx", "cy")):
+            if all(r[x] is None for r in early) or all(r[x] is None for r in late):
+                assert got[field] is None
+                continue
+            want = math.hypot(med(x, late) - med(x, early), med(y, late) - med(y, early)) / t if t > 1e-6 else 0.0
+            assert math.isclose(got[field], want, abs_tol=1e-9)
+        steps = [math.hypot(b["base_cx"] - a["base_cx"], b["base_cy"] - a["base_cy"]) for a, b in zip(own, own[1:])]
+        assert math.isclose(got.jitter, statistics.median(steps) if len(own) >= 3 else 0.0, abs_tol=1e-9)
