@@ -150,3 +150,19 @@ def test_short_tracks_need_no_maps_of_values(spark):
             assert math.isclose(got[field], want, abs_tol=1e-9)
         steps = [math.hypot(b["base_cx"] - a["base_cx"], b["base_cy"] - a["base_cy"]) for a, b in zip(own, own[1:])]
         assert math.isclose(got.jitter, statistics.median(steps) if len(own) >= 3 else 0.0, abs_tol=1e-9)
+
+
+def test_readings_of_the_escalation_are_worked_out_once(spark):
+    """The sweeps of alert_fixes, escalation_stream and incident_records read a table of readings, not the events again and
+    again; a frame's rows come as plain values, nulls as None."""
+    import pandas as pd
+
+    from vigilframe.operators import escalation
+    from vigilframe.plans import stateful
+
+    own, said = stateful._said(spark, DATA)
+    assert not [f for f in stateful._sweeps(own, said).inputFiles() if "events" in f]
+    pdf = pd.DataFrame({"camera_id": [1, 2], "track_id": [3.0, None], "confidence": [0.5, float("nan")], "frames": [4, 5], "again_frames": [None, None], "answers": [None, [{"camera_id": 1, "outcome": "silent", "confidence": None, "said": "x"}]]})
+    rows = escalation.rows_of(pdf)
+    assert [(r["track_id"], r["confidence"]) for r in rows] == [(3, 0.5), (None, None)] and {type(x) for r in rows for x in (r["camera_id"], r["frames"])} == {int}
+    assert [r["answers"] for r in rows] == [[], [(1, "silent", None, "x")]]

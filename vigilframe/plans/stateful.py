@@ -36,14 +36,14 @@ _HOUR, _DAY = 3600, 86_400
 
 def _said(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Each active camera's best reading of an hour of an incident (a date's sequences on one day), blind ones too, and what
-    the cameras that overlook a suspect one's bearing say of it."""
+    the cameras that overlook a suspect one's bearing say of it. Readings are used several times, so they are a table."""
     r = fixtures.readings(spark, d).filter("active")
     k = F.col("event_id")
     day, hour = (F.floor(F.col("epoch_s") / n) for n in (_DAY, _HOUR))
     own = r.select("event_id", (day * 20 + F.col("date")).alias("incident"), hour.alias("tick"), F.timestamp_seconds(hour * _HOUR).alias("at"), "camera_id", (F.col("sequence") % 3).alias("track_id"), "confidence", (k % 9).alias("frames"), F.when(k % 13 == 0, "fog").alias("blind"), "lat", "lon", "bearing", "range_m", "site_id")
     best = Window.partitionBy("incident", "tick", "camera_id").orderBy(F.col("blind").isNotNull(), F.desc("confidence"), "event_id")
     own = escalation.re_examined(own.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k"), ["incident"], ["tick"])
-    own = own.withColumn("summary", F.format_string("scored %.2f over %d frames", "confidence", "frames"))
+    own = scratch.kept(own.withColumn("summary", F.format_string("scored %.2f over %d frames", "confidence", "frames")), "readings")
     suspects = own.filter((F.col("confidence") >= scoring.SUSPECT_AT) & F.col("blind").isNull())
     near = network.consultable(suspects, fixtures.cameras(spark, d))
     asked = (k * 3 % 100) / 100.0
@@ -90,9 +90,10 @@ def nearest_stream(spark, d):
 
 
 def alert_fixes(spark, d):
-    """Where the alerts are: the rays of each camera's reading of a tick, and of those that support it. Readings, answers, log
-    and rays are used several times each, so they are tables."""
-    own, said = (scratch.kept(x, n) for x, n in zip(_said(spark, d), ("readings", "answers"), strict=True))
+    """Where the alerts are: the rays of each camera's reading of a tick, and of those that support it. Answers, log and rays
+    are used several times each, so they are tables."""
+    own, said = _said(spark, d)
+    said = scratch.kept(said, "answers")
     named = {"label": F.concat(F.lit("camera "), F.col("camera_id").cast("string")), "site_name": F.concat(F.lit("site "), F.col("site_id").cast("string"))}
     seen = own.filter((F.col("confidence") >= scoring.SUSPECT_AT) & F.col("blind").isNull())
     cols = ["incident", "tick", "origin", "camera_id", "lat", "lon", "bearing", "range_m", "label", "site_name"]
